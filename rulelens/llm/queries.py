@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, matroska
+from . import extract, langid, matroska
 from .arrowio import id_text, read_table
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; rows of one remainder of four are held out of the fit."""
     docs = read_table(spark, sf_dir, "documents")
@@ -22,6 +27,7 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html": op1_html,
     "op2_language": op2_language,
     "op8_media": op8_media,
 }
