@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,15 @@ BATCH_ROWS = 256
 
 
 def map_arrow(df: DataFrame, fn, schema: str, rows: int = BATCH_ROWS) -> DataFrame:
-    """mapInArrow with batches of a bounded number of rows."""
+    """mapInArrow with batches of a bounded number of rows.
+
+    Python workers on this machine import the package from where the driver has it;
+    on other machines it comes with --py-files, as usual.
+    """
+    home, env = str(Path(__file__).resolve().parents[2]), df.sparkSession.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if home not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([home, *filter(None, paths)])
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df.mapInArrow(fn, schema)
 

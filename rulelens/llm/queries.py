@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extract, langid, matroska
+from . import extract, langid, matroska, toxicity
 from .arrowio import id_text, read_table
 
 
@@ -21,6 +21,14 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; rows of one remainder of five are held out of the fit."""
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = id_text() % 5 == 0
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a Matroska file, parsed back."""
     return matroska.media_digest(matroska.store_media(read_table(spark, sf_dir, "documents")))
@@ -29,6 +37,7 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_html": op1_html,
     "op2_language": op2_language,
+    "op6_toxicity": op6_toxicity,
     "op8_media": op8_media,
 }
 ORACLES: dict[str, str] = {}
