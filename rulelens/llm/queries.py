@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extract, langid, matroska, toxicity
+from . import extract, langid, matroska, simhash, toxicity
 from .arrowio import id_text, read_table
 
 
@@ -29,6 +29,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: four-word shingles, links within four bits."""
+    return simhash.components(read_table(spark, sf_dir, "documents"), shingle=4, distance=4)
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a Matroska file, parsed back."""
     return matroska.media_digest(matroska.store_media(read_table(spark, sf_dir, "documents")))
@@ -38,6 +43,7 @@ QUERIES = {
     "op1_html": op1_html,
     "op2_language": op2_language,
     "op6_toxicity": op6_toxicity,
+    "op7_simhash": op7_simhash,
     "op8_media": op8_media,
 }
 ORACLES: dict[str, str] = {}
