@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extract, langid, matroska, simhash, toxicity
+from . import extract, langid, matroska, packing, simhash, toxicity
 from .arrowio import id_text, read_table
 
 
+def vocabulary(name: str) -> str:
+    """Path of an installed public vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return extract.extract(read_table(spark, sf_dir, "pages"))
@@ -39,11 +46,17 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digest(matroska.store_media(read_table(spark, sf_dir, "documents")))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 ids, by column generation."""
+    return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_html": op1_html,
     "op2_language": op2_language,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op8_media": op8_media,
+    "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {}
