@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extract, langid, matroska, packing, simhash, toxicity
+from . import decontam, extract, langid, matroska, packing, simhash, toxicity
 from .arrowio import id_text, read_table
 
 
@@ -28,6 +28,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows of ten words in all documents."""
+    return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; rows of one remainder of five are held out of the fit."""
     docs = read_table(spark, sf_dir, "documents")
@@ -54,6 +59,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_html": op1_html,
     "op2_language": op2_language,
+    "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op8_media": op8_media,
