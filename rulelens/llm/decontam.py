@@ -269,3 +269,9 @@ def _passes(benchmark: DataFrame, window: int):
         held += n
     if part or not given:
         yield Queries(part, window)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id") -> DataFrame:
+    """The rows of docs without an occurring window, all columns as they are."""
+    hit = contaminated(docs, benchmark, window, key).where("contaminated").select(F.col(key).alias("__hit")).distinct()
+    return docs.join(hit, F.col(key).eqNullSafe(F.col("__hit")), "left_anti")

@@ -177,3 +177,15 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
     return map_arrow(docs.select(*[F.col(k) for k in keep], F.col("text").alias("__text")), run, f"{schema}, lang_pred string, score double, rejected boolean")
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that the model doesn't reject, all columns as they are."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            _, _, far = held.value.predict(texts(batch))
+            yield batch.filter(pa.array(~far))
+
+    return map_arrow(docs, run, docs.schema)

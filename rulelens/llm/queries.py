@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, extract, langid, matroska, packing, simhash, toxicity
+from . import decontam, extract, langid, matroska, packing, secrets, simhash, toxicity
 from .arrowio import id_text, read_table
 
 
@@ -51,6 +51,11 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digest(matroska.store_media(read_table(spark, sf_dir, "documents")))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret candidates of all documents with the forest's verdict."""
+    return secrets.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 1024 ids, by column generation."""
     return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
@@ -63,6 +68,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op8_media": op8_media,
+    "op9_secrets": op9_secrets,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {}

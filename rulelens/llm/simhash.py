@@ -205,3 +205,13 @@ def components(docs: DataFrame, shingle: int = 5, distance: int = 4, key: str =
     of = low.select("fp", "root").join(ids, "root").select("fp", "component_id")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return marked.join(of, "fp").select(key, digits.alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, shingle: int = 5, distance: int = 4, key: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is that of their component; of rows that repeat the id, one."""
+    lows = components(docs, shingle, distance, key).where(F.col(key).eqNullSafe(F.col("component_id")))
+    lows = store(lows.groupBy(F.col(key).alias("__low")).agg((F.count(F.lit(1)) > 1).alias("__again")), "representatives")
+    ids = lambda again: lows.where(F.col("__again") == again)
+    same = F.col(key).eqNullSafe(F.col("__low"))
+    once = docs.join(ids(False), same, "left_semi")
+    return once.unionByName(docs.join(ids(True), same, "left_semi").dropDuplicates([key]))
