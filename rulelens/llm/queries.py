@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, extract, langid, matroska, packing, secrets, simhash, toxicity
+from . import decontam, extract, langid, matroska, packing, secrets, simhash, tokenfile, toxicity
 from .arrowio import id_text, read_table
 
 
@@ -28,6 +28,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
 
 
+def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token-id blocks, read back."""
+    return tokenfile.read(tokenfile.write(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), spaced=False))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of ten words in all documents."""
     return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -64,6 +69,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_html": op1_html,
     "op2_language": op2_language,
+    "op3_tokens": op3_tokens,
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
