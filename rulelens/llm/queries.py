@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, extract, langid, matroska, packing, secrets, simhash, tokenfile, toxicity
+from . import decontam, extract, langid, matroska, packing, secrets, simhash, suffixdup, tokenfile, toxicity
 from .arrowio import id_text, read_table
 
 
@@ -33,6 +33,11 @@ def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(tokenfile.write(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), spaced=False))
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of repeated 200-byte strings."""
+    return suffixdup.removed(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of ten words in all documents."""
     return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -70,6 +75,7 @@ QUERIES = {
     "op1_html": op1_html,
     "op2_language": op2_language,
     "op3_tokens": op3_tokens,
+    "op4_suffixes": op4_suffixes,
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
