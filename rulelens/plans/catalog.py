@@ -325,7 +325,7 @@ def subgroup_level1(spark, sf_dir):
 
 
 def suggest_single_row(spark, sf_dir):
-    return single_row.to_frame(spark, single_row.suggest(base(spark, sf_dir), CATEGORICAL, NUMERIC, groups=[["o_year", "supp_class", "o_totalprice"]]))
+    return single_row.to_frame(spark, single_row.suggest(base(spark, sf_dir), CATEGORICAL, NUMERIC, groups=[["o_year", "supp_class"]]))
 
 
 def _suggest_multi(spark, sf_dir, pattern):

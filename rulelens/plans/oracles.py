@@ -124,13 +124,9 @@ z AS (SELECT y.*, least(unit_rows, greatest(roles, floor(unit_rows * 300 / all_r
 SELECT group_key, role, row_id FROM z WHERE role_place <= 1 OR unit_place <= budget ORDER BY sc DESC, group_key, role, row_id LIMIT 300"""
 
 
-def _bins(c: str) -> str:
-    return f"""SELECT '{c}' AS "column", CAST(CASE WHEN {c} <= e[2] THEN 1 WHEN {c} <= e[3] THEN 2 WHEN {c} <= e[4] THEN 3 ELSE 4 END AS VARCHAR) AS value, vio FROM base, (SELECT list_distinct(quantile_cont({c}, [0.0, 0.25, 0.5, 0.75, 1.0])) AS d, quantile_cont({c}, [0.0, 0.25, 0.5, 0.75, 1.0]) AS e FROM base)"""
-
-
 def _rank_bins(c: str) -> str:
     """Bins over distinct edges: the number of distinct edges below the value, at least 1."""
-    return f"""SELECT '{c}' AS "column", CAST(greatest(len(list_filter(list_distinct(e), x -> x < {c})), 1) AS VARCHAR) AS value, vio FROM base, (SELECT quantile_cont(CAST({c} AS DOUBLE), [0.0, 0.25, 0.5, 0.75, 1.0]) AS e FROM base) WHERE len(list_distinct(e)) > 1"""
+    return f"""SELECT '{c}' AS "column", CAST(greatest(len([x for x in list_distinct(e) if x < {c}]), 1) AS VARCHAR) AS value, vio FROM base, (SELECT quantile_cont(CAST({c} AS DOUBLE), [0.0, 0.25, 0.5, 0.75, 1.0]) AS e FROM base) WHERE len(list_distinct(e)) > 1"""
 
 
 _VALID = "avg(CASE WHEN vio THEN 0.0 ELSE 1.0 END)"

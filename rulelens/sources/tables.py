@@ -18,8 +18,8 @@ SNIFFED_BYTES = 1 << 20
 
 def head_of(spark: SparkSession, path: str, limit: int = SNIFFED_BYTES) -> bytes:
     """The first bytes of a file, by Spark's own readers, so any store will do."""
-    line = spark.read.option("wholetext", False).option("encoding", "ISO-8859-1").text(path).limit(SNIFFED_LINES).collect()
-    return "\n".join(r[0] for r in line).encode("iso-8859-1")[:limit]
+    lines = spark.read.text(path).limit(SNIFFED_LINES).select(F.col("value").cast("binary")).collect()
+    return b"\n".join(bytes(r[0]) for r in lines)[:limit]
 
 
 def sniff_encoding(head: bytes, encodings: Iterable[str] = ENCODINGS) -> str:
