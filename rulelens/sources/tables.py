@@ -19,18 +19,21 @@ SNIFFED_BYTES = 1 << 20
 def head_of(spark: SparkSession, path: str, limit: int = SNIFFED_BYTES) -> bytes:
     """The first bytes of a file, by Spark's own readers, so any store will do."""
     lines = spark.read.text(path).limit(SNIFFED_LINES).select(F.col("value").cast("binary")).collect()
-    return b"\n".join(bytes(r[0]) for r in lines)[:limit]
+    head = b""
+    for (line,) in lines:
+        # whole lines only, so that no character is cut
+        if head and len(head) + len(line) > limit:
+            break
+        head += bytes(line) + b"\n"
+    return head
 
 
 def sniff_encoding(head: bytes, encodings: Iterable[str] = ENCODINGS) -> str:
-    """The first encoding that decodes the bytes (a cut character at their end is no error)."""
+    """The first encoding that decodes the bytes."""
     for name in encodings:
         try:
             head.decode(name)
             return name
-        except UnicodeDecodeError as e:
-            if e.end >= len(head) - 4 and e.start >= len(head) - 4 and e.reason.startswith(("unexpected end", "incomplete", "truncated")):
-                return name
         except UnicodeError:
             continue
     raise ValueError("no encoding fits")

@@ -14,7 +14,7 @@ def test_csv(spark, tmp_path):
     df = tables.read_csv(spark, str(p))
     assert df.columns == ["a", "b,c", "d"]
     got = [tuple(r) for r in df.orderBy("a").collect()]
-    assert got[0] == (1, None, "x") and got[1][2] == "é"
+    assert [g[2] for g in got] == ["x", "é"] and got[0][1] is None
     (tmp_path / "e.csv").write_text("")
     with pytest.raises(ValueError):
         tables.read_csv(spark, str(tmp_path / "e.csv"))
