@@ -39,3 +39,22 @@ def combinations(rows: DataFrame, pool: list[Condition], min_support: int, size:
         counted3 = triples.groupBy("a", "b", "c").agg(F.sum("sat").alias("sat_matches"), F.sum("vio").alias("vio_matches"))
         out = out.union(counted3.select(F.array("a", "b", "c").alias("ids"), "sat_matches", "vio_matches"))
     return with_metrics(out.join(F.broadcast(totals(rows))), min_support)
+
+
+def occurrences(rows: DataFrame, pool: list[Condition], sets: list[list[int]], keys: list[str]) -> DataFrame:
+    """(keys..., ids) for every row and every one of the sets (ascending numbers in pool) that it meets as a whole.
+
+    Sets are found from the conditions that a row meets, and looked up in the (bounded) list,
+    so the number of expressions is that of the pool, not of the sets.
+    """
+    used = sorted({i for ids in sets for i in ids})
+    hits = F.filter(F.array(*[F.when(pool[i].to_column(rows.schema), F.lit(i)) for i in used]), lambda x: x.isNotNull())
+    one = rows.select(*keys, hits.alias("hits")).where(F.size("hits") > 1)
+    spark = rows.sparkSession
+    firsts = sorted({(ids[0], ids[1]) for ids in sets})
+    heads = F.broadcast(spark.createDataFrame(firsts, "a int, b int"))
+    pairs = one.select(*keys, "hits", F.explode("hits").alias("a")).select(*keys, "hits", "a", F.explode(F.filter("hits", lambda x: x > F.col("a"))).alias("b")).join(heads, ["a", "b"], "left_semi")
+    listed = F.broadcast(spark.createDataFrame([(ids,) for ids in sets], "ids array<int>"))
+    two = pairs.select(*keys, F.array("a", "b").alias("ids"))
+    three = pairs.select(*keys, "a", "b", F.explode(F.filter("hits", lambda x: x > F.col("b"))).alias("c")).select(*keys, F.array("a", "b", "c").alias("ids"))
+    return two.union(three).join(listed, "ids", "left_semi")

@@ -64,6 +64,11 @@ def matching(samples: DataFrame, conditions: list[Condition], pattern: str) -> D
     return _pair_sum(samples.select("sample_id", _unit(pattern), F.explode(hits).alias("cond")), ["cond"], pattern)
 
 
+def of_sets(occurring: DataFrame, pattern: str) -> DataFrame:
+    """(ids, pairs) of rows (sample_id, role or row_id, ids) that meet sets of conditions."""
+    return _pair_sum(occurring, ["ids"], pattern)
+
+
 def pairwise(samples: DataFrame, columns: list[str], pattern: str) -> DataFrame:
     """(column, op, pairs) for = and != of each column."""
     values = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])

@@ -16,7 +16,7 @@ from ..functions.conditions import Condition, Conjunction, PairWise
 from ..functions.scoring import VIOLATING, purity_value
 from ..operators import candidates as G
 from ..operators import pairs as P
-from ..operators.conjunctions import combinations
+from ..operators.conjunctions import combinations, occurrences
 from ..operators.ranking import ranked
 from ..operators.splits import best_splits
 
@@ -59,6 +59,18 @@ class Evaluator:
             return {r[0]: r[1] for r in P.whole_groups(self.vio, conditions).collect()}
         return {r[0]: r[1] for r in P.matching(self.vio, conditions, self.pattern).collect()}
 
+    def set_penalties(self, pool: list[Condition], sets: list[list[int]]) -> dict[tuple, int]:
+        """Matching pairs (or whole groups) of sets of conditions of the pool."""
+        if not sets:
+            return {}
+        if self.pattern == WHOLE:
+            per_sample = occurrences(self.vio, pool, sets, ["sample_id"]).groupBy("sample_id", "ids").agg(F.count(F.lit(1)).alias("k"))
+            sizes = self.vio.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
+            whole = per_sample.join(sizes, "sample_id").where("k = n").groupBy("ids").agg(F.count(F.lit(1)).alias("matched"))
+            return {tuple(r[0]): r[1] for r in whole.collect()}
+        unit = "row_id" if self.pattern == "all_combinations" else "role"
+        return {tuple(r[0]): r[1] for r in P.of_sets(occurrences(self.vio, pool, sets, ["sample_id", unit]), self.pattern).collect()}
+
     def rows(self, conditions: list[Condition]) -> list[dict]:
         """Row-level conditions."""
         if not conditions:
@@ -116,10 +128,14 @@ def suggest(samples: DataFrame, categorical: list[str], numerical: list[str], pa
         if len({next(iter(c.columns())) for c in pool}) < 2:
             continue
         # confidence needs satisfying rows only; a set below the support scores 0 whatever its penalty
-        rows = e.sat
-        listed = [r["ids"] for r in combinations(rows, pool, min_support).where(F.col("sat_matches") >= min_support).select("ids").orderBy("ids").collect()]
-        sets = [c for ids in listed if (c := Conjunction(frozenset(pool[i] for i in ids))) not in done]
-        done.update(sets)
-        for a in range(0, len(sets), 2000):
-            out += [r for r in e.rows(sets[a : a + 2000]) if r["score"] >= OUT and r["score"] > OUT]
+        found = combinations(e.sat, pool, min_support).where(F.col("sat_matches") >= min_support).select("ids", "sat_matches").collect()
+        sat = {tuple(r["ids"]): r["sat_matches"] for r in found}
+        sat = {ids: n for ids, n in sat.items() if Conjunction(frozenset(pool[i] for i in ids)) not in done}
+        vio = e.set_penalties(pool, [list(ids) for ids in sorted(sat)])
+        for ids, n in sorted(sat.items()):
+            condition = Conjunction(frozenset(pool[i] for i in ids))
+            done.add(condition)
+            r = e._result(condition, n, vio.get(ids, 0), e.n_sat)
+            if r["score"] >= OUT and r["score"] > OUT:
+                out.append(r)
     return ranked(out)
