@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,7 +102,14 @@ def suggest(samples: DataFrame, categorical: list[str], numerical: list[str], pa
     """Ranked conditions; identifiers get pairwise conditions only."""
     keys = ["sample_id", "role", "row_id", VIOLATING]
     used = [c for c in dict.fromkeys([*categorical, *numerical, *identifiers]) if c in samples.columns]
-    samples = samples.select(*keys, *used)
+    samples = samples.select(*keys, *used).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _suggest(samples, used, categorical, numerical, pattern, domains, special, identifiers, groups, min_support)
+    finally:
+        samples.unpersist()
+
+
+def _suggest(samples: DataFrame, used: list[str], categorical: list[str], numerical: list[str], pattern: str, domains, special, identifiers, groups, min_support: int) -> list[dict]:
     e = Evaluator(samples, pattern, min_support)
     if not e.n_sat:
         return []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +30,18 @@ def _result(condition, sat: int, vio: int, n_sat: int, n_vio: int, min_support:
 
 
 def suggest(rows: DataFrame, categorical: list[str], numerical: list[str], domains: dict[str, Iterable] | None = None, special: dict[str, Iterable] | None = None, groups: list[list[str]] | None = None, min_support: int = MIN_SUPPORT, conjunctions: bool = True) -> list[dict]:
-    """Ranked conditions that tell satisfying from violating rows; [] without rows of both kinds."""
-    rows = rows.select(VIOLATING, *[F.col(f"`{c}`") for c in dict.fromkeys([*categorical, *numerical]) if c in rows.columns])
+    """Ranked conditions that tell satisfying from violating rows; [] without rows of both kinds.
+
+    The needed columns are kept (in memory, else on disk) while the stages read them; a lost part is made again.
+    """
+    rows = rows.select(VIOLATING, *[F.col(f"`{c}`") for c in dict.fromkeys([*categorical, *numerical]) if c in rows.columns]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _suggest(rows, categorical, numerical, domains, special, groups, min_support, conjunctions)
+    finally:
+        rows.unpersist()
+
+
+def _suggest(rows: DataFrame, categorical: list[str], numerical: list[str], domains, special, groups, min_support: int, conjunctions: bool) -> list[dict]:
     categorical = [c for c in categorical if c in rows.columns]
     numerical = [c for c in numerical if c in rows.columns]
     n = totals(rows).first()
