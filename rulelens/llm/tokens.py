@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words and parts of words that a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 1_500_000
 _PARTS = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 # white space other than single spaces and newlines between words
 _ODD = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
