@@ -39,6 +39,8 @@ BLOCK_IDS = 1 << 20
 LANES, LEAST = 4096, 64
 #: Steps between two refreshes of the order-0 table, and how much an id counts in it.
 REFRESH, COUNT = 8, 24
+#: The mixer adapts after each of the first EAGER steps of a block, then after every LAZY-th.
+EAGER, LAZY = 32, 4
 _ORDER2 = 18
 _LOW = np.uint64((1 << 48) - 1)
 _W16, _W32 = np.uint64(16), np.uint64(32)
@@ -52,6 +54,9 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 _STRETCH, _SQUASH = _tables()
+#: Confidence after a hit and after a miss, in place above the id.
+_UP = (np.minimum(np.arange(16) + 1, 15) << 16).astype(np.int32)
+_DOWN = (np.arange(16) >> 1 << 16).astype(np.int32)
 
 
 class _Encoder:
@@ -146,29 +151,33 @@ class _Decoder:
 
 
 class _Mixer:
-    """Chance of a hit from the adaptive chances of three contexts."""
-
-    def __init__(self, sizes: tuple[int, int, int]):
-        self.chance = [np.full(n, 32768, np.int64) for n in sizes]
-        self.weight = np.array([90, 90, 40], np.int64)
-
-    def predict(self, contexts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-        self.contexts = contexts
-        self.inputs = [_STRETCH[p >> 4][c] for p, c in zip(self.chance, contexts, strict=True)]
-        total = sum(int(w) * s for w, s in zip(self.weight, self.inputs, strict=True)) >> 7
-        self.mixed = _SQUASH[np.clip(total, -2047, 2047) + 2047]
+    """Chance of a hit from the adaptive chances of two contexts and the chance in all contexts."""
+
+    def __init__(self, sizes: tuple[int, int]):
+        self.chance = [np.full(n, 32768, np.int64) for n in (*sizes, 1)]
+        self.weight = [90, 90, 40]
+
+    def predict(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        a, b, c = (_STRETCH[p >> 4] for p in self.chance)
+        # weights meet the small tables, rows only the sum
+        total = ((a * self.weight[0])[first] + (b * self.weight[1])[second] + int(c[0]) * self.weight[2]) >> 7
+        self.contexts = first, second
+        self.mixed = _SQUASH[np.minimum(np.maximum(total, -2047), 2047) + 2047]
         return self.mixed
 
     def update(self, bits: np.ndarray) -> None:
-        aim = bits.astype(np.int64) << 16
-        error = aim - self.mixed
-        n = max(1, len(bits))
-        self.weight = np.clip(self.weight + np.array([int((s * error).sum()) // n for s in self.inputs]) // 65536, 0, 400)
-        for p, c in zip(self.chance, self.contexts, strict=True):
+        n, hits = max(1, len(bits)), int(np.count_nonzero(bits))
+        error = (bits.astype(np.int64) << 16) - self.mixed
+        for k, c in enumerate(self.contexts):
+            p = self.chance[k]
             count = np.bincount(c, minlength=len(p))
-            got = np.bincount(c, bits, len(p)).astype(np.int64) << 16
-            p += (got - count * p) // (count + 24)
+            off = np.bincount(c, error, len(p)).astype(np.int64)
+            self.weight[k] = min(400, max(0, self.weight[k] + int((_STRETCH[p >> 4] * off).sum()) // n // 65536))
+            p += ((np.bincount(c[bits], minlength=len(p)) << 16) - count * p) // (count + 24)
             np.clip(p, 64, 65536 - 64, out=p)
+        p = self.chance[2]
+        p += ((hits << 16) - n * p) // (n + 24)
+        np.clip(p, 64, 65536 - 64, out=p)
 
 
 def _cumulative(counts: np.ndarray) -> np.ndarray:
@@ -186,9 +195,9 @@ def _code(coder, n: int, lanes: int, steps: int, ids: np.ndarray | None) -> np.n
         full[:n] = ids
         grid = np.ascontiguousarray(full.reshape(lanes, steps).T)
     rest = n - (lanes - 1) * steps
-    id1, sure1 = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-    id2, sure2 = np.zeros(1 << _ORDER2, np.int64), np.zeros(1 << _ORDER2, np.int64)
-    hit2, hit1 = _Mixer((16, 256, 1)), _Mixer((256, 16, 1))
+    # id, and above it how sure it is
+    order1, order2 = np.zeros(1 << 16, np.int32), np.zeros(1 << _ORDER2, np.int32)
+    hit2, hit1 = _Mixer((16, 256)), _Mixer((256, 16))
     high, low = np.ones((1, 256), np.int64), np.ones((256, 256), np.int64)
     cum_high, cum_low = _cumulative(high), _cumulative(low)
     seen: list[np.ndarray] = []
@@ -198,46 +207,49 @@ def _code(coder, n: int, lanes: int, steps: int, ids: np.ndarray | None) -> np.n
         active = lanes if t < rest else lanes - 1
         if not active:
             break
+        adapt = t < EAGER or t % LAZY == 0
         p1, p2 = before1[:active], before2[:active]
         slot = ((p2 * 40503 + p1) * 2654435761 >> 7) & ((1 << _ORDER2) - 1)
-        c1, s1, c2, s2 = id1[p1], sure1[p1], id2[slot], sure2[slot]
+        e1, e2 = order1[p1], order2[slot]
+        c1, s1, c2, s2 = e1 & 65535, e1 >> 16, e2 & 65535, e2 >> 16
         actual = grid[t, :active] if ids is not None else None
-        zero = np.zeros(active, np.int64)
+        both = (s1 << 4) + s2
         # is it what followed the last two ids?
-        chance = hit2.predict((s2, s1 * 16 + s2, zero))
+        chance = hit2.predict(s2, both)
         is2 = coder.bit(slice(0, active), chance, actual == c2 if ids is not None else None)
-        hit2.update(is2)
-        value = np.where(is2, c2, 0)
+        if adapt:
+            hit2.update(is2)
+        value = c2.astype(np.int64)
+        lit = np.nonzero(~is2)[0]
         # or what followed the last id, where that differs?
-        open_ = np.nonzero(~is2 & (c1 != c2))[0]
+        other = c1[lit] != c2[lit]
+        open_ = lit[other]
         if len(open_):
-            chance = hit1.predict((s1[open_] * 16 + s2[open_], s1[open_], zero[open_]))
+            chance = hit1.predict(both[open_], s1[open_])
             is1 = coder.bit(open_, chance, actual[open_] == c1[open_] if ids is not None else None)
-            hit1.update(is1)
+            if adapt:
+                hit1.update(is1)
             value[open_[is1]] = c1[open_[is1]]
-            missed = ~is2
-            missed[open_[is1]] = False
-        else:
-            missed = ~is2
-        lit = np.nonzero(missed)[0]
+            missed = np.ones(len(lit), bool)
+            missed[other] = ~is1
+            lit = lit[missed]
         if len(lit):
             a = coder.symbol(lit, cum_high, np.zeros(len(lit), np.int64), actual[lit] >> 8 if ids is not None else None)
             b = coder.symbol(lit, cum_low, a * 257, actual[lit] & 255 if ids is not None else None)
-            value[lit] = a << 8 | b
-            seen.append(value[lit])
+            literal = a << 8 | b
+            value[lit] = literal
+            seen.append(literal)
         grid[t, :active] = value
         # a context keeps its id while it is confirmed more often than missed
-        for ids_, sure, where, c, s in ((id1, sure1, p1, c1, s1), (id2, sure2, slot, c2, s2)):
-            same = value == c
-            keep = same | (s > 1)
-            ids_[where] = np.where(keep, c, value)
-            sure[where] = np.where(same, np.minimum(s + 1, 15), np.where(keep, s >> 1, 1))
+        new = value.astype(np.int32)
+        order1[p1] = np.where(new == c1, c1 + _UP[s1], np.where(s1 > 1, c1 + _DOWN[s1], new + 65536))
+        order2[slot] = np.where(new == c2, c2 + _UP[s2], np.where(s2 > 1, c2 + _DOWN[s2], new + 65536))
         before2[:active] = p1
         before1[:active] = value
         if (t + 1) % REFRESH == 0 and seen:
-            both = np.bincount(np.concatenate(seen), minlength=1 << 16).reshape(256, 256) * COUNT
-            low += both
-            high += both.sum(1)[None]
+            fresh = np.bincount(np.concatenate(seen), minlength=1 << 16).reshape(256, 256) * COUNT
+            low += fresh
+            high += fresh.sum(1)[None]
             cum_high, cum_low = _cumulative(high), _cumulative(low)
             seen = []
     return grid.T.ravel()[:n] if ids is None else grid
