@@ -13,7 +13,8 @@ offsets. Neighbouring strings with one anchor form a run; runs are a hundredth o
    LENGTH bytes are verified byte by byte.
 3. Anchors with very many different runs (a passage that a large share of documents has) are
    sorted in parts; suffixes without a partner in their part meet those of the others by
-   the hash of their LENGTH bytes, again as grouped counts.
+   hash, again as grouped counts: first blocks of BLOCK neighbouring suffixes by the hash
+   of the bytes that all of them hold, then the suffixes of blocks that are not alone.
 
 Grouped counts combine before they shuffle and joins are left to Spark's skew handling, so a
 passage, source or group of copies may hold a third of all rows. Runs and what is found about them are
@@ -40,6 +41,8 @@ LENGTH = 200
 GRAM = 40
 #: Different runs of one anchor that are sorted together.
 TOGETHER = 2048
+#: Offsets from the anchor that are one block.
+BLOCK = 16
 #: Bytes that are hashed at once.
 CHUNK = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -260,10 +263,17 @@ def spans(docs: DataFrame) -> DataFrame:
     looks = dealt.groupBy("id", "t1", "t2").agg(F.collect_list("look").alias("looks"))
     found = store(_inside(_fetched(docs, looks)), "inside", "zstd")
     _freed(docs)
-    again = found.where("not twice").groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
-    across = found.where("not twice").join(again, ["w1", "w2"], "left_semi")
-    names = ["t1", "t2", "s", "m"]
-    return whole.select(names).union(found.where("twice").select(names)).union(across.select(names))
+    return whole.select("t1", "t2", "s", "m").union(found.where("w1 IS NULL").select("t1", "t2", "s", "m")).union(_across(found.where("w1 IS NOT NULL")))
+
+
+def _across(lone: DataFrame) -> DataFrame:
+    """(t1, t2, s, m) of the strings that parts of an anchor have in common."""
+    met = lone.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
+    close = lone.join(met, ["w1", "w2"], "left_semi").select("t1", "t2", "s", "o", "w2", F.posexplode("hashes").alias("i", "w"))
+    # the anchor's offset within the block makes the place in the block, w2 the anchor and the block
+    single = close.select("t1", "t2", (F.col("s") + F.col("i")).alias("s"), (F.col("o") - F.col("i")).alias("o"), "w2", "w")
+    twice = single.groupBy("w", "w2", "o").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "w2", "o")
+    return single.join(twice, ["w", "w2", "o"], "left_semi").select("t1", "t2", "s", F.lit(1).alias("m"))
 
 
 def _fetched(docs: DataFrame, looks: DataFrame) -> DataFrame:
@@ -288,28 +298,39 @@ def _fetched(docs: DataFrame, looks: DataFrame) -> DataFrame:
 
 
 def _inside(fetched: DataFrame) -> DataFrame:
-    """(t1, t2, s, m, twice, w1, w2): repeated strings as runs, and the lone ones of anchors in several parts by hash."""
+    """Repeated strings as runs (t1, t2, s, m), and the lone ones of anchors in several parts as blocks.
+
+    A block has w1, the hash of the bytes that all its strings hold, w2, its anchor and place, the first
+    string's start and anchor's offset (s, o), and the strings' hashes.
+    """
     # an anchor's part has at most a few thousand runs, so it is whole in one task
     dealt = fetched.repartition("h", "part").sortWithinPartitions("h", "part")
-    names = ["t1", "t2", "s", "m", "twice", "w1", "w2"]
+    names = ["t1", "t2", "s", "m", "o", "w1", "w2", "hashes"]
 
     def solve(batch: pa.RecordBatch):
         col = lambda n: column(batch, n).to_numpy(zero_copy_only=False)
         h, parts, n, t1, t2, s, o, m = (col(x) for x in ("h", "parts", "n", "t1", "t2", "s", "o", "m"))
-        run, inside, twice, w = repeated(column(batch, "content").to_pylist(), m.astype(np.int64), o.astype(np.int64), h)
-        single = n[run] == 1
+        contents = column(batch, "content").to_pylist()
+        run, inside, twice, w = repeated(contents, m.astype(np.int64), o.astype(np.int64), h)
         # repeated strings next to each other are one row
-        hit = np.nonzero(twice & single)[0]
+        hit = np.nonzero(twice & (n[run] == 1))[0]
         if len(hit):
-            first = np.nonzero(np.r_[True, (hit[1:] != hit[:-1] + 1) | (run[hit[1:]] != run[hit[:-1]])])[0]
+            first = _pieces(hit, run[hit])
             r, k = run[hit[first]], np.diff(np.r_[first, len(hit)])
-            zero = np.zeros(len(r), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(t1[r]), pa.array(t2[r]), pa.array((s[r] + inside[hit[first]]).astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(np.ones(len(r), bool)), pa.array(zero), pa.array(zero)], names)
-        lone = np.nonzero((parts[run] > 1) & ~(twice & single))[0]
+            none = pa.nulls(len(r), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(t1[r]), pa.array(t2[r]), pa.array((s[r] + inside[hit[first]]).astype(np.int32)), pa.array(k.astype(np.int32)), pa.nulls(len(r), pa.int32()), none, none, pa.nulls(len(r), pa.list_(pa.int64()))], names)
+        lone = np.nonzero((parts[run] > 1) & ~(twice & (n[run] == 1)))[0]
         if len(lone):
-            r = run[lone]
-            second = _mix(h[r].view(np.uint64) + (o[r] - inside[lone]).astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(t1[r]), pa.array(t2[r]), pa.array((s[r] + inside[lone]).astype(np.int32)), pa.array(np.ones(len(r), np.int32)), pa.array(np.zeros(len(r), bool)), pa.array(w[lone].view(np.int64)), pa.array(second.view(np.int64))], names)
+            from_anchor = o[run[lone]] - inside[lone]
+            block = from_anchor // BLOCK
+            first = _pieces(lone, run[lone] * 1024 + block)
+            r, k, b = run[lone[first]], inside[lone[first]], block[first]
+            table = PrefixHash(np.frombuffer(b"".join(contents), np.uint8))
+            begin = np.cumsum([0, *map(len, contents)])[:-1]
+            core = _mix(table.of(begin[r] + o[r] - b * BLOCK, LENGTH - BLOCK + 1))
+            place = _mix(h[r].view(np.uint64) + b.astype(np.uint64))
+            hashes = pa.ListArray.from_arrays(pa.array(np.r_[first, len(lone)].astype(np.int32)), pa.array(w[lone].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(t1[r]), pa.array(t2[r]), pa.array((s[r] + k).astype(np.int32)), pa.nulls(len(r), pa.int32()), pa.array(from_anchor[first].astype(np.int32)), pa.array(core.view(np.int64)), pa.array(place.view(np.int64)), hashes], names)
 
     def run(batches):
         held = None
@@ -325,7 +346,12 @@ def _inside(fetched: DataFrame) -> DataFrame:
         if held is not None and held.num_rows:
             yield from solve(held)
 
-    return map_arrow(dealt, run, "t1 long, t2 long, s int, m int, twice boolean, w1 long, w2 long", 1024)
+    return map_arrow(dealt, run, "t1 long, t2 long, s int, m int, o int, w1 long, w2 long, hashes array<long>", 1024)
+
+
+def _pieces(places: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Where runs of neighbouring places of one group begin."""
+    return np.nonzero(np.r_[True, (places[1:] != places[:-1] + 1) | (group[1:] != group[:-1])])[0]
 
 
 def removed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
