@@ -12,8 +12,7 @@ offsets. Neighbouring strings with one anchor form a run; runs are a hundredth o
    suffixes by binary search over prefix hashes, in log2(LENGTH) steps; neighbours that share
    LENGTH bytes are verified byte by byte.
 3. Anchors with very many different runs (a passage that a large share of documents has) are
-   sorted in parts; suffixes without a partner in their part meet those of the others by
-   hash, again as grouped counts: first blocks of BLOCK neighbouring suffixes by the hash
+   sorted in parts; the parts' suffixes then meet by hash, again as grouped counts: first blocks of BLOCK neighbouring suffixes by the hash
    of the bytes that all of them hold, then the suffixes of blocks that are not alone.
 
 Grouped counts combine before they shuffle and joins are left to Spark's skew handling, so a
@@ -298,7 +297,7 @@ def _fetched(docs: DataFrame, looks: DataFrame) -> DataFrame:
 
 
 def _inside(fetched: DataFrame) -> DataFrame:
-    """Repeated strings as runs (t1, t2, s, m), and the lone ones of anchors in several parts as blocks.
+    """Repeated strings as runs (t1, t2, s, m), and all strings of anchors in several parts as blocks.
 
     A block has w1, the hash of the bytes that all its strings hold, w2, its anchor and place, the first
     string's start and anchor's offset (s, o), and the strings' hashes.
@@ -319,7 +318,8 @@ def _inside(fetched: DataFrame) -> DataFrame:
             r, k = run[hit[first]], np.diff(np.r_[first, len(hit)])
             none = pa.nulls(len(r), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(t1[r]), pa.array(t2[r]), pa.array((s[r] + inside[hit[first]]).astype(np.int32)), pa.array(k.astype(np.int32)), pa.nulls(len(r), pa.int32()), none, none, pa.nulls(len(r), pa.list_(pa.int64()))], names)
-        lone = np.nonzero((parts[run] > 1) & ~(twice & (n[run] == 1)))[0]
+        # all strings of a divided anchor, as even one that is repeated here may be the only partner of another part's
+        lone = np.nonzero(parts[run] > 1)[0]
         if len(lone):
             from_anchor = o[run[lone]] - inside[lone]
             block = from_anchor // BLOCK
