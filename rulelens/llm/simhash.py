@@ -211,7 +211,8 @@ def representatives(docs: DataFrame, shingle: int = 5, distance: int = 4, key: s
     """The rows of docs whose id is that of their component; of rows that repeat the id, one."""
     lows = components(docs, shingle, distance, key).where(F.col(key).eqNullSafe(F.col("component_id")))
     lows = store(lows.groupBy(F.col(key).alias("__low")).agg((F.count(F.lit(1)) > 1).alias("__again")), "representatives")
-    ids = lambda again: lows.where(F.col("__again") == again)
+    # the same join at every size: rows are dealt by id, whatever the list's size happens to be
+    ids = lambda again: lows.where(F.col("__again") == again).hint("merge")
     same = F.col(key).eqNullSafe(F.col("__low"))
     once = docs.join(ids(False), same, "left_semi")
     return once.unionByName(docs.join(ids(True), same, "left_semi").dropDuplicates([key]))
