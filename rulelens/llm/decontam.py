@@ -83,23 +83,12 @@ def index(docs: DataFrame, terms: dict[str, int], key: str = "doc_id") -> DataFr
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        number = held.value.get
         for batch in batches:
-            ids, spots, sizes = [], [], []
-            for d, t in enumerate(texts(batch)):
-                found = list(map(number, words(t)))
-                sizes.append(len(found))
-                here = np.array([-1 if x is None else x for x in found], np.int32)
-                at = np.nonzero(here >= 0)[0]
-                ids.append(here[at])
-                spots.append(at + (d << _WORD_BITS))
-            term = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            spot = np.concatenate(spots) if spots else np.zeros(0, np.int64)
-            order = np.argsort(term, kind="stable")
-            distinct, count = np.unique(term, return_counts=True)
+            block, sizes = _block(texts(batch), held.value)
+            distinct, count = block.term, np.diff(block.start)
             names = ["keys", "sizes", "term", "count", "spot"]
             one = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x, t))
-            yield pa.RecordBatch.from_arrays([one(column(batch, key), None), one(sizes, pa.int64()), one(distinct.astype(np.int32), pa.int32()), one(count, pa.int64()), one(spot[order].astype(np.int64), pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([one(column(batch, key), None), one(sizes, pa.int64()), one(distinct.astype(np.int32), pa.int32()), one(count, pa.int64()), one(block.spot.astype(np.int64), pa.int64())], names)
 
     return store(map_arrow(docs.select(key, "text"), run, f"keys array<{kind}>, sizes array<long>, term array<int>, count array<long>, spot array<long>", BLOCK_ROWS), "postings", "zstd")
 
@@ -271,7 +260,54 @@ def _passes(benchmark: DataFrame, window: int):
         yield Queries(part, window)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id") -> DataFrame:
-    """The rows of docs without an occurring window, all columns as they are."""
-    hit = contaminated(docs, benchmark, window, key).where("contaminated").select(F.col(key).alias("__hit")).distinct()
-    return docs.join(hit, F.col(key).eqNullSafe(F.col("__hit")), "left_anti")
+def _block(values: list, terms: dict[str, int]) -> tuple[Block, list[int]]:
+    """Postings of some texts in memory, and their numbers of words."""
+    number = terms.get
+    ids, spots, sizes = [], [], []
+    for d, t in enumerate(values):
+        here = np.array([-1 if x is None else x for x in map(number, words(t))], np.int32)
+        sizes.append(len(here))
+        at = np.nonzero(here >= 0)[0]
+        ids.append(here[at])
+        spots.append(at + (d << _WORD_BITS))
+    term = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+    spot = np.concatenate(spots) if spots else np.zeros(0, np.int64)
+    order = np.argsort(term, kind="stable")
+    distinct, count = np.unique(term, return_counts=True)
+    return Block(distinct, count, spot[order]), sizes
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs without an occurring window, all columns as they are.
+
+    Rows never leave their task: one map counts the terms, another indexes each block in memory,
+    intersects, and lets the rows without a match through.
+    """
+    sc = docs.sparkSession.sparkContext
+    for queries in _passes(benchmark, window):
+        if not queries.windows:
+            continue
+        terms = sc.broadcast(queries.terms)
+
+        def count(batches, terms=terms):
+            total: np.ndarray = np.zeros(len(terms.value), np.int64)
+            for batch in batches:
+                block, _ = _block(texts(batch), terms.value)
+                total[block.term] += np.diff(block.start)
+            seen = np.nonzero(total)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["term", "n"])
+
+        frequency = np.zeros(len(queries.terms), np.int64)
+        for t, n in map_arrow(docs.select("text"), count, "term int, n long", BLOCK_ROWS).groupBy("term").agg(F.sum("n")).collect():
+            frequency[t] = n
+        windows = sc.broadcast(queries.ordered(frequency))
+
+        def keep(batches, terms=terms, windows=windows):
+            for batch in batches:
+                _, spot = _block(texts(batch), terms.value)[0].matches(*windows.value)
+                free = np.ones(batch.num_rows, bool)
+                free[spot >> _WORD_BITS] = False
+                yield batch.filter(pa.array(free))
+
+        docs = map_arrow(docs, keep, docs.schema, BLOCK_ROWS)
+    return docs
