@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rulelens.llm import decontam, langid, packing, secrets, simhash
+from rulelens.llm import decontam, langid, neardup, packing, secrets
 from rulelens.llm.arrowio import read_table, shared_dir
 from rulelens.llm.queries import vocabulary
 
@@ -22,8 +22,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component over five-word shingles."""
-    return simhash.representatives(docs, shingle=5)
+    """One document of each component; links are five-word shingles at a Jaccard similarity of 0.8 or more."""
+    return neardup.representatives(docs, shingle=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
