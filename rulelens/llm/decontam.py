@@ -9,8 +9,9 @@ term's offset, are intersected with the shifted postings of the next rarer terms
 terms of the window agree: an exact phrase match. `proximity` relaxes the phrase to the
 rarest terms of an item within a span of words.
 
-A document lies in one block, so its hits are complete where they are found; no shuffle, and a
-source or a passage that a third of all documents share is dealt with the blocks.
+A document lies in one block, so a pass' hits are complete where they are found; no shuffle, and a
+source or a passage that a third of all documents share is dealt with the blocks. Several passes
+unite the words they hit by row.
 
 Null texts have no words. Items without words have no window; items of fewer words than a window
 are one window. Repeated rows give equal rows; duplicated item ids count once; an empty table on
@@ -20,6 +21,8 @@ either side gives rows without hits, or none; only the named columns are read.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -162,8 +165,19 @@ def _covered(spot: np.ndarray, size: np.ndarray) -> int:
     return int((b - np.maximum(a, np.r_[a[:1], ends[:-1]])).clip(0).sum())
 
 
-def phrase_matches(blocks: DataFrame, queries: Queries, key: str = "doc_id") -> DataFrame:
-    """(key, n_words, n_hit, items) of every document: items with occurring windows."""
+def _united(spot: np.ndarray, size: np.ndarray) -> tuple[list[int], list[int]]:
+    """(starts, ends) of the union of the spans."""
+    order = np.argsort(spot, kind="stable")
+    a, b = spot[order], np.maximum.accumulate((spot + size)[order])
+    new = np.r_[True, a[1:] > b[:-1]]
+    return a[new].tolist(), b[np.r_[new[1:], True]].tolist()
+
+
+def phrase_matches(blocks: DataFrame, queries: Queries, key: str = "doc_id", spans: bool = False) -> DataFrame:
+    """(key, n_words, n_hit, items) of every document: items with occurring windows.
+
+    With spans also starts and ends, the words that the windows cover.
+    """
     spark = blocks.sparkSession
     held = spark.sparkContext.broadcast((*queries.ordered(frequencies(blocks, len(queries.terms))), queries.owners))
     kind = blocks.schema["keys"].dataType.elementType.simpleString()
@@ -178,6 +192,7 @@ def phrase_matches(blocks: DataFrame, queries: Queries, key: str = "doc_id") ->
                 keys, counts = get("keys"), get("sizes").to_numpy()
                 n = len(counts)
                 hit, items = [0] * n, [[] for _ in range(n)]
+                starts, ends = [[] for _ in range(n)], [[] for _ in range(n)]
                 block = Block(get("term").to_numpy(), get("count").to_numpy(), get("spot").to_numpy())
                 window, spot = block.matches(terms, offsets, sizes) if len(terms) and len(block.spot) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
                 doc = spot >> _WORD_BITS
@@ -187,9 +202,15 @@ def phrase_matches(blocks: DataFrame, queries: Queries, key: str = "doc_id") ->
                     d = int(doc[a])
                     hit[d] = _covered(spot[a:b], sizes[window[a:b]])
                     items[d] = sorted({named.value[i] for w in np.unique(window[a:b]).tolist() for i in owners[w]})
-                yield pa.RecordBatch.from_arrays([keys, pa.array(counts), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.string()))], [key, "n_words", "n_hit", "items"])
+                    if spans:
+                        starts[d], ends[d] = _united(spot[a:b] - (d << _WORD_BITS), sizes[window[a:b]])
+                arrays, names_ = [keys, pa.array(counts), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.string()))], [key, "n_words", "n_hit", "items"]
+                if spans:
+                    arrays, names_ = [*arrays, pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))], [*names_, "starts", "ends"]
+                yield pa.RecordBatch.from_arrays(arrays, names_)
 
-    return map_arrow(blocks, run, f"`{key}` {kind}, n_words long, n_hit long, items array<string>", 1)
+    more = ", starts array<long>, ends array<long>" if spans else ""
+    return map_arrow(blocks, run, f"`{key}` {kind}, n_words long, n_hit long, items array<string>{more}", 1)
 
 
 def _runs(x: np.ndarray) -> tuple[list[int], list[int]]:
@@ -234,17 +255,45 @@ def proximity_matches(blocks: DataFrame, queries: Queries, terms: int = 4, span:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id") -> DataFrame:
     """key, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
-    found = None
-    for queries in _passes(benchmark, window):
-        part = phrase_matches(index(docs, queries.terms, key), queries, key)
-        if found is not None:
-            raise ValueError(f"a benchmark of more than {PASS_TERMS} terms: run `contaminated` on parts of it")
-        found = part
+    passes = _passes(benchmark, window)
+    queries, more = next(passes), next(passes, None)
+    if more is None:
+        found = phrase_matches(index(docs, queries.terms, key), queries, key)
+    else:
+        found = _merged(docs, chain([queries, more], passes), key)
     joined = F.array_join("items", ",")
     digest = F.sha2(joined.cast("binary"), 256)
     return found.select(key, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def _merged(docs: DataFrame, passes: Iterator[Queries], key: str) -> DataFrame:
+    """(key, n_words, n_hit, items) of every document over several passes.
+
+    Rows are numbered once, so that repeated ids stay rows of their own; a pass stores the rows
+    that it hits, and covered words and items are united by row.
+    """
+    rows = store(docs.select(key, "text").withColumn("__row", F.monotonically_increasing_id()), "numbered", "zstd")
+    sizes, hits = None, None
+    for queries in passes:
+        part = phrase_matches(index(rows, queries.terms, "__row"), queries, "__row", spans=True)
+        if sizes is None:
+            part = store(part, "matches", "zstd")
+            sizes = part.select("__row", "n_words")
+            part = part.where("n_hit > 0").select("__row", "items", "starts", "ends")
+        else:
+            part = store(part.where("n_hit > 0").select("__row", "items", "starts", "ends"), "matches", "zstd")
+        hits = part if hits is None else hits.unionByName(part)
+    united = lambda c: F.flatten(F.collect_list(c))
+    spans = F.arrays_zip("starts", "ends")
+    hits = hits.groupBy("__row").agg(F.array_sort(F.array_distinct(united("items"))).alias("items"), F.array_sort(united(spans)).alias("spans"))
+    # spans in order: each adds the words beyond the furthest end so far
+    state = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
+    step = lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0).cast("long"), x["ends"] - F.greatest(x["starts"], s["end"]))).alias("n"), F.greatest(s["end"], x["ends"]).alias("end"))
+    hits = hits.select("__row", "items", F.aggregate("spans", state, step, lambda s: s["n"]).alias("n_hit"))
+    none = F.array().cast("array<string>")
+    return rows.select(key, "__row").join(sizes, "__row").join(hits, "__row", "left").select(key, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"))
+
+
 def _passes(benchmark: DataFrame, window: int):
     """Queries of the benchmark's distinct items, in parts of at most PASS_TERMS words; at least one."""
     part, held, given = [], 0, False

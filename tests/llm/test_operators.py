@@ -198,6 +198,20 @@ def test_decontamination(spark, docs, empty, rows):
         assert {r[0] for r in decontam.proximity_matches(decontam.index(two, queries.terms), queries, terms=4, span=8).collect()} == found
 
 
+@pytest.mark.parametrize("most", [1, 30])
+def test_decontamination_in_several_passes(spark, docs, rows, most, monkeypatch):
+    base = rows[3][1]
+    items = [(1, base[40:200]), (2, "ÜNÏCODE 日本語"), (3, base[120:300]), (4, None), (10, base[40:200].upper()), (11, "password"), (11, base[150:260]), (12, base[10:90])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    part = docs.where("doc_id IS NULL OR doc_id <> 10")
+    want = sorted(str((d, plain_hits(t, items))) for d, t in rows if d != 10)
+    assert sorted(str((r[0], tuple(r[1:]))) for r in decontam.contaminated(part, bench).collect()) == want
+    monkeypatch.setattr(decontam, "PASS_TERMS", most)
+    assert len(list(decontam._passes(bench, 10))) > 2
+    assert sorted(str((r[0], tuple(r[1:]))) for r in decontam.contaminated(part, bench).collect()) == want
+    assert decontam.contaminated(docs.limit(0), bench).count() == 0
+
+
 def plain_segments(scores: list[float]) -> list[tuple[int, int]]:
     best = max(((sum(scores[i : j + 1]), -(j - i), -i, i, j) for i in range(len(scores)) for j in range(i, len(scores))), default=(0,))
     if best[0] <= 1e-12:
