@@ -43,10 +43,10 @@ SECRET = 0.5
 KEYS = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth[_-]?key|client[_-]?secret|private[_-]?key|credentials?|bearer"
 CANDIDATE = re.compile(
     rf"(?P<block>-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----.*?(?:-----END [A-Z ]{{0,30}}PRIVATE KEY-----|\Z))"
-    rf"|(?<![A-Za-z0-9])(?P<name>(?:[A-Za-z0-9]{{1,20}}[_-]){{0,3}}(?:{KEYS}))[\"']?\s{{0,3}}(?:=>|:=|[=:])\s{{0,3}}[\"']?(?P<value>[^\s\"'<>,;(){{}}]{{6,200}})"
+    rf"|(?<![A-Za-z0-9])(?P<name>(?:[A-Za-z0-9]{{1,20}}[_-]){{0,3}}(?:{KEYS}))[\"']?\s{{0,3}}(?:=>|:=|[=:])\s{{0,3}}[\"']?(?P<value>[^\s\"'<>,;(){{}}]{{6,}}+)"
     rf"|(?<![A-Za-z0-9])(?P<provider>(?:AKIA|ASIA)[A-Z0-9]{{16}}|gh[pousr]_[A-Za-z0-9]{{36,}}|xox[abprs]-[A-Za-z0-9-]{{10,}}|sk-[A-Za-z0-9_-]{{20,}}|AIza[A-Za-z0-9_-]{{35}}|glpat-[A-Za-z0-9_-]{{20}}|eyJ[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{8,}})(?![A-Za-z0-9])"
-    rf"|(?<=://)[^\s/:@]{{1,60}}:(?P<login>[^\s/:@]{{4,100}})(?=@)"
-    rf"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{{0,60}}[0-9])(?P<mixed>[A-Za-z0-9+/_-]{{20,200}}={{0,2}})(?![A-Za-z0-9+/_=-])",
+    rf"|(?<=://)[^\s/:@]++:(?P<login>[^\s/:@]{{4,}}+)(?=@)"
+    rf"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?P<mixed>[A-Za-z0-9+/_-]{{20,}}+={{0,2}}+)(?![A-Za-z0-9+/_=-])",
     re.S | re.I,
 )
 KINDS = ("block", "value", "provider", "login", "mixed")
@@ -76,7 +76,7 @@ def _class(c: str) -> int:
 
 def features(text: str, start: int, end: int, kind: str) -> list[float]:
     """The FEATURES of one candidate in its text."""
-    value = text[start:end][:400]
+    value = text[start:end]
     n = max(1, len(value))
     classes = [_class(c) for c in value]
     counts = Counter(classes)

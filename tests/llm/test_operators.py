@@ -347,6 +347,18 @@ def test_secrets(docs, empty):
     assert secrets.fit([]).predict(np.zeros((2, len(secrets.FEATURES)))).tolist() == [0, 0]
 
 
+def test_secrets_of_any_length_are_masked_whole(spark):
+    r = random.Random(8)
+    draw = lambda k: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(k))
+    cases = [("aws_session_token=", draw(356), ""), ("api_key=", draw(5000), ""), ("key ", draw(900), ""), ("postgres://bob:", draw(150), "@host.internal/db")]
+    texts_ = [f"the text {a}{v}{b} more words" for a, v, b in cases]
+    got = secrets.redact(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [x["text"] for x in got] == [f"the text {a}[SECRET]{b} more words" for a, _, b in cases]
+    late = "x" * 70 + "1" + draw(30)
+    assert [late[a:b] for a, b, _ in secrets.find(late)] == [late]
+    assert secrets.features("token=" + "ab1" * 500, 6, 1506, "value")[0] == 1500
+
+
 @pytest.mark.parametrize("n", [1, 7, 400, 30_000])
 def test_packing_plan(n):
     r = random.Random(n)
