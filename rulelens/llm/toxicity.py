@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,8 @@ LEAST_COUNT = 3
 #: Lengths of the stems, and how often a text counts a unit at most (else a text that repeats one word sets its weight).
 STEMS = (4, 5, 6, 7)
 BURST = 3
+#: Scoring counts a word at most BURST times within this many words.
+NEARBY = 100
 #: What a background token costs, and the largest weight of a token.
 DRIFT = 0.05
 MOST = 8.0
@@ -126,12 +128,13 @@ class Model:
     def segments(self, tokens: list[str]) -> list[tuple[int, int, float]]:
         hits = [(i, w) for i, w in enumerate(map(self._met.__getitem__, tokens)) if w is not None]
         if len(hits) > BURST:
-            # a word that a text repeats more often is background from then on, as in the fit
-            met: Counter = Counter()
+            # a word that is repeated more often nearby is background there, wherever in the text that is
+            met: dict[str, deque[int]] = {}
             kept = []
             for i, w in hits:
-                met[tokens[i]] += 1
-                if met[tokens[i]] <= BURST:
+                last = met.setdefault(tokens[i], deque(maxlen=BURST))
+                if len(last) < BURST or i - last[0] >= NEARBY:
+                    last.append(i)
                     kept.append((i, w))
             hits = kept
         return maximal_segments([i for i, _ in hits], [w for _, w in hits]) if hits else []

@@ -249,6 +249,18 @@ def test_toxicity(spark, docs, empty):
     assert {x[1] for x in toxicity.score(docs, toxicity.fit(docs, labels.limit(0)), ["doc_id"]).collect()} == {0.0}
 
 
+def test_toxic_passages_after_scattered_words():
+    bad = "idiot moron clown scum".split()
+    model = toxicity.Model({w: (4.0, 9.0) for w in bad}, k=0.1, rate=1.0)
+    early = [w if k == 0 else "the" for _ in range(3) for w in bad for k in range(300)]
+    passage = [*bad, "you", *bad]
+    tokens = [*early, *["the"] * 2000, *passage, *["of"] * 2000, *passage, "of"]
+    at = [len(early) + 2000, len(early) + 2000 + len(passage) + 2000]
+    found = [(a, b) for a, b, _, e in model.evidence(tokens)[1] if e <= toxicity.SIGNIFICANT]
+    assert found == [(a, a + len(passage) - 1) for a in at]
+    assert len(model.segments(["idiot"] * 50)) == 1 and model.segments(["idiot"] * 50)[0][2] == 12.0
+
+
 def plain_fingerprint(text: str | None, k: int) -> int:
     w = (text or "").encode().lower().split()
     h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + k]), 42) for i in range(max(1, len(w) - k + 1))] if w else []
