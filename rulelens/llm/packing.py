@@ -7,23 +7,26 @@ column generation (dual prices from the basis, a knapsack dynamic program prices
 patterns), rounds pattern counts, and packs the few left over best-fit decreasing. Pieces are ranked
 within their length, and the rank decides pattern, sequence and offset.
 
-The histogram is counted before it is sent; ranks are counted in SALTS parts per length, so a
-length that a third of all documents have is not one task's burden. Pieces are written to
-the shared folder once, so nothing is encoded twice.
+The histogram is counted before it is sent. A piece of the whole sequence length is a sequence of its own,
+named by the task that wrote it and its place there; only rests are ranked, in as many parts per length as
+hold PART_ROWS of them, so a length that a third of all documents have is not one task's burden.
+Pieces are written to the shared folder once, so nothing is encoded twice.
 
-Null and empty texts have the end id alone. Ties in rank differ only among equal rows. Repeated
-rows are packed as often as they occur; an empty table gives an empty result; only the named
-columns are read.
+Null and empty texts have the end id alone. Very long texts are cut like others and encoded in bounded
+parts. Ties in rank differ only among equal rows. Repeated rows are packed as often as they occur; an empty
+table gives an empty result; only the named columns are read, so clashing names do not matter.
 """
 
 from __future__ import annotations
 
+import logging
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,22 +35,26 @@ from .tokens import encoder
 
 LENGTH = 1024
 END = 0
-#: Parts in which the pieces of one length are ranked.
-SALTS = 128
-#: Column generation ends when no pattern's price exceeds its cost by more than this share (or the bound is within half a sequence), or after so many columns.
+#: Rests of one length that are ranked in one part, about.
+PART_ROWS = 1_000_000
+#: Column generation ends when no pattern's price exceeds its cost by more than this share (or the bound is
+#: within half a sequence). A plan that needs more columns than this per length keeps the gap that it has reached;
+#: the gap is logged.
 GAP = 1e-4
-COLUMNS = 1000
+COLUMNS = 50
+_LOG = logging.getLogger(__name__)
 
 
 def piece_table(docs: DataFrame, vocabulary: str, spaced: bool, length: int = LENGTH, end: int = END, key: str = "doc_id") -> DataFrame:
-    """(key, start, length, ids_crc32, doc_tokens) of the pieces of every row."""
+    """(key, start, length, ids_crc32, doc_tokens, place) of the pieces of every row; place: task and number there."""
 
     def run(batches):
         enc = encoder(vocabulary, spaced)
+        place = TaskContext.get().partitionId() << 40
         for batch in batches:
             who, start, size, crc, total = [], [], [], [], []
-            for i, t in enumerate(texts(batch)):
-                ids = np.append(enc.ids(t).astype("<u4"), np.uint32(end)).astype("<u4")
+            for i, found in enumerate(enc.batch(texts(batch))):
+                ids = np.append(found.astype("<u4"), np.uint32(end)).astype("<u4")
                 for a in range(0, len(ids), length):
                     part = ids[a : a + length]
                     who.append(i)
@@ -55,10 +62,11 @@ def piece_table(docs: DataFrame, vocabulary: str, spaced: bool, length: int = LE
                     size.append(len(part))
                     crc.append(zlib.crc32(part))
                     total.append(len(ids))
-            longs = [pa.array(x, pa.int64()) for x in (start, size, crc, total)]
-            yield pa.RecordBatch.from_arrays([column(batch, key).take(pa.array(who, pa.int64())), *longs], [key, "start", "length", "ids_crc32", "doc_tokens"])
+            longs = [pa.array(x, pa.int64()) for x in (start, size, crc, total, range(place, place + len(who)))]
+            place += len(who)
+            yield pa.RecordBatch.from_arrays([column(batch, key).take(pa.array(who, pa.int64())), *longs], [key, "start", "length", "ids_crc32", "doc_tokens", "place"])
 
-    return map_arrow(docs.select(key, "text"), run, f"`{key}` {docs.schema[key].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long")
+    return map_arrow(docs.select(key, "text"), run, f"`{key}` {docs.schema[key].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, place long")
 
 
 def _first_fit_patterns(sizes: list[int], need: np.ndarray, length: int) -> tuple[list[dict[int, int]], np.ndarray]:
@@ -120,7 +128,7 @@ def linear_program(sizes: list[int], need: np.ndarray, length: int = LENGTH) ->
     matrix = np.stack([column_of(p) for p in basis], 1)
     inverse = np.linalg.inv(matrix)
     least = float((size * need).sum()) / length
-    for step in range(COLUMNS):
+    for step in range(COLUMNS * m):
         if x.sum() <= max(least * (1 + GAP), least + 0.5):
             break
         value, pattern = best_pattern(size, np.maximum(inverse.sum(0), 0), length)
@@ -150,6 +158,7 @@ def linear_program(sizes: list[int], need: np.ndarray, length: int = LENGTH) ->
             row = inverse[k] / d[k]
             inverse -= np.outer(d, row)
             inverse[k] = row
+    _LOG.info("%d lengths, %d columns: %.2f sequences, bound %.2f", m, step, x.sum(), least)
     return basis, x
 
 
@@ -217,31 +226,42 @@ def pack(docs: DataFrame, vocabulary: str, spaced: bool = True, length: int = LE
     if length >= 1 << 20:
         raise ValueError("sequences of 2^20 ids and more are not planned on one machine")
     pieces = store(piece_table(docs, vocabulary, spaced, length, end, key), "pieces")
-    salt = F.pmod(F.xxhash64(F.col(key).cast("string"), "start"), F.lit(SALTS))
-    pieces = pieces.withColumn("salt", salt)
-    counted = sorted(map(tuple, pieces.groupBy("length", "salt").count().collect()))
-    histogram: Counter = Counter()
+    sizes = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
+    full = sizes.pop(length, 0)
+    rests = pieces.where(F.col("length") < length)
+    # parts of each length, by its count: at most length numbers
+    parts = {s: -(-n // PART_ROWS) for s, n in sizes.items()}
+    number = F.create_map(*[F.lit(x) for s, n in parts.items() for x in (s, n)])[F.col("length")] if parts else F.lit(1)
+    rests = rests.withColumn("salt", F.pmod(F.xxhash64(F.col(key).cast("string"), "start"), number).cast("long"))
     before: dict[tuple[int, int], int] = {}
-    for s, k, n in counted:
-        before[s, k] = histogram[s]
-        histogram[s] += n
-    table = slots(plan(histogram, length))
-    firsts = np.array([[s * SALTS + k, n] for (s, k), n in sorted(before.items())], np.int64).reshape(-1, 2)
+    seen: Counter = Counter()
+    for s, k, n in sorted(map(tuple, rests.groupBy("length", "salt").count().collect())):
+        before[s, k] = seen[s]
+        seen[s] += n
+    patterns = plan(sizes, length)
+    table = slots(patterns)
+    rests_sequences = sum(n for n, _ in patterns)
+    firsts = np.array([[(s << 40) + k, n] for (s, k), n in sorted(before.items())], np.int64).reshape(-1, 2)
     held = docs.sparkSession.sparkContext.broadcast((table, firsts))
     order = Window.partitionBy("length", "salt").orderBy(F.col(key).asc_nulls_first(), "start", "doc_tokens", "ids_crc32")
-    ranked = pieces.withColumn("rank", F.row_number().over(order).cast("long") - 1)
+    ranked = rests.withColumn("rank", F.row_number().over(order).cast("long") - 1)
+    names = [key, "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches):
         table, firsts = held.value
         at = (table[:, 0] << 44) + table[:, 1]
         for batch in batches:
             size = column(batch, "length").to_numpy()
-            rank = column(batch, "rank").to_numpy() + firsts[np.searchsorted(firsts[:, 0], size * SALTS + column(batch, "salt").to_numpy()), 1]
+            rank = column(batch, "rank").to_numpy() + firsts[np.searchsorted(firsts[:, 0], (size << 40) + column(batch, "salt").to_numpy()), 1]
             row = table[np.searchsorted(at, (size << 44) + rank, "right") - 1]
             inside = rank - row[:, 1]
             sequence = row[:, 2] + inside // row[:, 3]
             offset = row[:, 4] + inside % row[:, 3] * size
-            kept = [column(batch, n) for n in (key, "start", "length", "ids_crc32", "doc_tokens")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(column(batch, n) for n in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    return map_arrow(ranked, run, f"`{key}` {docs.schema[key].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long", 16_384)
+    planned = map_arrow(ranked, run, f"`{key}` {docs.schema[key].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long", 16_384)
+    if not full:
+        return planned
+    # sequences of one piece come after the planned ones
+    alone = pieces.where(F.col("length") == length).select(*names, (F.col("place") + rests_sequences).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return alone.unionByName(planned)

@@ -310,8 +310,8 @@ def write(docs: DataFrame, vocabulary: str, spaced: bool, end: int = END, key: s
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([held], pa.int64()), pa.array([data], pa.binary())], ["part", "first", "ids", "block"])
 
         for batch in batches:
-            for k, t in zip(column(batch, key).to_pylist(), texts(batch), strict=True):
-                ids = np.append(enc.ids(t), np.uint16(end))
+            for k, found in zip(column(batch, key).to_pylist(), enc.batch(texts(batch)), strict=True):
+                ids = np.append(found, np.uint16(end))
                 if pieces and held + len(ids) > BLOCK_IDS:
                     yield block()
                     keys, pieces, held, first = [], [], 0, first + held

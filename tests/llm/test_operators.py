@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 from pyspark.sql import functions as F
 
 from rulelens.llm import decontam, extract, langid, matroska, packing, secrets, simhash, suffixdup, tokenfile, toxicity
@@ -82,21 +83,47 @@ def test_language(spark, sf_dir, docs, empty):
     assert kept.columns == docs.columns and kept.where("doc_id = 3").count() == 1 and kept.where("doc_id = 0").count() == 0
 
 
-def test_counts_of_grams_are_per_row():
-    a, _ = langid.gram_counts(["abc", None, "ab c"])
-    b, _ = langid.gram_counts(["ab c"])
-    assert (a[2] == b[0]).all() and a[1].sum() == 0
+def test_counts_of_grams_are_per_row(monkeypatch):
+    r = random.Random(6)
+    long = "".join(r.choice("abcé .") for _ in range(1000))
+    values = ["abc", None, "ab c", long, "x", long[:30]]
 
+    def plain(text):
+        t, out = [0, 0, *(ord(c) if c.isalpha() else 0 for c in (text or "").lower()), 0, 0], Counter()
+        for i in range(2, len(t)):
+            for g in ([t[i - 1 : i + 1]] if t[i - 1] or t[i] else []) + ([t[i - 2 : i + 1]] if t[i - 1] else []):
+                out[tuple(g)] += 1
+        return sorted(out.values())
 
-def test_encoder_equals_the_library():
-    from tokenizers import Tokenizer
+    for chunk in (langid.CHUNK, 64, 1):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        row, bucket, n = langid.gram_counts(values)
+        assert [sorted(n[row == i].tolist()) for i in range(len(values))] == [plain(t) for t in values]
+        assert (row[1:] >= row[:-1]).all()
+
+
+def test_foreign_texts_are_rejected_at_any_length(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit(docs)
+    r = random.Random(3)
 
+    def foreign(alphabet, n):
+        syllables = ["".join(r.choice(alphabet) for _ in range(r.randrange(1, 4))) for _ in range(80)]
+        return " ".join("".join(r.choice(syllables) for _ in range(r.randrange(1, 4))) for _ in range(n))
+
+    alphabets = ["абвгдежзиклмнопрстуфхцчшщыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "的一是不了人我在有他这为之大来以个中上们到说国和地也子时道出", "ąćęłńóśźżáčďéěíňřšťúůýžabcdefghijklmnopqrstuvwxyz"]
+    for n in (30, 100, 500, 2000):
+        assert model.predict([foreign(a, n) for a in alphabets])[2].all()
+    kept = langid.accepted(docs, model).count()
+    assert kept >= 0.99 * docs.where("text RLIKE '[a-zA-Z]'").count()
+
+
+def test_encoder_equals_the_library():
     r = random.Random(1)
     odd = ["", " a", "a ", "\n", "a\n\nb", "a  b", "a\tb", "It's we'll THEY'RE", "<|endoftext|> x<|startoftext|>", "ΑΣ ΟΔΟΣ.", "1a 12 b2b", "é. È, ñ¿", "áb a. ́b", "x\x85y"]
     odd += ["".join(r.choice("ab1' .,\n\té́ !Z-_") for _ in range(r.randrange(1, 12))) for _ in range(3000)]
     for name, spaced in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
         enc, plain = Encoder(vocabulary(name), spaced), Tokenizer.from_file(vocabulary(name))
-        plain.encode_special_tokens = True
         assert [x for x in [*odd, prose(1, 500)] if enc.ids(x).tolist() != plain.encode(x, add_special_tokens=False).ids] == []
 
 
@@ -114,11 +141,11 @@ def test_token_blocks_round_trip():
 
 
 def test_token_table(docs, empty, rows):
-    enc = Encoder(vocabulary("word_bpe_49k.json"), False)
+    enc = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
     got = tokenfile.read(tokenfile.write(docs, vocabulary("word_bpe_49k.json"), False)).collect()
     at, want = 0, []
     for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
-        ids = np.append(enc.ids(t), np.uint16(2)).astype("<u4")
+        ids = np.append(enc.encode(t or "", add_special_tokens=False).ids, 2).astype("<u4")
         want.append((d, at, len(ids), zlib.crc32(ids)))
         at += len(ids)
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
@@ -386,15 +413,17 @@ def test_packing_plan(n):
     assert sum(k for k, _ in plan) <= least * 1.01 + 3
 
 
-def test_packing(docs, empty, rows):
-    enc = Encoder(vocabulary("byte_bpe_50k.json"), True)
+@pytest.mark.parametrize("part_rows", [1_000_000, 1])
+def test_packing(docs, empty, rows, part_rows, monkeypatch):
+    monkeypatch.setattr(packing, "PART_ROWS", part_rows)
+    enc = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
     got = packing.pack(docs, vocabulary("byte_bpe_50k.json")).toPandas()
     for _, x in got.sort_values(["sequence_id", "offset"]).groupby("sequence_id"):
         ends = np.r_[0, np.cumsum(x.length)]
         assert (ends[:-1] == x.offset).all() and ends[-1] <= 1024
     want = []
     for d, t in rows:
-        ids = np.append(enc.ids(t), 0).astype("<u4")
+        ids = np.append(enc.encode(t or "", add_special_tokens=False).ids, 0).astype("<u4")
         want += [(-1 if d is None else d, a, len(ids[a : a + 1024]), zlib.crc32(ids[a : a + 1024]), len(ids)) for a in range(0, len(ids), 1024)]
     have = got.fillna({"doc_id": -1})[["doc_id", "start", "length", "ids_crc32", "doc_tokens"]].astype("int64").itertuples(index=False, name=None)
     assert sorted(have) == sorted(want)
