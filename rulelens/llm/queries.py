@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontam, extract, langid, matroska, packing, secrets, simhash, suffixdup, tokenfile, toxicity
-from .arrowio import id_text, read_table
+from .arrowio import id_text, read_table, store
 
 
 def vocabulary(name: str) -> str:
@@ -57,8 +57,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a Matroska file, parsed back."""
-    return matroska.media_digest(matroska.store_media(read_table(spark, sf_dir, "documents")))
+    """Every document as a Matroska file in the shared folder, read back and parsed."""
+    return matroska.media_digest(store(matroska.store_media(read_table(spark, sf_dir, "documents")), "media"))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

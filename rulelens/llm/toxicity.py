@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrowio import column, map_arrow, texts
+from .arrowio import column, forget, map_arrow, store, texts
 
 #: Bounds of what a fit collects, whatever the size of the tables.
 LABEL_ROWS = 10_000
@@ -221,11 +221,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label_r
     if not size:
         return Model({})
     spot = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity")), F.lit(1 << 30))
-    chosen = rows.where(spot <= int(min(1.0, label_rows / size) * (1 << 30))).limit(label_rows)
+    # the smallest hashes, ties by id: the same rows whatever the partitioning
+    chosen = rows.withColumn("__spot", spot).orderBy("__spot", "doc_id").limit(label_rows).drop("__spot")
     # at most label_rows pairs of numbers
     train = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     # exact copies would count their words again and again
-    train = train.groupBy(F.xxhash64("text").alias("__hash"), "__toxic").agg(F.first("text").alias("text"))
+    train = store(train.groupBy(F.xxhash64("text").alias("__hash"), "__toxic").agg(F.first("text").alias("text")), "labelled", "zstd")
     weights = token_weights(train)
     first = Model(weights)
 
@@ -240,6 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label_r
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.float64()))], ["y", "n", "s"])
 
     got = sorted(map(tuple, map_arrow(train, run, "y int, n long, s array<double>").collect()))
+    forget(train)
     y = np.array([r[0] for r in got], float)
     n = np.array([r[1] for r in got], float)
     if not y.sum() or y.all():
