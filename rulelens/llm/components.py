@@ -10,12 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowio import store
+from .arrowio import forget, store
 
 
-def _star(sym: DataFrame, large: bool) -> DataFrame:
+def _lows(sym: DataFrame) -> DataFrame:
+    """(u, m): the smallest of each node and its neighbours; stored, so that Spark can split a node with very many links in the join."""
+    return store(sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lows")
+
+
+def _star(sym: DataFrame, low: DataFrame, large: bool) -> DataFrame:
     """New links (u > v) after one star step over links (u, v) of both directions or u > v only."""
-    low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     joined = sym.join(low, "u")
     if large:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -29,8 +33,13 @@ def connected(links: DataFrame) -> DataFrame:
     now = store(links.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     mark = None
     while True:
-        big = _star(now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), True)
-        now = store(_star(big, False), "links")
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        first = _lows(both)
+        big = store(_star(both, first, True), "links")
+        second = _lows(big)
+        done = (now, first, big, second)
+        now = store(_star(big, second, False), "links")
+        forget(*done)
         row = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if tuple(row) == mark:
             break

@@ -319,7 +319,10 @@ def test_simhash_components(docs, empty, rows):
     assert len(ids) == len(set(ids)) and {3, 6} <= set(ids) and not {1, 4} & set(ids)
 
 
-def test_pivot_tables_lose_no_link(spark):
+@pytest.mark.parametrize(("limit", "block"), [(65_536, 512), (20, 16)])
+def test_pivot_tables_lose_no_link(spark, limit, block, monkeypatch):
+    monkeypatch.setattr(simhash, "LIMIT", limit)
+    monkeypatch.setattr(simhash, "BLOCK", block)
     r = random.Random(4)
     centre = r.getrandbits(64)
     flip = lambda x, n: x ^ sum(1 << b for b in r.sample(range(64), n))
@@ -339,6 +342,9 @@ def test_pivot_tables_lose_no_link(spark):
     for a, b in zip(u.tolist(), v.tolist(), strict=True):
         label[find(a)] = find(b)
     assert groups([find(m) for m in marks]) == groups(plain_components(marks, marks, 4))
+    half = len(big) // 2
+    pairs = {(i, j) for a, b in simhash.near_pairs(big[:half], big[half:], 4) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    assert pairs == {(i, j) for i in range(half) for j in range(len(big) - half) if int(big[i] ^ big[half + j]).bit_count() <= 4}
 
 
 def test_matroska(docs, empty, rows):
