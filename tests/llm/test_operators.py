@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -210,7 +211,7 @@ def test_decontamination(spark, docs, empty, rows):
     base = rows[3][1]
     items = [(1, base[40:200]), (2, "ÜNÏCODE 日本語"), (3, "never seen words at all in any of these ten texts"), (4, None), (5, "--"), (10, base[40:200].upper()), (11, "password")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = sorted(str((r[0], tuple(r[1:]))) for r in decontam.contaminated(docs, bench).collect())
+    got = sorted(str((r[0], tuple(r[1:6]))) for r in decontam.contaminated(docs, bench).collect())
     small = [r for r in rows if r[0] != 10]
     want = [str((d, plain_hits(t, items))) for d, t in small]
     assert sorted(want) == sorted(x for x in got if not x.startswith("(10,"))
@@ -219,10 +220,23 @@ def test_decontamination(spark, docs, empty, rows):
     kept = decontam.clean(docs, bench)
     dirty = {d for d, t in small if plain_hits(t, items)[4]}
     assert kept.columns == docs.columns and {r[0] for r in kept.select("doc_id").collect()} - {10} == {d for d, _ in small} - dirty
-    two = spark.createDataFrame([(1, "trouble is that nobody here knows"), (2, "nobody " + "x " * 50 + "knows trouble")], "doc_id long, text string")
+    two = spark.createDataFrame([(1, "trouble is that nobody here knows"), (2, "nobody " + "x " * 50 + "knows trouble"), (3, "nobody"), (4, "knows trouble")], "doc_id long, text string")
     for phrase, found in (("nobody knows the trouble", set()), ("nobody knows trouble", {1})):
         queries = decontam.Queries([("p", phrase)], 10)
-        assert {r[0] for r in decontam.proximity_matches(decontam.index(two, queries.terms), queries, terms=4, span=8).collect()} == found
+        assert {r["doc_id"] for r in decontam.matches(decontam.index(two), queries).where("size(near) > 0").collect()} == found
+
+
+def test_words_of_blocks(monkeypatch):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    r = random.Random(2)
+    values = ["".join(r.choice("aB1 .é日-\n_Z") for _ in range(r.randrange(0, 60))) for _ in range(50)] + [None, "", "x" * 200_000, "x" * 65_536 + "y" * 65_536, "y" * 65_536 + "x" * 65_536]
+    plain = [word.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) for t in values]
+    for chunk in (decontam.CHUNK, 7):
+        monkeypatch.setattr(decontam, "CHUNK", chunk)
+        hashes, sizes = decontam.word_hashes(*decontam.byte_column(pa.array(values, pa.string())))
+        assert sizes.tolist() == [len(w) for w in plain]
+        flat = [w for p in plain for w in p]
+        assert len({(w, h) for w, h in zip(flat, hashes.tolist(), strict=True)}) == len(set(flat)) == len(set(hashes.tolist()))
 
 
 @pytest.mark.parametrize("most", [1, 30])
@@ -232,10 +246,10 @@ def test_decontamination_in_several_passes(spark, docs, rows, most, monkeypatch)
     bench = spark.createDataFrame(items, "item_id long, text string")
     part = docs.where("doc_id IS NULL OR doc_id <> 10")
     want = sorted(str((d, plain_hits(t, items))) for d, t in rows if d != 10)
-    assert sorted(str((r[0], tuple(r[1:]))) for r in decontam.contaminated(part, bench).collect()) == want
+    assert sorted(str((r[0], tuple(r[1:6]))) for r in decontam.contaminated(part, bench).collect()) == want
     monkeypatch.setattr(decontam, "PASS_TERMS", most)
     assert len(list(decontam._passes(bench, 10))) > 2
-    assert sorted(str((r[0], tuple(r[1:]))) for r in decontam.contaminated(part, bench).collect()) == want
+    assert sorted(str((r[0], tuple(r[1:6]))) for r in decontam.contaminated(part, bench).collect()) == want
     assert decontam.contaminated(docs.limit(0), bench).count() == 0
 
 
