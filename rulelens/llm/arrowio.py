@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 #: a worker by bytes; they are sliced here, so no setting of the session is touched.
 BATCH_ROWS = 256
 BATCH_BYTES = 4 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def slices(batch: pa.RecordBatch, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -79,7 +80,13 @@ def store(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     writer = df.write.mode("overwrite")
     if codec:
         writer = writer.option("compression", codec)
-    writer.parquet(path)
+    # shuffle files of the steps before are of no use once this is written
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

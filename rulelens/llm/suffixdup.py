@@ -6,26 +6,26 @@ needed to find those that share LENGTH bytes: a string's anchor is the smallest
 GRAM-byte substrings (the last of equal ones), so equal strings have equal anchors at equal
 offsets. Neighbouring strings with one anchor form a run; runs are a hundredth of the corpus.
 
-1. Runs that occur twice as a whole are repeated as a whole (grouped counts, no text moves).
-2. Anchors that occur in different runs need a look inside. One run of each content is fetched
-   and its suffixes are sorted: a mergesort whose comparisons find the common extension of two
-   suffixes by binary search over prefix hashes, in log2(LENGTH) steps; neighbours that share
-   LENGTH bytes are verified byte by byte.
-3. Anchors with very many different runs (a passage that a large share of documents has) are
-   sorted in parts; the parts' suffixes then meet by hash, again as grouped counts: first blocks of BLOCK neighbouring suffixes by the hash
-   of the bytes that all of them hold, then the suffixes of blocks that are not alone.
-
-Grouped counts combine before they shuffle and joins are left to Spark's skew handling, so a
-passage, source or group of copies may hold a third of all rows. Runs and what is found about them are
+1. Runs whose anchor occurs once in the corpus have no partner. Of the others, runs of equal content (a 128-bit
+   key) are one kind; a kind that occurs more than once is represented by two of its runs.
+2. The bytes of these runs are fetched and their suffixes sorted: a mergesort whose comparisons find the
+   common extension of two suffixes by binary search over prefix hashes, in log2(LENGTH) steps; neighbours
+   that share LENGTH bytes are verified byte by byte. What is repeated in a kind is so in all its runs.
+3. Anchors with very many kinds (a passage that a large share of documents has) are sorted in parts. Strings
+   of different parts then meet as grouped counts: first blocks of BLOCK neighbouring suffixes by the hash of the
+   bytes that all of them hold, then the suffixes of blocks that are not alone by their LENGTH bytes themselves.
+
+Grouped counts combine before they shuffle, and joins have stored tables on both sides, which Spark can
+split, so a passage, source or group of copies may hold a third of all rows. What is found in each step is
 written to the shared folder, and lineage ends there.
 
-Null and empty texts have no bytes. Matches never cross documents. Repeated rows are copies of
-each other, whatever their ids. An empty table gives an empty result; only the named columns are read.
+Null and empty texts have no bytes. Very long texts are cut into overlapping parts for hashing, so no string is
+lost. Matches never cross documents. Repeated rows are copies of each other, whatever their ids; there are no ties.
+An empty table gives an empty result; only the named columns are read, so clashing names do not matter.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from functools import lru_cache
 
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowio import byte_column, column, map_arrow, store
+from .arrowio import byte_column, column, forget, map_arrow, store
 
 LENGTH = 200
 GRAM = 40
@@ -213,8 +213,8 @@ def common_extension(table: PrefixHash, a: np.ndarray, b: np.ndarray) -> np.ndar
     return low
 
 
-def repeated(contents: list[bytes], counts: np.ndarray, offsets: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(run, string in it, is repeated, hash) of all strings of runs; equal strings share anchor and offset."""
+def repeated(contents: list[bytes], counts: np.ndarray, offsets: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, string in it, is repeated) of all strings of runs; equal strings share anchor and offset."""
     data = np.frombuffer(b"".join(contents), np.uint8)
     table = PrefixHash(data)
     begin = np.cumsum([0, *map(len, contents)])[:-1]
@@ -237,100 +237,108 @@ def repeated(contents: list[bytes], counts: np.ndarray, offsets: np.ndarray, anc
     twice = np.zeros(len(run), bool)
     twice[order[pair]] = True
     twice[order[pair + 1]] = True
-    return run, inside, twice, _mix(table.of(start, LENGTH))
-
-
-def _freed(df: DataFrame) -> None:
-    """Shuffle files of finished steps go now rather than when the driver happens to collect its garbage."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    return run, inside, twice
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """(t1, t2, s, m): starts s .. s + m - 1 of repeated strings of LENGTH bytes in texts; docs as `keyed` gives them."""
     all_runs = store(runs(docs), "runs", "zstd")
-    twice = all_runs.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "c")
-    whole = store(all_runs.join(twice, ["h", "c"], "left_semi").select("t1", "t2", "s", "m").distinct(), "whole", "zstd")
-    _freed(docs)
-    mixed = all_runs.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h")
+    anchors = store(all_runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "anchors", "zstd")
+    near = store(all_runs.join(anchors, "h", "left_semi"), "near", "zstd")
+    forget(all_runs, anchors)
     spot = F.struct("id", "t1", "t2", "s", "m", "o")
-    kinds = store(all_runs.join(mixed, "h", "left_semi").groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(spot).alias("spot")).select("h", "n", "spot.*"), "kinds", "zstd")
-    _freed(docs)
-    parts = kinds.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("t1", "t2", "s"), F.col("parts")).cast("int").alias("part")
-    dealt = kinds.join(parts, "h").select("id", "t1", "t2", F.struct("h", "n", "s", "m", "o", "parts", part).alias("look"))
-    looks = dealt.groupBy("id", "t1", "t2").agg(F.collect_list("look").alias("looks"))
+    kinds = store(near.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(spot).alias("low"), F.max(spot).alias("high")), "kinds", "zstd")
+    parts = store(kinds.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("parts")), "parts", "zstd")
+    part = F.pmod(F.xxhash64("c"), F.col("parts")).cast("int").alias("part")
+    two = F.when(F.col("n") > 1, F.array("low", "high")).otherwise(F.array("low"))
+    dealt = kinds.join(parts, "h").select("h", "c", "parts", part, F.posexplode(two).alias("which", "spot"))
+    looks = dealt.groupBy("spot.id", "spot.t1", "spot.t2").agg(F.collect_list(F.struct("h", "c", "which", "spot.s", "spot.m", "spot.o", "parts", "part")).alias("looks"))
     found = store(_inside(_fetched(docs, looks)), "inside", "zstd")
-    _freed(docs)
-    return whole.select("t1", "t2", "s", "m").union(found.where("w1 IS NULL").select("t1", "t2", "s", "m")).union(_across(found.where("w1 IS NOT NULL")))
+    forget(kinds, parts)
+    hits = found.where("w1 IS NULL").select("h", "c", "k", "m").union(_across(found.where("w1 IS NOT NULL")))
+    hits = store(hits.groupBy("h", "c").agg(F.collect_list(F.struct("k", "m")).alias("hits")), "hits", "zstd")
+    # all runs of a kind have what its representative has
+    out = store(near.join(hits, ["h", "c"]).select("t1", "t2", "s", "hits").distinct(), "spans", "zstd")
+    forget(near, found, hits)
+    return out.select("t1", "t2", "s", F.explode("hits").alias("x")).select("t1", "t2", (F.col("s") + F.col("x.k")).alias("s"), F.col("x.m").alias("m"))
 
 
 def _across(lone: DataFrame) -> DataFrame:
-    """(t1, t2, s, m) of the strings that parts of an anchor have in common."""
-    met = lone.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
-    close = lone.join(met, ["w1", "w2"], "left_semi").select("t1", "t2", "s", "o", "w2", F.posexplode("hashes").alias("i", "w"))
+    """(h, c, k, m) of the strings that parts of an anchor have in common."""
+    met = store(lone.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2"), "met")
+    place = F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i")
+    close = lone.join(met, ["w1", "w2"], "left_semi").select("h", "c", "k", "o", "w2", "bytes", place)
     # the anchor's offset within the block makes the place in the block, w2 the anchor and the block
-    single = close.select("t1", "t2", (F.col("s") + F.col("i")).alias("s"), (F.col("o") - F.col("i")).alias("o"), "w2", "w")
-    twice = single.groupBy("w", "w2", "o").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "w2", "o")
-    return single.join(twice, ["w", "w2", "o"], "left_semi").select("t1", "t2", "s", F.lit(1).alias("m"))
+    string = F.substring(F.col("bytes"), F.col("i") + 1, F.lit(LENGTH)).alias("string")
+    single = store(close.select("h", "c", (F.col("k") + F.col("i")).alias("k"), (F.col("o") - F.col("i")).alias("o"), "w2", string), "single", "zstd")
+    twice = store(single.groupBy("w2", "o", "string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w2", "o", "string"), "twice", "zstd")
+    return single.join(twice, ["w2", "o", "string"], "left_semi").select("h", "c", "k", F.lit(1).alias("m"))
 
 
 def _fetched(docs: DataFrame, looks: DataFrame) -> DataFrame:
-    """(h, part, parts, n, t1, t2, s, o, m, content) of the runs to look into."""
+    """(h, part, parts, c, which, o, m, content) of the runs to look into."""
+    names = ["h", "part", "parts", "c", "which", "o", "m", "content"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches):
+        last = None
         for batch in batches:
             data, starts, _ = byte_column(column(batch, "text"))
-            out = [[] for _ in range(10)]
-            keys = zip(column(batch, "t1").to_pylist(), column(batch, "t2").to_pylist(), column(batch, "looks").to_pylist(), starts.tolist(), strict=True)
-            for t1, t2, looked, at in keys:
-                for x in looked:
+            out = [[] for _ in names]
+            keys = zip(*(column(batch, n).to_pylist() for n in ("id", "t1", "t2")), strict=True)
+            looked = column(batch, "looks")
+            for i, (key, at) in enumerate(zip(keys, starts.tolist(), strict=True)):
+                # rows with one id and one text come one after the other
+                if key == last:
+                    continue
+                last = key
+                for x in looked[i].as_py():
                     a = at + x["s"]
-                    row = (x["h"], x["part"], x["parts"], x["n"], t1, t2, x["s"], x["o"], x["m"], data[a : a + x["m"] - 1 + LENGTH].tobytes())
+                    row = (x["h"], x["part"], x["parts"], x["c"], x["which"], x["o"], x["m"], data[a : a + x["m"] - 1 + LENGTH].tobytes())
                     for c, v in zip(out, row, strict=True):
                         c.append(v)
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["h", "part", "parts", "n", "t1", "t2", "s", "o", "m", "content"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
 
-    joined = docs.join(looks, ["id", "t1", "t2"]).select("t1", "t2", "text", "looks")
-    return map_arrow(joined, run, "h long, part int, parts int, n long, t1 long, t2 long, s int, o int, m int, content binary")
+    joined = docs.hint("merge").join(looks, ["id", "t1", "t2"]).select("id", "t1", "t2", "text", "looks")
+    return map_arrow(joined, run, "h long, part int, parts int, c long, which int, o int, m int, content binary")
 
 
 def _inside(fetched: DataFrame) -> DataFrame:
-    """Repeated strings as runs (t1, t2, s, m), and all strings of anchors in several parts as blocks.
+    """Repeated strings of kinds (h, c, k, m: strings k .. k + m - 1 of the run), and all strings of anchors in several parts as blocks.
 
     A block has w1, the hash of the bytes that all its strings hold, w2, its anchor and place, the first
-    string's start and anchor's offset (s, o), and the strings' hashes.
+    string's offset from the anchor (o), the number of its strings (m), and its bytes.
     """
     # an anchor's part has at most a few thousand runs, so it is whole in one task
     dealt = fetched.repartition("h", "part").sortWithinPartitions("h", "part")
-    names = ["t1", "t2", "s", "m", "o", "w1", "w2", "hashes"]
+    names = ["h", "c", "k", "m", "o", "w1", "w2", "bytes"]
 
     def solve(batch: pa.RecordBatch):
         col = lambda n: column(batch, n).to_numpy(zero_copy_only=False)
-        h, parts, n, t1, t2, s, o, m = (col(x) for x in ("h", "parts", "n", "t1", "t2", "s", "o", "m"))
+        h, parts, c, which, o, m = (col(x) for x in ("h", "parts", "c", "which", "o", "m"))
         contents = column(batch, "content").to_pylist()
-        run, inside, twice, w = repeated(contents, m.astype(np.int64), o.astype(np.int64), h)
+        run, inside, twice = repeated(contents, m.astype(np.int64), o.astype(np.int64), h)
         # repeated strings next to each other are one row
-        hit = np.nonzero(twice & (n[run] == 1))[0]
+        hit = np.nonzero(twice & (which[run] == 0))[0]
         if len(hit):
             first = _pieces(hit, run[hit])
-            r, k = run[hit[first]], np.diff(np.r_[first, len(hit)])
+            r, n = run[hit[first]], np.diff(np.r_[first, len(hit)])
             none = pa.nulls(len(r), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(t1[r]), pa.array(t2[r]), pa.array((s[r] + inside[hit[first]]).astype(np.int32)), pa.array(k.astype(np.int32)), pa.nulls(len(r), pa.int32()), none, none, pa.nulls(len(r), pa.list_(pa.int64()))], names)
-        # all strings of a divided anchor, as even one that is repeated here may be the only partner of another part's
-        lone = np.nonzero(parts[run] > 1)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(h[r]), pa.array(c[r]), pa.array(inside[hit[first]].astype(np.int32)), pa.array(n.astype(np.int32)), pa.nulls(len(r), pa.int32()), none, none, pa.nulls(len(r), pa.binary())], names)
+        # strings of a divided anchor may have their only partner in another part
+        lone = np.nonzero((parts[run] > 1) & (which[run] == 0))[0]
         if len(lone):
             from_anchor = o[run[lone]] - inside[lone]
             block = from_anchor // BLOCK
             first = _pieces(lone, run[lone] * 1024 + block)
             r, k, b = run[lone[first]], inside[lone[first]], block[first]
+            n = np.diff(np.r_[first, len(lone)])
             table = PrefixHash(np.frombuffer(b"".join(contents), np.uint8))
             begin = np.cumsum([0, *map(len, contents)])[:-1]
             core = _mix(table.of(begin[r] + o[r] - b * BLOCK, LENGTH - BLOCK + 1))
             place = _mix(h[r].view(np.uint64) + b.astype(np.uint64))
-            hashes = pa.ListArray.from_arrays(pa.array(np.r_[first, len(lone)].astype(np.int32)), pa.array(w[lone].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(t1[r]), pa.array(t2[r]), pa.array((s[r] + k).astype(np.int32)), pa.nulls(len(r), pa.int32()), pa.array(from_anchor[first].astype(np.int32)), pa.array(core.view(np.int64)), pa.array(place.view(np.int64)), hashes], names)
+            held = [contents[i][a : a + x - 1 + LENGTH] for i, a, x in zip(r.tolist(), k.tolist(), n.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(h[r]), pa.array(c[r]), pa.array(k.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(from_anchor[first].astype(np.int32)), pa.array(core.view(np.int64)), pa.array(place.view(np.int64)), pa.array(held, pa.binary())], names)
 
     def run(batches):
         held = None
@@ -346,7 +354,7 @@ def _inside(fetched: DataFrame) -> DataFrame:
         if held is not None and held.num_rows:
             yield from solve(held)
 
-    return map_arrow(dealt, run, "t1 long, t2 long, s int, m int, o int, w1 long, w2 long, hashes array<long>", 1024)
+    return map_arrow(dealt, run, "h long, c long, k int, m int, o int, w1 long, w2 long, bytes binary", 1024)
 
 
 def _pieces(places: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -357,7 +365,7 @@ def _pieces(places: np.ndarray, group: np.ndarray) -> np.ndarray:
 def removed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) of every row."""
     rows = keyed(docs, key)
-    found = spans(rows).distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("s", "m")).alias("spans"))
+    found = store(spans(rows).groupBy("t1", "t2").agg(F.collect_list(F.struct("s", "m")).alias("spans")), "found", "zstd")
     joined = rows.join(found, ["t1", "t2"], "left").select(key, "text", "spans")
 
     def run(batches):
