@@ -1,17 +1,19 @@
 """Main text of web pages by tag-path ratios.
 
-Every text node has a root-to-leaf path of structural tags. Text length and punctuation are
-summed per path and divided by the path's number of nodes; both ratios are smoothed along the
-page by a Gaussian kernel, fused into one score per path, and paths above a share of the
-scores' standard deviation are content. Nodes under menus, headers, footers, sidebars, notices,
-adverts, forms, comments and the like (by element, role, class or id) never take part.
-The content paths select the region (the article, or the smallest element that holds most of
-their mass); every node of that region that is not boilerplate is text of the article, since
-short paragraphs belong to it as well as long ones.
+Every text node has a root-to-leaf path of structural tags and classes. Text length and punctuation are summed per
+path and divided by the path's number of nodes; both ratios are smoothed along the page by a Gaussian kernel
+and fused into one score per path. Features of the path weigh its score: elements, roles and class words of
+menus, headers, footers, sidebars, notices, adverts, forms and comments, links without other text,
+and text outside of an article that the page marks as such. Paths above a share of the scores' standard deviation are
+content; their lowest common ancestor is the region of the article. In it, every path whose weighed score
+is not next to nothing belongs to the article, since short paragraphs, headings and lists do as well as long ones.
+
+Class words are only a feature: an element that holds an article, the page's main heading or nearly all of its text is no
+boilerplate, whatever its classes say (but for comments).
 
 One map over all rows, whole pages, linear in their length. Null, empty and textless pages
-give the empty text. Repeated rows give equal results, ties go to the earlier element, an
-empty table gives an empty result; only the named columns are read.
+give the empty text. Repeated rows give equal results; nodes keep the page's order, so there are no ties; an
+empty table gives an empty result; only the named columns are read, so clashing names do not matter.
 """
 
 from __future__ import annotations
@@ -26,14 +28,22 @@ from pyspark.sql import functions as F
 
 from .arrowio import column, map_arrow
 
-# Element names and class words of boilerplate, by their usual meaning in HTML.
-DROPPED = frozenset("nav header footer aside form script style noscript template iframe svg math object head title button select textarea option datalist dialog menu canvas audio video map".split())
+# Element names, roles and class words, by their usual meaning in HTML.
+TEXTLESS = frozenset("script style noscript template iframe svg math object head title select option datalist canvas audio video map".split())
+BOILERPLATE = frozenset("nav header footer aside form button textarea dialog menu".split())
 RAW = "script|style|textarea|title|noscript|iframe|template|svg"
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar note status".split())
 WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead comment comments commentlist discussion disqus reply replies respond cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup social share sharing related recommended recommendations widget popup modal overlay disclaimer copyright pagination pager login search toolbar skip".split())
+COMMENTS = frozenset("comment comments commentlist discussion disqus reply replies respond".split())
+#: Words that a part of an article may have in its class next to a word of ARTICLE.
+PARTS = frozenset("header banner promo notice".split())
+ARTICLE = frozenset("article post entry story content main body text".split())
+#: First words of classes that describe a layout.
+LAYOUT = frozenset("with has no without is".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 BLOCK_END = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"])}
+CLOSABLE = frozenset(["p", *BLOCK_END])
 LISTS = frozenset("ul ol dl table tbody thead tfoot tr body html article section div main".split())
 REGIONS = frozenset(["article", "main"])
 
@@ -44,57 +54,102 @@ _PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
 #: Gaussian kernel over neighbouring nodes.
 KERNEL = np.exp(-0.5 * np.arange(-2, 3) ** 2)
 KERNEL = KERNEL / KERNEL.sum()
-#: A path is content from this share of the standard deviation of the fused scores.
+#: A path is content from this share of the standard deviation of the scores.
 THRESHOLD = 0.5
-#: The region holds at least this share of the content's mass.
-MASS = 0.8
+#: Weights of features: boilerplate or bare links, text outside of a marked article, and text of a page that marks none.
+SLIGHT, OUTSIDE, UNMARKED = 1e-9, 0.02, 0.99
+#: In the region a path belongs to the article from this share of the largest score.
+LEAST = 1e-6
+#: An element with this share of the page's text is no boilerplate by its classes.
+MOST = 0.8
+#: Bare links: at least this share of a path's text in links, and fewer characters a node.
+LINKED, SHORT = 0.8, 60
 
 
 class _Element:
-    __slots__ = ("name", "label", "parent", "depth", "dropped", "region")
-
-    def __init__(self, name: str, label: str, parent: "_Element | None", dropped: bool, region: bool):
-        self.name, self.label, self.parent, self.dropped, self.region = name, label, parent, dropped, region
-        self.depth = parent.depth + 1 if parent else 0
-
-
-def _marks(name: str, attrs: str) -> tuple[bool, str, bool]:
-    """(boilerplate, classes, region) of a start tag."""
-    region = name in REGIONS
-    if name in DROPPED:
-        return True, "", False
-    if not attrs or attrs == "/":
-        return False, "", region
-    classes, dropped = "", False
-    for key, value in _ATTR.findall(attrs):
-        key, value = key.lower(), value.strip("\"'")
-        if key == "role":
-            dropped |= value.lower() in ROLES
-            region |= value.lower() in ("main", "article")
-        elif key == "itemprop":
-            region |= value == "articleBody"
-        elif key == "hidden":
-            dropped = True
-        elif key == "aria-hidden":
-            dropped |= value.lower() == "true"
-        elif key == "style":
-            dropped |= re.sub(r"\s", "", value.lower()).find("display:none") >= 0
-        else:
-            classes += f".{value}"
-            if name not in ("body", "html", "main"):
-                dropped |= any(w.lower() in WORDS for w in _SPLIT.split(value))
-    return dropped, classes, region and not dropped
-
-
-def nodes(page: str) -> list[tuple[int, _Element, str]]:
-    """(block number, innermost structural element, decoded text) of each text node outside boilerplate."""
-    root = _Element("", "", None, False, False)
-    here, block, out = root, 0, []
+    __slots__ = ("name", "path", "parent", "textless", "flagged", "comments", "region", "near", "inner", "mass", "strong", "holds")
+
+    def __init__(self, name: str, path: int, parent: "_Element | None"):
+        self.name, self.path, self.parent = name, path, parent
+        self.textless = bool(parent and parent.textless)
+        self.flagged = self.comments = self.region = self.holds = False
+        self.inner, self.mass, self.strong = 0, 0, 0
+        # the nearest element that a block's start may close
+        self.near = self if name in CLOSABLE or name in INLINE else None if parent is None or name in LISTS else parent.near
+
+
+def _class_words(value: str) -> tuple[bool, bool]:
+    """(boilerplate, comments) by the words of a class or id."""
+    found = comments = False
+    for token in value.split():
+        words = [w.lower() for w in _SPLIT.split(token) if w]
+        if not words or words[0] in LAYOUT:
+            continue
+        bad = WORDS.intersection(words)
+        if bad and not (bad <= PARTS and ARTICLE.intersection(words)):
+            found = True
+            comments |= bool(COMMENTS.intersection(words))
+    return found, comments
+
+
+def _features(e: _Element, attrs: str) -> str:
+    """Set what a start tag says about its element; the label of its path."""
+    name = e.name
+    e.region = name in REGIONS
+    e.textless |= name in TEXTLESS
+    e.flagged = name in BOILERPLATE
+    label = name
+    if attrs and attrs != "/":
+        for key, value in _ATTR.findall(attrs):
+            key, value = key.lower(), value.strip("\"'")
+            if key == "role":
+                e.flagged |= value.lower() in ROLES
+                e.region |= value.lower() in ("main", "article")
+            elif key == "itemprop":
+                e.region |= value == "articleBody"
+            elif key == "hidden":
+                e.textless = True
+            elif key == "aria-hidden":
+                e.textless |= value.lower() == "true"
+            elif key == "style":
+                e.textless |= "display:none" in re.sub(r"\s", "", value.lower())
+            else:
+                label += f".{value}"
+                if name not in ("body", "html", "main"):
+                    flagged, comments = _class_words(value)
+                    e.flagged |= flagged
+                    e.comments |= comments
+    e.region &= not e.comments
+    return label
+
+
+def nodes(page: str) -> tuple[list[tuple[int, _Element, str, bool]], list[_Element]]:
+    """(block number, innermost element, decoded text, in a link) of each text node, and all elements in order."""
+    root = _Element("", 0, None)
+    here, block, out, elements = root, 0, [], [root]
+    paths: dict[tuple[int, str], int] = {}
+    opened: dict[str, int] = {}
+    linked = False
+
+    def enter(name: str, attrs: str) -> _Element:
+        e = _Element(name, 0, here)
+        label = _features(e, attrs)
+        e.path = paths.setdefault((here.path, label), len(paths) + 1)
+        elements.append(e)
+        opened[name] = opened.get(name, 0) + 1
+        return e
+
+    def leave(to: _Element) -> _Element:
+        e = here
+        while e is not to:
+            opened[e.name] -= 1
+            e = e.parent
+        return to
+
     for m in _TOKEN.finditer(page):
-        kind = m.lastgroup
-        if kind == "text":
-            if not here.dropped:
-                out.append((block, here, unescape(m["text"])))
+        if m.lastgroup == "text":
+            if not here.textless:
+                out.append((block, here, unescape(m["text"]), linked))
             continue
         if m["raw"] is not None or m["note"] is not None or m["tag"] is None:
             continue
@@ -102,131 +157,135 @@ def nodes(page: str) -> list[tuple[int, _Element, str]]:
         if name in VOID:
             if name == "hr":
                 block += 1
-            elif name in ("br", "wbr") and not here.dropped and name == "br":
-                out.append((block, here, "\n"))
+            elif name == "br" and not here.textless:
+                out.append((block, here, "\n", linked))
             continue
         attrs = m["attrs"] or ""
         if name in INLINE:
-            # formatting is transparent, unless it is boilerplate itself
-            if not m["end"]:
-                dropped, classes, _ = _marks(name, attrs)
-                if dropped and not here.dropped:
-                    here = _Element(name, name + classes, here, True, False)
-            elif here.name == name:
-                here = here.parent
+            # formatting is transparent, unless it is boilerplate itself; elements of its name inside it end first
+            if name == "a":
+                linked = not m["end"]
+            if here.name == name:
+                if not m["end"]:
+                    here.inner += 1
+                elif here.inner:
+                    here.inner -= 1
+                else:
+                    here = leave(here.parent)
+            elif not m["end"] and attrs:
+                e = _Element(name, 0, here)
+                label = _features(e, attrs)
+                if e.flagged or e.textless and not here.textless:
+                    e.path = paths.setdefault((here.path, label), len(paths) + 1)
+                    elements.append(e)
+                    opened[name] = opened.get(name, 0) + 1
+                    here = e
             continue
         block += 1
+        linked = False
         if m["end"]:
-            e = here
-            while e is not root and e.name != name:
-                e = e.parent
-            if e is not root:
-                here = e.parent
+            if opened.get(name):
+                e = here
+                while e.name != name:
+                    e = e.parent
+                here = leave(e.parent)
             continue
-        closes = BLOCK_END.get(name)
-        if closes or name not in INLINE:
-            # an open paragraph ends where a block begins; items end their like
-            e = here
-            while e is not root and e.name not in LISTS:
-                if e.name == "p" or closes and e.name in closes or e.name in INLINE:
-                    here = e.parent
-                elif e.dropped:
-                    break
-                e = e.parent
-            if closes and here.name in closes:
-                here = here.parent
-        dropped, classes, region = _marks(name, attrs)
-        here = _Element(name, name + classes, here, here.dropped or dropped, region)
-    return out
+        # an open paragraph ends where a block begins; items end their like
+        closes = BLOCK_END.get(name, frozenset())
+        e, to = here.near, None
+        while e is not None:
+            if e.name == "p" or e.name in closes or e.name in INLINE:
+                to = e.parent
+            e = e.parent.near
+        if to is not None:
+            here = leave(to)
+        if here.name in closes:
+            here = leave(here.parent)
+        here = enter(name, attrs)
+    return out, elements
 
 
-def _path(e: _Element) -> str:
-    parts = []
-    while e is not None:
-        parts.append(e.label)
-        e = e.parent
-    return "/".join(reversed(parts))
+def _weights(items: list, elements: list[_Element]) -> dict[int, float]:
+    """Weight of each element by its features and those of the elements around it."""
+    for e in elements:
+        e.mass, e.holds = 0, e.region and not e.flagged or e.name == "h1"
+    for _, e, t, _ in items:
+        e.mass += len(t.strip())
+    for e in reversed(elements):
+        if e.parent is not None:
+            e.parent.mass += e.mass
+            e.parent.holds |= e.holds and not e.comments
+    whole = max(1, elements[0].mass)
+    marked = any(e.region and e.mass for e in elements)
+    out, inside = {}, {}
+    for e in elements:
+        free = e.name not in BOILERPLATE and (e.region or e.holds or e.mass >= MOST * whole) and not e.comments
+        up = out[id(e.parent)] if e.parent is not None else OUTSIDE if marked else UNMARKED
+        inside[id(e)] = e.parent is not None and inside[id(e.parent)] or e.region
+        bad = e.flagged and not free and not (e.name == "header" and inside[id(e)] and e.holds)
+        out[id(e)] = SLIGHT if bad or up == SLIGHT else 1.0 if inside[id(e)] else up
+    return out
 
 
-def path_scores(items: list[tuple[int, _Element, str]]) -> tuple[list[str], np.ndarray, dict[str, float]]:
-    """Path of each node, smoothed fused score of each node, mean score of each path."""
-    cache: dict[int, str] = {}
-    paths = [cache.get(id(e)) or cache.setdefault(id(e), _path(e)) for _, e, _ in items]
-    sizes: dict[str, list[int]] = {}
-    for p, (_, _, t) in zip(paths, items, strict=True):
-        s = sizes.setdefault(p, [0, 0, 0])
+def path_scores(items: list, weight: dict[int, float]) -> dict[int, float]:
+    """Weighed, smoothed and fused score of each path."""
+    sizes: dict[int, list[float]] = {}
+    for _, e, t, linked in items:
+        s = sizes.setdefault(e.path, [0, 0, 0, 0])
         n = len(t.strip())
         if n:
             s[0] += n
             s[1] += len(_PUNCTUATION.findall(t))
             s[2] += 1
-    text = np.array([sizes[p][0] / max(1, sizes[p][2]) for p in paths])
-    marks = np.array([sizes[p][1] / max(1, sizes[p][2]) for p in paths])
+            s[3] += n * linked
+    own = {}
+    for _, e, _, _ in items:
+        n, _, k, links = sizes[e.path]
+        bare = weight[id(e)] < 1 and n and links >= LINKED * n and n < SHORT * k
+        own[e.path] = SLIGHT if bare else weight[id(e)]
+    w = np.array([own[e.path] for _, e, _, _ in items])
+    text = np.array([sizes[e.path][0] / max(1, sizes[e.path][2]) for _, e, _, _ in items]) * w
+    marks = np.array([sizes[e.path][1] / max(1, sizes[e.path][2]) for _, e, _, _ in items]) * w
     smooth = lambda x: np.convolve(np.pad(x, 2, mode="edge"), KERNEL, "valid")
-    fused = smooth(text) * (1 + smooth(marks))
-    total: dict[str, list[float]] = {}
-    for p, v in zip(paths, fused.tolist(), strict=True):
-        t = total.setdefault(p, [0.0, 0.0])
+    fused = smooth(text) * (1 + smooth(marks)) * w
+    total: dict[int, list[float]] = {}
+    for (_, e, _, _), v in zip(items, fused.tolist(), strict=True):
+        t = total.setdefault(e.path, [0.0, 0.0])
         t[0] += v
         t[1] += 1
-    return paths, fused, {p: a / b for p, (a, b) in total.items()}
-
-
-def _region(items: list[tuple[int, _Element, str]]) -> set[int]:
-    """ids of the elements that hold the main text."""
-    paths, _, scores = path_scores(items)
-    level = THRESHOLD * float(np.std(list(scores.values())))
-    weight = [len(t.strip()) if scores[p] >= level else 0 for p, (_, _, t) in zip(paths, items, strict=True)]
-    mass: dict[int, int] = {}
-    known: dict[int, _Element] = {}
-    order: dict[int, int] = {}
-    for w, (_, e, _) in zip(weight, items, strict=True):
-        while e is not None:
-            mass[id(e)] = mass.get(id(e), 0) + w
-            known[id(e)] = e
-            order.setdefault(id(e), len(order))
-            e = e.parent
-    whole = sum(weight)
-    marked = [k for k, e in known.items() if e.region and mass[k] > 0]
-    if marked and 2 * max(mass[k] for k in marked) >= whole or not whole and any(e.region for e in known.values()):
-        marked = marked or [k for k, e in known.items() if e.region]
-        outer = [k for k in marked if not any(p in marked for p in _above(known[k]))]
-        best = max(mass[k] for k in outer)
-        # articles inside a main element are the article; its other parts are not
-        chosen = {k for k in outer if mass[k] >= 0.25 * best}
-        inner = [k for k in marked if known[k].name == "article" and any(p in chosen for p in _above(known[k]))]
-        top = [k for k in inner if not any(p in inner for p in _above(known[k]))]
-        if top and sum(mass[k] for k in top) >= MASS * sum(mass[k] for k in chosen):
-            return set(top)
-        return chosen
-    full = [k for k in known if mass[k] >= MASS * whole]
-    return {min(full, key=lambda k: (-known[k].depth, order[k]))}
-
-
-def _above(e: _Element) -> list[int]:
-    out = []
-    while e.parent is not None:
-        e = e.parent
-        out.append(id(e))
-    return out
+    return {p: a / b for p, (a, b) in total.items()}
 
 
 def main_text(page: str | None) -> str:
     """The article of a page: white space inside a block is one space, blocks are joined by two newlines."""
     if not page:
         return ""
-    items = nodes(page)
-    if not any(t.strip() for _, _, t in items):
+    items, elements = nodes(page)
+    if not any(t.strip() for _, _, t, _ in items):
+        return ""
+    scores = path_scores(items, _weights(items, elements))
+    values = list(scores.values())
+    largest = max(values)
+    if largest <= SLIGHT:  # nothing but boilerplate
         return ""
-    chosen = _region(items)
+    level = min(THRESHOLD * float(np.std(values)), largest)
+    # the lowest element that holds every content node
+    for _, e, t, _ in items:
+        e.strong += bool(t.strip()) and scores[e.path] >= level
+    for e in reversed(elements):
+        if e.parent is not None:
+            e.parent.strong += e.strong
+    region = elements[0]
+    for e in elements:
+        if e.strong == elements[0].strong:
+            region = e
     inside: dict[int, bool] = {}
+    for e in elements:
+        inside[id(e)] = e is region or e.parent is not None and inside[id(e.parent)]
     blocks: list[list[str]] = []
     last = None
-    for block, e, t in items:
-        k = id(e)
-        if k not in inside:
-            inside[k] = k in chosen or any(p in chosen for p in _above(e))
-        if inside[k]:
+    for block, e, t, _ in items:
+        if inside[id(e)] and scores[e.path] >= LEAST * largest:
             if block != last:
                 blocks.append([])
                 last = block

@@ -61,6 +61,52 @@ def test_extraction():
     assert len(extract.main_text("<article>" + "<div>" * 3000 + "deep" + "</article>")) == 4
 
 
+def test_extraction_keeps_articles_in_odd_wrappers():
+    body = [f"Sentence {i}, long enough to count, really." for i in range(5)]
+    text, plain = "".join(f"<p>{b}</p>" for b in body), "\n\n".join(body)
+    menu = "<div><a href=x>Home</a> <a href=y>About</a></div>"
+    cases = [
+        (f'<div class="content with-sidebar"><h1>T</h1>{text}</div>{menu}', f"T\n\n{plain}"),
+        (f'<article class="post promo">{text}</article>', plain),
+        (f'<article><div class="article-header"><h1>T</h1></div>{text}</article>', f"T\n\n{plain}"),
+        (f'<article>{text}<p>x <span class="ad">Buy <span>now</span> cheap stuff</span> y</p></article>', f"{plain}\n\nx y"),
+        (f'<div><h1>Head</h1><p>{"Long words, many. " * 60}</p><p>Short.</p></div><div class=footer>End.</div>', "Head\n\n" + ("Long words, many. " * 60).strip() + "\n\nShort."),
+        (f"<main><article>{text}</article><p>More main text, indeed.</p></main>", f"{plain}\n\nMore main text, indeed."),
+        (f"<div class=comments><article class=comment>{text * 4}</article></div><article><p>Short article, fine.</p></article>", "Short article, fine."),
+        (f"<div id=a>{text}</div><div id=b><p>Other content of a sibling, long enough.</p></div>{menu}", f"{plain}\n\nOther content of a sibling, long enough."),
+    ]
+    for page, want in cases:
+        assert extract.main_text(page) == want
+    for page in ("<div>" * 40_000 + "deep", "<x>" * 40_000 + "deep", "<p><table>" + "<x>" * 40_000 + "deep", "</q>" * 40_000 + "deep"):
+        assert extract.main_text(page) == "deep"
+
+
+def test_scores_decide(sf_dir, monkeypatch):
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table(f"{sf_dir}/pages.parquet")["html"].to_pylist()
+    before = [extract.main_text(h) for h in pages]
+    scores = extract.path_scores
+    monkeypatch.setattr(extract, "path_scores", lambda i, w: dict.fromkeys(scores(i, w), 1.0))
+    assert sum(a != extract.main_text(h) for a, h in zip(before, pages, strict=True)) > len(pages) / 2
+
+
+def plain_article(page):
+    """The article of a page of the tables, cut out by its own tags."""
+    import html
+
+    inner = re.sub(r"<(script|style)\b.*?</\1>", "", page[page.index("<article>") + 9 : page.rindex("</article>")], flags=re.S)
+    blocks = re.split(r"</?(?:p|h1|article)>", re.sub(r"<br>", " ", re.sub(r"</?b>", "", inner)))
+    return "\n\n".join(x for b in blocks if (x := " ".join(html.unescape(b).split())))
+
+
+def test_query_of_pages_against_their_articles(spark, sf_dir):
+    pages = {r[0]: r[1] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html").collect()}
+    got = QUERIES["op1_html"](spark, sf_dir).collect()
+    assert len(got) == len(pages)
+    assert [r["page_id"] for r in got if r["text"] != plain_article(pages[r["page_id"]]) or r["n_chars"] != len(r["text"])] == []
+
+
 def test_extraction_of_tables(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a b</p>", 3), (1, "u", "<p>a b</p>", 3), (None, None, None, None)], "page_id long, url string, html string, n_chars int")
     assert sorted(map(str, extract.extract(pages).select("page_id", "text", "n_chars").collect())) == sorted(map(str, [pages.sparkSession.createDataFrame([(1, "a b", 3), (1, "a b", 3), (None, "", 0)], "page_id long, text string, n_chars long").collect()][0]))
