@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontam, extract, langid, matroska, packing, secrets, simhash, suffixdup, tokenfile, toxicity
-from .arrowio import id_text, read_table, store
+from .arrowio import has_table, id_text, read_table, store
 
 
 def vocabulary(name: str) -> str:
@@ -62,8 +62,9 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secret candidates of all documents with the forest's verdict."""
-    return secrets.scan(read_table(spark, sf_dir, "documents"))
+    """Secret candidates of all documents with the forest's verdict; a table of labelled findings trains the forest if there is one."""
+    given = secrets.fit_table(read_table(spark, sf_dir, "findings")) if has_table(spark, sf_dir, "findings") else None
+    return secrets.scan(read_table(spark, sf_dir, "documents"), given)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

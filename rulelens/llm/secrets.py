@@ -1,22 +1,24 @@
 """Secret scans: pattern candidates, and a random forest that removes false positives.
 
 Candidates come from a few wide patterns (key assignments, provider formats, long mixed
-tokens, private key blocks). Features of a candidate: length, kind of characters and their
-transitions, entropy, share of the text covered by dictionary words, path and URL context,
-hints and placeholder words in it and in the words before it. A forest of Gini trees, grown here on
-labelled findings, gives the share of trees that call it a secret.
-
-Labelled findings may be handed in (at most FIT_ROWS are used, a classifier fit on a bounded
-sample); by default they are drawn from fixed formats of real and of look-alike values.
-One map over all rows, whole texts; a long text is scanned in linear time.
-
-Null and empty texts have no candidate. Overlapping candidates keep the earliest, then
-the longest. Repeated rows give equal findings; an empty table gives an empty result; only
-the named columns are read.
+tokens, private key blocks). Features of a candidate: length, kind of characters, transitions (between kinds
+of characters, and how surprising each next character is to a chain learned from the dictionary), entropy, share
+covered by dictionary words, path and URL context, hints and placeholder words in it and in the words before it. A
+forest of Gini trees, grown here on labelled findings, gives the share of trees that call it a secret.
+
+The dictionary is the whole words of a public vocabulary file. Labelled findings may be handed in, as a list or as a
+table (at most FIT_ROWS are used, a classifier fit on a bounded sample: the smallest hashes of a table); by
+default they are drawn from fixed formats of real and of look-alike values.
+One map over all rows, whole texts; a long text is scanned in linear time, and candidates are of any length.
+
+Null and empty texts have no candidate. Overlapping candidates keep the earliest, then the longest; there are no
+further ties. Repeated rows give equal findings; an empty table gives an empty result; `scan` reads only the named
+columns, `redact` hands all others on as they are.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import random
 import re
@@ -54,7 +56,55 @@ PLACEHOLDERS = re.compile(r"example|sample|dummy|changeme|change_me|placeholder|
 HINTS = re.compile(KEYS, re.I)
 BENIGN = re.compile(r"sha-?(?:1|256|512)|md5|commit|checksum|digest|hash|uuid|guid|etag|integrity|revision|build|version|trace|request[_-]?id|session of|isbn|doi|font|image|data:", re.I)
 PATHLIKE = re.compile(r"(?:^|[\s\"'(])(?:[a-z]+://|/|\./|[A-Za-z]:\\)\S*$|[\w.-]+/[\w./-]*$", re.I)
-WORDS = frozenset("the and for with that this from have are was not you all can had her one our out day get has him his how man new now old see two way who boy did its let put say she too use about after again back been before being below between both build call change class code come could data date debug default directory each end error event example field file find first folder form format from function get give global great group hand head help here high home host http image index info input item just keep key kind know large last learn left less level library life line link list little live local login long look made mail main make many master member message method mode model module more most move much must name need network never next node note null number object only open option order other output over page part pass password path people place plan play point port print process program project public query read real record release remote report request result return right root run save search section secret select send server service session set setting should show simple site size small some source space stack start state status still stop store string style system table take task temp test text than then there these thing think time title token tool true type under unit update user value version view want water week well what when where which while white will window word work world write year your".split())
+#: Letters of the words of a dictionary; shorter ones are found in any text.
+LEAST_WORD, MOST_WORD = 4, 16
+_KINDS = "abcdefghijklmnopqrstuvwxyz0"
+
+
+class Dictionary:
+    """Whole words of a vocabulary file, and how surprising each next letter is (in bits, a chain of letters)."""
+
+    def __init__(self, words: frozenset[str]):
+        self.words = words
+        counts = np.ones((27, 27))
+        for w in words:
+            codes = [26, *(ord(c) - 97 for c in w), 26]
+            np.add.at(counts, (codes[:-1], codes[1:]), 1)
+        self.bits = -np.log2(counts / counts.sum(1, keepdims=True))
+
+    def __reduce__(self):
+        return Dictionary, (self.words,)
+
+    def covered(self, value: str) -> int:
+        """Letters of value inside dictionary words, longest first from the left."""
+        total = 0
+        for run in re.findall(r"[a-z]+", value.lower()):
+            i = 0
+            while i <= len(run) - LEAST_WORD:
+                n = next((n for n in range(min(MOST_WORD, len(run) - i), LEAST_WORD - 1, -1) if run[i : i + n] in self.words), 0)
+                total += n
+                i += n or 1
+        return total
+
+    def surprise(self, value: str) -> float:
+        """Mean bits of the transitions of value; all that is no letter is one kind."""
+        x = np.frombuffer(value.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) - 97
+        x = np.where((x >= 0) & (x < 26), x, 26)
+        return float(self.bits[x[:-1], x[1:]].mean()) if len(x) > 1 else 0.0
+
+
+@lru_cache(2)
+def dictionary(path: str | None = None) -> Dictionary:
+    """Words of a BPE vocabulary with word ends; by default the installed public one."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    words = (w[:-4] for w in vocabulary if w.endswith("</w>"))
+    return Dictionary(frozenset(w for w in words if LEAST_WORD <= len(w) <= MOST_WORD and re.fullmatch("[a-z]+", w)))
+
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
@@ -67,15 +117,16 @@ def find(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-FEATURES = ("length", "kind", "digits", "upper", "lower", "marks", "transitions", "classes", "entropy", "repeat", "covered", "vowels", "run", "hex", "placeholder", "hint", "benign", "path", "dashes", "word_chars")
+FEATURES = ("length", "kind", "digits", "upper", "lower", "marks", "transitions", "surprise", "classes", "entropy", "repeat", "covered", "vowels", "run", "hex", "placeholder", "hint", "benign", "path", "dashes", "word_chars")
 
 
 def _class(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3
 
 
-def features(text: str, start: int, end: int, kind: str) -> list[float]:
+def features(text: str, start: int, end: int, kind: str, known: Dictionary | None = None) -> list[float]:
     """The FEATURES of one candidate in its text."""
+    known = known or dictionary()
     value = text[start:end]
     n = max(1, len(value))
     classes = [_class(c) for c in value]
@@ -83,14 +134,14 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
     moves = sum(a != b for a, b in zip(classes, classes[1:], strict=False))
     letters = Counter(value)
     entropy = -sum(k / n * math.log2(k / n) for k in letters.values())
-    covered = sum(len(w) for w in re.findall(r"[A-Za-z][a-z]+|[A-Z]+", value) if w.lower() in WORDS)
+    covered = known.covered(value)
     run = max((len(m) for m in re.findall(r"[A-Za-z]+", value)), default=0)
     before = text[max(0, start - 80) : start]
     near = " ".join(before.split()[-4:])
     line = before.rpartition("\n")[2]
     return [
         float(n), float(KINDS.index(kind)), counts[0] / n, counts[1] / n, counts[2] / n, counts[3] / n,
-        moves / n, float(len(counts)), entropy, max(letters.values(), default=0) / n, covered / n,
+        moves / n, known.surprise(value), float(len(counts)), entropy, max(letters.values(), default=0) / n, covered / n,
         sum(c in "aeiouAEIOU" for c in value) / n, run / n, float(bool(re.fullmatch(r"[0-9a-fA-F]+", value))),
         float(bool(PLACEHOLDERS.search(value))), float(bool(HINTS.search(near))), float(bool(BENIGN.search(near))),
         float(bool(PATHLIKE.search(line[-60:])) or value.count("/") > 2), value.count("-") / n, float(value.isalpha()),
@@ -100,8 +151,8 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
 class Forest:
     """Trees as arrays (feature, threshold, left, right, share of secrets)."""
 
-    def __init__(self, trees: list[tuple[np.ndarray, ...]]):
-        self.trees = trees
+    def __init__(self, trees: list[tuple[np.ndarray, ...]], known: Dictionary | None = None):
+        self.trees, self.known = trees, known or dictionary()
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         votes = np.zeros(len(x))
@@ -167,7 +218,8 @@ def labelled_findings(n: int = 3000, seed: int = SEED) -> list[tuple[str, int, i
     r = random.Random(seed)
     hexa, alnum, upper = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
     draw = lambda alphabet, k: "".join(r.choice(alphabet) for _ in range(k))
-    word = lambda: r.choice(sorted(WORDS))
+    listed = sorted(dictionary().words)
+    word = lambda: r.choice(listed)
     prose = lambda: " ".join(word() for _ in range(r.randrange(0, 8)))
     key = lambda: r.choice(["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "client_secret", "auth_key", "db_password", "AWS_SECRET_ACCESS_KEY"])
     eq = lambda: r.choice(["=", " = ", ": ", ":", "=\""])
@@ -226,6 +278,18 @@ def fit(findings: list[tuple[str, int, int, str, int]] | None = None) -> Forest:
     return grow(np.array([features(*r[:4]) for r in rows]), np.array([r[4] for r in rows], float))
 
 
+def fit_table(findings: DataFrame) -> Forest:
+    """A forest on a table of labelled findings (text, start, length, is_secret); what no pattern finds is left out."""
+    known = findings.where("text IS NOT NULL AND start >= 0 AND length > 0 AND is_secret IS NOT NULL").select("text", F.col("start").cast("long"), F.col("length").cast("long"), F.col("is_secret").cast("int"))
+    got = known.orderBy(F.xxhash64("text", "start"), "text", "start", "length", "is_secret").limit(FIT_ROWS).collect()
+    rows = []
+    for text, start, length, label in got:
+        kind = next((k for a, b, k in find(text) if a < start + length and start < b), None)
+        if kind:
+            rows.append((text, start, start + length, kind, label))
+    return fit(rows)
+
+
 @lru_cache(1)
 def standard() -> Forest:
     """The forest of the built-in findings."""
@@ -237,7 +301,7 @@ def scan_text(text: str | None, forest: Forest) -> list[tuple[int, int, str, flo
     found = find(text) if text else []
     if not found:
         return []
-    score = forest.predict(np.array([features(text, *f) for f in found]))
+    score = forest.predict(np.array([features(text, *f, forest.known) for f in found]))
     return [(*f, float(s)) for f, s in zip(found, score, strict=True)]
 
 

@@ -452,6 +452,25 @@ def test_secrets(docs, empty):
     assert secrets.fit([]).predict(np.zeros((2, len(secrets.FEATURES)))).tolist() == [0, 0]
 
 
+def test_secrets_learn_from_labelled_findings(spark):
+    drawn = secrets.labelled_findings(400, 5)
+    rows = [(t, a, b - a, bool(y)) for t, a, b, _, y in drawn]
+    schema = "text string, start long, length long, is_secret boolean"
+    found = lambda f: [x["is_secret"] for x in secrets.scan(spark.createDataFrame([(1, "password=9e5d262097869d7f87")], "doc_id long, text string"), f).collect()]
+    assert found(secrets.fit_table(spark.createDataFrame(rows, schema))) == [True]
+    assert found(secrets.fit_table(spark.createDataFrame([(t, a, n, not y) for t, a, n, y in rows], schema))) == [False]
+    assert found(secrets.fit_table(spark.createDataFrame([(None, None, None, None)], schema))) == [False]
+    known = secrets.dictionary()
+    assert known.covered("keyboard_history") == 15 and known.surprise("xqzjvkq") > known.surprise("station")
+
+
+def test_query_of_documents_against_their_scan(spark, sf_dir):
+    texts_ = {r[0]: r[1] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    want = sorted((d, a, b - a, k, s >= secrets.SECRET) for d, t in texts_.items() for a, b, k, s in secrets.scan_text(t, secrets.standard()))
+    got = sorted((r["doc_id"], r["start"], r["length"], r["kind"], r["is_secret"]) for r in QUERIES["op9_secrets"](spark, sf_dir).collect())
+    assert got == want
+
+
 def test_secrets_of_any_length_are_masked_whole(spark):
     r = random.Random(8)
     draw = lambda k: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(k))
