@@ -2,11 +2,11 @@
 
 A block holds whole documents. Its ids are dealt to lanes (contiguous runs) that are coded in
 lockstep, so one model, shared by the lanes and adapted after every step, serves thousands of
-ids per vector operation. Each id is predicted by order-2 and order-1 tables of the id
-last seen in a context, with confidences; adaptive probabilities of the three orders are mixed
-logistically, in whole numbers, into the chance of a hit, and what neither order hits is coded
-by adaptive order-0 counts (high, then low byte). A range coder with carries, one per
-lane, writes 16-bit words. Encoder and decoder run the same code, so they can't drift apart.
+ids per vector operation. Order 2 and order 1 predict the id that they saw last in the context, with a
+confidence; adaptive chances of both, by their confidences, are mixed logistically, in whole numbers, into the chances
+that it is the one or the other, and order 0 is a distribution over all ids that shares the rest. One step of a
+range coder with carries, one per lane, codes which order it is, a second one the id by order 0. The coder
+writes 16-bit words. Encoder and decoder run the same code, so they can't drift apart.
 
 Block: MAGIC, crc32 of all that follows, then zlib-packed head (ids of documents, id counts,
 words per lane), then the lanes' words. Blocks start from an empty model and raise ValueError
@@ -32,18 +32,16 @@ from pyspark.sql import functions as F
 from .arrowio import column, map_arrow, store, texts
 from .tokens import encoder
 
-MAGIC = b"RLTB"
+MAGIC = b"RLTC"
 END = 2
 #: Ids of a block (whole documents; a longer document is a block of its own), lanes, and least ids of a lane.
 BLOCK_IDS = 1 << 20
 LANES, LEAST = 4096, 64
-#: Steps between two refreshes of the order-0 table, and how much an id counts in it.
-REFRESH, COUNT = 8, 24
-#: The mixer adapts after each of the first EAGER steps of a block, then after every LAZY-th.
-EAGER, LAZY = 32, 4
+#: The order-0 table is refreshed after the first, second, fourth and then every REFRESH-th step; its counts add up to 2 ** SCALE.
+REFRESH, SCALE = 8, 22
 _ORDER2 = 18
 _LOW = np.uint64((1 << 48) - 1)
-_W16, _W32 = np.uint64(16), np.uint64(32)
+_W16, _W32, _SCALE = np.uint64(16), np.uint64(32), np.uint64(SCALE)
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -66,8 +64,8 @@ class _Encoder:
         self.out = np.zeros((lanes, 3 * steps + 8), np.int32)
         self.at = np.zeros(lanes, np.int64)
 
-    def _narrow(self, lanes, cum: np.ndarray, freq: np.ndarray) -> None:
-        r = self.range[lanes] >> _W16
+    def _narrow(self, lanes, cum: np.ndarray, freq: np.ndarray, shift: np.uint64) -> None:
+        r = self.range[lanes] >> shift
         low = self.low[lanes] + cum.astype(np.uint64) * r
         r *= freq.astype(np.uint64)
         over = low > _LOW
@@ -90,14 +88,17 @@ class _Encoder:
             r[short] <<= _W16
         self.low[lanes], self.range[lanes] = low, r
 
-    def bit(self, lanes, chance: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        self._narrow(lanes, np.where(bits, 0, chance), np.where(bits, chance, 65536 - chance))
-        return bits
-
-    def symbol(self, lanes: np.ndarray, table: np.ndarray, base: np.ndarray, sym: np.ndarray) -> np.ndarray:
-        """Code sym by the cumulative counts table[base + sym], table[base + sym + 1]."""
-        cum = table[base + sym]
-        self._narrow(lanes, cum, table[base + sym + 1] - cum)
+    def which(self, lanes, first: np.ndarray, second: np.ndarray, choice: np.ndarray) -> np.ndarray:
+        """Code 0, 1 or 2, of which 0 ends at chance first and 1 at second (of 2 ** 16)."""
+        cum = np.where(choice == 0, 0, np.where(choice == 1, first, second))
+        end = np.where(choice == 0, first, np.where(choice == 1, second, 65536))
+        self._narrow(lanes, cum, end - cum, _W16)
+        return choice
+
+    def symbol(self, lanes: np.ndarray, table: np.ndarray, sym: np.ndarray) -> np.ndarray:
+        """Code sym by the cumulative counts table[sym], table[sym + 1]."""
+        cum = table[sym]
+        self._narrow(lanes, cum, table[sym + 1] - cum, _SCALE)
         return sym
 
     def words(self) -> list[np.ndarray]:
@@ -114,7 +115,6 @@ class _Decoder:
         self.range = np.full(len(counts), _LOW, np.uint64)
         self.code = self.words[self.at] << _W32 | self.words[self.at + 1] << _W16 | self.words[self.at + 2]
         self.at += 3
-        self.table = self.keys = None
 
     def _narrow(self, lanes, r: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> None:
         code = self.code[lanes] - cum.astype(np.uint64) * r
@@ -127,26 +127,23 @@ class _Decoder:
             r[short] <<= _W16
         self.code[lanes], self.range[lanes] = code, r
 
-    def _value(self, lanes) -> tuple[np.ndarray, np.ndarray]:
-        r = self.range[lanes] >> _W16
-        return r, np.minimum(self.code[lanes] // r, np.uint64(65535)).astype(np.int64)
-
-    def bit(self, lanes, chance: np.ndarray, bits: None) -> np.ndarray:
-        r, v = self._value(lanes)
-        bits = v < chance
-        self._narrow(lanes, r, np.where(bits, 0, chance), np.where(bits, chance, 65536 - chance))
-        return bits
-
-    def symbol(self, lanes: np.ndarray, table: np.ndarray, base: np.ndarray, sym: None) -> np.ndarray:
-        r, v = self._value(lanes)
-        # rows of the table are moved apart, so one search finds all
-        if self.table is not table and len(table) > 257:
-            self.table = table
-            self.keys = table + (np.arange(len(table), dtype=np.int64) // 257 << 17)
-        at = np.searchsorted(self.keys if len(table) > 257 else table, v + (base // 257 << 17), "right") - 1
-        sym = np.clip(at - base, 0, 255)
-        cum = table[base + sym]
-        self._narrow(lanes, r, cum, table[base + sym + 1] - cum)
+    def _value(self, lanes, shift: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        r = self.range[lanes] >> shift
+        return r, np.minimum(self.code[lanes] // r, (np.uint64(1) << shift) - np.uint64(1)).astype(np.int64)
+
+    def which(self, lanes, first: np.ndarray, second: np.ndarray, choice: None) -> np.ndarray:
+        r, v = self._value(lanes, _W16)
+        choice = (v >= first).astype(np.int64) + (v >= second)
+        cum = np.where(choice == 0, 0, np.where(choice == 1, first, second))
+        end = np.where(choice == 0, first, np.where(choice == 1, second, 65536))
+        self._narrow(lanes, r, cum, end - cum)
+        return choice
+
+    def symbol(self, lanes: np.ndarray, table: np.ndarray, sym: None) -> np.ndarray:
+        r, v = self._value(lanes, _SCALE)
+        sym = np.minimum(np.searchsorted(table, v, "right") - 1, 65535)
+        cum = table[sym]
+        self._narrow(lanes, r, cum, table[sym + 1] - cum)
         return sym
 
 
@@ -165,10 +162,14 @@ class _Mixer:
         self.mixed = _SQUASH[np.minimum(np.maximum(total, -2047), 2047) + 2047]
         return self.mixed
 
-    def update(self, bits: np.ndarray) -> None:
+    def update(self, bits: np.ndarray, among: np.ndarray | None = None) -> None:
+        """Learn from the lanes (all, or those among which the question arose)."""
+        contexts, mixed = self.contexts, self.mixed
+        if among is not None:
+            bits, contexts, mixed = bits[among], [c[among] for c in contexts], mixed[among]
         n, hits = max(1, len(bits)), int(np.count_nonzero(bits))
-        error = (bits.astype(np.int64) << 16) - self.mixed
-        for k, c in enumerate(self.contexts):
+        error = (bits.astype(np.int64) << 16) - mixed
+        for k, c in enumerate(contexts):
             p = self.chance[k]
             count = np.bincount(c, minlength=len(p))
             off = np.bincount(c, error, len(p)).astype(np.int64)
@@ -181,10 +182,10 @@ class _Mixer:
 
 
 def _cumulative(counts: np.ndarray) -> np.ndarray:
-    """Rows of 257 cumulative counts of 256 symbols, all at least 1, to at most 65,536."""
-    total = counts.sum(1, keepdims=True)
-    freq = 1 + counts * (65536 - 256) // total
-    return np.concatenate([np.zeros((len(counts), 1), np.int64), np.cumsum(freq, 1)], 1).ravel()
+    """Cumulative counts of all ids, each at least 1, to at most 2 ** SCALE."""
+    total = int(counts.sum())
+    freq = 1 + counts * ((1 << SCALE) - 65536) // total if total else np.full(65536, (1 << SCALE) // 65536, np.int64)
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(freq)])
 
 
 def _code(coder, n: int, lanes: int, steps: int, ids: np.ndarray | None) -> np.ndarray:
@@ -198,8 +199,8 @@ def _code(coder, n: int, lanes: int, steps: int, ids: np.ndarray | None) -> np.n
     # id, and above it how sure it is
     order1, order2 = np.zeros(1 << 16, np.int32), np.zeros(1 << _ORDER2, np.int32)
     hit2, hit1 = _Mixer((16, 256)), _Mixer((256, 16))
-    high, low = np.ones((1, 256), np.int64), np.ones((256, 256), np.int64)
-    cum_high, cum_low = _cumulative(high), _cumulative(low)
+    counts = np.zeros(1 << 16, np.int64)
+    order0 = _cumulative(counts)
     seen: list[np.ndarray] = []
     before1 = np.zeros(lanes, np.int64)
     before2 = np.zeros(lanes, np.int64)
@@ -207,38 +208,25 @@ def _code(coder, n: int, lanes: int, steps: int, ids: np.ndarray | None) -> np.n
         active = lanes if t < rest else lanes - 1
         if not active:
             break
-        adapt = t < EAGER or t % LAZY == 0
         p1, p2 = before1[:active], before2[:active]
         slot = ((p2 * 40503 + p1) * 2654435761 >> 7) & ((1 << _ORDER2) - 1)
         e1, e2 = order1[p1], order2[slot]
         c1, s1, c2, s2 = e1 & 65535, e1 >> 16, e2 & 65535, e2 >> 16
-        actual = grid[t, :active] if ids is not None else None
         both = (s1 << 4) + s2
-        # is it what followed the last two ids?
-        chance = hit2.predict(s2, both)
-        is2 = coder.bit(slice(0, active), chance, actual == c2 if ids is not None else None)
-        if adapt:
-            hit2.update(is2)
-        value = c2.astype(np.int64)
-        lit = np.nonzero(~is2)[0]
-        # or what followed the last id, where that differs?
-        other = c1[lit] != c2[lit]
-        open_ = lit[other]
-        if len(open_):
-            chance = hit1.predict(both[open_], s1[open_])
-            is1 = coder.bit(open_, chance, actual[open_] == c1[open_] if ids is not None else None)
-            if adapt:
-                hit1.update(is1)
-            value[open_[is1]] = c1[open_[is1]]
-            missed = np.ones(len(lit), bool)
-            missed[other] = ~is1
-            lit = lit[missed]
+        # what followed the last two ids; what followed the last one, where that differs; or any id
+        chance2 = hit2.predict(s2, both)
+        differs = c1 != c2
+        chance1 = np.where(differs, np.maximum((65536 - chance2) * hit1.predict(both, s1) >> 16, 1), 0)
+        first, second = chance2, chance2 + chance1
+        actual = grid[t, :active] if ids is not None else None
+        choice = coder.which(slice(0, active), first, second, np.where(actual == c2, 0, np.where(differs & (actual == c1), 1, 2)) if ids is not None else None)
+        hit2.update(choice == 0)
+        hit1.update(choice == 1, differs & (choice > 0))
+        value = np.where(choice == 0, c2, c1).astype(np.int64)
+        lit = np.nonzero(choice == 2)[0]
         if len(lit):
-            a = coder.symbol(lit, cum_high, np.zeros(len(lit), np.int64), actual[lit] >> 8 if ids is not None else None)
-            b = coder.symbol(lit, cum_low, a * 257, actual[lit] & 255 if ids is not None else None)
-            literal = a << 8 | b
-            value[lit] = literal
-            seen.append(literal)
+            value[lit] = coder.symbol(lit, order0, actual[lit] if ids is not None else None)
+            seen.append(value[lit])
         grid[t, :active] = value
         # a context keeps its id while it is confirmed more often than missed
         new = value.astype(np.int32)
@@ -246,11 +234,9 @@ def _code(coder, n: int, lanes: int, steps: int, ids: np.ndarray | None) -> np.n
         order2[slot] = np.where(new == c2, c2 + _UP[s2], np.where(s2 > 1, c2 + _DOWN[s2], new + 65536))
         before2[:active] = p1
         before1[:active] = value
-        if (t + 1) % REFRESH == 0 and seen:
-            fresh = np.bincount(np.concatenate(seen), minlength=1 << 16).reshape(256, 256) * COUNT
-            low += fresh
-            high += fresh.sum(1)[None]
-            cum_high, cum_low = _cumulative(high), _cumulative(low)
+        if seen and (t + 1) % REFRESH == 0 or t in (0, 1, 3):
+            counts += np.bincount(np.concatenate(seen), minlength=1 << 16) if seen else 0
+            order0 = _cumulative(counts)
             seen = []
     return grid.T.ravel()[:n] if ids is None else grid
 
