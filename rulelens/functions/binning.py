@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def quartile_edges(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """One row with an array of five edges per column (linear interpolation, nulls ignored)."""
-    return rows.agg(*[F.percentile(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias(c) for c in columns])
+QUARTILES = [0.0, 0.25, 0.5, 0.75, 1.0]
 
 
 def quartile_bin(value: Column, edges: Column) -> Column:

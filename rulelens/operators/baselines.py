@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import replace
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +14,8 @@ from ..functions.conditions import ColumnValue, Condition, Conjunction, Numerica
 from ..functions.scoring import VIOLATING, purity_value, totals
 from .atoms import evaluate
 from .candidates import typed
+from .pairs import explicit
+from .quantiles import wide
 from .splits import best_splits, entropy
 
 
@@ -83,7 +89,7 @@ def search_space(rows: DataFrame, max_cardinality: int = 50, bins: int = 5) -> l
                 by.setdefault(r[0], []).append(r[1])
             out += [ColumnValue(c, "=", typed(v, rows.schema[c].dataType.simpleString())) for c, vs in sorted(by.items()) if len(vs) <= max_cardinality for v in vs]
     if numbers:
-        cuts = rows.agg(*[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias(c) for c in numbers]).first().asDict()
+        cuts = wide(rows, numbers, [i / bins for i in range(1, bins)]).first().asDict()
         for c in numbers:
             edges = sorted(set(cuts[c] or []))
             for low, high in zip([None, *edges], [*edges, None], strict=True):
@@ -92,6 +98,35 @@ def search_space(rows: DataFrame, max_cardinality: int = 50, bins: int = 5) -> l
     return out
 
 
+def pair_rows(samples: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs of rows as rows (columns named c_1 and c_2, flagged): between groups; satisfying samples without such pairs give all theirs."""
+    sides = lambda p: p.select(*[F.col(f"{s}.{c}").alias(f"{c}_{i}") for c in columns for i, s in ((1, "a"), (2, "b"))], F.col(f"a.{VIOLATING}").alias(VIOLATING))
+    between = explicit(samples, "between_groups")
+    sat = samples.where(~F.col(VIOLATING))
+    if between.where(~F.col(f"a.{VIOLATING}")).isEmpty():
+        between = between.unionByName(explicit(sat, "all_combinations"))
+    return sides(between)
+
+
+def row_condition(condition: Condition) -> Condition:
+    """A condition over columns of pairs as one over rows: the suffix goes, parts that become equal are one."""
+    if isinstance(condition, Conjunction):
+        parts = frozenset(map(row_condition, condition.conditions))
+        return next(iter(parts)) if len(parts) == 1 else Conjunction(parts)
+    return replace(condition, column=re.sub(r"_[12]$", "", condition.column))
+
+
+def pair_tree_rules(samples: DataFrame, categorical: list[str], numerical: list[str], **limits) -> list[dict]:
+    """tree_rules over the pairs of samples, with conditions over rows."""
+    twice = lambda names: [f"{c}_{i}" for c in names for i in (1, 2)]
+    rows = pair_rows(samples, [*categorical, *numerical]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        found = tree_rules(rows, twice(categorical), twice(numerical), **limits)
+    finally:
+        rows.unpersist()
+    return [r | {"condition": row_condition(r["condition"])} for r in found]
+
+
 def wracc(counts: DataFrame) -> DataFrame:
     """Adds wracc, the weighted relative accuracy for satisfying rows, to counts with totals."""
     n, p = F.col("n_sat") + F.col("n_vio"), F.col("n_sat") / (F.col("n_sat") + F.col("n_vio"))

@@ -44,5 +44,34 @@ def matches(rows: DataFrame, found: Condition, sought: Condition) -> bool:
 
 
 def rank_of(rows: DataFrame, ranking: list[dict], sought: Condition) -> int | None:
-    """Place from 1 of the first match, None if there is none."""
-    return next((i for i, r in enumerate(ranking, 1) if matches(rows, r["condition"], sought)), None)
+    """Place from 1 of the first match, None if there is none. Numeric parts are compared in one aggregation."""
+    parts = lambda c: sorted(c.conditions, key=str) if isinstance(c, Conjunction) else [c]
+    targets = [x for x in parts(sought) if isinstance(x, Numerical)]
+    close: dict[tuple[Numerical, Numerical], bool] = {}
+    for r in ranking:
+        for x in parts(r["condition"]):
+            if isinstance(x, Numerical):
+                for y in targets:
+                    if x.column == y.column and x.op == y.op:
+                        close[x, y] = abs(x.value - y.value) < 1e-9
+    open_ = [k for k, same in close.items() if not same]
+    if open_:
+        masks = [(x.to_column(rows.schema), y.to_column(rows.schema)) for x, y in open_]
+        counts = rows.agg(*[F.count(F.when(c, 1)).alias(f"{n}{i}") for i, (x, y) in enumerate(masks) for n, c in (("both", x & y), ("either", x | y))]).first()
+        close |= {k: counts[f"either{i}"] == 0 or counts[f"both{i}"] / counts[f"either{i}"] >= ALIKE for i, k in enumerate(open_)}
+
+    def same(x: Condition, y: Condition) -> bool:
+        return x == y or isinstance(x, Numerical) and close.get((x, y), False)
+
+    def fits(found: Condition) -> bool:
+        if type(found) is not type(sought):
+            return False
+        left = parts(sought)
+        for x in parts(found):
+            hit = next((y for y in left if same(x, y)), None)
+            if hit is None:
+                return False
+            left.remove(hit)
+        return not left
+
+    return next((i for i, r in enumerate(ranking, 1) if fits(r["condition"])), None)

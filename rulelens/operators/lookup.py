@@ -52,9 +52,24 @@ def entities(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def entity_groups(df: DataFrame, groups: DataFrame, key: str) -> DataFrame:
-    """(entity, n_rows, complete) and their rows as `rows` for groups (entity, id): complete says whether no id is missing."""
+    """(entity, n_rows, complete) for groups (entity, id): complete says whether no id is missing."""
     wanted = groups.select("entity", F.col("id").alias("__id")).distinct()
     expected = wanted.groupBy("entity").agg(F.count(F.lit(1)).alias("__expected"))
     found = wanted.join(df, F.col("__id") == F.col(key))
     got = found.groupBy("entity").agg(F.countDistinct("__id").alias("__found"), F.count(F.lit(1)).alias("n_rows"))
     return expected.join(got, "entity", "left").select("entity", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), (F.coalesce("__found", F.lit(0)) == F.col("__expected")).alias("complete"))
+
+
+def entity_group_rows(df: DataFrame, groups: DataFrame, key: str, strict: bool = True) -> DataFrame:
+    """The rows of groups (entity, id), each with its entity; strict: ValueError if a group has an id without a row.
+
+    Rows stay rows, so a group of any size is no single value.
+    """
+    if key not in df.columns:
+        raise ValueError(f"there is no column {key!r}")
+    if strict:
+        missing = [r[0] for r in entity_groups(df, groups, key).where(~F.col("complete")).select("entity").orderBy("entity").limit(5).collect()]
+        if missing:
+            raise ValueError(f"ids of these groups have no rows: {missing}")
+    wanted = groups.select("entity", F.col("id").alias("__id")).distinct()
+    return wanted.join(df, F.col("__id") == F.col(key)).drop("__id")

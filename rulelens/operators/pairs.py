@@ -40,8 +40,9 @@ def _unit(pattern: str) -> str:
 
 
 def _pairs(pattern: str, n: Column, squares: Column) -> Column:
-    out = {"between_groups": n * n - squares, "within_groups": (squares - n) / 2, "all_combinations": (n * n - squares) / 2}[pattern]
-    return out.cast("long")
+    # whole numbers throughout: what is halved is even
+    half = lambda x: F.shiftright(x.cast("long"), 1)
+    return {"between_groups": n * n - squares, "within_groups": half(squares - n), "all_combinations": half(n * n - squares)}[pattern].cast("long")
 
 
 def _pair_sum(long: DataFrame, keys: list[str], pattern: str) -> DataFrame:
@@ -53,6 +54,35 @@ def _pair_sum(long: DataFrame, keys: list[str], pattern: str) -> DataFrame:
     return counted.groupBy(*keys).agg(F.sum("p").alias("pairs")) if keys else counted.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("pairs"))
 
 
+def all_patterns(long: DataFrame, keys: list[str]) -> DataFrame:
+    """(pattern, keys..., pairs) for every pattern at once, from rows (sample_id, role, row_id, keys...): one pass over them."""
+    kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("role").cast("string").alias("unit")), F.struct(F.lit(1).alias("kind"), F.col("row_id").cast("string").alias("unit")))
+    per_unit = long.select("sample_id", *keys, F.explode(kinds).alias("u")).groupBy("sample_id", *keys, "u.kind", "u.unit").agg(F.count(F.lit(1)).alias("k"))
+    of = lambda kind, x: F.coalesce(F.sum(F.when(F.col("kind") == kind, x)), F.lit(0))
+    square = F.col("k") * F.col("k")
+    per_sample = per_unit.groupBy("sample_id", *keys).agg(of(0, F.col("k")).alias("n"), of(0, square).alias("roles"), of(1, square).alias("rows"))
+    counts = F.array(*[F.struct(F.lit(p).alias("pattern"), _pairs(p, F.col("n"), F.col("rows" if _unit(p) == "row_id" else "roles")).alias("p")) for p in PATTERNS])
+    return per_sample.select(*keys, F.explode(counts).alias("x")).groupBy("x.pattern", *keys).agg(F.sum("x.p").alias("pairs"))
+
+
+def matching_all(samples: DataFrame, conditions: list[Condition]) -> DataFrame:
+    """(pattern, cond, pairs) as `matching` gives them, for every pattern."""
+    hits = F.filter(F.array(*[F.when(c.to_column(samples.schema), F.lit(i)) for i, c in enumerate(conditions)]), lambda x: x.isNotNull())
+    return all_patterns(samples.select("sample_id", "role", "row_id", F.explode(hits).alias("cond")), ["cond"])
+
+
+def pairwise_all(samples: DataFrame, columns: list[str]) -> DataFrame:
+    """(pattern, column, op, pairs) as `pairwise` gives them, for every pattern."""
+    values = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
+    long = samples.select("sample_id", "role", "row_id", F.explode(values).alias("x")).select("sample_id", "role", "row_id", "x.column", "x.value").where("value IS NOT NULL")
+    # a null value stands for all values of the column
+    both = all_patterns(long.unionByName(long.withColumn("value", F.lit(None).cast("string"))), ["column", "value"])
+    same = F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("pairs"))), F.lit(0)).alias("same")
+    whole = both.groupBy("pattern", "column").agg(F.sum(F.when(F.col("value").isNull(), F.col("pairs"))).alias("filled"), same)
+    ops = F.array(F.struct(F.lit("=").alias("op"), F.col("same").alias("pairs")), F.struct(F.lit("!=").alias("op"), (F.col("filled") - F.col("same")).alias("pairs")))
+    return whole.select("pattern", "column", F.explode(ops).alias("x")).select("pattern", "column", "x.op", "x.pairs")
+
+
 def total(samples: DataFrame, pattern: str) -> DataFrame:
     """One row: pairs of all samples."""
     return _pair_sum(samples, [], pattern)

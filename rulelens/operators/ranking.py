@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.conditions import ColumnValue, Condition, Conjunction, MergedValues, Numerical, PairWise
+from .quantiles import wide
 from ..functions.scoring import FINAL_WEIGHT, MERGE_WEIGHT, informedness, rank_value
 
 
@@ -57,7 +58,9 @@ def retrieval(ranks: DataFrame, rank: str = "rank") -> DataFrame:
 def summary(values: DataFrame, column: str) -> DataFrame:
     """Count, mean, median, minimum, maximum and population deviation."""
     v = F.col(column).cast("double")
-    return values.agg(F.count(v).alias("n"), F.sum(v).alias("total"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.min(v).alias("least"), F.max(v).alias("most"), F.stddev_pop(v).alias("deviation"))
+    middle = wide(values, [column], [0.5]).select(F.get(F.col(column), F.lit(0)).alias("median"))
+    whole = values.agg(F.count(v).alias("n"), F.sum(v).alias("total"), F.avg(v).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most"), F.stddev_pop(v).alias("deviation"))
+    return whole.join(F.broadcast(middle)).select("n", "total", "mean", "median", "least", "most", "deviation")
 
 
 def hybrid(results: list[dict], relevance: dict[str, str], semantic: float = 0.2, statistical: float = 0.8) -> list[dict]:

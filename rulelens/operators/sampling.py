@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.binning import quartile_bin, quartile_edges, width_bin
+from ..functions.binning import QUARTILES, quartile_bin, width_bin
+from . import quantiles
 
 MULTIPLIER, MODULUS = 2654435761, 4294967296
 
@@ -20,6 +21,15 @@ def uniform(rows: DataFrame, k: int, row_id: str = "row_id", seed: int = 0) -> D
     return rows.orderBy(hash_order(F.col(row_id), seed), row_id).limit(max(0, k))
 
 
+def sample(rows: DataFrame, k: int, informed: bool = True, categorical: list[str] | None = None, min_per_group: int = 1, row_id: str = "row_id", seed: int = 0) -> DataFrame:
+    """k rows, covering values, quartiles and nulls or in hash order; none if k < 1, all rows unchanged if there are no more than k."""
+    if k < 1:
+        return rows.limit(0)
+    if rows.limit(k + 1).count() <= k:
+        return rows
+    return informative(rows, k, categorical or [], min_per_group, row_id, seed) if informed else uniform(rows, k, row_id, seed)
+
+
 def informative(rows: DataFrame, k: int, categorical: list[str], min_per_group: int = 1, row_id: str = "row_id", seed: int = 0) -> DataFrame:
     """k rows that cover values, quartiles, nulls and texts; the rest in hash order.
 
@@ -31,7 +41,7 @@ def informative(rows: DataFrame, k: int, categorical: list[str], min_per_group:
     nullable = [n for n, v in rows.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in names]).first().asDict().items() if v] if names else []
     base = rows
     if numbers:
-        edges = quartile_edges(rows, numbers).select(*[F.col(c).alias(f"__e{i}") for i, c in enumerate(numbers)])
+        edges = quantiles.wide(rows, numbers, QUARTILES).select(*[F.col(c).alias(f"__e{i}") for i, c in enumerate(numbers)])
         base = rows.join(F.broadcast(edges))
     keys = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"v:{c}:"), F.col(c).cast("string"))) for c in categorical if c in names]
     keys += [F.concat(F.lit(f"q:{c}:"), quartile_bin(F.col(c), F.col(f"__e{i}")).cast("string")) for i, c in enumerate(numbers)]

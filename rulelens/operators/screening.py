@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.binning import quartile_bin, quartile_edges
+from ..functions.binning import QUARTILES, quartile_bin
 from ..functions.scoring import VIOLATING
+from . import quantiles
 
 MIN_GAIN, MIN_GROUP, HIGH = 0.20, 10, 0.95
 
@@ -24,7 +25,7 @@ def categorical(rows: DataFrame, columns: list[str], min_group: int = MIN_GROUP)
 
 def numerical(rows: DataFrame, columns: list[str], min_group: int = MIN_GROUP) -> DataFrame:
     """(column, value, valid, n) of quartile bins; columns with fewer than two groups' worth of values have none."""
-    edges = quartile_edges(rows, columns).select(*[F.col(c).alias(f"__edges_{i}") for i, c in enumerate(columns)])
+    edges = quantiles.wide(rows, columns, QUARTILES).select(*[F.col(c).alias(f"__edges_{i}") for i, c in enumerate(columns)])
     filled = rows.agg(*[F.count(c).alias(f"__filled_{i}") for i, c in enumerate(columns)])
     both = rows.join(F.broadcast(edges)).join(F.broadcast(filled))
     value = lambda i, c: F.when(F.col(f"__filled_{i}") >= 2 * min_group, quartile_bin(F.col(f"`{c}`"), F.col(f"__edges_{i}")).cast("string"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.binning import quartile_bin, quartile_edges, width_bin
+from ..functions.binning import QUARTILES, quartile_bin, width_bin
 from ..functions.conditions import ColumnValue, Conjunction, MergedValues, Numerical
 from ..functions.scoring import VIOLATING
-from ..operators import atoms, baselines, conjunctions, evaluation, lookup, pairs, ranking, rules, sampling, screening, splits
+from ..operators import atoms, baselines, conjunctions, evaluation, lookup, pairs, quantiles, ranking, rules, sampling, screening, splits
 from ..streaming import incremental
-from . import discovery, multi_row, single_row
+from . import batch, discovery, multi_row, single_row
 from .oracles import ORACLES  # noqa: F401
 
 CATEGORICAL = ["o_year", "l_returnflag", "l_linestatus", "o_orderpriority", "supp_class"]
@@ -130,7 +130,7 @@ def numeric_split_stats(spark, sf_dir):
 
 def quartile_bins(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")
-    edges = quartile_edges(rows, ["l_extendedprice"]).select(F.col("l_extendedprice").alias("edges"))
+    edges = quantiles.wide(rows, ["l_extendedprice"], QUARTILES).select(F.col("l_extendedprice").alias("edges"))
     return rows.join(F.broadcast(edges)).select(quartile_bin(F.col("l_extendedprice"), F.col("edges")).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -173,15 +173,12 @@ _PAIR_CONDITIONS = [ColumnValue("l_returnflag", "=", "R"), Numerical("l_quantity
 
 
 def pair_both_sides(spark, sf_dir):
-    rows = keyed_samples(spark, sf_dir)
-    parts = [pairs.matching(rows, _PAIR_CONDITIONS, p).select(F.lit(p).alias("pattern"), "cond", "pairs") for p in pairs.PATTERNS]
-    return parts[0].union(parts[1]).union(parts[2])
+    return pairs.matching_all(keyed_samples(spark, sf_dir), _PAIR_CONDITIONS)
 
 
 def _pairwise(spark, sf_dir, op):
     rows = keyed_samples(spark, sf_dir).withColumn("supp", F.when(F.col("l_suppkey") % 7 != 0, F.col("l_suppkey") % 5))
-    parts = [pairs.pairwise(rows, ["l_returnflag", "supp"], p).where(F.col("op") == op).select(F.lit(p).alias("pattern"), "column", "pairs") for p in pairs.PATTERNS]
-    return parts[0].union(parts[1]).union(parts[2])
+    return pairs.pairwise_all(rows, ["l_returnflag", "supp"]).where(F.col("op") == op).select("pattern", "column", "pairs")
 
 
 def pairwise_eq(spark, sf_dir):
@@ -292,6 +289,40 @@ def reconstruct_samples(spark, sf_dir):
     return sampling.reconstruct(kept, _customers(spark, sf_dir))
 
 
+def entity_group_rows(spark, sf_dir):
+    chosen = table(spark, sf_dir, "orders").select("o_custkey").distinct()
+    groups = table(spark, sf_dir, "customer").join(chosen, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select(F.col("c_nationkey").alias("entity"), F.col("c_custkey").alias("id"))
+    return lookup.entity_group_rows(table(spark, sf_dir, "orders"), groups, "o_custkey").select("entity", "o_orderkey", "o_custkey")
+
+
+def sample_rows(spark, sf_dir):
+    rows = _customers(spark, sf_dir)
+    return sampling.sample(rows, 80, False).select("row_id").unionByName(sampling.sample(rows.where("nation = '3'"), 1 << 30, True, ["nation"]).select("row_id"))
+
+
+def tree_pairs(spark, sf_dir):
+    pairs_ = baselines.pair_rows(keyed_samples(spark, sf_dir), ["l_returnflag", "l_quantity"])
+    total = lambda c: F.sum(c).cast("double").alias(c)
+    return pairs_.groupBy(VIOLATING, "l_returnflag_1", "l_returnflag_2").agg(F.count(F.lit(1)).alias("n"), total("l_quantity_1"), total("l_quantity_2")).withColumnRenamed(VIOLATING, "vio")
+
+
+_SOUGHT = [ColumnValue("o_year", "=", 1995), ColumnValue("l_returnflag", "!=", "R"), ColumnValue("supp_class", "=", "S1"), ColumnValue("l_linestatus", "=", "F"), ColumnValue("o_orderpriority", "=", "5-LOW"), ColumnValue("o_year", "!=", 1900)]
+
+
+def batch_metrics(spark, sf_dir):
+    rows = base(spark, sf_dir).persist()
+    work = [batch.Task("orders", "temporal", i, "items ship on or after the order's date", rows, discovery.SINGLE, c, CATEGORICAL, []) for i, c in enumerate(_SOUGHT)]
+    known: list[dict] = []
+
+    def strategy(task):  # one list for all, as the rows are the same
+        known.extend([] if known else batch.atom_strategy(task))
+        return known
+
+    found = batch.run(work, strategy).metrics(spark)
+    rows.unpersist()
+    return found.select("rules", *[F.round(c, 6).alias(c) for c in ("hits_at_1", "hits_at_3", "hits_at_5", "hits_at_10", "mrr")])
+
+
 def condition_iou(spark, sf_dir):
     found = evaluation.overlap(base(spark, sf_dir), Numerical("o_totalprice", "<", 150000.0), Numerical("o_totalprice", "<", 151000.0))
     return found.select("both", "either", F.round("iou", 6).alias("iou"))
@@ -409,5 +440,5 @@ pairs_all_combinations pair_both_sides pairwise_eq pairwise_neq penalty_whole_gr
 confidence_with_violations flatten_samples redundancy_filter final_ranking ranking_metrics timing_summary sample_uniform
 sample_informative rarity_score hier_sample reconstruct_samples condition_iou one_hot tree_stump search_space wracc subgroup_level1
 suggest_single_row suggest_multi_between suggest_multi_within suggest_multi_whole discover tree_rules subgroup_beam hybrid_rank
-rule_functional_dependency rule_unique_key rule_sum_comparison rule_sum_threshold rule_monotonic rule_reference_equality stream_atom_counts"""
+entity_group_rows sample_rows tree_pairs batch_metrics rule_functional_dependency rule_unique_key rule_sum_comparison rule_sum_threshold rule_monotonic rule_reference_equality stream_atom_counts"""
 QUERIES = {name: globals()[name] for name in _NAMES.split()}

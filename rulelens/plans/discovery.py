@@ -8,6 +8,7 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame
 
+from ..operators.lookup import profile
 from . import multi_row, single_row
 
 SINGLE = "single_row_rule"
@@ -78,6 +79,9 @@ class Engine:
     def discover(self, rule: str, rule_type: str, data: DataFrame, rule_columns: list[str] | None = None) -> list[dict]:
         """Ranked conditions for flagged rows (single_row_rule) or flagged samples (any other rule type)."""
         about = {c: self.meanings.get(c, "") for c in [*self.categorical, *self.numerical]}
+        if hasattr(self.advisor, "inform") and self._utility is None:
+            known = profile(data, [c for c in about if c in data.columns]).collect()
+            self.advisor.inform({r["column"]: r["first_values"].split("|") for r in known}, {r["column"]: r["n_distinct"] for r in known})
         relevant = self._ask(lambda: self.advisor.relevance(rule, about), {})
         kept = {c for c in about if relevant.get(c, RELEVANCE[0]) != "unrelated"}
         if self._utility is None:
@@ -95,3 +99,9 @@ class Engine:
             out = multi_row.suggest(data, categorical, numerical, multi_row.pattern_of(rule_type), domains, special, identifiers, groups)
         self.timing.mining += time.time() - began
         return out
+
+    def verified(self, rule: str, results: list[dict], top: int = 10) -> list[dict]:
+        """Results without those of the first `top` that the advisor finds senseless; a failure leaves them."""
+        about = {c: self.meanings.get(c, "") for c in [*self.categorical, *self.numerical]}
+        sound = lambda r: self._ask(lambda: (self.advisor.verify(rule, str(r["condition"]), about),), (True,))[0]
+        return [r for i, r in enumerate(results) if i >= top or sound(r)]

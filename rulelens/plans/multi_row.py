@@ -20,6 +20,7 @@ from ..operators import pairs as P
 from ..operators.conjunctions import combinations, occurrences
 from ..operators.ranking import ranked
 from ..operators.splits import best_splits
+from .single_row import leading
 
 # Support and score limits of the stages.
 MIN_SUPPORT = 10
@@ -119,8 +120,9 @@ def _suggest(samples: DataFrame, used: list[str], categorical: list[str], numeri
     missing = [c for c in valued if c not in given]
     if missing:
         found = samples.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in missing])).alias("x")).select("x.*").where("v IS NOT NULL")
-        for r in found.groupBy("c", "v").count().orderBy(F.desc("count"), "c", "v").limit(500 * len(missing)).collect():
-            given.setdefault(r["c"], []).append(G.typed(r["v"], samples.schema[r["c"]].dataType.simpleString()))
+        counted = found.groupBy(F.col("c").alias("column"), F.col("v").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        for r in leading(counted, F.col("n")).orderBy(F.desc("n"), "column", "value").collect():
+            given.setdefault(r["column"], []).append(G.typed(r["value"], samples.schema[r["column"]].dataType.simpleString()))
     domain = {c: v for c, v in G.domains(given, special).items() if c in valued}
     atoms = e.rows(list(G.atoms(domain)))
     paired = e.pairwise(list(dict.fromkeys([*domain, *[c for c in used if c in identifiers]])))

@@ -196,6 +196,12 @@ SELECT n > 0 AND global_valid <= 0.95 AND greatest(round(top_valid, 10) - global
     "sample_informative": _INFORMATIVE,
     "rarity_score": f"{_RARITY} SELECT row_id, round(CAST(score AS DOUBLE), 8) AS score FROM rar",
     "hier_sample": _HIER,
+    "entity_group_rows": "SELECT c_nationkey AS entity, o_orderkey, o_custkey FROM customer JOIN orders ON c_custkey = o_custkey",
+    "sample_rows": f"{CUSTOMERS} SELECT row_id FROM (SELECT row_id FROM cust ORDER BY {_SPOT}, row_id LIMIT 80) UNION ALL SELECT row_id FROM cust WHERE nation = '3'",
+    "tree_pairs": f"{SAMPLES} SELECT a.vio AS vio, a.l_returnflag AS l_returnflag_1, b.l_returnflag AS l_returnflag_2, CAST(count(*) AS BIGINT) AS n, CAST(sum(a.l_quantity) AS DOUBLE) AS l_quantity_1, CAST(sum(b.l_quantity) AS DOUBLE) AS l_quantity_2 FROM smp a JOIN smp b USING (sample_id) WHERE {_RESIDUAL['between_groups']} GROUP BY 1, 2, 3",
+    "batch_metrics": f"""{_SCORED}, placed AS (SELECT row_number() OVER (ORDER BY round(score + 0.4 * (confidence - penalty), 10) DESC, round(confidence, 10) DESC, expr) AS place, expr FROM kept),
+sought AS (SELECT unnest(['o_year = 1995', 'l_returnflag != R', 'supp_class = S1', 'l_linestatus = F', 'o_orderpriority = 5-LOW', 'o_year != 1900']) AS expr),
+r AS (SELECT place AS rank FROM sought LEFT JOIN placed USING (expr)) SELECT CAST(count(*) AS BIGINT) AS rules, """ + ", ".join(f"round(avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0.0 END), 6) AS hits_at_{k}" for k in (1, 3, 5, 10)) + ", round(avg(coalesce(1.0 / rank, 0.0)), 6) AS mrr FROM r",
     "condition_iou": f"{BASE} SELECT CAST(count(*) FILTER (o_totalprice < 150000) AS BIGINT) AS both, CAST(count(*) FILTER (o_totalprice < 151000) AS BIGINT) AS either, round(count(*) FILTER (o_totalprice < 150000) / count(*) FILTER (o_totalprice < 151000), 6) AS iou FROM base",
     "one_hot": f"{BASE} SELECT " + ", ".join(f"CAST(count(*) FILTER (o_year = {y}) AS BIGINT) AS o_year_{y}" for y in (1995, 1996, 1997, 1998)) + ", CAST(count(*) FILTER (supp_class = 'S0') AS BIGINT) AS supp_class_s0, CAST(count(*) FILTER (supp_class = 'S1') AS BIGINT) AS supp_class_s1, CAST(count(*) FILTER (supp_class IS NULL) AS BIGINT) AS supp_class_none, CAST(sum(l_quantity) AS DOUBLE) AS quantity FROM base",
     "tree_stump": _GAINS,

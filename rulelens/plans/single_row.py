@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.conditions import ColumnValue, Conjunction, MergedValues
-from ..functions.scoring import VIOLATING, purity_value, totals
+from ..functions.scoring import MERGE_WEIGHT, VIOLATING, informedness, purity_value, totals
 from ..operators import candidates as G
 from ..operators.atoms import evaluate, value_counts
 from ..operators.conjunctions import combinations
@@ -20,10 +20,18 @@ from ..operators.splits import best_splits
 MIN_SUPPORT = 5
 OUT_ATOM, OUT_NUMERIC, MERGE, OUT_MERGED, PARENT, OUT_CONJUNCTION = 0.53, 0.5, 0.5, 0.5, 0.4, 0.5
 PER_COLUMN = 10
-#: Values of a column that are taken as its domain when none is given.
+#: Most frequent values of a column that are taken as its domain when none is given, column by column; given domains are whole.
 MOST_VALUES = 500
 
 
+def leading(counted: DataFrame, n: Column, whole: Iterable[str] = ()) -> DataFrame:
+    """Rows (column, value, ...) with the MOST_VALUES largest n of each column, and all of the columns in `whole`."""
+    place = F.row_number().over(Window.partitionBy("column").orderBy(n.desc(), "value"))
+    free = counted.where(~F.col("column").isin(*whole)) if whole else counted
+    out = free.withColumn("__place", place).where(F.col("__place") <= MOST_VALUES).drop("__place")
+    return out.unionByName(counted.where(F.col("column").isin(*whole))) if whole else out
+
+
 def _result(condition, sat: int, vio: int, n_sat: int, n_vio: int, min_support: int) -> dict:
     c, p = sat / n_sat if n_sat else 0.0, vio / n_vio if n_vio else 0.0
     return {"condition": condition, "sat_matches": sat, "vio_matches": vio, "confidence": c, "penalty": p, "score": purity_value(c, p, sat, min_support)}
@@ -60,7 +68,13 @@ def _suggest(rows: DataFrame, categorical: list[str], numerical: list[str], doma
             for w in wanted[1:]:
                 keep = keep | w
             counted = counted.where(keep)
-        for r in counted.orderBy(F.desc(F.col("sat") + F.col("vio")), "column", "value").limit(MOST_VALUES * len(categorical)).collect():
+        # special values join a domain, so their counts are needed as well
+        marked = [c for c in special or {} if c in categorical and c not in known]
+        extra = [(F.col("column") == c) & F.col("value").isin(*map(str, special[c])) for c in marked if special[c]]
+        chosen = leading(counted, F.col("sat") + F.col("vio"), list(known))
+        for x in extra:
+            chosen = chosen.unionByName(counted.where(x))
+        for r in chosen.distinct().orderBy(F.desc(F.col("sat") + F.col("vio")), "column", "value").collect():
             counts[r["column"]][G.typed(r["value"], rows.schema[r["column"]].dataType.simpleString())] = (r["sat"], r["vio"])
     given = {c: (domains or {}).get(c) if (domains or {}).get(c) is not None else [v for v in counts[c] if v is not None] for c in categorical}
     domain = G.domains(given, special)
@@ -89,6 +103,17 @@ def _suggest(rows: DataFrame, categorical: list[str], numerical: list[str], doma
     return ranked(out)
 
 
+def best_sets(found: DataFrame, pool: list, keep: int = 2) -> DataFrame:
+    """Of sets (ids) of conditions over the same columns the best `keep`, as the redundancy filter ranks them; the rest never comes to the driver."""
+    names = F.array(*[F.lit(",".join(sorted(c.columns()))) for c in pool])
+    texts = F.array(*[F.lit(str(c)) for c in pool])
+    own = lambda of: F.sort_array(F.transform("ids", lambda i: F.get(of, i.cast("int"))))
+    rank = F.col("score") + F.lit(MERGE_WEIGHT) * informedness()
+    order = Window.partitionBy("__columns").orderBy(F.desc(F.round(rank, 10)), F.desc(F.round("confidence", 10)), "__text")
+    named = found.withColumns({"__columns": F.array_join(own(names), ","), "__text": F.array_join(own(texts), " AND ")})
+    return named.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= keep).drop("__place", "__columns", "__text")
+
+
 def conjoined(rows: DataFrame, parents: list[dict], groups: list[list[str]], min_support: int, least: float) -> list[dict]:
     """Conjunctions of two and three parents within the legal pools."""
     out, done = [], set()
@@ -96,7 +121,7 @@ def conjoined(rows: DataFrame, parents: list[dict], groups: list[list[str]], min
         pool = sorted((c for c in pool if isinstance(c, (ColumnValue, MergedValues)) or not isinstance(c, Conjunction)), key=str)
         if len({next(iter(c.columns())) for c in pool}) < 2:
             continue
-        for r in combinations(rows, pool, min_support).where(F.col("score") > least).collect():
+        for r in best_sets(combinations(rows, pool, min_support).where(F.col("score") > least), pool).collect():
             condition = Conjunction(frozenset(pool[i] for i in r["ids"]))
             if condition not in done:
                 done.add(condition)

@@ -73,10 +73,11 @@ class MonotonicRule(Rule):
 
 @dataclass
 class ReferencingPair:
-    """A column whose values point to an identifier column."""
+    """A column whose values point to an identifier column. The names of the fields in stored files."""
 
-    referencing_column: str
-    referenced_column: str
+    identifier_column: str
+    reference_column: str
+    details: str = ""
 
 
 # Names of the rule models in stored files.
@@ -175,6 +176,12 @@ class DataUnderstanding:
     referencing_column_pairs: list[ReferencingPair] | None = None
     samples: str | None = None
 
+    def sample_rows(self, spark):
+        """The sample rows as a DataFrame; None if there are none."""
+        from .tables import read_csv
+
+        return read_csv(spark, self.samples) if self.samples and Path(self.samples).exists() else None
+
     def save(self, folder: str, samples=None) -> None:
         """data_understanding.json, and the sample rows (a small DataFrame) as samples.csv."""
         Path(folder).mkdir(parents=True, exist_ok=True)
@@ -197,4 +204,4 @@ class DataUnderstanding:
         sets = lambda name: {k: set(v) if isinstance(v, list) else set() for k, v in (data.get(name) or {}).items()}
         pairs = data.get("referencing_column_pairs")
         pairs = pairs.get("pairs", pairs.get("column_pairs")) if isinstance(pairs, dict) else pairs
-        return cls(data.get("detailed_description", ""), data.get("column_meanings") or {}, sets("categorical_columns"), data.get("syntactic_columns") or [], sets("special_values"), data.get("column_groups") or [], [ReferencingPair(**p) if isinstance(p, dict) else p for p in pairs] if pairs is not None else None, str(csv))
+        return cls(data.get("detailed_description", ""), data.get("column_meanings") or {}, sets("categorical_columns"), data.get("syntactic_columns") or [], sets("special_values"), data.get("column_groups") or [], [ReferencingPair(**{k: p[k] for k in ("identifier_column", "reference_column", "details") if k in p}) if isinstance(p, dict) else p for p in pairs] if pairs is not None else None, str(csv))

@@ -39,6 +39,14 @@ def sniff_encoding(head: bytes, encodings: Iterable[str] = ENCODINGS) -> str:
     raise ValueError("no encoding fits")
 
 
+def whole_encoding(spark: SparkSession, path: str, name: str) -> str:
+    """The encoding of the head, unless it is UTF-8 and a later line is not: then the next one that takes any bytes."""
+    if name not in ("utf-8", "utf-8-sig", "ascii"):
+        return name
+    bad = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
+    return "iso-8859-1" if bad else name
+
+
 def sniff_delimiter(text: str, among: str = ",;") -> str:
     """The delimiter whose count per line is the same, most often; else the more frequent one."""
     lines = [x for x in text.splitlines()[:SNIFFED_LINES] if x.strip()]
@@ -58,7 +66,7 @@ def read_csv(spark: SparkSession, path: str, schema=None, delimiter: str | None
     head = head_of(spark, path)
     if not head.strip():
         raise ValueError(f"{path} is empty")
-    encoding = encoding or sniff_encoding(head)
+    encoding = encoding or whole_encoding(spark, path, sniff_encoding(head))
     delimiter = delimiter or sniff_delimiter(head.decode(encoding, "replace"))
     reader = spark.read.option("sep", delimiter).option("header", True).option("encoding", {"utf-8-sig": "utf-8", "latin1": "iso-8859-1"}.get(encoding, encoding))
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
