@@ -148,37 +148,33 @@ class _Decoder:
 
 
 class _Mixer:
-    """Chance of a hit from the adaptive chances of two contexts and the chance in all contexts."""
+    """Chance of a hit for each pair of confidences (s1 << 4 | s2): one context's, both's and the chance in all, mixed.
 
-    def __init__(self, sizes: tuple[int, int]):
-        self.chance = [np.full(n, 32768, np.int64) for n in (*sizes, 1)]
+    All lanes with one pair of confidences have one chance, so tables are mixed and learned, not lanes.
+    """
+
+    def __init__(self, narrow: np.ndarray):
+        self.narrow = narrow
+        self.chance = [np.full(n, 32768, np.int64) for n in (16, 256, 1)]
         self.weight = [90, 90, 40]
 
-    def predict(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    def table(self) -> np.ndarray:
         a, b, c = (_STRETCH[p >> 4] for p in self.chance)
-        # weights meet the small tables, rows only the sum
-        total = ((a * self.weight[0])[first] + (b * self.weight[1])[second] + int(c[0]) * self.weight[2]) >> 7
-        self.contexts = first, second
+        total = (a[self.narrow] * self.weight[0] + b * self.weight[1] + int(c[0]) * self.weight[2]) >> 7
         self.mixed = _SQUASH[np.minimum(np.maximum(total, -2047), 2047) + 2047]
         return self.mixed
 
-    def update(self, bits: np.ndarray, among: np.ndarray | None = None) -> None:
-        """Learn from the lanes (all, or those among which the question arose)."""
-        contexts, mixed = self.contexts, self.mixed
-        if among is not None:
-            bits, contexts, mixed = bits[among], [c[among] for c in contexts], mixed[among]
-        n, hits = max(1, len(bits)), int(np.count_nonzero(bits))
-        error = (bits.astype(np.int64) << 16) - mixed
-        for k, c in enumerate(contexts):
+    def update(self, count: np.ndarray, hits: np.ndarray) -> None:
+        """Learn from how often each pair of confidences came up, and was right."""
+        n = max(1, int(count.sum()))
+        error = (hits << 16) - count * self.mixed
+        fold = lambda x: np.bincount(self.narrow, x, 16).astype(np.int64)
+        for k, (c, h, e) in enumerate(((fold(count), fold(hits), fold(error)), (count, hits, error), (count.sum(), hits.sum(), None))):
             p = self.chance[k]
-            count = np.bincount(c, minlength=len(p))
-            off = np.bincount(c, error, len(p)).astype(np.int64)
-            self.weight[k] = min(400, max(0, self.weight[k] + int((_STRETCH[p >> 4] * off).sum()) // n // 65536))
-            p += ((np.bincount(c[bits], minlength=len(p)) << 16) - count * p) // (count + 24)
+            if e is not None:
+                self.weight[k] = min(400, max(0, self.weight[k] + int((_STRETCH[p >> 4] * e).sum()) // n // 65536))
+            p += ((h << 16) - c * p) // (c + 24)
             np.clip(p, 64, 65536 - 64, out=p)
-        p = self.chance[2]
-        p += ((hits << 16) - n * p) // (n + 24)
-        np.clip(p, 64, 65536 - 64, out=p)
 
 
 def _cumulative(counts: np.ndarray) -> np.ndarray:
@@ -198,7 +194,8 @@ def _code(coder, n: int, lanes: int, steps: int, ids: np.ndarray | None) -> np.n
     rest = n - (lanes - 1) * steps
     # id, and above it how sure it is
     order1, order2 = np.zeros(1 << 16, np.int32), np.zeros(1 << _ORDER2, np.int32)
-    hit2, hit1 = _Mixer((16, 256)), _Mixer((256, 16))
+    pair = np.arange(256)
+    hit2, hit1 = _Mixer(pair & 15), _Mixer(pair >> 4)
     counts = np.zeros(1 << 16, np.int64)
     order0 = _cumulative(counts)
     seen: list[np.ndarray] = []
@@ -214,14 +211,17 @@ def _code(coder, n: int, lanes: int, steps: int, ids: np.ndarray | None) -> np.n
         c1, s1, c2, s2 = e1 & 65535, e1 >> 16, e2 & 65535, e2 >> 16
         both = (s1 << 4) + s2
         # what followed the last two ids; what followed the last one, where that differs; or any id
-        chance2 = hit2.predict(s2, both)
+        one = hit2.table()
+        two = one + np.maximum((65536 - one) * hit1.table() >> 16, 1)
         differs = c1 != c2
-        chance1 = np.where(differs, np.maximum((65536 - chance2) * hit1.predict(both, s1) >> 16, 1), 0)
-        first, second = chance2, chance2 + chance1
+        first = one[both]
+        second = np.where(differs, two[both], first)
         actual = grid[t, :active] if ids is not None else None
         choice = coder.which(slice(0, active), first, second, np.where(actual == c2, 0, np.where(differs & (actual == c1), 1, 2)) if ids is not None else None)
-        hit2.update(choice == 0)
-        hit1.update(choice == 1, differs & (choice > 0))
+        count, hits = np.bincount(both, minlength=256), np.bincount(both[choice == 0], minlength=256)
+        hit2.update(count, hits)
+        asked = both[differs & (choice > 0)]
+        hit1.update(np.bincount(asked, minlength=256), np.bincount(both[choice == 1], minlength=256))
         value = np.where(choice == 0, c2, c1).astype(np.int64)
         lit = np.nonzero(choice == 2)[0]
         if len(lit):
