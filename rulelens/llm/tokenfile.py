@@ -66,8 +66,8 @@ class _Encoder:
 
     def _narrow(self, lanes, cum: np.ndarray, freq: np.ndarray, shift: np.uint64) -> None:
         r = self.range[lanes] >> shift
-        low = self.low[lanes] + cum.astype(np.uint64) * r
-        r *= freq.astype(np.uint64)
+        low = self.low[lanes] + cum.view(np.uint64) * r
+        r *= freq.view(np.uint64)
         over = low > _LOW
         if over.any():
             low &= _LOW
@@ -115,10 +115,11 @@ class _Decoder:
         self.range = np.full(len(counts), _LOW, np.uint64)
         self.code = self.words[self.at] << _W32 | self.words[self.at + 1] << _W16 | self.words[self.at + 2]
         self.at += 3
+        self.table = self.first = None
 
     def _narrow(self, lanes, r: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> None:
-        code = self.code[lanes] - cum.astype(np.uint64) * r
-        r = r * freq.astype(np.uint64)
+        code = self.code[lanes] - cum.view(np.uint64) * r
+        r = r * freq.view(np.uint64)
         short = np.nonzero(r < np.uint64(1 << 32))[0]
         if len(short):
             who = short if isinstance(lanes, slice) else lanes[short]
@@ -129,7 +130,7 @@ class _Decoder:
 
     def _value(self, lanes, shift: np.uint64) -> tuple[np.ndarray, np.ndarray]:
         r = self.range[lanes] >> shift
-        return r, np.minimum(self.code[lanes] // r, (np.uint64(1) << shift) - np.uint64(1)).astype(np.int64)
+        return r, np.minimum(self.code[lanes] // r, (np.uint64(1) << shift) - np.uint64(1)).view(np.int64)
 
     def which(self, lanes, first: np.ndarray, second: np.ndarray, choice: None) -> np.ndarray:
         r, v = self._value(lanes, _W16)
@@ -141,7 +142,19 @@ class _Decoder:
 
     def symbol(self, lanes: np.ndarray, table: np.ndarray, sym: None) -> np.ndarray:
         r, v = self._value(lanes, _SCALE)
-        sym = np.minimum(np.searchsorted(table, v, "right") - 1, 65535)
+        if self.table is not table:
+            # the first id that may hold a value, by its leading bits
+            self.table, self.first = table, np.searchsorted(table, np.arange(1 << SCALE - 10) << 10, "right") - 1
+        sym = self.first[v >> 10]
+        late = np.nonzero(table[sym + 1] <= v)[0]
+        for _ in range(3):
+            if not len(late):
+                break
+            sym[late] += 1
+            late = late[table[sym[late] + 1] <= v[late]]
+        if len(late):
+            sym[late] = np.searchsorted(table, v[late], "right") - 1
+        sym = np.minimum(sym, 65535)
         cum = table[sym]
         self._narrow(lanes, r, cum, table[sym + 1] - cum)
         return sym
@@ -153,14 +166,14 @@ class _Mixer:
     All lanes with one pair of confidences have one chance, so tables are mixed and learned, not lanes.
     """
 
-    def __init__(self, narrow: np.ndarray):
-        self.narrow = narrow
-        self.chance = [np.full(n, 32768, np.int64) for n in (16, 256, 1)]
+    def __init__(self, axis: int):
+        # the axis of the (s1, s2) table along which the one context's confidence does not change
+        self.axis = axis
+        self.chance = [np.full(n, 32768, np.int64) for n in ((1, 16) if axis == 0 else (16, 1), (16, 16), (1, 1))]
         self.weight = [90, 90, 40]
 
     def table(self) -> np.ndarray:
-        a, b, c = (_STRETCH[p >> 4] for p in self.chance)
-        total = (a[self.narrow] * self.weight[0] + b * self.weight[1] + int(c[0]) * self.weight[2]) >> 7
+        total = sum(_STRETCH[p >> 4] * w for p, w in zip(self.chance, self.weight, strict=True)) >> 7
         self.mixed = _SQUASH[np.minimum(np.maximum(total, -2047), 2047) + 2047]
         return self.mixed
 
@@ -168,13 +181,13 @@ class _Mixer:
         """Learn from how often each pair of confidences came up, and was right."""
         n = max(1, int(count.sum()))
         error = (hits << 16) - count * self.mixed
-        fold = lambda x: np.bincount(self.narrow, x, 16).astype(np.int64)
-        for k, (c, h, e) in enumerate(((fold(count), fold(hits), fold(error)), (count, hits, error), (count.sum(), hits.sum(), None))):
-            p = self.chance[k]
-            if e is not None:
+        for k, p in enumerate(self.chance):
+            along = (self.axis, (), (0, 1))[k]
+            c, h, e = (x.sum(along, keepdims=True) if k != 1 else x for x in (count, hits, error))
+            if k < 2:
                 self.weight[k] = min(400, max(0, self.weight[k] + int((_STRETCH[p >> 4] * e).sum()) // n // 65536))
             p += ((h << 16) - c * p) // (c + 24)
-            np.clip(p, 64, 65536 - 64, out=p)
+            self.chance[k] = np.minimum(np.maximum(p, 64), 65536 - 64)
 
 
 def _cumulative(counts: np.ndarray) -> np.ndarray:
@@ -194,8 +207,8 @@ def _code(coder, n: int, lanes: int, steps: int, ids: np.ndarray | None) -> np.n
     rest = n - (lanes - 1) * steps
     # id, and above it how sure it is
     order1, order2 = np.zeros(1 << 16, np.int32), np.zeros(1 << _ORDER2, np.int32)
-    pair = np.arange(256)
-    hit2, hit1 = _Mixer(pair & 15), _Mixer(pair >> 4)
+    hit2, hit1 = _Mixer(0), _Mixer(1)
+    times = lambda x: np.bincount(x, minlength=256).reshape(16, 16)
     counts = np.zeros(1 << 16, np.int64)
     order0 = _cumulative(counts)
     seen: list[np.ndarray] = []
@@ -212,16 +225,15 @@ def _code(coder, n: int, lanes: int, steps: int, ids: np.ndarray | None) -> np.n
         both = (s1 << 4) + s2
         # what followed the last two ids; what followed the last one, where that differs; or any id
         one = hit2.table()
-        two = one + np.maximum((65536 - one) * hit1.table() >> 16, 1)
+        two = (one + np.maximum((65536 - one) * hit1.table() >> 16, 1)).ravel()
+        one = one.ravel()
         differs = c1 != c2
         first = one[both]
         second = np.where(differs, two[both], first)
         actual = grid[t, :active] if ids is not None else None
         choice = coder.which(slice(0, active), first, second, np.where(actual == c2, 0, np.where(differs & (actual == c1), 1, 2)) if ids is not None else None)
-        count, hits = np.bincount(both, minlength=256), np.bincount(both[choice == 0], minlength=256)
-        hit2.update(count, hits)
-        asked = both[differs & (choice > 0)]
-        hit1.update(np.bincount(asked, minlength=256), np.bincount(both[choice == 1], minlength=256))
+        hit2.update(times(both), times(both[choice == 0]))
+        hit1.update(times(both[differs & (choice > 0)]), times(both[choice == 1]))
         value = np.where(choice == 0, c2, c1).astype(np.int64)
         lit = np.nonzero(choice == 2)[0]
         if len(lit):
@@ -230,8 +242,11 @@ def _code(coder, n: int, lanes: int, steps: int, ids: np.ndarray | None) -> np.n
         grid[t, :active] = value
         # a context keeps its id while it is confirmed more often than missed
         new = value.astype(np.int32)
-        order1[p1] = np.where(new == c1, c1 + _UP[s1], np.where(s1 > 1, c1 + _DOWN[s1], new + 65536))
-        order2[slot] = np.where(new == c2, c2 + _UP[s2], np.where(s2 > 1, c2 + _DOWN[s2], new + 65536))
+        for table, at, c, e, sure in ((order1, p1, c1, e1, s1), (order2, slot, c2, e2, s2)):
+            kept = np.where(e >= 131072, c + _DOWN[sure], new + 65536)
+            right = np.nonzero(new == c)[0]
+            kept[right] = c[right] + _UP[sure[right]]
+            table[at] = kept
         before2[:active] = p1
         before1[:active] = value
         if seen and (t + 1) % REFRESH == 0 or t in (0, 1, 3):
