@@ -35,8 +35,8 @@ from .tokens import encoder
 MAGIC = b"RLTC"
 END = 2
 #: Ids of a block (whole documents; a longer document is a block of its own), lanes, and least ids of a lane.
-BLOCK_IDS = 1 << 20
-LANES, LEAST = 4096, 64
+BLOCK_IDS = 1 << 21
+LANES, LEAST = 8192, 64
 #: The order-0 table is refreshed after the first, second, fourth and then every REFRESH-th step; its counts add up to 2 ** SCALE.
 REFRESH, SCALE = 8, 22
 _ORDER2 = 18
