@@ -37,11 +37,10 @@ LENGTH = 1024
 END = 0
 #: Rests of one length that are ranked in one part, about.
 PART_ROWS = 1_000_000
-#: Column generation ends when no pattern's price exceeds its cost by more than this share (or the bound is
-#: within half a sequence). A plan that needs more columns than this per length keeps the gap that it has reached;
-#: the gap is logged.
+#: Column generation ends when no pattern's price exceeds its cost by more than this share, when the bound is within half a
+#: sequence or, rounded up, reached, or after so many columns; a gap that then remains is logged.
 GAP = 1e-4
-COLUMNS = 50
+COLUMNS = 1000
 _LOG = logging.getLogger(__name__)
 
 
@@ -128,8 +127,9 @@ def linear_program(sizes: list[int], need: np.ndarray, length: int = LENGTH) ->
     matrix = np.stack([column_of(p) for p in basis], 1)
     inverse = np.linalg.inv(matrix)
     least = float((size * need).sum()) / length
-    for step in range(COLUMNS * m):
-        if x.sum() <= max(least * (1 + GAP), least + 0.5):
+    for step in range(COLUMNS):
+        # no plan can have fewer sequences than the bound rounded up
+        if x.sum() <= max(least * (1 + GAP), least + 0.5) or np.ceil(x.sum() - 1e-6) <= np.ceil(least - 1e-6):
             break
         value, pattern = best_pattern(size, np.maximum(inverse.sum(0), 0), length)
         least = max(least, x.sum() / max(value, 1.0))  # no plan needs less than the amounts over the best price
