@@ -14,12 +14,14 @@ unite the words they hit by row. `clean` indexes blocks in memory and lets the r
 
 Null texts have no words. Very long texts are blocks of their own. Items without words have no window; items of
 fewer words than a window are one window; null item ids and texts are no items. Repeated rows give equal rows;
-duplicated item ids count once; ties in rarity go to the earlier term, which changes no result. An empty table on
+duplicated item ids count once; ties in rarity go to the earlier term of a window, which changes no result, and
+to the lesser word (by bytes) in proximity. An empty table on
 either side gives rows without hits, or none. Only the named columns are read, so clashing names do not matter.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -42,6 +44,7 @@ NEAR_TERMS, NEAR_SPAN = 4, 20
 #: Bytes that are hashed at once (and the rest of the word that they end in).
 CHUNK = 1 << 20
 _PLACES = 1 << 16
+_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
 @lru_cache(1)
@@ -119,7 +122,10 @@ class Queries:
     def __init__(self, items: list[tuple], window: int = WINDOW):
         kept = [(str(i), t) for i, t in items if t]
         hashes, sizes = word_hashes(*byte_column(pa.array([t for _, t in kept], pa.string())))
-        self.terms, ids = np.unique(hashes, return_inverse=True)
+        self.terms, at, ids = np.unique(hashes, return_index=True, return_inverse=True)
+        words = [w for _, t in kept for w in _WORD.findall(t.encode().lower())]
+        #: Place of each term's word among all in order of their bytes.
+        self.rank = np.argsort(np.array(sorted(range(len(at)), key=lambda k: words[at[k]]), np.int64))
         self.items: list[str] = []
         self.words: list[np.ndarray] = []
         rows: dict[bytes, list[int]] = {}
@@ -142,7 +148,7 @@ class Queries:
         for i, w in enumerate(self.windows):
             order = np.lexsort((np.arange(len(w)), frequency[w]))
             terms[i, : len(w)], offsets[i, : len(w)] = w[order], order
-        rare = [w[np.lexsort((w, frequency[w]))[:near]] for w in self.words]
+        rare = [w[np.lexsort((self.rank[w], frequency[w]))[:near]] for w in self.words]
         led = lambda firsts: (order := np.argsort(firsts, kind="stable"), np.searchsorted(firsts[order], np.arange(len(self.terms) + 1)))
         heads = terms[:, 0] if len(terms) else np.zeros(0, np.int64)
         return {

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontam, extract, langid, matroska, packing, secrets, simhash, suffixdup, tokenfile, toxicity
 from .arrowio import has_table, id_text, read_table, store
+from .oracles import ORACLES as ORACLES
 
 
 def vocabulary(name: str) -> str:
@@ -84,4 +85,3 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {}

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -14,6 +15,7 @@ from tokenizers import Tokenizer
 from pyspark.sql import functions as F
 
 from rulelens.llm import decontam, extract, langid, matroska, packing, secrets, simhash, suffixdup, tokenfile, toxicity
+from rulelens.llm.oracles import ORACLES
 from rulelens.llm.queries import QUERIES, vocabulary
 from rulelens.llm.tokens import Encoder
 
@@ -272,6 +274,23 @@ def test_decontamination(spark, docs, empty, rows):
         assert {r["doc_id"] for r in decontam.matches(decontam.index(two), queries).where("size(near) > 0").collect()} == found
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(spark, sf_dir, tmp_path, name):
+    con = duckdb.connect()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = [(None, None), (-1, ""), (-1, "x y"), (-2, "é" * 300), (-3, "Ünïcode! 日本語 " * 40), (-3, "Ünïcode! 日本語 " * 40), (-4, "z" * 900 + "q" + "z" * 200)]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    items = items.unionByName(spark.createDataFrame([("a", "ünïcode 日本語"), ("b", None), (None, "x y"), ("c", "--"), ("d", "Y"), ("d", "x")], "item_id string, text string"))
+    for t, rows in (("documents", docs), ("benchmark", items)):
+        rows.write.parquet(f"{tmp_path}/{t}.parquet")
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got, sql = QUERIES[name](spark, str(tmp_path)), con.sql(ORACLES[name])
+    names = sorted(got.columns)
+    assert names == sorted(sql.columns)
+    assert sorted(str([r[c] for c in names]) for r in got.collect()) == sorted(str([r[sql.columns.index(c)] for c in names]) for r in sql.fetchall())
+
+
 def test_words_of_blocks(monkeypatch):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     r = random.Random(2)
