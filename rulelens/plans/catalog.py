@@ -286,7 +286,8 @@ def hier_sample(spark, sf_dir):
 def reconstruct_samples(spark, sf_dir):
     scores = sampling.rarity(_customers(spark, sf_dir), ["c_mktsegment", "nation"], ["balance"])
     kept = sampling.hierarchical(_candidates(spark, sf_dir), scores, 300)
-    return sampling.reconstruct(kept, _customers(spark, sf_dir))
+    roles = sampling.reconstruct(kept, _customers(spark, sf_dir)).select("group_key", "rep", F.explode("roles").alias("role", "rows"))
+    return roles.select("group_key", "rep", "role", F.posexplode("rows").alias("place", "row")).select("group_key", "rep", "role", "place", "row.*")
 
 
 def entity_group_rows(spark, sf_dir):

@@ -151,6 +151,59 @@ def _flags(units: str) -> str:
     return f"SELECT CAST(count(*) AS BIGINT) AS units, CAST(count(*) FILTER (bad) AS BIGINT) AS violating FROM ({units})"
 
 
+_QUANTITY = "'the \"l_quantity\" column is {side}: ' || CAST({x} AS VARCHAR)"
+
+
+def _selectors(columns: list[str]) -> str:
+    """(rid, vio, col, parts) of the selectors that each row meets: values, and intervals of quantity between fifths."""
+    low, high = _QUANTITY.format(side="greater than or equal to", x="low"), _QUANTITY.format(side="less than", x="high")
+    values = " UNION ALL ".join(f"SELECT rid, vio, '{c}' AS col, ['the \"{c}\" column has the value of: ' || CAST({c} AS VARCHAR)] AS parts FROM numbered WHERE {c} IS NOT NULL" for c in columns)
+    return f"""{BASE}, numbered AS MATERIALIZED (SELECT row_number() OVER () AS rid, * FROM base),
+edges AS (SELECT list_sort(list_distinct(quantile_cont(l_quantity, [0.2, 0.4, 0.6, 0.8]))) AS e FROM base),
+bins AS (SELECT e[i] AS low, e[i + 1] AS high, list_filter([{low}, {high}], lambda x: x IS NOT NULL) AS parts FROM (SELECT e, unnest(range(0, len(e) + 1)) AS i FROM edges)),
+met AS MATERIALIZED ({values} UNION ALL SELECT rid, vio, 'l_quantity', parts FROM numbered JOIN bins ON coalesce(l_quantity >= low, TRUE) AND coalesce(l_quantity < high, TRUE))"""
+
+
+_COUNTS = "count(*) FILTER (NOT {x}vio) AS sat, count(*) FILTER ({x}vio) AS bad"
+_RELATIVE = "(sat + bad) / (n_sat + n_vio) * (sat / (sat + bad) - n_sat / (n_sat + n_vio)) AS wracc, sat / n_sat AS confidence, bad / n_vio AS penalty"
+_RULES = """SELECT CAST(row_number() OVER (ORDER BY round(score, 10) DESC, confidence DESC, expr) AS INTEGER) AS place, CASE WHEN len(parts) > 1 THEN 'Conjunction' WHEN parts[1] LIKE '% value of: %' THEN 'ColumnValue' ELSE 'Numerical' END AS kind,
+  expr, array_to_string(list_sort(list_distinct(cols)), ',') AS columns, CAST(sat AS BIGINT) AS sat_matches, CAST(bad AS BIGINT) AS vio_matches, confidence, penalty, score
+FROM (SELECT *, CAST(CASE WHEN sat < 5 OR confidence + penalty = 0 THEN 0.0 ELSE confidence / (confidence + penalty) END AS DOUBLE) AS score, array_to_string(parts, ' AND ') AS expr FROM {found})"""
+
+_BEAM = f"""{_selectors(["o_year", "l_returnflag", "l_linestatus", "supp_class"])},
+one AS MATERIALIZED (SELECT *, {_RELATIVE} FROM (SELECT [col] AS cols, parts, {_COUNTS.format(x="")} FROM met GROUP BY ALL), tot),
+beam AS (SELECT parts, TRUE AS is_in FROM one ORDER BY round(wracc, 10) DESC, parts LIMIT 20),
+side AS MATERIALIZED (SELECT met.*, coalesce(is_in, FALSE) AS is_in FROM met LEFT JOIN beam USING (parts)),
+two AS (SELECT *, {_RELATIVE} FROM (SELECT [a.col, b.col] AS cols, list_sort(list_concat(a.parts, b.parts)) AS parts, {_COUNTS.format(x="a.")} FROM side a JOIN side b ON a.rid = b.rid AND a.col < b.col WHERE a.is_in OR b.is_in GROUP BY ALL), tot),
+top AS (SELECT * FROM (SELECT * FROM one UNION ALL SELECT * FROM two) ORDER BY round(wracc, 10) DESC, array_to_string(parts, ' AND ') LIMIT 20)
+{_RULES.format(found="top")}"""
+
+
+def _tree(depth: int = 3, leaf: int = 5) -> str:
+    """An entropy tree, a level at a time: rows carry their path, and a level picks the best split of each path."""
+    number = "CASE col " + " ".join(f"WHEN '{c}' THEN coalesce(CAST({c} AS DOUBLE), 0)" for c in NUMERIC) + " END"
+    text = "CASE col " + " ".join(f"WHEN '{c}' THEN CAST({c} AS VARCHAR)" for c in CATEGORICAL) + " END"
+    gain = f"{_entropy('va / na')} - nl / na * ({_entropy('vl / nl')}) - CASE WHEN na > nl THEN (na - nl) / na * ({_entropy('(va - vl) / (na - nl)')}) ELSE 0 END AS gain"
+    steps = [f"{BASE}, t0 AS MATERIALIZED (SELECT *, CAST([] AS VARCHAR[]) AS parts, CAST([] AS VARCHAR[]) AS cols FROM base)"]
+    for i in range(depth):
+        numbers = " UNION ALL ".join(f"SELECT parts, '{c}' AS col, coalesce(CAST({c} AS DOUBLE), 0) AS value, vio FROM t{i}" for c in NUMERIC)
+        texts = " UNION ALL ".join(f"SELECT parts, '{c}' AS col, CAST({c} AS VARCHAR) AS value, vio FROM t{i}" for c in CATEGORICAL)
+        counted = "SELECT parts, col, value, count(*) AS n, count(*) FILTER (vio) AS v FROM ({}) GROUP BY ALL"
+        steps.append(f"""open{i} AS MATERIALIZED (SELECT parts, count(*) AS na, count(*) FILTER (vio) AS va FROM t{i} WHERE len(parts) = {i} GROUP BY parts HAVING count(*) >= {2 * leaf} AND bool_or(vio) AND bool_or(NOT vio)),
+num{i} AS (SELECT parts, col, value, lead(value) OVER o AS nxt, sum(n) OVER (o ROWS UNBOUNDED PRECEDING) AS nl, sum(v) OVER (o ROWS UNBOUNDED PRECEDING) AS vl FROM ({counted.format(numbers)}) WINDOW o AS (PARTITION BY parts, col ORDER BY value)),
+cut{i} AS (SELECT parts, col, (value + nxt) / 2 AS cut, na, nl, {gain} FROM num{i} JOIN open{i} USING (parts) WHERE nxt IS NOT NULL),
+best{i} AS (SELECT * FROM cut{i} WHERE gain > 1e-12 QUALIFY row_number() OVER (PARTITION BY parts, col ORDER BY round(gain, 10) DESC, cut) = 1),
+txt{i} AS (SELECT parts, col, value, na, nl, {gain} FROM (SELECT parts, col, value, n AS nl, v AS vl, na, va FROM ({counted.format(texts)}) JOIN open{i} USING (parts))),
+val{i} AS (SELECT * FROM txt{i} WHERE gain > 1e-12 AND nl >= {leaf} AND na - nl >= {leaf} QUALIFY row_number() OVER (PARTITION BY parts ORDER BY round(gain, 10) DESC, col, value NULLS FIRST) = 1),
+pick{i} AS MATERIALIZED (SELECT * FROM (SELECT parts, col, cut, CAST(NULL AS VARCHAR) AS value, gain FROM best{i} WHERE nl >= {leaf} AND na - nl >= {leaf} UNION ALL SELECT parts, col, NULL, value, gain FROM val{i}) QUALIFY row_number() OVER (PARTITION BY parts ORDER BY round(gain, 10) DESC, col) = 1),
+t{i + 1} AS MATERIALIZED (SELECT * EXCLUDE (parts, cols, col, cut, value, gain), CASE WHEN col IS NULL THEN cols ELSE list_append(cols, col) END AS cols,
+  CASE WHEN col IS NULL THEN parts ELSE list_sort(list_append(parts, 'the "' || col || '" column ' || CASE WHEN cut IS NOT NULL THEN CASE WHEN {number} < cut THEN 'is less than: ' ELSE 'is greater than or equal to: ' END || CAST(cut AS VARCHAR)
+    ELSE CASE WHEN {text} IS NOT DISTINCT FROM value THEN 'has the value of: ' ELSE 'does not have the value of: ' END || coalesce(value, 'None') END)) END AS parts
+  FROM t{i} LEFT JOIN pick{i} USING (parts))""")
+    leaves = f"(SELECT *, sat / n_sat AS confidence, bad / n_vio AS penalty FROM (SELECT parts, any_value(cols) AS cols, {_COUNTS.format(x='')} FROM t{depth} WHERE len(parts) > 0 GROUP BY parts), tot WHERE sat > bad)"
+    return ",\n".join(steps) + "\n" + _RULES.format(found=leaves)
+
+
 _WORDS = "CASE c_custkey % 5 WHEN 0 THEN 'None' WHEN 1 THEN '<NA>' WHEN 2 THEN 'NaN' ELSE c_mktsegment END"
 
 ORACLES: dict[str, str] = {
@@ -205,6 +258,10 @@ r AS (SELECT place AS rank FROM sought LEFT JOIN placed USING (expr)) SELECT CAS
     "condition_iou": f"{BASE} SELECT CAST(count(*) FILTER (o_totalprice < 150000) AS BIGINT) AS both, CAST(count(*) FILTER (o_totalprice < 151000) AS BIGINT) AS either, round(count(*) FILTER (o_totalprice < 150000) / count(*) FILTER (o_totalprice < 151000), 6) AS iou FROM base",
     "one_hot": f"{BASE} SELECT " + ", ".join(f"CAST(count(*) FILTER (o_year = {y}) AS BIGINT) AS o_year_{y}" for y in (1995, 1996, 1997, 1998)) + ", CAST(count(*) FILTER (supp_class = 'S0') AS BIGINT) AS supp_class_s0, CAST(count(*) FILTER (supp_class = 'S1') AS BIGINT) AS supp_class_s1, CAST(count(*) FILTER (supp_class IS NULL) AS BIGINT) AS supp_class_none, CAST(sum(l_quantity) AS DOUBLE) AS quantity FROM base",
     "tree_stump": _GAINS,
+    "search_space": f"{_selectors(['l_returnflag', 'l_linestatus', 'supp_class'])} SELECT array_to_string(parts, ' AND ') AS selector FROM (SELECT DISTINCT parts FROM met WHERE col <> 'l_quantity' UNION ALL SELECT parts FROM bins)",
+    "subgroup_beam": _BEAM,
+    "tree_rules": _tree(),
+    "reconstruct_samples": f"SELECT group_key, 0 AS rep, role, CAST(row_number() OVER (PARTITION BY group_key, role ORDER BY row_id) - 1 AS INTEGER) AS place, row_id, c_mktsegment, nation, balance FROM ({_HIER}) JOIN ({CUSTOMERS} SELECT * FROM cust) USING (row_id)",
     "wracc": f'{_wracc(_VALUES)} SELECT "column", value, round(wracc, 8) AS wracc FROM w',
     "subgroup_level1": f'{_wracc(_VALUES1)} SELECT CAST(row_number() OVER (ORDER BY round(wracc, 10) DESC, "column", value) AS INTEGER) AS place, "column", value, round(wracc, 8) AS wracc, round(CASE WHEN sat < 5 OR confidence + penalty = 0 THEN 0.0 ELSE confidence / (confidence + penalty) END, 6) AS score FROM w QUALIFY place <= 20',
     "rule_functional_dependency": _flags("SELECT count(DISTINCT l_linestatus) > 1 AS bad FROM lineitem WHERE l_linestatus IS NOT NULL GROUP BY l_orderkey"),
