@@ -204,6 +204,65 @@ t{i + 1} AS MATERIALIZED (SELECT * EXCLUDE (parts, cols, col, cut, value, gain),
     return ",\n".join(steps) + "\n" + _RULES.format(found=leaves)
 
 
+def _mined(categorical: list[str], groups: list[str] | None) -> str:
+    """CTEs up to `ranked`: the single-row miner's list. groups None: no numbers and no conjunctions.
+
+    The pool of conjunctions is that of the seeds and of the columns in groups, which holds the pool of the seeds alone.
+    A condition is a string of bits, one a row, and conjunctions are counted from bits.
+    """
+    text = lambda side: f"'the \"' || col || '\" column {side}: ' || "
+    listed = "CASE WHEN col = 'o_year' THEN '[' || array_to_string(list_sort(vals), ', ') || ']' ELSE '[''' || array_to_string(list_sort(vals), ''', ''') || ''']' END"
+    unions = []
+    for names in ("ab", "abc", "abcd"):
+        on = " ".join(f"JOIN ranked_atoms {n} ON {n}.col = a.col AND {n}.op = a.op AND {p}.m < {n}.m" for p, n in zip(names, names[1:], strict=False))
+        unions.append(f"SELECT a.col, a.op, [{', '.join(f'{n}.vals[1]' for n in names)}] AS vals, {' + '.join(f'{n}.one' for n in names)} AS one, {' + '.join(f'{n}.two' for n in names)} AS two FROM ranked_atoms a {on}")
+    score = "CAST(CASE WHEN sat < 5 OR confidence + penalty = 0 THEN 0.0 ELSE confidence / (confidence + penalty) END AS DOUBLE) AS score"
+    scored = lambda rows: f"SELECT *, {score} FROM (SELECT *, sat / n_sat AS confidence, bad / n_vio AS penalty FROM ({rows}), tot)"
+    sides = "CASE WHEN op = '=' THEN one ELSE n_sat - one END AS sat, CASE WHEN op = '=' THEN two ELSE n_vio - two END AS bad"
+    values = f"SELECT 'ColumnValue' AS kind, col, op, [value] AS vals, NULL::DOUBLE AS cut, CASE op WHEN '=' THEN {text('has the value of')}value ELSE {text('does not have the value of')}value END AS expr, one, two, {sides} FROM counted, (SELECT unnest(['=', '!=']) AS op), tot WHERE op = '=' OR size > 2"
+    sets = f"SELECT 'MergedValues' AS kind, col, op, vals, NULL::DOUBLE AS cut, CASE op WHEN '=' THEN {text('value is in the set')}{listed} ELSE {text('value is not in the set')}{listed} END AS expr, {sides} FROM sets, tot WHERE size - k > 1 AND (k < size - k OR op = '=' AND k = size - k)"
+    ctes = [
+        f"{_SPLITS if groups is not None else BASE}",
+        f'counted AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY col) AS size FROM (SELECT "column" AS col, value, count(*) FILTER (NOT vio) AS one, count(*) FILTER (vio) AS two FROM ({_long(categorical)}) WHERE value IS NOT NULL GROUP BY ALL))',
+        f"atom AS MATERIALIZED ({scored(values)})",
+        "ranked_atoms AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY col, op ORDER BY score + 0.3 * (confidence - penalty) DESC, confidence DESC, expr) AS m FROM atom WHERE score > 0.5 QUALIFY m <= 10)",
+        f"sets AS (SELECT s.*, size, len(vals) AS k FROM ({' UNION ALL '.join(unions)}) s JOIN (SELECT DISTINCT col, size FROM counted) USING (col))",
+        f"merged AS MATERIALIZED (SELECT * FROM ({scored(sets)}) WHERE score > 0.5)",
+    ]
+    names = "kind, col, op, vals, cut, expr, sat, bad, confidence, penalty, score"
+    found = f"SELECT {names} FROM atom WHERE score > 0.53 UNION ALL SELECT {names} FROM merged"
+    if groups is not None:
+        number = f"SELECT 'Numerical' AS kind, col, u.op AS op, []::VARCHAR[] AS vals, cut, CASE u.op WHEN '<' THEN {text('is less than')}CAST(cut AS VARCHAR) ELSE {text('is greater than or equal to')}CAST(cut AS VARCHAR) END AS expr, u.sat AS sat, u.bad AS bad FROM split"
+        orders = ("score DESC, confidence DESC, expr", "confidence - penalty DESC, expr", "confidence DESC, expr")
+        chosen = [f"row_number() OVER (ORDER BY {o}) <= 25" for o in orders]
+        chosen += [f"col = '{c}' AND row_number() OVER (PARTITION BY col ORDER BY {o}) <= 25" for c in groups for o in orders[:2]]
+        texts = " UNION ALL ".join(f"SELECT rid, '{c}' AS col, CAST({c} AS VARCHAR) AS value, NULL::DOUBLE AS x FROM numbered" for c in categorical)
+        numbers = " UNION ALL ".join(f"SELECT rid, '{c}', NULL, CAST({c} AS DOUBLE) FROM numbered" for c in NUMERIC)
+        meets = "CASE WHEN cut IS NULL THEN coalesce(list_contains(vals, value), FALSE) = (op = '=') ELSE coalesce((x < cut) = (op = '<'), FALSE) END"
+        counts = "SELECT cols, parts, bit_count(b & s) AS sat, bit_count(b) - bit_count(b & s) AS bad FROM (SELECT cols, parts, b, s FROM pairs UNION ALL SELECT * FROM triples)"
+        ctes += [
+            "split AS (SELECT \"column\" AS col, split_value AS cut, unnest([{'op': '<', 'sat': nl - vl, 'bad': vl}, {'op': '>=', 'sat': na - va - nl + vl, 'bad': va - vl}]) AS u FROM best)",
+            f"number AS MATERIALIZED ({scored(number)})",
+            f"parents AS (SELECT * FROM ({' UNION ALL '.join(f'SELECT {names} FROM {t}' for t in ('atom', 'merged', 'number'))}) WHERE score > 0.4)",
+            f"pool AS MATERIALIZED (SELECT col, op, vals, cut, expr FROM parents QUALIFY {' OR '.join(chosen)})",
+            "numbered AS MATERIALIZED (SELECT row_number() OVER () AS rid, * FROM base)",
+            "satisfying AS MATERIALIZED (SELECT CAST(string_agg(CASE WHEN vio THEN '0' ELSE '1' END, '' ORDER BY rid) AS BIT) AS s FROM numbered)",
+            f"bits AS MATERIALIZED (SELECT row_number() OVER (ORDER BY expr) AS i, col, expr, CAST(b AS BIT) AS b FROM (SELECT col, expr, string_agg(CASE WHEN {meets} THEN '1' ELSE '0' END, '' ORDER BY rid) AS b FROM ({texts} UNION ALL {numbers}) JOIN pool USING (col) GROUP BY col, expr))",
+            "pairs AS MATERIALIZED (SELECT * FROM (SELECT y.i, [x.col, y.col] AS cols, [x.expr, y.expr] AS parts, x.b & y.b AS b FROM bits x JOIN bits y ON x.i < y.i AND x.col <> y.col), satisfying WHERE bit_count(b & s) >= 5)",
+            "triples AS (SELECT list_append(cols, col), list_append(parts, expr), p.b & z.b, s FROM pairs p JOIN bits z ON p.i < z.i AND NOT list_contains(cols, col))",
+            f"conjunctions AS ({scored(counts)})",
+        ]
+        found += f" UNION ALL SELECT {names} FROM number WHERE score > 0.5"
+        found += " UNION ALL SELECT 'Conjunction', array_to_string(list_sort(cols), ','), 'and', NULL, NULL, array_to_string(parts, ' AND '), sat, bad, confidence, penalty, score FROM conjunctions WHERE score > 0.5"
+    order = "round(score + {} * (confidence - penalty), 10) DESC, round(confidence, 10) DESC, expr"
+    ctes.append(f"ranked AS (SELECT *, row_number() OVER (ORDER BY {order.format(0.4)}) AS place FROM (SELECT * FROM ({found}) QUALIFY row_number() OVER (PARTITION BY kind, col, op ORDER BY {order.format(0.3)}) <= 2))")
+    return ",\n".join(ctes)
+
+
+def _single(groups: list[str]) -> str:
+    return f"{_mined(CATEGORICAL, groups)} SELECT CAST(place AS INTEGER) AS place, kind, expr, col AS columns, CAST(sat AS BIGINT) AS sat_matches, CAST(bad AS BIGINT) AS vio_matches, confidence, penalty, score FROM ranked"
+
+
 _WORDS = "CASE c_custkey % 5 WHEN 0 THEN 'None' WHEN 1 THEN '<NA>' WHEN 2 THEN 'NaN' ELSE c_mktsegment END"
 
 ORACLES: dict[str, str] = {
@@ -261,6 +320,9 @@ r AS (SELECT place AS rank FROM sought LEFT JOIN placed USING (expr)) SELECT CAS
     "search_space": f"{_selectors(['l_returnflag', 'l_linestatus', 'supp_class'])} SELECT array_to_string(parts, ' AND ') AS selector FROM (SELECT DISTINCT parts FROM met WHERE col <> 'l_quantity' UNION ALL SELECT parts FROM bins)",
     "subgroup_beam": _BEAM,
     "tree_rules": _tree(),
+    "suggest_single_row": _single(["o_year", "supp_class"]),
+    "discover": _single([]),
+    "hybrid_rank": f"{_mined(['o_year', 'supp_class'], None)} SELECT expr, 0.2::DOUBLE * CASE col WHEN 'o_year' THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END + 0.8::DOUBLE * ((score + 1) / 2) AS hybrid_score FROM ranked",
     "reconstruct_samples": f"SELECT group_key, 0 AS rep, role, CAST(row_number() OVER (PARTITION BY group_key, role ORDER BY row_id) - 1 AS INTEGER) AS place, row_id, c_mktsegment, nation, balance FROM ({_HIER}) JOIN ({CUSTOMERS} SELECT * FROM cust) USING (row_id)",
     "wracc": f'{_wracc(_VALUES)} SELECT "column", value, round(wracc, 8) AS wracc FROM w',
     "subgroup_level1": f'{_wracc(_VALUES1)} SELECT CAST(row_number() OVER (ORDER BY round(wracc, 10) DESC, "column", value) AS INTEGER) AS place, "column", value, round(wracc, 8) AS wracc, round(CASE WHEN sat < 5 OR confidence + penalty = 0 THEN 0.0 ELSE confidence / (confidence + penalty) END, 6) AS score FROM w QUALIFY place <= 20',
