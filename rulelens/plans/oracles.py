@@ -61,12 +61,18 @@ def _entropy(p: str) -> str:
     return _E.format(p=f"({p})")
 
 
-_SPLITS = f"""{BASE}, vals AS (SELECT "column", value, count(*) AS n, count(*) FILTER (vio) AS v FROM ({' UNION ALL '.join(f"SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS value, vio FROM base" for c in NUMERIC)}) WHERE value IS NOT NULL GROUP BY 1, 2),
+def _split_ctes(columns: list[str], source: str) -> str:
+    """CTEs up to `best`: the 20 best splits of each number."""
+    long = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS value, vio FROM {source}" for c in columns)
+    return f"""vals AS (SELECT "column", value, count(*) AS n, count(*) FILTER (vio) AS v FROM ({long}) WHERE value IS NOT NULL GROUP BY 1, 2),
 cum AS (SELECT "column", value, lead(value) OVER w AS nxt, sum(n) OVER (w ROWS UNBOUNDED PRECEDING) AS nl, sum(v) OVER (w ROWS UNBOUNDED PRECEDING) AS vl,
   sum(n) OVER (PARTITION BY "column") AS na, sum(v) OVER (PARTITION BY "column") AS va FROM vals WINDOW w AS (PARTITION BY "column" ORDER BY value)),
 g AS (SELECT *, (value + nxt) / 2 AS split_value, {_entropy('va / na')} - nl / na * ({_entropy('vl / nl')}) - (na - nl) / na * ({_entropy('(va - vl) / (na - nl)')}) AS gain FROM cum WHERE nxt IS NOT NULL),
 best AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY round(gain, 10) DESC, split_value) AS rank FROM g WHERE gain > 1e-12 QUALIFY rank <= 20)"""
 
+
+_SPLITS = f"{BASE}, {_split_ctes(NUMERIC, 'base')}"
+
 _SIDES = ", ".join(
     f"round({c}, 6) AS {n}_confidence, round({p}, 6) AS {n}_penalty, round(CASE WHEN {s} < 10 OR {c} + {p} = 0 THEN 0.0 ELSE {c} / ({c} + {p}) END, 6) AS {n}_score"
     for n, c, p, s in (("lt", "((nl - vl) / (na - va))", "(vl / va)", "(nl - vl)"), ("gte", "(1 - (nl - vl) / (na - va))", "(1 - vl / va)", "(na - va - nl + vl)"))
@@ -263,6 +269,64 @@ def _single(groups: list[str]) -> str:
     return f"{_mined(CATEGORICAL, groups)} SELECT CAST(place AS INTEGER) AS place, kind, expr, col AS columns, CAST(sat AS BIGINT) AS sat_matches, CAST(bad AS BIGINT) AS vio_matches, confidence, penalty, score FROM ranked"
 
 
+def _multi(pattern: str | None) -> str:
+    """The multi-row miner: a condition is bits over satisfying rows and bits over violating pairs (None: whole samples), and conjunctions are counted from both."""
+    categorical, numeric = ["l_returnflag", "supp"], ["l_quantity"]
+    text = lambda side: f"'the \"' || col || '\" column {side}: ' || "
+    listed = "'[''' || array_to_string(list_sort(vals), ''', ''') || ''']'"
+    values = " UNION ALL ".join(f"SELECT rid, vio, '{c}' AS col, {c} AS value, NULL::DOUBLE AS x FROM items" for c in categorical)
+    numbers = " UNION ALL ".join(f"SELECT rid, vio, '{c}', NULL, CAST({c} AS DOUBLE) FROM items" for c in numeric)
+    meets = "CASE WHEN cut IS NULL THEN coalesce(list_contains(vals, value), FALSE) = (op = '=') ELSE coalesce((x < cut) = (op = '<'), FALSE) END"
+    units = "SELECT sample_id AS u, rid FROM items WHERE vio"
+    if pattern:
+        pairs = f"SELECT a.rid AS one, b.rid AS two FROM items a JOIN items b USING (sample_id) WHERE a.vio AND {_RESIDUAL[pattern]}"
+        units = f"SELECT one || '-' || two AS u, unnest([one, two]) AS rid FROM ({pairs})"
+    bits = lambda x, by: f"CAST(string_agg(CASE WHEN {x} THEN '1' ELSE '0' END, '' ORDER BY {by}) AS BIT)"
+    score = "CAST(CASE WHEN sat < 10 OR confidence + penalty = 0 THEN 0.0 ELSE confidence / (confidence + penalty) END AS DOUBLE) AS score"
+    scored = lambda rows, whole="n_sat": f"SELECT *, {score} FROM (SELECT *, sat / {whole} AS confidence, bad / n_vio AS penalty FROM ({rows}), sizes)"
+    counted = lambda conditions: scored(
+        f"""SELECT c.*, sb, vb, bit_count(sb) AS sat, bit_count(vb) AS bad FROM {conditions} c
+  JOIN (SELECT expr, {bits(meets, 'rid')} AS sb FROM {conditions} JOIN cells USING (col) WHERE NOT vio GROUP BY expr) USING (expr)
+  JOIN (SELECT expr, {bits('hit', 'u')} AS vb FROM (SELECT expr, u, bool_and({meets}) AS hit FROM {conditions} JOIN cells USING (col) JOIN units USING (rid) GROUP BY expr, u) GROUP BY expr) USING (expr)"""
+    )
+    unions = []
+    for names in ("ab", "abc", "abcd"):
+        on = " ".join(f"JOIN tops {n} ON {n}.col = a.col AND {n}.op = a.op AND {p}.m < {n}.m" for p, n in zip(names, names[1:], strict=False))
+        unions.append(f"SELECT a.col, a.op, [{', '.join(f'{n}.vals[1]' for n in names)}] AS vals FROM tops a {on}")
+    names = "kind, col, op, expr, sat, bad, confidence, penalty, score"
+    seeds = " OR ".join(f"row_number() OVER (ORDER BY {o}, expr) <= 25" for o in ("score DESC, confidence DESC", "confidence - penalty DESC", "confidence DESC"))
+    order = "round(score + {} * (confidence - penalty), 10) DESC, round(confidence, 10) DESC, expr"
+    found = f"SELECT {names} FROM single WHERE score > 0.53 UNION ALL SELECT {names} FROM merged WHERE score > 0.53"
+    found += " UNION ALL SELECT 'Conjunction', array_to_string(list_sort(cols), ','), 'and', array_to_string(parts, ' AND '), sat, bad, confidence, penalty, score FROM conjunctions WHERE sat >= 10 AND score > 0.53"
+    ctes = [
+        SAMPLES,
+        "items AS MATERIALIZED (SELECT row_number() OVER () AS rid, sample_id, role, row_id, vio, l_returnflag, 'S' || CAST(l_suppkey % 5 AS VARCHAR) AS supp, l_quantity FROM smp)",
+        f"cells AS MATERIALIZED ({values} UNION ALL {numbers})",
+        f"units AS MATERIALIZED ({units})",
+        "sizes AS MATERIALIZED (SELECT (SELECT count(*) FROM items WHERE NOT vio) AS n_sat, (SELECT count(DISTINCT u) FROM units) AS n_vio)",
+        _split_ctes(numeric, "items"),
+        "domain AS (SELECT *, count(*) OVER (PARTITION BY col) AS size FROM (SELECT DISTINCT col, value FROM cells WHERE value IS NOT NULL))",
+        f"""listed AS MATERIALIZED (SELECT 'ColumnValue' AS kind, col, op, [value] AS vals, NULL::DOUBLE AS cut, CASE op WHEN '=' THEN {text('has the value of')}value ELSE {text('does not have the value of')}value END AS expr FROM domain, (SELECT unnest(['=', '!=']) AS op) WHERE op = '=' OR size > 2
+  UNION ALL SELECT 'Numerical', col, op, [], cut, CASE op WHEN '<' THEN {text('is less than')}CAST(cut AS VARCHAR) ELSE {text('is greater than or equal to')}CAST(cut AS VARCHAR) END FROM (SELECT "column" AS col, split_value AS cut, unnest(['<', '>=']) AS op FROM best))""",
+        f"single AS MATERIALIZED ({counted('listed')})",
+        "tops AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY col, op ORDER BY score + 0.3 * (confidence - penalty) DESC, confidence DESC, expr) AS m FROM single WHERE kind = 'ColumnValue' AND score >= 0.53 QUALIFY m <= 12)",
+        f"sets AS MATERIALIZED (SELECT 'MergedValues' AS kind, col, op, vals, NULL::DOUBLE AS cut, CASE op WHEN '=' THEN {text('value is in the set')}{listed} ELSE {text('value is not in the set')}{listed} END AS expr FROM (SELECT *, len(vals) AS k FROM ({' UNION ALL '.join(unions)})) JOIN (SELECT DISTINCT col, size FROM domain) USING (col) WHERE size - k > 1 AND (k < size - k OR op = '=' AND k = size - k))",
+        f"merged AS MATERIALIZED (SELECT * FROM ({counted('sets')}) WHERE score >= 0.53)",
+        f"pool AS MATERIALIZED (SELECT row_number() OVER (ORDER BY expr) AS i, * FROM (SELECT col, expr, sb, vb, confidence, penalty, score FROM (SELECT * FROM single UNION ALL SELECT * FROM merged) WHERE score >= 0.37 QUALIFY {seeds}))",
+        "two AS MATERIALIZED (SELECT * FROM (SELECT y.i, [x.col, y.col] AS cols, [x.expr, y.expr] AS parts, x.sb & y.sb AS sb, x.vb & y.vb AS vb FROM pool x JOIN pool y ON x.i < y.i AND x.col <> y.col) WHERE bit_count(sb) >= 10)",
+        "three AS (SELECT list_append(cols, col), list_append(parts, expr), t.sb & z.sb, t.vb & z.vb FROM two t JOIN pool z ON t.i < z.i AND NOT list_contains(cols, col))",
+        f"conjunctions AS ({scored('SELECT cols, parts, bit_count(sb) AS sat, bit_count(vb) AS bad FROM (SELECT cols, parts, sb, vb FROM two UNION ALL SELECT * FROM three)')})",
+    ]
+    if pattern:
+        same = " UNION ALL ".join(f"SELECT '{c}' AS col, a.vio AS vio, a.{c} = b.{c} AS same FROM items a JOIN items b USING (sample_id) WHERE {_RESIDUAL[pattern]}" for c in categorical)
+        ctes.append(f"alike AS (SELECT col, op, count(*) FILTER (NOT vio AND same = (op = '=')) AS sat, count(*) FILTER (vio AND same = (op = '=')) AS bad, count(*) FILTER (NOT vio) AS n_pairs FROM ({same}), (SELECT unnest(['=', '!=']) AS op) GROUP BY col, op)")
+        sentence = "CASE op WHEN '=' THEN 'two rows have the same value' ELSE 'two rows have different values' END || ' in the \"' || col || '\" column'"
+        ctes.append(f"paired AS ({scored(f'SELECT *, {sentence} AS expr FROM alike', 'n_pairs')})")
+        found += " UNION ALL SELECT 'PairWise', col, op, expr, sat, bad, confidence, penalty, score FROM paired WHERE score > 0.53"
+    ctes.append(f"ranked AS (SELECT *, row_number() OVER (ORDER BY {order.format(0.4)}) AS place FROM (SELECT * FROM ({found}) QUALIFY row_number() OVER (PARTITION BY kind, col, op ORDER BY {order.format(0.3)}) <= 2))")
+    return ",\n".join(ctes) + "\nSELECT CAST(place AS INTEGER) AS place, kind, expr, col AS columns, CAST(sat AS BIGINT) AS sat_matches, CAST(bad AS BIGINT) AS vio_matches, confidence, penalty, score FROM ranked"
+
+
 _WORDS = "CASE c_custkey % 5 WHEN 0 THEN 'None' WHEN 1 THEN '<NA>' WHEN 2 THEN 'NaN' ELSE c_mktsegment END"
 
 ORACLES: dict[str, str] = {
@@ -322,6 +386,9 @@ r AS (SELECT place AS rank FROM sought LEFT JOIN placed USING (expr)) SELECT CAS
     "tree_rules": _tree(),
     "suggest_single_row": _single(["o_year", "supp_class"]),
     "discover": _single([]),
+    "suggest_multi_between": _multi("between_groups"),
+    "suggest_multi_within": _multi("within_groups"),
+    "suggest_multi_whole": _multi(None),
     "hybrid_rank": f"{_mined(['o_year', 'supp_class'], None)} SELECT expr, 0.2::DOUBLE * CASE col WHEN 'o_year' THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END + 0.8::DOUBLE * ((score + 1) / 2) AS hybrid_score FROM ranked",
     "reconstruct_samples": f"SELECT group_key, 0 AS rep, role, CAST(row_number() OVER (PARTITION BY group_key, role ORDER BY row_id) - 1 AS INTEGER) AS place, row_id, c_mktsegment, nation, balance FROM ({_HIER}) JOIN ({CUSTOMERS} SELECT * FROM cust) USING (row_id)",
     "wracc": f'{_wracc(_VALUES)} SELECT "column", value, round(wracc, 8) AS wracc FROM w',

@@ -11,7 +11,7 @@ from rulelens.operators.splits import best_splits
 from rulelens.plans import catalog, discovery, multi_row, single_row
 
 #: Queries that are cheap enough to compare in every run; the rest of them share their code.
-QUICK = "suggest_single_row hybrid_rank search_space subgroup_beam reconstruct_samples tree_rules atomic_eq atomic_neq merged_in conjunction_3 numeric_splits potential_numeric pair_both_sides pairwise_neq redundancy_filter sample_informative hier_sample tree_stump rule_monotonic".split()
+QUICK = "suggest_multi_whole suggest_single_row hybrid_rank search_space subgroup_beam reconstruct_samples tree_rules atomic_eq atomic_neq merged_in conjunction_3 numeric_splits potential_numeric pair_both_sides pairwise_neq redundancy_filter sample_informative hier_sample tree_stump rule_monotonic".split()
 
 
 @pytest.fixture(scope="module")
