@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, suffixdup
+from . import decontam, middle, suffixdup
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = f"regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -46,4 +46,17 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
 FROM doc LEFT JOIN covered USING (d) LEFT JOIN named USING (d) LEFT JOIN close USING (d)"""
 
-ORACLES = {"op4_suffixes": SUFFIXES, "op5_decontamination": DECONTAMINATION}
+_MARKED = " OR ".join(f"contains(t, '{m}')" for m in middle.MARKS)
+_DRAW = ", ".join(f"CAST('0x' || substr(digest, {8 * i + 1}, 8) AS BIGINT) AS h{i + 1}" for i in range(4))
+
+#: Units as a list, cut by its ranks; what is restored is the text itself.
+MIDDLE = f"""WITH doc AS (SELECT doc_id, coalesce(text, '') AS t, sha256('{middle.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents),
+drawn AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, {_DRAW} FROM doc),
+ranked AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+  CASE WHEN t = '' OR {_MARKED} OR h3 % 100 >= {middle.RATE} THEN 'plain' WHEN h4 % 100 < {middle.SPM} THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+cut AS (SELECT doc_id, t, n, form, array_to_string(u[1 : a], '') AS p, array_to_string(u[a + 1 : b], '') AS m, array_to_string(u[b + 1 :], '') AS s FROM ranked)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '{middle.PREFIX}' || p || '{middle.SUFFIX}' || s || '{middle.MIDDLE}' || m ELSE '{middle.SUFFIX}' || s || '{middle.PREFIX}' || p || '{middle.MIDDLE}' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM cut"""
+
+ORACLES = {"op4_suffixes": SUFFIXES, "op5_decontamination": DECONTAMINATION, "op13_middle": MIDDLE}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, extract, langid, matroska, packing, secrets, simhash, suffixdup, tokenfile, toxicity
+from . import decontam, extract, langid, matroska, middle, packing, periodic, quality, secrets, simhash, suffixdup, tokenfile, toxicity
 from .arrowio import has_table, id_text, read_table, store
 from .oracles import ORACLES as ORACLES
 
@@ -73,6 +73,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of all documents; one id of ten gets a tail that repeats."""
+    return periodic.longest(periodic.detect(read_table(spark, sf_dir, "documents"), ["doc_id"], periodic.planted))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; rows of one remainder of three are held out of the fit."""
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = id_text() % 3 == 1
+    model = quality.fit(docs, read_table(spark, sf_dir, "labels"), ~held_out, ["n_chars"])
+    return quality.score(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"], ["n_chars"])
+
+
+def op13_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in fill-in-the-middle form, and rebuilt from it."""
+    return middle.digest(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html": op1_html,
     "op2_language": op2_language,
@@ -84,4 +102,7 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_secrets": op9_secrets,
     "op10_packing": op10_packing,
+    "op11_periodic": op11_periodic,
+    "op12_quality": op12_quality,
+    "op13_middle": op13_middle,
 }
