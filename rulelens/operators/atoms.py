@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import VIOLATING, totals, with_metrics
+from .domains import side_counts
 
 
 def value_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value, sat, vio) of every value, null included: one map-side combined aggregation for all columns."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
-    long = rows.select(F.explode(pairs).alias("p"), VIOLATING).select("p.column", "p.value", VIOLATING)
-    return long.groupBy("column", "value").agg(F.count(F.when(~F.col(VIOLATING), 1)).alias("sat"), F.count(F.when(F.col(VIOLATING), 1)).alias("vio"))
+    return side_counts(rows, columns)
 
 
 def equality(rows: DataFrame, columns: list[str], min_support: int = 5) -> DataFrame:

@@ -14,24 +14,6 @@ SMALL_DOMAIN = 2
 SEEDS = 25
 
 
-def domains(categorical: dict[str, Iterable], special: dict[str, Iterable] | None = None, literal_specials: bool = False) -> dict[str, list]:
-    """Values of each column: categorical and special ones, null words as None unless asked otherwise."""
-    out: dict[str, list] = {}
-    for source, raw in ((categorical, False), (special or {}, literal_specials)):
-        for name, values in source.items():
-            seen = out.setdefault(name, [])
-            for v in values or []:
-                v = v if raw else normalized(v)
-                if not any(type(v) is type(w) and v == w for w in seen):
-                    seen.append(v)
-    return out
-
-
-def atoms(domain: dict[str, list]) -> list[ColumnValue]:
-    """= for every value, != where the domain has more than two."""
-    return [ColumnValue(c, op, v) for c, values in domain.items() for v in values for op in (("=", "!=") if len(values) > SMALL_DOMAIN else ("=",))]
-
-
 def pairwise(columns: Iterable[str]) -> list[PairWise]:
     return [PairWise(c, op) for c in columns for op in ("=", "!=")]
 
@@ -48,8 +30,8 @@ def merge_allowed(k: int, domain_size: int, op: str) -> bool:
     return k <= rest if op == "=" else k < rest
 
 
-def merges(results: list[dict], domain: dict[str, list], per_column: int, least: int = 2, most: int = 4) -> Iterator[MergedValues]:
-    """Sets of least..most of the best atoms of each column and operator."""
+def merges(results: list[dict], sizes: dict[str, int], per_column: int, least: int = 2, most: int = 4) -> Iterator[MergedValues]:
+    """Sets of least..most of the best atoms of each column and operator; sizes: values of each domain."""
     groups: dict[tuple[str, str], list[dict]] = {}
     for r in results:
         c = r["condition"]
@@ -58,9 +40,8 @@ def merges(results: list[dict], domain: dict[str, list], per_column: int, least:
     for (name, op), own in sorted(groups.items()):
         own.sort(key=lambda r: (-rank_value(r, MERGE_WEIGHT), -r["confidence"], str(r["condition"])))
         values = [r["condition"].value for r in own[:per_column]]
-        size = len({(type(v).__name__ if isinstance(v, str) else "", v) for v in map(normalized, domain.get(name, values))})
         for k in range(least, min(most, len(values)) + 1):
-            if merge_allowed(k, size, op):
+            if merge_allowed(k, sizes[name], op):
                 for chosen in combinations(values, k):
                     yield MergedValues(name, frozenset(chosen), op)
 

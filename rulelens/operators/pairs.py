@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.conditions import Condition, PairWise
+from .domains import long_values
 
 PATTERNS = ("between_groups", "within_groups", "all_combinations")
 
@@ -94,9 +95,26 @@ def matching(samples: DataFrame, conditions: list[Condition], pattern: str) -> D
     return _pair_sum(samples.select("sample_id", _unit(pattern), F.explode(hits).alias("cond")), ["cond"], pattern)
 
 
-def of_sets(occurring: DataFrame, pattern: str) -> DataFrame:
-    """(ids, pairs) of rows (sample_id, role or row_id, ids) that meet sets of conditions."""
-    return _pair_sum(occurring, ["ids"], pattern)
+def value_pairs(samples: DataFrame, columns: list[str], pattern: str | None, total: int) -> DataFrame:
+    """(column, value, eq_vio, ne_vio): pairs whose rows both have a value, and both have another one (null is a value), of all values at once; whole samples for no pattern.
+
+    total: all pairs (or samples). The second count is the total less what the value takes away, so samples without it aren't touched.
+    """
+    unit = _unit(pattern) if pattern else "role"
+    sizes = samples.groupBy("sample_id", unit).agg(F.count(F.lit(1)).alias("u"))
+    own = long_values(samples, columns, "sample_id", unit).groupBy("sample_id", unit, "column", "value").agg(F.count(F.lit(1)).alias("k"))
+    k, u = F.col("k"), F.col("u")
+    per = own.join(sizes, ["sample_id", unit]).groupBy("sample_id", "column", "value").agg(F.sum(k).alias("nv"), F.sum(k * k).alias("squares"), F.sum(u * k).alias("cross"))
+    x = per.join(sizes.groupBy("sample_id").agg(F.sum("u").alias("n")), "sample_id")
+    n, nv, squares, cross = F.col("n"), F.col("nv"), F.col("squares"), F.col("cross")
+    if pattern is None:
+        same, less, half = (n == nv).cast("long"), -F.lit(1).cast("long"), 1
+    elif pattern == "within_groups":
+        same, less, half = squares - nv, squares + nv - 2 * cross, 2
+    else:
+        same, less, half = nv * nv - squares, nv * nv - squares - 2 * n * nv + 2 * cross, 1 if pattern == "between_groups" else 2
+    summed = x.groupBy("column", "value").agg(F.sum(same).alias("same"), F.sum(less).alias("less"))
+    return summed.select("column", "value", F.expr(f"same div {half}").alias("eq_vio"), (F.lit(total) + F.expr(f"less div {half}")).cast("long").alias("ne_vio"))
 
 
 def pairwise(samples: DataFrame, columns: list[str], pattern: str) -> DataFrame:

@@ -13,14 +13,16 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.conditions import Condition, Conjunction, PairWise
+from ..functions.conditions import ColumnValue, Condition, Conjunction, PairWise
 from ..functions.scoring import VIOLATING, purity_value
 from ..operators import candidates as G
 from ..operators import pairs as P
-from ..operators.conjunctions import combinations, occurrences
+from ..operators.atoms import value_counts
+from ..operators.conjunctions import Sets, sample_sets
+from ..operators.domains import Domains, best, scored
 from ..operators.ranking import ranked
 from ..operators.splits import best_splits
-from .single_row import leading
+from .single_row import conjoined
 
 # Support and score limits of the stages.
 MIN_SUPPORT = 10
@@ -61,17 +63,24 @@ class Evaluator:
             return {r[0]: r[1] for r in P.whole_groups(self.vio, conditions).collect()}
         return {r[0]: r[1] for r in P.matching(self.vio, conditions, self.pattern).collect()}
 
-    def set_penalties(self, pool: list[Condition], sets: list[list[int]]) -> dict[tuple, int]:
-        """Matching pairs (or whole groups) of sets of conditions of the pool."""
-        if not sets:
-            return {}
-        if self.pattern == WHOLE:
-            per_sample = occurrences(self.vio, pool, sets, ["sample_id"]).groupBy("sample_id", "ids").agg(F.count(F.lit(1)).alias("k"))
-            sizes = self.vio.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
-            whole = per_sample.join(sizes, "sample_id").where("k = n").groupBy("ids").agg(F.count(F.lit(1)).alias("matched"))
-            return {tuple(r[0]): r[1] for r in whole.collect()}
-        unit = "row_id" if self.pattern == "all_combinations" else "role"
-        return {tuple(r[0]): r[1] for r in P.of_sets(occurrences(self.vio, pool, sets, ["sample_id", unit]), self.pattern).collect()}
+    def atoms(self, columns: list[str], domains, special) -> tuple[list[dict], dict[str, int]]:
+        """= and != of the columns' values that a later stage can use, and the sizes of the domains."""
+        both = value_counts(self.sat, columns).unionByName(value_counts(self.vio, columns)).groupBy("column", "value").agg(F.sum("sat").alias("sat"), F.sum("vio").alias("vio"))
+        both = both.persist(StorageLevel.MEMORY_AND_DISK)
+        domain = Domains(both, self.sat.schema, columns, domains, special)
+        pattern = None if self.pattern == WHOLE else self.pattern
+        penal = P.value_pairs(self.vio, columns, pattern, self.n_vio)
+        same = F.col("b.column").eqNullSafe(F.col("p.column")) & F.col("b.value").eqNullSafe(F.col("p.value"))
+        found = both.alias("b").join(penal.alias("p"), same, "left").select("b.column", "b.value", F.col("sat").alias("eq_sat"), "eq_vio", (F.lit(self.n_sat) - F.col("sat")).alias("ne_sat"), "ne_vio")
+        out = []
+        for r in best(scored(domain.candidates(found), domain.sizes, self.n_sat, self.n_vio, self.min_support), COLLECT).collect():
+            out.append(self._result(ColumnValue(r["column"], r["op"], domain.value(r["column"], r["value"])), r["sat_matches"], r["vio_matches"], self.n_sat))
+        both.unpersist()
+        return out, domain.sizes
+
+    def sets(self, pool: list[Condition]) -> Sets:
+        """Satisfying rows and violating pairs (or whole samples) by the conditions that they meet."""
+        return sample_sets(self.sat, self.vio, pool, None if self.pattern == WHOLE else self.pattern, "row_id" if self.pattern == "all_combinations" else "role")
 
     def rows(self, conditions: list[Condition]) -> list[dict]:
         """Row-level conditions."""
@@ -116,36 +125,13 @@ def _suggest(samples: DataFrame, used: list[str], categorical: list[str], numeri
         return []
     identifiers = set(identifiers)
     valued = [c for c in categorical if c in used and c not in identifiers]
-    given = {c: vs for c, vs in (domains or {}).items() if c in valued}
-    missing = [c for c in valued if c not in given]
-    if missing:
-        found = samples.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in missing])).alias("x")).select("x.*").where("v IS NOT NULL")
-        counted = found.groupBy(F.col("c").alias("column"), F.col("v").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-        for r in leading(counted, F.col("n")).orderBy(F.desc("n"), "column", "value").collect():
-            given.setdefault(r["column"], []).append(G.typed(r["value"], samples.schema[r["column"]].dataType.simpleString()))
-    domain = {c: v for c, v in G.domains(given, special).items() if c in valued}
-    atoms = e.rows(list(G.atoms(domain)))
-    paired = e.pairwise(list(dict.fromkeys([*domain, *[c for c in used if c in identifiers]])))
+    atoms, sizes = e.atoms(valued, domains, special) if valued else ([], {})
+    paired = e.pairwise(list(dict.fromkeys([*[c for c in valued if sizes.get(c)], *[c for c in used if c in identifiers]])))
     splits = sorted((r["column"], r["split_value"]) for r in best_splits(samples, [c for c in numerical if c in used]).collect()) if numerical else []
     numbers = e.rows(G.numeric(splits))
     out = [r for r in [*atoms, *paired, *numbers] if r["score"] >= COLLECT and r["score"] > OUT]
-    merged = [r for r in e.rows(list(G.merges([r for r in atoms if r["score"] >= MERGE], domain, PER_COLUMN))) if r["score"] >= OUT]
+    merged = [r for r in e.rows(list(G.merges([r for r in atoms if r["score"] >= MERGE], sizes, PER_COLUMN))) if r["score"] >= OUT]
     out += [r for r in merged if r["score"] > OUT]
     parents = [r for r in [*atoms, *numbers, *merged] if r["score"] >= COLLECT]
-    done = set()
-    for pool in G.pools(parents, groups or []):
-        pool = sorted(pool, key=str)
-        if len({next(iter(c.columns())) for c in pool}) < 2:
-            continue
-        # confidence needs satisfying rows only; a set below the support scores 0 whatever its penalty
-        found = combinations(e.sat, pool, min_support).where(F.col("sat_matches") >= min_support).select("ids", "sat_matches").collect()
-        sat = {tuple(r["ids"]): r["sat_matches"] for r in found}
-        sat = {ids: n for ids, n in sat.items() if Conjunction(frozenset(pool[i] for i in ids)) not in done}
-        vio = e.set_penalties(pool, [list(ids) for ids in sorted(sat)])
-        for ids, n in sorted(sat.items()):
-            condition = Conjunction(frozenset(pool[i] for i in ids))
-            done.add(condition)
-            r = e._result(condition, n, vio.get(ids, 0), e.n_sat)
-            if r["score"] >= OUT and r["score"] > OUT:
-                out.append(r)
+    out += conjoined(parents, groups or [], e.n_sat, e.n_vio, min_support, OUT, e.sets)
     return ranked(out)

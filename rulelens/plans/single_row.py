@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.conditions import ColumnValue, Conjunction, MergedValues
-from ..functions.scoring import MERGE_WEIGHT, VIOLATING, informedness, purity_value, totals
+from ..functions.conditions import ColumnValue, Condition, Conjunction
+from ..functions.scoring import MERGE_WEIGHT, VIOLATING, informedness, purity_value, totals, with_metrics
 from ..operators import candidates as G
 from ..operators.atoms import evaluate, value_counts
-from ..operators.conjunctions import combinations
+from ..operators.conjunctions import Sets, row_sets
+from ..operators.domains import Domains, best, scored
 from ..operators.ranking import ranked
 from ..operators.splits import best_splits
 
@@ -20,16 +21,6 @@ from ..operators.splits import best_splits
 MIN_SUPPORT = 5
 OUT_ATOM, OUT_NUMERIC, MERGE, OUT_MERGED, PARENT, OUT_CONJUNCTION = 0.53, 0.5, 0.5, 0.5, 0.4, 0.5
 PER_COLUMN = 10
-#: Most frequent values of a column that are taken as its domain when none is given, column by column; given domains are whole.
-MOST_VALUES = 500
-
-
-def leading(counted: DataFrame, n: Column, whole: Iterable[str] = ()) -> DataFrame:
-    """Rows (column, value, ...) with the MOST_VALUES largest n of each column, and all of the columns in `whole`."""
-    place = F.row_number().over(Window.partitionBy("column").orderBy(n.desc(), "value"))
-    free = counted.where(~F.col("column").isin(*whole)) if whole else counted
-    out = free.withColumn("__place", place).where(F.col("__place") <= MOST_VALUES).drop("__place")
-    return out.unionByName(counted.where(F.col("column").isin(*whole))) if whole else out
 
 
 def _result(condition, sat: int, vio: int, n_sat: int, n_vio: int, min_support: int) -> dict:
@@ -58,31 +49,17 @@ def _suggest(rows: DataFrame, categorical: list[str], numerical: list[str], doma
         return []
     result = lambda c, s, v: _result(c, s, v, n_sat, n_vio, min_support)
     # every value of every categorical column, counted once; sets and complements are sums of these
-    counts: dict[str, dict] = {c: {} for c in categorical}
+    atoms, counts, sizes = [], {}, {}
     if categorical:
-        known = {c: {str(v) if not isinstance(v, bool) else str(v).lower() for v in vs} for c, vs in (domains or {}).items()}
-        counted = value_counts(rows, categorical)
-        if known:
-            wanted = [F.col("value").isNull() | ~F.col("column").isin(*known)] + [(F.col("column") == c) & F.col("value").isin(*vs) for c, vs in known.items() if vs]
-            keep = wanted[0]
-            for w in wanted[1:]:
-                keep = keep | w
-            counted = counted.where(keep)
-        # special values join a domain, so their counts are needed as well
-        marked = [c for c in special or {} if c in categorical and c not in known]
-        extra = [(F.col("column") == c) & F.col("value").isin(*map(str, special[c])) for c in marked if special[c]]
-        chosen = leading(counted, F.col("sat") + F.col("vio"), list(known))
-        for x in extra:
-            chosen = chosen.unionByName(counted.where(x))
-        for r in chosen.distinct().orderBy(F.desc(F.col("sat") + F.col("vio")), "column", "value").collect():
-            counts[r["column"]][G.typed(r["value"], rows.schema[r["column"]].dataType.simpleString())] = (r["sat"], r["vio"])
-    given = {c: (domains or {}).get(c) if (domains or {}).get(c) is not None else [v for v in counts[c] if v is not None] for c in categorical}
-    domain = G.domains(given, special)
-    domain = {c: v for c, v in domain.items() if c in counts}
-    atoms = []
-    for a in G.atoms(domain):
-        s, v = counts[a.column].get(a.value, (0, 0))
-        atoms.append(result(a, s, v) if a.op == "=" else result(a, n_sat - s, n_vio - v))
+        counted = value_counts(rows, categorical).persist(StorageLevel.MEMORY_AND_DISK)
+        domain = Domains(counted, rows.schema, categorical, domains, special)
+        sizes = domain.sizes
+        found = counted.select("column", "value", F.col("sat").alias("eq_sat"), F.col("vio").alias("eq_vio"), (F.lit(n_sat) - F.col("sat")).alias("ne_sat"), (F.lit(n_vio) - F.col("vio")).alias("ne_vio"))
+        for r in best(scored(domain.candidates(found), sizes, n_sat, n_vio, min_support), PARENT).collect():
+            condition = ColumnValue(r["column"], r["op"], domain.value(r["column"], r["value"]))
+            counts[condition.column, condition.value] = r["eq_sat"], r["eq_vio"]
+            atoms.append(result(condition, r["sat_matches"], r["vio_matches"]))
+        counted.unpersist()
     out = [r for r in atoms if r["score"] > OUT_ATOM]
     numbers = []
     if numerical:
@@ -92,14 +69,14 @@ def _suggest(rows: DataFrame, categorical: list[str], numerical: list[str], doma
             numbers = [r.asDict() | {"condition": conditions[r["cond"]]} for r in evaluate(rows, conditions, min_support).collect()]
             out += [r for r in numbers if r["score"] > OUT_NUMERIC]
     merged = []
-    for m in G.merges([r for r in atoms if r["score"] > MERGE], domain, PER_COLUMN):
-        found = [counts[m.column].get(v, (0, 0)) for v in m.values]
+    for m in G.merges([r for r in atoms if r["score"] > MERGE], sizes, PER_COLUMN):
+        found = [counts[m.column, v] for v in m.values]
         s, v = sum(f[0] for f in found), sum(f[1] for f in found)
         merged.append(result(m, s, v) if m.op == "=" else result(m, n_sat - s, n_vio - v))
     merged = [r for r in merged if r["score"] > OUT_MERGED]
     out += merged
     if conjunctions:
-        out += conjoined(rows, [r for r in [*atoms, *numbers, *merged] if r["score"] > PARENT], groups or [], min_support, OUT_CONJUNCTION)
+        out += conjoined([r for r in [*atoms, *numbers, *merged] if r["score"] > PARENT], groups or [], n_sat, n_vio, min_support, OUT_CONJUNCTION, lambda pool: row_sets(rows, pool))
     return ranked(out)
 
 
@@ -114,18 +91,24 @@ def best_sets(found: DataFrame, pool: list, keep: int = 2) -> DataFrame:
     return named.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= keep).drop("__place", "__columns", "__text")
 
 
-def conjoined(rows: DataFrame, parents: list[dict], groups: list[list[str]], min_support: int, least: float) -> list[dict]:
-    """Conjunctions of two and three parents within the legal pools."""
+def conjoined(parents: list[dict], groups: list[list[str]], n_sat: int, n_vio: int, min_support: int, least: float, sets_of: Callable[[list[Condition]], Sets]) -> list[dict]:
+    """Conjunctions of two and three parents within the legal pools, scored above `least`. sets_of: the signatures of a list of conditions; they are made once for all pools."""
+    pools = [pool for pool in G.pools(parents, groups) if len({next(iter(c.columns())) for c in pool}) > 1]
+    if not pools:
+        return []
+    every = sorted({c for pool in pools for c in pool}, key=str)
+    sets = sets_of(every)
+    sets.signatures = sets.signatures.persist(StorageLevel.MEMORY_AND_DISK)
     out, done = [], set()
-    for pool in G.pools(parents, groups):
-        pool = sorted((c for c in pool if isinstance(c, (ColumnValue, MergedValues)) or not isinstance(c, Conjunction)), key=str)
-        if len({next(iter(c.columns())) for c in pool}) < 2:
-            continue
-        for r in best_sets(combinations(rows, pool, min_support).where(F.col("score") > least), pool).collect():
-            condition = Conjunction(frozenset(pool[i] for i in r["ids"]))
+    for pool in pools:
+        found = sets.counts(min_support, [i for i, c in enumerate(every) if c in set(pool)]).where(F.col("sat_matches") >= min_support)
+        measured = with_metrics(found.withColumns({"n_sat": F.lit(n_sat), "n_vio": F.lit(n_vio)}), min_support)
+        for r in best_sets(measured.where(F.col("score") > least), every).collect():
+            condition = Conjunction(frozenset(every[i] for i in r["ids"]))
             if condition not in done:
                 done.add(condition)
                 out.append({k: r[k] for k in ("sat_matches", "vio_matches", "confidence", "penalty", "score")} | {"condition": condition})
+    sets.signatures.unpersist()
     return out
 
 
