@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable
 from dataclasses import replace
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.conditions import ColumnValue, Condition, Conjunction, Numerical
 from ..functions.scoring import VIOLATING, purity_value, totals
-from .atoms import evaluate
 from .candidates import typed
+from .conjunctions import numbers_of, row_sets
 from .pairs import explicit
-from .quantiles import wide
-from .splits import best_splits, entropy
+from .quantiles import quantiles_of
+from .splits import entropy, gains_of
 
 
 def one_hot(rows: DataFrame, categorical: list[str], numerical: list[str], values: dict[str, list]) -> DataFrame:
@@ -37,39 +38,92 @@ def value_gains(rows: DataFrame, columns: list[str]) -> DataFrame:
     return x.select("column", "value", gain.alias("gain"), "n_in", "v_in", "n_all", "v_all")
 
 
-def best_split(rows: DataFrame, categorical: list[str], numerical: list[str], min_leaf: int = 5) -> tuple[Condition, Condition] | None:
-    """The two sides of the split with the largest gain whose sides both hold min_leaf rows."""
-    found: list[tuple[float, str, Condition, Condition]] = []
-    if numerical:
-        filled = rows.select(VIOLATING, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in numerical])
-        for r in best_splits(filled, numerical, 1).where((F.col("n_left") >= min_leaf) & (F.col("n_all") - F.col("n_left") >= min_leaf)).collect():
-            found.append((r["gain"], r["column"], Numerical(r["column"], "<", r["split_value"]), Numerical(r["column"], ">=", r["split_value"])))
-    if categorical:
-        kept = value_gains(rows, categorical).where((F.col("n_in") >= min_leaf) & (F.col("n_all") - F.col("n_in") >= min_leaf) & (F.col("gain") > 1e-12))
-        for r in kept.orderBy(F.desc(F.round("gain", 10)), "column", "value").limit(1).collect():
-            v = typed(r["value"], rows.schema[r["column"]].dataType.simpleString())
-            found.append((r["gain"], r["column"], ColumnValue(r["column"], "=", v), ColumnValue(r["column"], "!=", v)))
-    if not found:
-        return None
-    return min(found, key=lambda x: (-round(x[0], 10), x[1]))[2:]
+def cells(categorical: list[str], numerical: list[str], suffix: str = "", fill: float | None = 0.0, itself: bool = True) -> Column:
+    """(column, text, number) of all features of a row, NaN as missing, null numbers as `fill`; one more without a column counts the row itself."""
+    none, nothing = F.lit(None).cast("double"), F.lit(None).cast("string")
+    number = lambda c: F.nanvl(F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(fill).cast("double")), none)
+    out = [F.struct(F.lit("").alias("column"), nothing.alias("text"), none.alias("number"))] if itself else []
+    out += [F.struct(F.lit(c + suffix).alias("column"), F.col(f"`{c}`").cast("string").alias("text"), none.alias("number")) for c in categorical]
+    out += [F.struct(F.lit(c + suffix).alias("column"), nothing.alias("text"), number(c).alias("number")) for c in numerical]
+    return F.array(*out)
+
+
+def best_splits_of(counted: DataFrame, numerical: list[str], min_leaf: int) -> DataFrame:
+    """Per node its rows (n_all, v_all) and its best split (column, text or cut; no column: none), from (node, column, text, number, n, v).
+
+    The best split of a numeric column counts only if both sides hold min_leaf rows; of a categorical column all values do so that leave as many on both sides.
+    """
+    whole = counted.where("column = ''").select("node", F.col("n").alias("all_n"), F.col("v").alias("all_v"))
+    key = F.concat_ws(":", F.col("node").cast("string"), F.col("column"))
+    worst = -F.round("gain", 10)
+    numbers = counted.where(F.col("column").isin(numerical) & F.col("number").isNotNull())
+    gains = gains_of(numbers.select(key.alias("column"), F.col("number").alias("value"), "n", "v"))
+    # the least of structs is the best split: it combines before the shuffle
+    first = gains.groupBy("column").agg(F.min(F.struct(worst.alias("w"), "split_value", "n_left", "n_all")).alias("m")).select("column", "m.*")
+    fits = (F.col("n_left") >= min_leaf) & (F.col("n_all") - F.col("n_left") >= min_leaf)
+    parts = F.split("column", ":", 2)
+    numeric = first.where(fits).select(parts[0].cast("int").alias("node"), F.struct("w", parts[1].alias("column"), F.lit(None).cast("string").alias("text"), F.col("split_value").alias("cut")).alias("s"))
+    values = counted.where((F.col("column") != "") & ~F.col("column").isin(numerical)).join(F.broadcast(whole), "node")
+    n, v, all_n, all_v = F.col("n"), F.col("v"), F.col("all_n"), F.col("all_v")
+    out = all_n - n
+    gain = entropy(all_v / all_n) - n / all_n * entropy(v / n) - F.when(out > 0, out / all_n * entropy((all_v - v) / out)).otherwise(0.0)
+    sized = values.where((n >= min_leaf) & (out >= min_leaf)).withColumn("gain", gain).where("gain > 1e-12")
+    some = sized.select("node", F.struct(worst.alias("w"), "column", "text", F.lit(None).cast("double").alias("cut")).alias("s"))
+    top = numeric.unionByName(some).groupBy("node").agg(F.min("s").alias("s")).select("node", "s.column", "s.text", "s.cut")
+    return whole.join(top, "node", "left")
+
+
+def grow(level: Callable[[list[frozenset]], list], schema: T.StructType, numerical: list[str], depth: int, min_leaf: int, min_support: int) -> list[dict]:
+    """Paths to leaves with more satisfying than violating rows, scored and best first. level: best_splits_of of nodes, given by their paths, collected: at most 2^depth rows."""
+    out, nodes, total = [], [frozenset()], None
+    while nodes:
+        met = {r["node"]: r for r in level(nodes)}
+        total = total or (met[0]["all_n"] - met[0]["all_v"], met[0]["all_v"]) if met else (0, 0)
+        deeper = []
+        for i, path in enumerate(nodes):
+            r = met.get(i)
+            if r is None:
+                continue
+            sat, vio = r["all_n"] - r["all_v"], r["all_v"]
+            if len(path) < depth and sat and vio and sat + vio >= 2 * min_leaf and r["column"] is not None:
+                c = r["column"]
+                if c in numerical:
+                    deeper += [path | {Numerical(c, op, r["cut"])} for op in ("<", ">=")]
+                else:
+                    value = typed(r["text"], schema[c].dataType.simpleString())
+                    deeper += [path | {ColumnValue(c, op, value)} for op in ("=", "!=")]
+            elif path and sat > vio:
+                c, p = sat / max(1, total[0]), vio / max(1, total[1])
+                condition = next(iter(path)) if len(path) == 1 else Conjunction(path)
+                out.append({"condition": condition, "confidence": c, "penalty": p, "sat_matches": sat, "vio_matches": vio, "score": purity_value(c, p, sat, min_support)})
+        nodes = deeper
+    return sorted(out, key=lambda r: (-round(r["score"], 10), -r["confidence"], str(r["condition"])))
+
+
+def all_of(conditions: Iterable[Condition], schema: T.StructType) -> Column:
+    out = F.lit(True)
+    for c in sorted(conditions, key=str):
+        out = out & c.to_column(schema)
+    return out
 
 
 def tree_rules(rows: DataFrame, categorical: list[str], numerical: list[str], depth: int = 3, min_leaf: int = 5, min_support: int = 5) -> list[dict]:
-    """Paths to leaves with more satisfying than violating rows, scored and best first. At most 2^depth leaves."""
-    whole = totals(rows).first()
-    out = []
-    stack: list[tuple[DataFrame, frozenset]] = [(rows, frozenset())]
-    while stack:
-        here, path = stack.pop()
-        n = totals(here).first()
-        split = best_split(here, categorical, numerical, min_leaf) if len(path) < depth and n["n_sat"] and n["n_vio"] and n["n_sat"] + n["n_vio"] >= 2 * min_leaf else None
-        if split:
-            stack += [(here.where(side.to_column(here.schema)), path | {side}) for side in split]
-        elif path and n["n_sat"] > n["n_vio"]:
-            c, p = n["n_sat"] / max(1, whole["n_sat"]), n["n_vio"] / max(1, whole["n_vio"])
-            condition = next(iter(path)) if len(path) == 1 else Conjunction(path)
-            out.append({"condition": condition, "confidence": c, "penalty": p, "sat_matches": n["n_sat"], "vio_matches": n["n_vio"], "score": purity_value(c, p, n["n_sat"], min_support)})
-    return sorted(out, key=lambda r: (-round(r["score"], 10), -r["confidence"], str(r["condition"])))
+    """The leaves of an entropy tree. A level is one aggregation over all rows, with the node as part of the key."""
+    rows = rows.select(VIOLATING, *[F.col(f"`{c}`") for c in dict.fromkeys([*categorical, *numerical])]).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def level(nodes: list[frozenset]) -> list:
+        node = F.filter(F.array(*[F.when(all_of(p, rows.schema), F.lit(i)) for i, p in enumerate(nodes)]), lambda x: x.isNotNull())
+        features = rows.select(F.get(node, F.lit(0)).alias("node"), F.explode(cells(categorical, numerical)).alias("x"), VIOLATING).where("node IS NOT NULL")
+        counted = features.groupBy("node", "x.column", "x.text", "x.number").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col(VIOLATING), 1)).alias("v")).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return best_splits_of(counted, numerical, min_leaf).collect()
+        finally:
+            counted.unpersist()
+
+    try:
+        return grow(level, rows.schema, numerical, depth, min_leaf, min_support)
+    finally:
+        rows.unpersist()
 
 
 def search_space(rows: DataFrame, max_cardinality: int = 50, bins: int = 5) -> list[Condition]:
@@ -77,24 +131,29 @@ def search_space(rows: DataFrame, max_cardinality: int = 50, bins: int = 5) -> l
     names = [f for f in rows.schema if f.name != VIOLATING]
     numbers = [f.name for f in names if isinstance(f.dataType, T.NumericType)]
     others = [f.name for f in names if f.name not in numbers]
+    features = rows.select(F.explode(cells(others, numbers, fill=None, itself=False)).alias("x"))
+    counted = features.groupBy("x.column", "x.text", "x.number").agg(F.count(F.lit(1)).alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return selectors_of(counted, {f.name: f.dataType.simpleString() for f in names}, numbers, max_cardinality, bins)
+    finally:
+        counted.unpersist()
+
+
+def selectors_of(counted: DataFrame, kinds: dict[str, str], numbers: list[str], max_cardinality: int, bins: int) -> list[Condition]:
+    """The same from (column, text, number, n)."""
     out: list[Condition] = []
-    if others:
-        sizes = rows.agg(*[F.approx_count_distinct(c).alias(c) for c in others]).first().asDict()
-        small = [c for c in others if sizes[c] <= 2 * max_cardinality]  # exact below
-        if small:
-            pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in small])
-            values = rows.select(F.explode(pairs).alias("p")).select("p.*").where("value IS NOT NULL").distinct()
-            by: dict[str, list[str]] = {}
-            for r in values.orderBy("column", "value").limit(len(small) * 4 * max_cardinality).collect():
-                by.setdefault(r[0], []).append(r[1])
-            out += [ColumnValue(c, "=", typed(v, rows.schema[c].dataType.simpleString())) for c, vs in sorted(by.items()) if len(vs) <= max_cardinality for v in vs]
-    if numbers:
-        cuts = wide(rows, numbers, [i / bins for i in range(1, bins)]).first().asDict()
-        for c in numbers:
-            edges = sorted(set(cuts[c] or []))
-            for low, high in zip([None, *edges], [*edges, None], strict=True):
-                parts = [Numerical(c, ">=", low)] * (low is not None) + [Numerical(c, "<", high)] * (high is not None)
-                out += [parts[0] if len(parts) == 1 else Conjunction(frozenset(parts))] if parts else []
+    texts = counted.where(~F.col("column").isin(numbers) & F.col("text").isNotNull())
+    small = texts.groupBy("column").agg(F.countDistinct("text").alias("d")).where(F.col("d") <= max_cardinality).select("column")
+    # at most max_cardinality values a column
+    for r in texts.join(F.broadcast(small), "column").select("column", "text").distinct().orderBy("column", "text").collect():
+        out.append(ColumnValue(r[0], "=", typed(r[1], kinds[r[0]])))
+    valued = counted.where(F.col("column").isin(numbers) & F.col("number").isNotNull()).select("column", F.col("number").alias("value"), "n")
+    cuts = {r[0]: r[1] for r in quantiles_of(valued, [i / bins for i in range(1, bins)]).collect()} if numbers else {}
+    for c in numbers:
+        edges = sorted(set(cuts.get(c) or []))
+        for low, high in zip([None, *edges], [*edges, None], strict=True):
+            parts = [Numerical(c, ">=", low)] * (low is not None) + [Numerical(c, "<", high)] * (high is not None)
+            out += [parts[0] if len(parts) == 1 else Conjunction(frozenset(parts))] if parts else []
     return out
 
 
@@ -116,17 +175,6 @@ def row_condition(condition: Condition) -> Condition:
     return replace(condition, column=re.sub(r"_[12]$", "", condition.column))
 
 
-def pair_tree_rules(samples: DataFrame, categorical: list[str], numerical: list[str], **limits) -> list[dict]:
-    """tree_rules over the pairs of samples, with conditions over rows."""
-    twice = lambda names: [f"{c}_{i}" for c in names for i in (1, 2)]
-    rows = pair_rows(samples, [*categorical, *numerical]).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        found = tree_rules(rows, twice(categorical), twice(numerical), **limits)
-    finally:
-        rows.unpersist()
-    return [r | {"condition": row_condition(r["condition"])} for r in found]
-
-
 def wracc(counts: DataFrame) -> DataFrame:
     """Adds wracc, the weighted relative accuracy for satisfying rows, to counts with totals."""
     n, p = F.col("n_sat") + F.col("n_vio"), F.col("n_sat") / (F.col("n_sat") + F.col("n_vio"))
@@ -134,21 +182,53 @@ def wracc(counts: DataFrame) -> DataFrame:
     return counts.withColumn("wracc", F.when(own > 0, own / n * (F.col("sat_matches") / own - p)).otherwise(F.lit(0.0)))
 
 
-def subgroup_beam(rows: DataFrame, depth: int = 3, width: int = 20, results: int = 20, max_cardinality: int = 50, min_support: int = 5) -> list[dict]:
-    """Beam search: one aggregation per level over at most width * |selectors| descriptions."""
-    selectors = search_space(rows, max_cardinality)
-    parts = lambda c: c.conditions if isinstance(c, Conjunction) else frozenset([c])
+def beam_search(selectors: list[Condition], level: Callable[[list[frozenset]], list], n_sat: int, n_vio: int, depth: int, width: int, results: int, min_support: int) -> list[dict]:
+    """Beam search for subgroups of large weighted relative accuracy. A description is a set of numbers of selectors on different columns.
+
+    level: of each given description and selector (parent, selector, sat, vio) the rows that meet both: at most width * |selectors| collected.
+    """
+    n, share = n_sat + n_vio, n_sat / (n_sat + n_vio) if n_sat + n_vio else 0.0
+    columns = [s.columns() for s in selectors]
+    parts = [s.conditions if isinstance(s, Conjunction) else frozenset([s]) for s in selectors]
+    joined = lambda t: frozenset().union(*(parts[i] for i in t))
+    texts = lambda t: sorted(map(str, joined(t)))
     beam: list[frozenset] = [frozenset()]
     best: dict[frozenset, dict] = {}
     for _ in range(depth):
-        tried = {b | parts(s) for b in beam for s in selectors if not (frozenset().union(*(c.columns() for c in b)) if b else frozenset()) & s.columns()} - best.keys()
+        counts: dict[frozenset, tuple[int, int]] = {}
+        tried = {b | {i} for b in beam for i in range(len(selectors)) if not any(columns[i] & columns[j] for j in b)} - best.keys()
         if not tried:
             break
-        listed = sorted(tried, key=lambda t: sorted(map(str, t)))
-        conditions = [next(iter(t)) if len(t) == 1 else Conjunction(t) for t in listed]
-        for r in wracc(evaluate(rows, conditions, min_support)).collect():
-            best[listed[r["cond"]]] = r.asDict() | {"condition": conditions[r["cond"]]}
-        order = sorted(best, key=lambda t: (-round(best[t]["wracc"], 10), sorted(map(str, t))))
-        beam = order[:width]
+        for r in level(beam):
+            t = beam[r["parent"]] | {r["selector"]}
+            if t in tried:
+                counts[t] = r["sat"], r["vio"]
+        for t in tried:
+            sat, vio = counts.get(t, (0, 0))
+            own, c, p = sat + vio, sat / n_sat if n_sat else 0.0, vio / n_vio if n_vio else 0.0
+            condition = next(iter(joined(t))) if len(joined(t)) == 1 else Conjunction(joined(t))
+            accuracy = own / n * (sat / own - share) if own else 0.0
+            best[t] = {"condition": condition, "sat_matches": sat, "vio_matches": vio, "confidence": c, "penalty": p, "score": purity_value(c, p, sat, min_support), "wracc": accuracy}
+        beam = sorted(best, key=lambda t: (-round(best[t]["wracc"], 10), texts(t)))[:width]
     top = sorted(best.values(), key=lambda r: (-round(r["wracc"], 10), str(r["condition"])))[:results]
     return sorted(top, key=lambda r: (-round(r["score"], 10), -r["confidence"], str(r["condition"])))
+
+
+def subgroup_beam(rows: DataFrame, depth: int = 3, width: int = 20, results: int = 20, max_cardinality: int = 50, min_support: int = 5) -> list[dict]:
+    """Subgroups of single rows. Rows are grouped by the selectors they meet once; each level reads that table."""
+    selectors = search_space(rows, max_cardinality)
+    total = totals(rows).first()
+    if not selectors or not total["n_sat"] or not total["n_vio"]:
+        return []
+    met = row_sets(rows, selectors).signatures.select(numbers_of(range(len(selectors))).alias("hits"), "sat", "vio").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def level(beam: list[frozenset]) -> list:
+        listed = F.array(*[F.struct(F.lit(i).alias("parent"), F.array(*map(F.lit, sorted(b))).cast("array<int>").alias("ids")) for i, b in enumerate(beam)])
+        whole = F.filter(listed, lambda b: F.forall(b["ids"], lambda i: F.array_contains("hits", i)))
+        both = met.select("sat", "vio", "hits", F.explode(whole).alias("b")).select("sat", "vio", "b.parent", F.explode("hits").alias("selector"))
+        return both.groupBy("parent", "selector").agg(F.sum("sat").alias("sat"), F.sum("vio").alias("vio")).collect()
+
+    try:
+        return beam_search(selectors, level, total["n_sat"], total["n_vio"], depth, width, results, min_support)
+    finally:
+        met.unpersist()

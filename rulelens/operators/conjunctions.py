@@ -16,6 +16,7 @@ than DENSE different signatures is counted by set instead, as the square of the
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -37,7 +38,7 @@ def signature(schema: T.StructType, pool: list[Condition]) -> Column:
     return F.array(*[reduce(lambda a, b: a.bitwiseOR(b), bits[i : i + WORD]) for i in range(0, max(1, len(bits)), WORD)])
 
 
-def _numbers(chosen: list[int]) -> Column:
+def numbers_of(chosen: Iterable[int]) -> Column:
     """The ascending numbers of the chosen conditions whose bits are set in `sig`."""
     return F.expr(f"filter(array({', '.join(map(str, chosen))}), i -> (shiftright(sig[cast(i div {WORD} as int)], i % {WORD}) & 1L) = 1L)")
 
@@ -61,7 +62,7 @@ class Sets:
         names = sorted({next(iter(c.columns())) for c in self.pool})
         of = F.array(*[F.lit(names.index(next(iter(c.columns())))) for c in self.pool])
         apart = lambda x, y: F.get(of, x) != F.get(of, F.col(y))
-        hits = _numbers(chosen).alias("hits")
+        hits = numbers_of(chosen).alias("hits")
         found = self.signatures.select(hits, "sat", "vio").groupBy("hits").agg(F.sum("sat").alias("sat"), F.sum("vio").alias("vio")).where(F.size("hits") > 1)
         squares = [(rows.select(*keys, hits, "n").where(F.size("hits") > 1), keys, sign) for rows, keys, sign in self.dense]
 

@@ -16,7 +16,11 @@ def quantiles(rows: DataFrame, columns: list[str], probabilities: list[float]) -
     """(column, values: an array in the order of probabilities) of the non-null numbers of each column."""
     number = lambda c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), number(c).alias("value")) for c in columns])
-    counted = rows.select(F.explode(pairs).alias("p")).select("p.column", "p.value").where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return quantiles_of(rows.select(F.explode(pairs).alias("p")).select("p.column", "p.value").where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")), probabilities)
+
+
+def quantiles_of(counted: DataFrame, probabilities: list[float]) -> DataFrame:
+    """The same from (column, value, n)."""
     # at most SLICES edges per column
     cuts = counted.groupBy("column").agg(F.percentile_approx("value", F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)]), F.lit(1000)).alias("cuts"))
     sliced = counted.join(F.broadcast(cuts), "column").withColumn("slice", F.size(F.filter("cuts", lambda e: e < F.col("value")))).drop("cuts")

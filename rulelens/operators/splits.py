@@ -28,7 +28,11 @@ def _counted(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def split_gains(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(column, split_value, gain, n_left, v_left, n_all, v_all) at every midpoint of neighbouring values."""
-    counted = _counted(rows, columns)
+    return gains_of(_counted(rows, columns))
+
+
+def gains_of(counted: DataFrame) -> DataFrame:
+    """The same from (column, value, n, v): all and violating rows of each value, of whatever `column` stands for."""
     # at most SLICES edges per column
     cuts = counted.groupBy("column").agg(F.percentile_approx("value", F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)]), F.lit(1000)).alias("cuts"))
     sliced = counted.join(F.broadcast(cuts), "column").withColumn("slice", F.size(F.filter("cuts", lambda e: e < F.col("value")))).drop("cuts")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.conditions import Condition
 from ..functions.scoring import VIOLATING
-from ..operators import baselines, lookup, ranking, sampling
+from ..operators import baselines, lookup, ranking, sampling, sides
 from ..operators.atoms import equality, inequality
 from ..operators.candidates import typed
 from ..operators.evaluation import rank_of
@@ -112,7 +112,7 @@ def engine_strategy(advisor: Advisor | None = None) -> Strategy:
 def tree_strategy(task: Task) -> list[dict]:
     if task.kind == SINGLE:
         return baselines.tree_rules(task.data, task.categorical, task.numerical)
-    return baselines.pair_tree_rules(task.data, task.categorical, task.numerical)
+    return sides.pair_tree_rules(task.data, task.categorical, task.numerical)
 
 
 def atom_strategy(task: Task) -> list[dict]:

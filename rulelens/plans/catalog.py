@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.binning import QUARTILES, quartile_bin, width_bin
 from ..functions.conditions import ColumnValue, Conjunction, MergedValues, Numerical
 from ..functions.scoring import VIOLATING
-from ..operators import atoms, baselines, conjunctions, evaluation, lookup, pairs, quantiles, ranking, rules, sampling, screening, splits
+from ..operators import atoms, baselines, conjunctions, evaluation, lookup, pairs, quantiles, ranking, rules, sampling, screening, sides, splits
 from ..streaming import incremental
 from . import batch, discovery, multi_row, single_row
 from .oracles import ORACLES  # noqa: F401
@@ -31,7 +31,17 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keyed_samples(spark: SparkSession, sf_dir: str, below: int | None = None) -> DataFrame:
     """Orders as samples of the key rule (order, line): role is the line status, rows in a total order."""
     rows = table(spark, sf_dir, "lineitem")
-    units = rules.unique_key(rows, ["l_orderkey", "l_linenumber"]).groupBy("l_orderkey").agg(F.bool_or(VIOLATING).alias(VIOLATING))
+    return _order_samples(rows, rules.unique_key(rows, ["l_orderkey", "l_linenumber"]).groupBy("l_orderkey").agg(F.bool_or(VIOLATING).alias(VIOLATING)))
+
+
+def summed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as samples of the rule that their quantities sum up to 100 at most, with a class of suppliers."""
+    rows = table(spark, sf_dir, "lineitem")
+    supplier = F.concat(F.lit("S"), (F.col("l_suppkey") % 5).cast("string"))
+    return _order_samples(rows, rules.sum_to_threshold(rows, ["l_orderkey"], "l_quantity", "<=", 100.0)).withColumn("supp", supplier)
+
+
+def _order_samples(rows: DataFrame, units: DataFrame) -> DataFrame:
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
     return rules.samples(rows, units, ["l_orderkey"], F.col("l_linestatus"), order)
 
@@ -302,9 +312,19 @@ def sample_rows(spark, sf_dir):
 
 
 def tree_pairs(spark, sf_dir):
-    pairs_ = baselines.pair_rows(keyed_samples(spark, sf_dir), ["l_returnflag", "l_quantity"])
-    total = lambda c: F.sum(c).cast("double").alias(c)
-    return pairs_.groupBy(VIOLATING, "l_returnflag_1", "l_returnflag_2").agg(F.count(F.lit(1)).alias("n"), total("l_quantity_1"), total("l_quantity_2")).withColumnRenamed(VIOLATING, "vio")
+    return sides.value_meetings(keyed_samples(spark, sf_dir), ["l_returnflag"], ["l_quantity"]).withColumnRenamed(VIOLATING, "vio")
+
+
+def _with_supplier(spark, sf_dir):
+    return keyed_samples(spark, sf_dir).withColumn("supp", F.concat(F.lit("S"), (F.col("l_suppkey") % 5).cast("string")))
+
+
+def tree_pair_rules(spark, sf_dir):
+    return single_row.to_frame(spark, sides.pair_tree_rules(summed_samples(spark, sf_dir), ["l_returnflag", "supp"], ["l_quantity", "l_discount"]))
+
+
+def subgroup_pairs(spark, sf_dir):
+    return single_row.to_frame(spark, sides.pair_subgroups(summed_samples(spark, sf_dir), ["l_returnflag", "supp", "l_quantity", "l_discount"]))
 
 
 _SOUGHT = [ColumnValue("o_year", "=", 1995), ColumnValue("l_returnflag", "!=", "R"), ColumnValue("supp_class", "=", "S1"), ColumnValue("l_linestatus", "=", "F"), ColumnValue("o_orderpriority", "=", "5-LOW"), ColumnValue("o_year", "!=", 1900)]
@@ -361,8 +381,7 @@ def suggest_single_row(spark, sf_dir):
 
 
 def _suggest_multi(spark, sf_dir, pattern):
-    rows = keyed_samples(spark, sf_dir).withColumn("supp", F.concat(F.lit("S"), (F.col("l_suppkey") % 5).cast("string")))
-    return single_row.to_frame(spark, multi_row.suggest(rows, ["l_returnflag", "supp"], ["l_quantity"], pattern))
+    return single_row.to_frame(spark, multi_row.suggest(_with_supplier(spark, sf_dir), ["l_returnflag", "supp"], ["l_quantity"], pattern))
 
 
 def suggest_multi_between(spark, sf_dir):
@@ -387,8 +406,8 @@ def tree_rules(spark, sf_dir):
 
 
 def subgroup_beam(spark, sf_dir):
-    rows = base(spark, sf_dir).select(VIOLATING, F.col("o_year").cast("string").alias("o_year"), "l_returnflag", "l_linestatus", "supp_class", "l_quantity")
-    return single_row.to_frame(spark, baselines.subgroup_beam(rows, depth=2))
+    others = [F.col(c) for c in [*CATEGORICAL, *NUMERIC] if c != "o_year"]
+    return single_row.to_frame(spark, baselines.subgroup_beam(base(spark, sf_dir).select(VIOLATING, F.col("o_year").cast("string").alias("o_year"), *others)))
 
 
 def hybrid_rank(spark, sf_dir):
@@ -441,5 +460,5 @@ pairs_all_combinations pair_both_sides pairwise_eq pairwise_neq penalty_whole_gr
 confidence_with_violations flatten_samples redundancy_filter final_ranking ranking_metrics timing_summary sample_uniform
 sample_informative rarity_score hier_sample reconstruct_samples condition_iou one_hot tree_stump search_space wracc subgroup_level1
 suggest_single_row suggest_multi_between suggest_multi_within suggest_multi_whole discover tree_rules subgroup_beam hybrid_rank
-entity_group_rows sample_rows tree_pairs batch_metrics rule_functional_dependency rule_unique_key rule_sum_comparison rule_sum_threshold rule_monotonic rule_reference_equality stream_atom_counts"""
+entity_group_rows sample_rows tree_pairs tree_pair_rules subgroup_pairs batch_metrics rule_functional_dependency rule_unique_key rule_sum_comparison rule_sum_threshold rule_monotonic rule_reference_equality stream_atom_counts"""
 QUERIES = {name: globals()[name] for name in _NAMES.split()}

@@ -157,17 +157,20 @@ def _flags(units: str) -> str:
     return f"SELECT CAST(count(*) AS BIGINT) AS units, CAST(count(*) FILTER (bad) AS BIGINT) AS violating FROM ({units})"
 
 
-_QUANTITY = "'the \"l_quantity\" column is {side}: ' || CAST({x} AS VARCHAR)"
+def _interval(column: str) -> tuple[str, str]:
+    """Sentences of an interval's two ends."""
+    side = lambda words, x: f"'the \"{column}\" column is {words}: ' || CAST({x} AS VARCHAR)"
+    return side("greater than or equal to", "low"), side("less than", "high")
 
 
-def _selectors(columns: list[str]) -> str:
-    """(rid, vio, col, parts) of the selectors that each row meets: values, and intervals of quantity between fifths."""
-    low, high = _QUANTITY.format(side="greater than or equal to", x="low"), _QUANTITY.format(side="less than", x="high")
+def _selectors(columns: list[str], numeric: list[str] = ("l_quantity",), base: str = "", rows: str = "base") -> str:
+    """(rid, vio, col, parts) of the selectors that each row meets: values, and intervals of numbers between fifths."""
     values = " UNION ALL ".join(f"SELECT rid, vio, '{c}' AS col, ['the \"{c}\" column has the value of: ' || CAST({c} AS VARCHAR)] AS parts FROM numbered WHERE {c} IS NOT NULL" for c in columns)
-    return f"""{BASE}, numbered AS MATERIALIZED (SELECT row_number() OVER () AS rid, * FROM base),
-edges AS (SELECT list_sort(list_distinct(quantile_cont(l_quantity, [0.2, 0.4, 0.6, 0.8]))) AS e FROM base),
-bins AS (SELECT e[i] AS low, e[i + 1] AS high, list_filter([{low}, {high}], lambda x: x IS NOT NULL) AS parts FROM (SELECT e, unnest(range(0, len(e) + 1)) AS i FROM edges)),
-met AS MATERIALIZED ({values} UNION ALL SELECT rid, vio, 'l_quantity', parts FROM numbered JOIN bins ON coalesce(l_quantity >= low, TRUE) AND coalesce(l_quantity < high, TRUE))"""
+    bins = " UNION ALL ".join(f"SELECT '{c}' AS col, e[i] AS low, e[i + 1] AS high, list_filter([{', '.join(_interval(c))}], lambda x: x IS NOT NULL) AS parts FROM (SELECT e, unnest(range(0, len(e) + 1)) AS i FROM (SELECT list_sort(list_distinct(quantile_cont(CAST({c} AS DOUBLE), [0.2, 0.4, 0.6, 0.8]))) AS e FROM {rows}))" for c in numeric)
+    numbers = " UNION ALL ".join(f"SELECT rid, vio, '{c}', parts FROM numbered JOIN bins ON col = '{c}' AND coalesce({c} >= low, TRUE) AND coalesce({c} < high, TRUE)" for c in numeric)
+    return f"""{base or BASE}, numbered AS MATERIALIZED (SELECT row_number() OVER () AS rid, * FROM {rows}),
+bins AS MATERIALIZED ({bins}),
+met AS MATERIALIZED ({values} UNION ALL {numbers})"""
 
 
 _COUNTS = "count(*) FILTER (NOT {x}vio) AS sat, count(*) FILTER ({x}vio) AS bad"
@@ -176,24 +179,45 @@ _RULES = """SELECT CAST(row_number() OVER (ORDER BY round(score, 10) DESC, confi
   expr, array_to_string(list_sort(list_distinct(cols)), ',') AS columns, CAST(sat AS BIGINT) AS sat_matches, CAST(bad AS BIGINT) AS vio_matches, confidence, penalty, score
 FROM (SELECT *, CAST(CASE WHEN sat < 5 OR confidence + penalty = 0 THEN 0.0 ELSE confidence / (confidence + penalty) END AS DOUBLE) AS score, array_to_string(parts, ' AND ') AS expr FROM {found})"""
 
-_BEAM = f"""{_selectors(["o_year", "l_returnflag", "l_linestatus", "supp_class"])},
-one AS MATERIALIZED (SELECT *, {_RELATIVE} FROM (SELECT [col] AS cols, parts, {_COUNTS.format(x="")} FROM met GROUP BY ALL), tot),
-beam AS (SELECT parts, TRUE AS is_in FROM one ORDER BY round(wracc, 10) DESC, parts LIMIT 20),
-side AS MATERIALIZED (SELECT met.*, coalesce(is_in, FALSE) AS is_in FROM met LEFT JOIN beam USING (parts)),
-two AS (SELECT *, {_RELATIVE} FROM (SELECT [a.col, b.col] AS cols, list_sort(list_concat(a.parts, b.parts)) AS parts, {_COUNTS.format(x="a.")} FROM side a JOIN side b ON a.rid = b.rid AND a.col < b.col WHERE a.is_in OR b.is_in GROUP BY ALL), tot),
-top AS (SELECT * FROM (SELECT * FROM one UNION ALL SELECT * FROM two) ORDER BY round(wracc, 10) DESC, array_to_string(parts, ' AND ') LIMIT 20)
+def _beam(selectors: str, shown: str = "{parts}", columns: str = "cols") -> str:
+    """Three levels of a beam of 20: selectors, then pairs and triples on different columns with one selector less in the beam. shown: how a description is written at last."""
+    best = "ORDER BY round(wracc, 10) DESC, parts LIMIT 20"
+    return f"""{selectors},
+one AS MATERIALIZED (SELECT *, {_RELATIVE} FROM (SELECT [col] AS cols, parts, [parts] AS sels, {_COUNTS.format(x="")} FROM met GROUP BY ALL), tot),
+first AS MATERIALIZED (SELECT sels FROM one {best}),
+two AS MATERIALIZED (SELECT *, {_RELATIVE} FROM (SELECT [a.col, b.col] AS cols, list_sort(list_concat(a.parts, b.parts)) AS parts, [a.parts, b.parts] AS sels, {_COUNTS.format(x="a.")}
+  FROM met a JOIN met b ON a.rid = b.rid AND a.col < b.col WHERE [a.parts] IN (SELECT sels FROM first) OR [b.parts] IN (SELECT sels FROM first) GROUP BY ALL), tot),
+second AS MATERIALIZED (SELECT * FROM (SELECT cols, parts, sels, wracc FROM one UNION ALL SELECT cols, parts, sels, wracc FROM two) {best}),
+three AS MATERIALIZED (SELECT *, {_RELATIVE} FROM (SELECT list_sort(list_append(cols, c.col)) AS cols, list_sort(list_concat(s.parts, c.parts)) AS parts, [] AS sels, count(DISTINCT a.rid) FILTER (NOT a.vio) AS sat, count(DISTINCT a.rid) FILTER (a.vio) AS bad
+  FROM second s JOIN met a ON a.parts = s.sels[1] JOIN met b ON b.rid = a.rid AND b.parts = s.sels[2] JOIN met c ON c.rid = a.rid AND NOT list_contains(s.cols, c.col) WHERE len(s.sels) = 2 GROUP BY ALL), tot),
+every AS (SELECT {columns} AS cols, {shown.format(parts="parts")} AS parts, sat, bad, wracc, confidence, penalty, parts AS raw FROM (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three)),
+top AS (SELECT cols, parts, sat, bad, wracc, confidence, penalty FROM every ORDER BY round(wracc, 10) DESC, array_to_string(raw, ' AND ') LIMIT 20)
 {_RULES.format(found="top")}"""
 
 
-def _tree(depth: int = 3, leaf: int = 5) -> str:
+_BEAM = _beam(_selectors(CATEGORICAL, NUMERIC))
+#: Rows of a sample in both orders with their roles apart, as columns with _1 and _2.
+_PAIR_COLUMNS, _PAIR_NUMBERS = ["l_returnflag", "supp"], ["l_quantity", "l_discount"]
+_TWO = ", ".join(f"{x}.{c} AS {c}_{i}" for c in (*_PAIR_COLUMNS, *_PAIR_NUMBERS) for i, x in ((1, "a"), (2, "b")))
+_BY_SUM = SAMPLES.replace(SAMPLES[SAMPLES.index("(SELECT l_orderkey, bool_or") : SAMPLES.index(",\nsmp")], "(SELECT l_orderkey, sum(l_quantity) > 100 AS vio FROM lineitem GROUP BY 1)")
+_PAIRS = f"""{_BY_SUM}, with_supp AS MATERIALIZED (SELECT * REPLACE ('S' || CAST(l_suppkey % 5 AS VARCHAR) AS supp) FROM smp),
+base AS MATERIALIZED (SELECT a.vio AS vio, {_TWO} FROM with_supp a JOIN with_supp b USING (sample_id) WHERE {_RESIDUAL['between_groups']}),
+tot AS (SELECT CAST(count(*) FILTER (NOT vio) AS BIGINT) AS n_sat, CAST(count(*) FILTER (vio) AS BIGINT) AS n_vio FROM base)"""
+_sides = lambda names: [f"{c}_{i}" for c in names for i in (1, 2)]
+#: Conditions on either row of a pair, said of rows; what becomes equal is said once.
+_OF_ROWS = "list_sort(list_distinct(list_transform({parts}, lambda x: regexp_replace(x, '_[12]\" column', '\" column'))))"
+_OF_ROW_COLUMNS = "list_sort(list_distinct(list_transform(cols, lambda x: regexp_replace(x, '_[12]$', ''))))"
+
+
+def _tree(depth: int = 3, leaf: int = 5, base: str = BASE, categorical: list[str] = CATEGORICAL, numeric: list[str] = NUMERIC, shown: str = "{parts}", columns: str = "cols") -> str:
     """An entropy tree, a level at a time: rows carry their path, and a level picks the best split of each path."""
-    number = "CASE col " + " ".join(f"WHEN '{c}' THEN coalesce(CAST({c} AS DOUBLE), 0)" for c in NUMERIC) + " END"
-    text = "CASE col " + " ".join(f"WHEN '{c}' THEN CAST({c} AS VARCHAR)" for c in CATEGORICAL) + " END"
+    number = "CASE col " + " ".join(f"WHEN '{c}' THEN coalesce(CAST({c} AS DOUBLE), 0)" for c in numeric) + " END"
+    text = "CASE col " + " ".join(f"WHEN '{c}' THEN CAST({c} AS VARCHAR)" for c in categorical) + " END"
     gain = f"{_entropy('va / na')} - nl / na * ({_entropy('vl / nl')}) - CASE WHEN na > nl THEN (na - nl) / na * ({_entropy('(va - vl) / (na - nl)')}) ELSE 0 END AS gain"
-    steps = [f"{BASE}, t0 AS MATERIALIZED (SELECT *, CAST([] AS VARCHAR[]) AS parts, CAST([] AS VARCHAR[]) AS cols FROM base)"]
+    steps = [f"{base}, t0 AS MATERIALIZED (SELECT *, CAST([] AS VARCHAR[]) AS parts, CAST([] AS VARCHAR[]) AS cols FROM base)"]
     for i in range(depth):
-        numbers = " UNION ALL ".join(f"SELECT parts, '{c}' AS col, coalesce(CAST({c} AS DOUBLE), 0) AS value, vio FROM t{i}" for c in NUMERIC)
-        texts = " UNION ALL ".join(f"SELECT parts, '{c}' AS col, CAST({c} AS VARCHAR) AS value, vio FROM t{i}" for c in CATEGORICAL)
+        numbers = " UNION ALL ".join(f"SELECT parts, '{c}' AS col, coalesce(CAST({c} AS DOUBLE), 0) AS value, vio FROM t{i}" for c in numeric)
+        texts = " UNION ALL ".join(f"SELECT parts, '{c}' AS col, CAST({c} AS VARCHAR) AS value, vio FROM t{i}" for c in categorical)
         counted = "SELECT parts, col, value, count(*) AS n, count(*) FILTER (vio) AS v FROM ({}) GROUP BY ALL"
         steps.append(f"""open{i} AS MATERIALIZED (SELECT parts, count(*) AS na, count(*) FILTER (vio) AS va FROM t{i} WHERE len(parts) = {i} GROUP BY parts HAVING count(*) >= {2 * leaf} AND bool_or(vio) AND bool_or(NOT vio)),
 num{i} AS (SELECT parts, col, value, lead(value) OVER o AS nxt, sum(n) OVER (o ROWS UNBOUNDED PRECEDING) AS nl, sum(v) OVER (o ROWS UNBOUNDED PRECEDING) AS vl FROM ({counted.format(numbers)}) WINDOW o AS (PARTITION BY parts, col ORDER BY value)),
@@ -206,7 +230,7 @@ t{i + 1} AS MATERIALIZED (SELECT * EXCLUDE (parts, cols, col, cut, value, gain),
   CASE WHEN col IS NULL THEN parts ELSE list_sort(list_append(parts, 'the "' || col || '" column ' || CASE WHEN cut IS NOT NULL THEN CASE WHEN {number} < cut THEN 'is less than: ' ELSE 'is greater than or equal to: ' END || CAST(cut AS VARCHAR)
     ELSE CASE WHEN {text} IS NOT DISTINCT FROM value THEN 'has the value of: ' ELSE 'does not have the value of: ' END || coalesce(value, 'None') END)) END AS parts
   FROM t{i} LEFT JOIN pick{i} USING (parts))""")
-    leaves = f"(SELECT *, sat / n_sat AS confidence, bad / n_vio AS penalty FROM (SELECT parts, any_value(cols) AS cols, {_COUNTS.format(x='')} FROM t{depth} WHERE len(parts) > 0 GROUP BY parts), tot WHERE sat > bad)"
+    leaves = f"(SELECT *, sat / n_sat AS confidence, bad / n_vio AS penalty FROM (SELECT {shown.format(parts='parts')} AS parts, {columns} AS cols, sat, bad FROM (SELECT parts, any_value(cols) AS cols, {_COUNTS.format(x='')} FROM t{depth} WHERE len(parts) > 0 GROUP BY parts)), tot WHERE sat > bad)"
     return ",\n".join(steps) + "\n" + _RULES.format(found=leaves)
 
 
@@ -384,6 +408,8 @@ r AS (SELECT place AS rank FROM sought LEFT JOIN placed USING (expr)) SELECT CAS
     "search_space": f"{_selectors(['l_returnflag', 'l_linestatus', 'supp_class'])} SELECT array_to_string(parts, ' AND ') AS selector FROM (SELECT DISTINCT parts FROM met WHERE col <> 'l_quantity' UNION ALL SELECT parts FROM bins)",
     "subgroup_beam": _BEAM,
     "tree_rules": _tree(),
+    "tree_pair_rules": _tree(base=_PAIRS, categorical=_sides(_PAIR_COLUMNS), numeric=_sides(_PAIR_NUMBERS), shown=_OF_ROWS, columns=_OF_ROW_COLUMNS),
+    "subgroup_pairs": _beam(_selectors(_sides(_PAIR_COLUMNS), _sides(_PAIR_NUMBERS), _PAIRS), _OF_ROWS, _OF_ROW_COLUMNS),
     "suggest_single_row": _single(["o_year", "supp_class"]),
     "discover": _single([]),
     "suggest_multi_between": _multi("between_groups"),

@@ -8,7 +8,7 @@ import pytest
 
 from rulelens.functions.conditions import ColumnValue, Conjunction, Numerical
 from rulelens.functions.scoring import VIOLATING
-from rulelens.operators import baselines, lookup, pairs, quantiles, sampling
+from rulelens.operators import baselines, lookup, pairs, quantiles, sampling, sides
 from rulelens.plans import batch, discovery
 from rulelens.plans.advisors import ModelAdvisor, Retrying
 from rulelens.sources.model import DataUnderstanding, ReferencingPair
@@ -68,7 +68,7 @@ def test_pairs_for_trees(spark):
     both = Conjunction(frozenset([ColumnValue("v_1", "=", 1), ColumnValue("v_2", "=", 1)]))
     assert baselines.row_condition(both) == ColumnValue("v", "=", 1)
     assert baselines.row_condition(Conjunction(frozenset([ColumnValue("v_1", "=", 1), Numerical("w_2", "<", 3.0)]))) == Conjunction(frozenset([ColumnValue("v", "=", 1), Numerical("w", "<", 3.0)]))
-    assert all(not str(r["condition"]).count("_1") for r in baselines.pair_tree_rules(samples, [], ["v"], min_leaf=1, min_support=1))
+    assert all(not str(r["condition"]).count("_1") for r in sides.pair_tree_rules(samples, [], ["v"], min_leaf=1, min_support=1))
 
 
 def test_patterns_at_once(spark):
