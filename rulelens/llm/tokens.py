@@ -2,8 +2,9 @@
 
 Both vocabularies cut texts into pieces (letters, digits, other marks, white space) before they
 merge, so a text's ids are those of its pieces in turn. Pieces are found for many texts at once
-from the classes of their code points, known by a 128-bit hash, and each distinct piece is merged by
-the library's model once and remembered in flat arrays (a bounded number; the rest is merged again).
+from the classes of their code points, and each distinct piece is merged by the library's model once and
+remembered in flat arrays (a bounded number; the rest is merged again). A piece of up to SHORT code points is known by these
+themselves, packed into two numbers; a longer one is found by a hash and compared with the code points that are remembered with it.
 
 Texts whose cut could differ go to the library whole: those with an apostrophe (contractions), with
 a string of a special token, or with code points outside the ranges below, whose classes,
@@ -21,6 +22,8 @@ import numpy as np
 #: Pieces that a worker remembers (some 45 bytes each), and slots of the table that finds them.
 REMEMBERED = 1 << 20
 _BITS = 21
+#: Code points that fit into the two numbers of a key, 16 bits each.
+SHORT = 8
 #: Code points that are cut at once.
 CHUNK = 1 << 19
 #: Code points in these ranges may be cut here: Latin, Greek, Cyrillic, and general punctuation.
@@ -44,6 +47,10 @@ def _class(c: str) -> int:
     return LETTER if kind[0] == "L" else DIGIT if kind[0] == "N" else OTHER
 
 
+#: The first 0 to 4 code points of a number.
+_MASKS = np.array([(1 << 16 * n) - 1 for n in range(5)], np.uint64)
+
+
 @lru_cache(1)
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Class and lower case of each code point (the last entry stands for all beyond), and powers and random values of two hashes."""
@@ -64,8 +71,14 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return classes, lower, up, down, values
 
 
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... for count[i] numbers each, one after the other."""
+    last = np.cumsum(count)
+    return np.arange(last[-1] if len(last) else 0) + np.repeat(first - (last - count), count)
+
+
 class _Memory:
-    """Ids of the pieces met: hashes to a place in one pool of ids."""
+    """Ids of the pieces met: keys to a place in one pool of ids, and the code points of long pieces."""
 
     def __init__(self):
         self.slots = np.full(1 << _BITS, -1, np.int32)
@@ -73,10 +86,13 @@ class _Memory:
         self.spot = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int32)
         self.pool = np.zeros(1 << 18, np.uint16)
-        self.n = self.used = 0
+        self.letter_spot = np.zeros(1 << 16, np.int64)
+        self.letter_size = np.zeros(1 << 16, np.int32)
+        self.letters = np.zeros(1 << 18, np.uint16)
+        self.n = self.used = self.spelled = 0
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Entry of each pair of hashes, -1 where there is none."""
+        """Entry of each key, -1 where there is none."""
         out = np.full(h.shape[1], -1, np.int32)
         live = np.arange(h.shape[1])
         slot = (h[0] >> np.uint64(64 - _BITS)).astype(np.int64)
@@ -89,19 +105,25 @@ class _Memory:
             live, slot = live[~same], (slot[~same] + 1) & ((1 << _BITS) - 1)
         return out
 
-    def add(self, h: np.ndarray, ids: list[bytes], keep: int) -> np.ndarray:
-        """Entries of new pieces; the first `keep` can be found from now on."""
+    def add(self, h: np.ndarray, ids: list[bytes], spelling: np.ndarray, lengths: np.ndarray, keep: int) -> np.ndarray:
+        """Entries of new pieces; the first `keep` can be found from now on. spelling: the code points of long pieces, lengths: how many (0 for short ones)."""
         n = len(ids)
         sizes = np.array([len(x) >> 1 for x in ids], np.int32)
         flat = np.frombuffer(b"".join(ids), np.uint16)
         while self.n + n > len(self.spot):
             self.keys, self.spot, self.size = np.concatenate([self.keys, self.keys], 1), np.r_[self.spot, self.spot], np.r_[self.size, self.size]
+            self.letter_spot, self.letter_size = np.r_[self.letter_spot, self.letter_spot], np.r_[self.letter_size, self.letter_size]
+        while self.spelled + len(spelling) > len(self.letters):
+            self.letters = np.r_[self.letters, self.letters]
         while self.used + len(flat) > len(self.pool):
             self.pool = np.r_[self.pool, self.pool]
         entry = np.arange(self.n, self.n + n)
         self.keys[:, entry], self.size[entry] = h, sizes
         self.spot[entry] = self.used + np.cumsum(sizes) - sizes
         self.pool[self.used : self.used + len(flat)] = flat
+        self.letter_size[entry] = lengths
+        self.letter_spot[entry] = self.spelled + np.cumsum(lengths) - lengths
+        self.letters[self.spelled : self.spelled + len(spelling)] = spelling
         wait, slot = entry[:keep], (h[0, :keep] >> np.uint64(64 - _BITS)).astype(np.int64)
         while len(wait):
             _, first = np.unique(slot, return_index=True)
@@ -111,12 +133,22 @@ class _Memory:
             wait, slot = wait[~won], (slot[~won] + 1) & ((1 << _BITS) - 1)
         self.n += n
         self.used += len(flat)
+        self.spelled += len(spelling)
         return entry
 
+    def differ(self, entry: np.ndarray, spelling: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Which long pieces aren't those of their entries."""
+        wrong = self.letter_size[entry] != lengths
+        same = np.repeat(~wrong, lengths)
+        stored = self.letters[_ranges(self.letter_spot[entry][~wrong], lengths[~wrong])]
+        owner = np.repeat(np.flatnonzero(~wrong), lengths[~wrong])
+        wrong[owner[stored != spelling[same]]] = True
+        return wrong
+
     def shrink(self, entries: int) -> None:
         """Forget what came after so many entries (those that can't be found)."""
         if self.n > entries:
-            self.used, self.n = int(self.spot[entries]), entries
+            self.used, self.spelled, self.n = int(self.spot[entries]), int(self.letter_spot[entries]), entries
 
 
 class Encoder:
@@ -211,13 +243,23 @@ class Encoder:
         keep = ~unsafe[text[at]] if self.spaced else ~unsafe[text[at]] & ~white[at]
         at, to = at[keep], to[keep]
         own = text[at]
-        h = np.empty((2, len(at)), np.uint64)
-        for k in (0, 1):
-            sums = np.zeros(len(codes) + 1, np.uint64)
-            np.cumsum(values[k][codes] * up[k][: len(codes)], out=sums[1:])
-            x = (sums[to] - sums[at]) * down[k][at]
-            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            h[k] = x ^ (x >> np.uint64(29))
+        length = to - at
+        long = np.nonzero(length > SHORT)[0]
+        # four code points (plus one, so none is 0) in a number, from every place on
+        lanes = np.zeros(len(codes) + SHORT, np.uint64)
+        lanes[: len(codes)] = codes.astype(np.uint64) + np.uint64(1)
+        four = lanes[:-3] | lanes[1:-2] << np.uint64(16) | lanes[2:-1] << np.uint64(32) | lanes[3:] << np.uint64(48)
+        h = np.stack([four[at] & _MASKS[np.minimum(length, 4)], four[at + 4] & _MASKS[np.clip(length - 4, 0, 4)]])
+        if len(long):
+            for k in (0, 1):
+                sums = np.zeros(len(codes) + 1, np.uint64)
+                np.cumsum(values[k][codes] * up[k][: len(codes)], out=sums[1:])
+                # no short key has the highest bit
+                h[k, long] = (sums[to[long]] - sums[at[long]]) * down[k][at[long]] | np.uint64(1 << 63)
+        # one to one, so short keys stay exact
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+        h[0] ^= (h[1] << np.uint64(17)) | (h[1] >> np.uint64(47))
         memory = self.memory
         entry = memory.find(h)
         missing = np.nonzero(entry < 0)[0]
@@ -234,11 +276,15 @@ class Encoder:
             for a, b in zip(at[pieces].tolist(), to[pieces].tolist(), strict=True):
                 ids.append(array("H", [t.id for t in tokenize(source[a:b].translate(written))]).tobytes())
             room = max(0, REMEMBERED - memory.n)
-            entry[missing] = memory.add(h[:, pieces], ids, min(room, len(ids)))[back]
+            spelled = np.where(length[pieces] > SHORT, length[pieces], 0)
+            entry[missing] = memory.add(h[:, pieces], ids, codes[_ranges(at[pieces], spelled)], spelled, min(room, len(ids)))[back]
             known = min(memory.n, max(known, REMEMBERED))
+        if len(long):
+            # two long pieces of one hash: the library gets their texts whole
+            wrong = memory.differ(entry[long], codes[_ranges(at[long], length[long])], length[long])
+            unsafe[own[long[wrong]]] = True
         count = memory.size[entry].astype(np.int64)
-        last = np.cumsum(count)
-        flat = memory.pool[np.arange(last[-1] if len(last) else 0) + np.repeat(memory.spot[entry] - (last - count), count)]
+        flat = memory.pool[_ranges(memory.spot[entry], count)]
         memory.shrink(known)
         per_text = np.bincount(own, count, len(texts)).astype(np.int64)
         edge = np.cumsum(per_text)
