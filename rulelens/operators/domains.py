@@ -25,6 +25,8 @@ from .candidates import SEEDS, SMALL_DOMAIN, typed
 
 #: Parts of a column's values that are ranked on their own first.
 PARTS = 64
+#: Values of all columns that come to the driver unranked.
+FEW = 1000
 _SPAN = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}
 
 
@@ -161,8 +163,13 @@ def scored(counts: DataFrame, sizes: dict[str, int], n_sat: int, n_vio: int, min
     return x.withColumn("score", purity(F.col("confidence"), F.col("penalty"), F.col("sat_matches"), min_support))
 
 
-def best(candidates: DataFrame, least: float, keep: int = SEEDS) -> DataFrame:
-    """Of each column and operator the first `keep` with a score from `least` in each order that stages rank by; ties by the value's text."""
+def best(candidates: DataFrame, least: float, values: int, keep: int = SEEDS) -> DataFrame:
+    """Of each column and operator the first `keep` with a score from `least` in each order that stages rank by; ties by the value's text.
+
+    values: how many there are; FEW need no ranking here, as stages rank what they get.
+    """
+    if values <= FEW:
+        return candidates.where(F.col("score") >= least)
     inf = F.col("confidence") - F.col("penalty")
     orders = [[F.desc("score"), F.desc("confidence")], [F.desc(inf)], [F.desc("confidence")], [F.desc(F.col("score") + F.lit(MERGE_WEIGHT) * inf), F.desc("confidence")]]
     out = candidates.where(F.col("score") >= least).withColumn("__part", F.pmod(F.xxhash64("value"), F.lit(PARTS)))

@@ -35,10 +35,10 @@ def keyed_samples(spark: SparkSession, sf_dir: str, below: int | None = None) ->
 
 
 def summed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as samples of the rule that their quantities sum up to 100 at most, with a class of suppliers."""
+    """Orders as samples of the rule that their quantities sum up to 150 at most, with a class of suppliers."""
     rows = table(spark, sf_dir, "lineitem")
     supplier = F.concat(F.lit("S"), (F.col("l_suppkey") % 5).cast("string"))
-    return _order_samples(rows, rules.sum_to_threshold(rows, ["l_orderkey"], "l_quantity", "<=", 100.0)).withColumn("supp", supplier)
+    return _order_samples(rows, rules.sum_to_threshold(rows, ["l_orderkey"], "l_quantity", "<=", 150.0)).withColumn("supp", supplier)
 
 
 def _order_samples(rows: DataFrame, units: DataFrame) -> DataFrame:

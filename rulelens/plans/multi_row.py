@@ -73,7 +73,7 @@ class Evaluator:
         same = F.col("b.column").eqNullSafe(F.col("p.column")) & F.col("b.value").eqNullSafe(F.col("p.value"))
         found = both.alias("b").join(penal.alias("p"), same, "left").select("b.column", "b.value", F.col("sat").alias("eq_sat"), "eq_vio", (F.lit(self.n_sat) - F.col("sat")).alias("ne_sat"), "ne_vio")
         out = []
-        for r in best(scored(domain.candidates(found), domain.sizes, self.n_sat, self.n_vio, self.min_support), COLLECT).collect():
+        for r in best(scored(domain.candidates(found), domain.sizes, self.n_sat, self.n_vio, self.min_support), COLLECT, sum(domain.sizes.values())).collect():
             out.append(self._result(ColumnValue(r["column"], r["op"], domain.value(r["column"], r["value"])), r["sat_matches"], r["vio_matches"], self.n_sat))
         both.unpersist()
         return out, domain.sizes

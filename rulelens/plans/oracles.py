@@ -199,7 +199,7 @@ _BEAM = _beam(_selectors(CATEGORICAL, NUMERIC))
 #: Rows of a sample in both orders with their roles apart, as columns with _1 and _2.
 _PAIR_COLUMNS, _PAIR_NUMBERS = ["l_returnflag", "supp"], ["l_quantity", "l_discount"]
 _TWO = ", ".join(f"{x}.{c} AS {c}_{i}" for c in (*_PAIR_COLUMNS, *_PAIR_NUMBERS) for i, x in ((1, "a"), (2, "b")))
-_BY_SUM = SAMPLES.replace(SAMPLES[SAMPLES.index("(SELECT l_orderkey, bool_or") : SAMPLES.index(",\nsmp")], "(SELECT l_orderkey, sum(l_quantity) > 100 AS vio FROM lineitem GROUP BY 1)")
+_BY_SUM = SAMPLES.replace(SAMPLES[SAMPLES.index("(SELECT l_orderkey, bool_or") : SAMPLES.index(",\nsmp")], "(SELECT l_orderkey, sum(l_quantity) > 150 AS vio FROM lineitem GROUP BY 1)")
 _PAIRS = f"""{_BY_SUM}, with_supp AS MATERIALIZED (SELECT * REPLACE ('S' || CAST(l_suppkey % 5 AS VARCHAR) AS supp) FROM smp),
 base AS MATERIALIZED (SELECT a.vio AS vio, {_TWO} FROM with_supp a JOIN with_supp b USING (sample_id) WHERE {_RESIDUAL['between_groups']}),
 tot AS (SELECT CAST(count(*) FILTER (NOT vio) AS BIGINT) AS n_sat, CAST(count(*) FILTER (vio) AS BIGINT) AS n_vio FROM base)"""

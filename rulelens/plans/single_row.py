@@ -55,7 +55,7 @@ def _suggest(rows: DataFrame, categorical: list[str], numerical: list[str], doma
         domain = Domains(counted, rows.schema, categorical, domains, special)
         sizes = domain.sizes
         found = counted.select("column", "value", F.col("sat").alias("eq_sat"), F.col("vio").alias("eq_vio"), (F.lit(n_sat) - F.col("sat")).alias("ne_sat"), (F.lit(n_vio) - F.col("vio")).alias("ne_vio"))
-        for r in best(scored(domain.candidates(found), sizes, n_sat, n_vio, min_support), PARENT).collect():
+        for r in best(scored(domain.candidates(found), sizes, n_sat, n_vio, min_support), PARENT, sum(sizes.values())).collect():
             condition = ColumnValue(r["column"], r["op"], domain.value(r["column"], r["value"]))
             counts[condition.column, condition.value] = r["eq_sat"], r["eq_vio"]
             atoms.append(result(condition, r["sat_matches"], r["vio_matches"]))

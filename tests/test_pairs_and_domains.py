@@ -138,7 +138,7 @@ def test_best_values_are_those_of_a_full_ranking(spark):
     counts = spark.createDataFrame([("c", str(i), r.randrange(60), r.randrange(60)) for i in range(900)], "column string, value string, eq_sat long, eq_vio long")
     full = counts.withColumns({"ne_sat": 5000 - F.col("eq_sat"), "ne_vio": 4000 - F.col("eq_vio")})
     all_ = domains.scored(full, {"c": 900}, 5000, 4000, 5)
-    kept = {(x["op"], x["value"]) for x in domains.best(all_, 0.4, 7).collect()}
+    kept = {(x["op"], x["value"]) for x in domains.best(all_, 0.4, 5000, 7).collect()}
     rows = [x for x in all_.collect() if x["score"] >= 0.4]
     inf = lambda x: x["confidence"] - x["penalty"]
     for op in ("=", "!="):
