@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,22 +81,32 @@ def hierarchical(candidates: DataFrame, scores: DataFrame, k: int, min_per_role:
 
     A unit is a group's representation; its budget is its share of k, at least min_per_role
     for each role; roles get their best rows first, then the unit's next best; then the best k of all.
+    Units are counted by aggregation, and both rankings have a constant bound (min_per_role, k), which Spark applies
+    before it shuffles: a unit of a third of all rows sends no more than k rows from each task.
     """
+    k = max(0, k)
     scored = candidates.join(scores, "row_id", "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 8))
-    unit = Window.partitionBy("group_key", "rep")
-    role = Window.partitionBy("group_key", "rep", "role")
+    keys, best = ["group_key", "rep"], [F.desc("score"), "row_id"]
+    roles = candidates.groupBy(*keys, "role").agg(F.count(F.lit(1)).alias("n"))
+    of_role = F.least(F.col("n"), F.lit(min_per_role))
+    units = roles.groupBy(*keys).agg(F.sum("n").alias("unit_rows"), F.count("role").alias("roles"), F.sum(of_role).alias("firsts"))
     all_rows = candidates.agg(F.count(F.lit(1)).alias("all_rows"))
-    best = [F.desc("score"), "row_id"]
-    x = scored.join(F.broadcast(all_rows)).withColumn("unit_rows", F.count(F.lit(1)).over(unit)).withColumn("role_place", F.row_number().over(role.orderBy(*best)))
-    x = x.withColumn("roles", F.size(F.collect_set("role").over(unit)))
     share = F.floor(F.col("unit_rows") * F.lit(k) / F.col("all_rows"))
-    x = x.withColumn("budget", F.least("unit_rows", F.greatest(F.col("roles") * min_per_role, share)))
-    first = F.col("role_place") <= min_per_role
-    x = x.withColumn("unit_place", F.row_number().over(unit.orderBy(F.desc(first), *best)))
-    kept = x.where(first | (F.col("unit_place") <= F.col("budget")))
+    units = units.join(F.broadcast(all_rows)).withColumn("budget", F.least("unit_rows", F.greatest(F.col("roles") * min_per_role, share)))
+    first = scored.withColumn("place", F.row_number().over(Window.partitionBy(*keys, "role").orderBy(*best))).where(F.col("place") <= min_per_role).drop("place")
+    # a budget is at most k or the first rows of the roles; more than k rows of a unit never stay
+    ranked = scored.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*best))).where(F.col("place") <= k)
+    same = reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in (*keys, "role", "row_id")])
+    rest = ranked.alias("r").join(first.alias("f"), same, "left_anti")
+    next_place = F.row_number().over(Window.partitionBy(*keys).orderBy("place"))
+    within = reduce(lambda a, b: a & b, [F.col(f"n.{c}").eqNullSafe(F.col(f"u.{c}")) for c in keys])
+    more = rest.withColumn("next", next_place).alias("n").join(units.alias("u"), within).where(F.col("next") <= F.col("budget") - F.col("firsts"))
+    names = ["group_key", "rep", "role", "row_id", "score"]
+    kept = first.select(*names).unionByName(more.select(*[f"n.{c}" for c in names]))
     if force_full_if_small:
-        kept = x.where((F.col("all_rows") <= k) | first | (F.col("unit_place") <= F.col("budget")))
-    return kept.orderBy(F.desc("score"), "group_key", "rep", "role", "row_id").limit(max(0, k)).select("group_key", "rep", "role", "row_id", "score")
+        small = scored.join(F.broadcast(all_rows)).where(F.col("all_rows") <= k).select(*names)
+        kept = kept.join(F.broadcast(all_rows)).where(F.col("all_rows") > k).select(*names).unionByName(small)
+    return kept.orderBy(F.desc("score"), "group_key", "rep", "role", "row_id").limit(k)
 
 
 def reconstruct(selected: DataFrame, rows: DataFrame) -> DataFrame:

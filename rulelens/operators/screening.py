@@ -8,35 +8,52 @@ from pyspark.sql import functions as F
 from ..functions.binning import QUARTILES, quartile_bin
 from ..functions.scoring import VIOLATING
 from . import quantiles
+from .baselines import cells
 
 MIN_GAIN, MIN_GROUP, HIGH = 0.20, 10, 0.95
 
 
-def _groups(long: DataFrame, min_group: int) -> DataFrame:
-    valid = F.avg(F.when(F.col(VIOLATING), 0.0).otherwise(1.0)).alias("valid")
-    return long.where("value IS NOT NULL").groupBy("column", "value").agg(valid, F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_group)
+def counted_features(rows: DataFrame, categorical_columns: list[str], numerical_columns: list[str]) -> DataFrame:
+    """(column, text, number, n, v): all and violating rows of every value, NaN as missing; no column: of the whole. One pass; all stages read what it leaves."""
+    features = rows.select(F.explode(cells(categorical_columns, numerical_columns, fill=None)).alias("x"), VIOLATING)
+    return features.groupBy("x.column", "x.text", "x.number").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col(VIOLATING), 1)).alias("v"))
+
+
+def _valid(groups: DataFrame, min_group: int) -> DataFrame:
+    """(column, value, valid, n) of (column, value, n, v), summed."""
+    summed = groups.groupBy("column", "value").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).where(F.col("n") >= min_group)
+    return summed.select("column", "value", ((F.col("n") - F.col("v")) / F.col("n")).alias("valid"), "n")
+
+
+def _values(counted: DataFrame, min_group: int) -> DataFrame:
+    return _valid(counted.where("text IS NOT NULL").select("column", F.col("text").alias("value"), "n", "v"), min_group)
+
+
+def _bins(counted: DataFrame, min_group: int) -> DataFrame:
+    numbers = counted.where("number IS NOT NULL").select("column", F.col("number").alias("value"), "n", "v")
+    # one row a column
+    filled = numbers.groupBy("column").agg(F.sum("n").alias("filled")).where(F.col("filled") >= 2 * min_group)
+    edges = quantiles.quantiles_of(numbers, QUARTILES).join(filled, "column").select("column", "values")
+    binned = numbers.join(F.broadcast(edges), "column").withColumn("bin", quartile_bin(F.col("value"), F.col("values")).cast("string")).where("bin IS NOT NULL")
+    return _valid(binned.select("column", F.col("bin").alias("value"), "n", "v"), min_group)
 
 
 def categorical(rows: DataFrame, columns: list[str], min_group: int = MIN_GROUP) -> DataFrame:
     """(column, value, valid, n): mean validity of values with enough rows."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
-    return _groups(rows.select(F.explode(pairs).alias("p"), VIOLATING).select("p.column", "p.value", VIOLATING), min_group)
+    return _values(counted_features(rows, columns, []), min_group)
 
 
 def numerical(rows: DataFrame, columns: list[str], min_group: int = MIN_GROUP) -> DataFrame:
     """(column, value, valid, n) of quartile bins; columns with fewer than two groups' worth of values have none."""
-    edges = quantiles.wide(rows, columns, QUARTILES).select(*[F.col(c).alias(f"__edges_{i}") for i, c in enumerate(columns)])
-    filled = rows.agg(*[F.count(c).alias(f"__filled_{i}") for i, c in enumerate(columns)])
-    both = rows.join(F.broadcast(edges)).join(F.broadcast(filled))
-    value = lambda i, c: F.when(F.col(f"__filled_{i}") >= 2 * min_group, quartile_bin(F.col(f"`{c}`"), F.col(f"__edges_{i}")).cast("string"))
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), value(i, c).alias("value")) for i, c in enumerate(columns)])
-    return _groups(both.select(F.explode(pairs).alias("p"), VIOLATING).select("p.column", "p.value", VIOLATING), min_group)
+    return _bins(counted_features(rows, [], columns), min_group)
 
 
 def decision(rows: DataFrame, categorical_columns: list[str], numerical_columns: list[str], min_gain: float = MIN_GAIN, min_group: int = MIN_GROUP) -> DataFrame:
     """One row: refine, n, global_valid, best_gain, best_column, best_value, reason."""
-    found = [f(rows, c, min_group) for f, c in ((categorical, categorical_columns), (numerical, numerical_columns)) if c]
-    whole = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col(VIOLATING), 0.0).otherwise(1.0)).alias("global_valid"))
+    counted = counted_features(rows, categorical_columns, numerical_columns)
+    found = [f(counted, min_group) for f, c in ((_values, categorical_columns), (_bins, numerical_columns)) if c]
+    all_, bad = F.coalesce(F.sum("n"), F.lit(0)), F.sum("v")
+    whole = counted.where("column = ''").agg(all_.alias("n"), F.when(all_ > 0, (all_ - bad) / all_).alias("global_valid"))
     best = None
     for i, x in enumerate(found):
         x = x.withColumn("kind", F.lit(i))

@@ -53,3 +53,35 @@ def test_stream_counts_equal_batch(spark, tmp_path):
     query.stop()
     key = lambda r: tuple(map(str, r))
     assert sorted(map(key, spark.table("counts").collect())) == sorted(map(key, incremental.atom_counts(rows, ["c"]).collect()))
+
+
+ALL_ENCODINGS = ["utf-8-sig", "utf-8", "utf-16", "utf-16-le", "utf-16-be", "utf-32", "iso-8859-1", "cp1252", "cp1250", "macroman", "latin1", "utf-32-be"]
+
+
+@pytest.mark.parametrize("name", ALL_ENCODINGS)
+def test_files_of_every_encoding(spark, tmp_path, name):
+    """Those with a mark, zero bytes or valid UTF-8 are told by themselves, encodings of single bytes by name; the file is read as it was written."""
+    place = {"cp1250": "Łódź", "cp1252": "Zürich €", "macroman": "São Ω"}.get(name, "Zürich" if name in ("latin1", "iso-8859-1") else "Zürich 日本 Łódź")
+    column = "größe" if name != "macroman" else "città"
+    lines = [f"{column};zahl;note", *(f"{place};{i};note {i}" for i in range(300))]
+    path = tmp_path / "t.csv"
+    path.write_bytes("\n".join(lines).encode(name))
+    given = name if name in ("cp1250", "cp1252", "macroman") else None
+    rows = tables.read_csv(spark, str(path), encoding=given)
+    assert rows.columns == [column, "zahl", "note"] and rows.schema["zahl"].dataType.simpleString() == "int"
+    assert [tuple(r) for r in rows.orderBy("zahl").collect()] == [(place, i, f"note {i}") for i in range(300)]
+    assert tables.read_csv(spark, str(path), encoding=name).columns == [column, "zahl", "note"]
+
+
+def test_quoted_line_ends_and_late_bytes(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('a,b\n1,"x\ny"\n2,z\n')
+    assert [tuple(r) for r in tables.read_csv(spark, str(tmp_path / "q.csv"), multiline=True).orderBy("a").collect()] == [(1, "x\ny"), (2, "z")]
+    (tmp_path / "late.csv").write_bytes(b"a,b\n" + b"1,plain text\n" * 30_000 + b"2,Z\xfcrich\n")
+    assert tables.read_csv(spark, str(tmp_path / "late.csv")).where("a = 2").first()["b"] == "Zürich"
+    with pytest.raises(ValueError):
+        (tmp_path / "e.csv").write_bytes("﻿".encode("utf-16-le"))
+        tables.read_csv(spark, str(tmp_path / "e.csv"))
+    with pytest.raises(ValueError, match="utf-7"):
+        tables.read_csv(spark, str(tmp_path / "q.csv"), encoding="utf-7")
+    with pytest.raises(FileNotFoundError):
+        tables.read_csv(spark, str(tmp_path / "none.csv"))
