@@ -344,6 +344,23 @@ def batch_metrics(spark, sf_dir):
     return found.select("rules", *[F.round(c, 6).alias(c) for c in ("hits_at_1", "hits_at_3", "hits_at_5", "hits_at_10", "mrr")])
 
 
+def batch_engine(spark, sf_dir):
+    """Two stored rules with the conditions that should refine them, through the engine with all columns."""
+    rows = base(spark, sf_dir).persist()
+    urgent = rules.check_rows(rows.drop(VIOLATING), (F.col("l_discount") <= 0.05) | (F.col("o_orderpriority") == "1-URGENT"))
+    about = [("items ship on or after the order's date", rows, ColumnValue("o_year", "=", 1995)), ("discounts are at most 5 per cent", urgent, ColumnValue("o_orderpriority", "=", "1-URGENT"))]
+    work = [batch.Task("orders", "single", i, text, flagged, discovery.SINGLE, sought, CATEGORICAL, NUMERIC) for i, (text, flagged, sought) in enumerate(about)]
+    report = batch.run(work, batch.engine_strategy())
+    rows.unpersist()
+    return report.frame(spark).select("rule_id", "rank", "conditions")
+
+
+def sample_texts(spark, sf_dir):
+    """A sample that covers a free text that few rows have, besides values, quartiles and nulls."""
+    noted = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_id"), F.when(F.col("c_custkey") % 97 == 0, F.col("c_name")).alias("note"))
+    return sampling.informative(_customers(spark, sf_dir).join(noted, "row_id"), 60, ["c_mktsegment", "nation"], 2).select("row_id")
+
+
 def condition_iou(spark, sf_dir):
     found = evaluation.overlap(base(spark, sf_dir), Numerical("o_totalprice", "<", 150000.0), Numerical("o_totalprice", "<", 151000.0))
     return found.select("both", "either", F.round("iou", 6).alias("iou"))
@@ -396,6 +413,11 @@ def suggest_multi_whole(spark, sf_dir):
     return _suggest_multi(spark, sf_dir, multi_row.WHOLE)
 
 
+def suggest_multi_identifiers(spark, sf_dir):
+    """The class of suppliers as an identifier: pairwise conditions only."""
+    return single_row.to_frame(spark, multi_row.suggest(_with_supplier(spark, sf_dir), ["l_returnflag"], ["l_quantity"], "between_groups", identifiers=["supp"]))
+
+
 def discover(spark, sf_dir):
     engine = discovery.Engine(CATEGORICAL, NUMERIC)
     return single_row.to_frame(spark, engine.discover("items ship on or after the order's date", discovery.SINGLE, base(spark, sf_dir)))
@@ -460,5 +482,5 @@ pairs_all_combinations pair_both_sides pairwise_eq pairwise_neq penalty_whole_gr
 confidence_with_violations flatten_samples redundancy_filter final_ranking ranking_metrics timing_summary sample_uniform
 sample_informative rarity_score hier_sample reconstruct_samples condition_iou one_hot tree_stump search_space wracc subgroup_level1
 suggest_single_row suggest_multi_between suggest_multi_within suggest_multi_whole discover tree_rules subgroup_beam hybrid_rank
-entity_group_rows sample_rows tree_pairs tree_pair_rules subgroup_pairs batch_metrics rule_functional_dependency rule_unique_key rule_sum_comparison rule_sum_threshold rule_monotonic rule_reference_equality stream_atom_counts"""
+entity_group_rows sample_rows tree_pairs tree_pair_rules subgroup_pairs batch_engine sample_texts suggest_multi_identifiers batch_metrics rule_functional_dependency rule_unique_key rule_sum_comparison rule_sum_threshold rule_monotonic rule_reference_equality stream_atom_counts"""
 QUERIES = {name: globals()[name] for name in _NAMES.split()}

@@ -65,6 +65,7 @@ class Engine:
     advisor: Advisor = field(default_factory=EveryColumn)
     timing: Timing = field(default_factory=Timing)
     _utility: dict | None = None
+    _informed: bool = False
 
     def _ask(self, question, fallback):
         """An advisor's failure never stops mining."""
@@ -76,17 +77,23 @@ class Engine:
         finally:
             self.timing.advisor += time.time() - began
 
-    def discover(self, rule: str, rule_type: str, data: DataFrame, rule_columns: list[str] | None = None) -> list[dict]:
-        """Ranked conditions for flagged rows (single_row_rule) or flagged samples (any other rule type)."""
+    def discover(self, rule: str, rule_type: str, data: DataFrame, rule_columns: list[str] | None = None, verify_top: int = 0) -> list[dict]:
+        """Ranked conditions for flagged rows (single_row_rule) or flagged samples (any other rule type).
+
+        verify_top: of so many first conditions those go that the advisor finds senseless, given what the columns of
+        the rule and of the condition mean; 0 asks about none.
+        """
         about = {c: self.meanings.get(c, "") for c in [*self.categorical, *self.numerical]}
-        if hasattr(self.advisor, "inform") and self._utility is None:
+        if hasattr(self.advisor, "inform") and not self._informed:
             known = profile(data, [c for c in about if c in data.columns]).collect()
+            self._informed = True
             self.advisor.inform({r["column"]: r["first_values"].split("|") for r in known}, {r["column"]: r["n_distinct"] for r in known})
         relevant = self._ask(lambda: self.advisor.relevance(rule, about), {})
         kept = {c for c in about if relevant.get(c, RELEVANCE[0]) != "unrelated"}
-        if self._utility is None:
-            self._utility = self._ask(lambda: self.advisor.utility({c: about[c] for c in self.categorical}), {})
-        identifiers = [c for c in self.categorical if self._utility.get(c) == "identifier" and c in kept]
+        utility = self._utility or self._ask(lambda: self.advisor.utility({c: about[c] for c in self.categorical}), {})
+        # no answer is asked for again with the next rule
+        self._utility = utility or None
+        identifiers = [c for c in self.categorical if utility.get(c) == "identifier" and c in kept]
         categorical = [c for c in self.categorical if c in kept]
         numerical = [c for c in self.numerical if c in kept and c not in categorical]
         groups = [[c for c in g if c in kept] for g in self.groups]
@@ -98,10 +105,15 @@ class Engine:
         else:
             out = multi_row.suggest(data, categorical, numerical, multi_row.pattern_of(rule_type), domains, special, identifiers, groups)
         self.timing.mining += time.time() - began
-        return out
+        return self.verified(rule, out, verify_top, rule_columns) if verify_top else out
+
+    def verified(self, rule: str, results: list[dict], top: int = 10, rule_columns: list[str] | None = None) -> list[dict]:
+        """Results without those of the first `top` that the advisor finds senseless; a failure leaves them. It is told of the columns of rule and condition (of all, without those of the rule)."""
+        every = [*self.categorical, *self.numerical]
+
+        def sound(r: dict) -> bool:
+            named = every if rule_columns is None else dict.fromkeys([*rule_columns, *sorted(r["condition"].columns())])
+            about = {c: self.meanings.get(c, "") for c in named}
+            return self._ask(lambda: (self.advisor.verify(rule, str(r["condition"]), about),), (True,))[0]
 
-    def verified(self, rule: str, results: list[dict], top: int = 10) -> list[dict]:
-        """Results without those of the first `top` that the advisor finds senseless; a failure leaves them."""
-        about = {c: self.meanings.get(c, "") for c in [*self.categorical, *self.numerical]}
-        sound = lambda r: self._ask(lambda: (self.advisor.verify(rule, str(r["condition"]), about),), (True,))[0]
         return [r for i, r in enumerate(results) if i >= top or sound(r)]

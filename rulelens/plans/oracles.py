@@ -293,12 +293,12 @@ def _single(groups: list[str]) -> str:
     return f"{_mined(CATEGORICAL, groups)} SELECT CAST(place AS INTEGER) AS place, kind, expr, col AS columns, CAST(sat AS BIGINT) AS sat_matches, CAST(bad AS BIGINT) AS vio_matches, confidence, penalty, score FROM ranked"
 
 
-def _multi(pattern: str | None) -> str:
+def _multi(pattern: str | None, identifiers: tuple[str, ...] = ()) -> str:
     """The multi-row miner: a condition is bits over satisfying rows and bits over violating pairs (None: whole samples), and conjunctions are counted from both."""
     categorical, numeric = ["l_returnflag", "supp"], ["l_quantity"]
     text = lambda side: f"'the \"' || col || '\" column {side}: ' || "
     listed = "'[''' || array_to_string(list_sort(vals), ''', ''') || ''']'"
-    values = " UNION ALL ".join(f"SELECT rid, vio, '{c}' AS col, {c} AS value, NULL::DOUBLE AS x FROM items" for c in categorical)
+    values = " UNION ALL ".join(f"SELECT rid, vio, '{c}' AS col, {c} AS value, NULL::DOUBLE AS x FROM items" for c in categorical if c not in identifiers)
     numbers = " UNION ALL ".join(f"SELECT rid, vio, '{c}', NULL, CAST({c} AS DOUBLE) FROM items" for c in numeric)
     meets = "CASE WHEN cut IS NULL THEN coalesce(list_contains(vals, value), FALSE) = (op = '=') ELSE coalesce((x < cut) = (op = '<'), FALSE) END"
     units = "SELECT sample_id AS u, rid FROM items WHERE vio"
@@ -351,6 +351,13 @@ def _multi(pattern: str | None) -> str:
     return ",\n".join(ctes) + "\nSELECT CAST(place AS INTEGER) AS place, kind, expr, col AS columns, CAST(sat AS BIGINT) AS sat_matches, CAST(bad AS BIGINT) AS vio_matches, confidence, penalty, score FROM ranked"
 
 
+def _placed(rule: str, violates: str, column: str, value: str) -> str:
+    """The place of a value's condition among what is mined for a rule, and how many there are."""
+    mined = _mined(CATEGORICAL, []).replace("l_shipdate < o_orderdate AS vio", f"{violates} AS vio")
+    sought = f"the \"{column}\" column has the value of: {value}"
+    return f"SELECT '{rule}' AS rule_id, CAST(min(place) FILTER (expr = '{sought}') AS INTEGER) AS rank, CAST(count(*) AS INTEGER) AS conditions FROM ({mined} SELECT place, expr FROM ranked)"
+
+
 _WORDS = "CASE c_custkey % 5 WHEN 0 THEN 'None' WHEN 1 THEN '<NA>' WHEN 2 THEN 'NaN' ELSE c_mktsegment END"
 
 ORACLES: dict[str, str] = {
@@ -415,6 +422,9 @@ r AS (SELECT place AS rank FROM sought LEFT JOIN placed USING (expr)) SELECT CAS
     "suggest_multi_between": _multi("between_groups"),
     "suggest_multi_within": _multi("within_groups"),
     "suggest_multi_whole": _multi(None),
+    "suggest_multi_identifiers": _multi("between_groups", ("supp",)),
+    "batch_engine": " UNION ALL ".join(_placed(*x) for x in (("0", "l_shipdate < o_orderdate", "o_year", "1995"), ("1", "NOT (l_discount <= 0.05 OR o_orderpriority = '1-URGENT')", "o_orderpriority", "1-URGENT"))),
+    "sample_texts": _INFORMATIVE.replace("grp AS (", "grp AS (SELECT row_id, 'y' || CAST(row_id % 97 = 0 AS VARCHAR) AS g FROM cust UNION ALL SELECT row_id, 's' FROM cust WHERE row_id % 97 = 0 UNION ALL "),
     "hybrid_rank": f"{_mined(['o_year', 'supp_class'], None)} SELECT expr, 0.2::DOUBLE * CASE col WHEN 'o_year' THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END + 0.8::DOUBLE * ((score + 1) / 2) AS hybrid_score FROM ranked",
     "reconstruct_samples": f"SELECT group_key, 0 AS rep, role, CAST(row_number() OVER (PARTITION BY group_key, role ORDER BY row_id) - 1 AS INTEGER) AS place, row_id, c_mktsegment, nation, balance FROM ({_HIER}) JOIN ({CUSTOMERS} SELECT * FROM cust) USING (row_id)",
     "wracc": f'{_wracc(_VALUES)} SELECT "column", value, round(wracc, 8) AS wracc FROM w',

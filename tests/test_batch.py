@@ -115,3 +115,26 @@ def test_stored_column_pairs(tmp_path):
     data["referencing_column_pairs"] = {"column_pairs": [{"identifier_column": "id", "reference_column": "manager", "details": "d", "more": 1}]}
     path.write_text(json.dumps(data))
     assert DataUnderstanding.load(str(tmp_path)).referencing_column_pairs == [ReferencingPair("id", "manager", "d")]
+
+
+def test_verification_and_failed_answers_in_discovery(spark):
+    class Strict(discovery.EveryColumn):
+        asked, told = 0, None
+
+        def utility(self, columns):
+            Strict.asked += 1
+            return {} if Strict.asked == 1 else {"c": "categorical"}
+
+        def verify(self, rule, condition, columns):
+            Strict.told = columns
+            return "value of: a" not in condition
+
+    df = spark.createDataFrame([("a", "u", True), ("b", "u", False), ("c", "w", False)] * 20, f"c string, d string, {VIOLATING} boolean")
+    engine = discovery.Engine(["c", "d"], [], {"c": "a letter"}, advisor=Strict())
+    plain = engine.discover("r", discovery.SINGLE, df)
+    checked = engine.discover("r", discovery.SINGLE, df, ["d"], verify_top=len(plain))
+    assert 0 < len(checked) < len(plain) and all("value of: a" not in str(r["condition"]) for r in checked)
+    assert [r for r in plain if "value of: a" not in str(r["condition"])] == checked
+    assert set(Strict.told) <= {"c", "d"} and "d" in Strict.told
+    engine.discover("r", discovery.SINGLE, df)
+    assert Strict.asked == 2  # a failed answer is asked for again, a good one is kept
