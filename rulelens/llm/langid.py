@@ -243,9 +243,11 @@ def fit(docs: DataFrame, learn: Column | None = None, label: str = "lang", sampl
         return fit_vectors([], [])
     quota = max(1, sample_rows // len(sizes))
     cut = F.coalesce(F.create_map(*[F.lit(y) for k, n in sizes.items() for y in (k, min(1 << 30, int(quota / n * (1 << 30))))])[F.col("__label")], F.lit(0))
-    spot = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("langid")), F.lit(1 << 30))
-    # each label has about its quota of rows; the smallest hashes keep the bound for the sum as well
-    chosen = rows.where(spot <= cut).select("__label", spot.alias("spot"), "text")
+    # ids that repeat, or are null, still have as many places as they have texts; rows that repeat as a whole are one
+    spot = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text", F.lit("langid")), F.lit(1 << 30))
+    # each label has about its quota of rows; the smallest hashes keep the bound for the sum as well, before anything is collected
+    single = rows.where(spot <= cut).groupBy("__label", spot.alias("spot")).agg(F.min("text").alias("text"))
+    chosen = single.orderBy("spot", "__label").limit(2 * sample_rows).repartition(32, "spot")
 
     def run(batches):
         for batch in batches:
@@ -255,8 +257,7 @@ def fit(docs: DataFrame, learn: Column | None = None, label: str = "lang", sampl
             yield pa.RecordBatch.from_arrays([column(batch, "__label"), column(batch, "spot"), *lists], ["label", "spot", "bucket", "n"])
 
     got = map_arrow(chosen, run, "label string, spot long, bucket array<int>, n array<int>", 64).toArrow().to_pylist()
-    got.sort(key=lambda r: (r["spot"], r["label"], r["bucket"]))
-    got = sorted(got[: 2 * sample_rows], key=lambda r: (r["label"], r["spot"]))
+    got.sort(key=lambda r: (r["label"], r["spot"]))
     return fit_vectors([r["label"] for r in got], [(np.array(r["bucket"], np.int64), np.array(r["n"], np.int64)) for r in got])
 
 
