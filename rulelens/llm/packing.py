@@ -20,6 +20,7 @@ table gives an empty result; only the named columns are read, so clashing names
 from __future__ import annotations
 
 import logging
+import math
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
@@ -118,8 +119,8 @@ def best_pattern(sizes: np.ndarray, prices: np.ndarray, length: int) -> tuple[fl
     return float(value[length]), dict(pattern)
 
 
-def linear_program(sizes: list[int], need: np.ndarray, length: int = LENGTH) -> tuple[list[dict[int, int]], np.ndarray]:
-    """Basis patterns and amounts of the relaxed cutting-stock problem, by column generation."""
+def linear_program(sizes: list[int], need: np.ndarray, length: int = LENGTH) -> tuple[list[dict[int, int]], np.ndarray, float]:
+    """Basis patterns and amounts of the relaxed cutting-stock problem, by column generation, and what no plan can be below."""
     m = len(sizes)
     basis, x = _first_fit_patterns(sizes, need, length)
     size = np.array(sizes)
@@ -159,7 +160,7 @@ def linear_program(sizes: list[int], need: np.ndarray, length: int = LENGTH) ->
             inverse -= np.outer(d, row)
             inverse[k] = row
     _LOG.info("%d lengths, %d columns: %.2f sequences, bound %.2f", m, step, x.sum(), least)
-    return basis, x
+    return basis, x, least
 
 
 def best_fit(left: Counter, length: int = LENGTH) -> list[tuple[int, ...]]:
@@ -182,13 +183,21 @@ def best_fit(left: Counter, length: int = LENGTH) -> list[tuple[int, ...]]:
 
 def plan(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[int, dict[int, int]]]:
     """(sequences, pieces of each length in one sequence) that hold the histogram exactly."""
+    return bounded_plan(histogram, length)[0]
+
+
+def bounded_plan(histogram: dict[int, int], length: int = LENGTH) -> tuple[list[tuple[int, dict[int, int]]], int]:
+    """The plan, and the number of sequences that no plan can be below."""
     left = Counter({s: n for s, n in histogram.items() if n > 0})
     out: Counter = Counter()
-    if n := left.pop(length, 0):
-        out[((length, 1),)] = n
+    bound = left.pop(length, 0)
+    if bound:
+        out[((length, 1),)] = bound
     if left:
         sizes = sorted(left, reverse=True)
-        basis, x = linear_program(sizes, np.array([left[s] for s in sizes], float), length)
+        basis, x, least = linear_program(sizes, np.array([left[s] for s in sizes], float), length)
+
+        bound += math.ceil(least - 1e-6)
 
         def take(pattern: dict[int, int], most: int) -> int:
             n = min([most, *(left[sizes[i]] // a for i, a in pattern.items())])
@@ -205,7 +214,7 @@ def plan(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[int, dic
                 take(basis[k], 1)
         for b in best_fit(Counter({s: n for s, n in left.items() if n}), length):
             out[tuple(sorted(Counter(b).items(), reverse=True))] += 1
-    return [(n, dict(p)) for p, n in sorted(out.items(), key=lambda x: (-x[1], x[0]))]
+    return [(n, dict(p)) for p, n in sorted(out.items(), key=lambda x: (-x[1], x[0]))], bound
 
 
 def slots(patterns: list[tuple[int, dict[int, int]]]) -> np.ndarray:
@@ -222,7 +231,7 @@ def slots(patterns: list[tuple[int, dict[int, int]]]) -> np.ndarray:
 
 
 def pack(docs: DataFrame, vocabulary: str, spaced: bool = True, length: int = LENGTH, end: int = END, key: str = "doc_id") -> DataFrame:
-    """key, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece."""
+    """key, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece; n_sequences in all, and least_sequences, which no packing of these pieces is below."""
     if length >= 1 << 20:
         raise ValueError("sequences of 2^20 ids and more are not planned on one machine")
     pieces = store(piece_table(docs, vocabulary, spaced, length, end, key), "pieces")
@@ -238,7 +247,7 @@ def pack(docs: DataFrame, vocabulary: str, spaced: bool = True, length: int = LE
     for s, k, n in sorted(map(tuple, rests.groupBy("length", "salt").count().collect())):
         before[s, k] = seen[s]
         seen[s] += n
-    patterns = plan(sizes, length)
+    patterns, bound = bounded_plan(sizes, length)
     table = slots(patterns)
     rests_sequences = sum(n for n, _ in patterns)
     firsts = np.array([[(s << 40) + k, n] for (s, k), n in sorted(before.items())], np.int64).reshape(-1, 2)
@@ -260,8 +269,9 @@ def pack(docs: DataFrame, vocabulary: str, spaced: bool = True, length: int = LE
             yield pa.RecordBatch.from_arrays([*(column(batch, n) for n in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     planned = map_arrow(ranked, run, f"`{key}` {docs.schema[key].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long", 16_384)
+    told = {"n_sequences": F.lit(rests_sequences + full).cast("long"), "least_sequences": F.lit(bound + full).cast("long")}
     if not full:
-        return planned
+        return planned.withColumns(told)
     # sequences of one piece come after the planned ones
     alone = pieces.where(F.col("length") == length).select(*names, (F.col("place") + rests_sequences).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return alone.unionByName(planned)
+    return alone.unionByName(planned).withColumns(told)

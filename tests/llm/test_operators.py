@@ -183,6 +183,16 @@ def test_encoder_equals_the_library():
         assert [x for x in [*odd, prose(1, 500)] if enc.ids(x).tolist() != plain.encode(x, add_special_tokens=False).ids] == []
 
 
+def test_language_fit_is_bounded_before_it_is_collected(spark, monkeypatch):
+    """Null ids and ids that repeat are sampled like others, and rows that repeat as a whole count once."""
+    taken = []
+    monkeypatch.setattr(langid, "fit_vectors", lambda labels, vectors: taken.append(len(labels)))
+    base = "concat('text ', cast(id as string))"
+    for id_, text in (("cast(null as long)", base), ("id % 3", base), ("7L", "'same text'"), ("id", base)):
+        langid.fit(spark.range(6000).selectExpr(f"{id_} as doc_id", f"{text} as text", "if(id % 2 = 0, 'de', 'en') as lang"), sample_rows=200)
+    assert [n for n in taken if not 100 < n <= 400] == [taken[2]] and taken[2] <= 2
+
+
 def test_token_blocks_round_trip():
     r = np.random.default_rng(1)
     for n in (0, 1, 63, 64, 129, 1000, 40_000):
@@ -538,4 +548,6 @@ def test_packing(docs, empty, rows, part_rows, monkeypatch):
         want += [(-1 if d is None else d, a, len(ids[a : a + 1024]), zlib.crc32(ids[a : a + 1024]), len(ids)) for a in range(0, len(ids), 1024)]
     have = got.fillna({"doc_id": -1})[["doc_id", "start", "length", "ids_crc32", "doc_tokens"]].astype("int64").itertuples(index=False, name=None)
     assert sorted(have) == sorted(want)
+    assert set(got["n_sequences"]) == {got["sequence_id"].nunique()} and len(set(got["least_sequences"])) == 1
+    assert -(-got["length"].sum() // 1024) <= got["least_sequences"][0] <= got["n_sequences"][0]
     assert packing.pack(empty, vocabulary("byte_bpe_50k.json")).count() == 0
