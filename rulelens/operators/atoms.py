@@ -22,11 +22,10 @@ def equality(rows: DataFrame, columns: list[str], min_support: int = 5) -> DataF
 
 def inequality(rows: DataFrame, columns: list[str], min_support: int = 5, least_domain: int = 3) -> DataFrame:
     """Metrics of `column != value` for domains of at least least_domain values; nulls match."""
-    from pyspark.sql import Window
-
     counts = value_counts(rows, columns).where("value IS NOT NULL")
-    sized = counts.withColumn("domain", F.count(F.lit(1)).over(Window.partitionBy("column"))).where(F.col("domain") >= least_domain)
-    both = sized.join(F.broadcast(totals(rows)))
+    # one row a column
+    large = counts.groupBy("column").agg(F.count(F.lit(1)).alias("domain")).where(F.col("domain") >= least_domain)
+    both = counts.join(F.broadcast(large), "column").join(F.broadcast(totals(rows)))
     return with_metrics(both.select("column", "value", (F.col("n_sat") - F.col("sat")).alias("sat_matches"), (F.col("n_vio") - F.col("vio")).alias("vio_matches"), "n_sat", "n_vio"), min_support)
 
 

@@ -54,10 +54,15 @@ def gains_of(counted: DataFrame) -> DataFrame:
     return x.select("column", ((F.col("value") + F.col("next")) / 2).alias("split_value"), gain.alias("gain"), "n_left", "v_left", "n_all", "v_all").where(F.col("gain") > 1e-12)
 
 
-def best_splits(rows: DataFrame, columns: list[str], max_splits: int = 20) -> DataFrame:
+def best_of(gains: DataFrame, max_splits: int = 20) -> DataFrame:
     """The max_splits largest gains of each column, rank from 1 (ties: the lower split first)."""
     order = Window.partitionBy("column").orderBy(F.desc(F.round("gain", 10)), "split_value")
-    return split_gains(rows, columns).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_splits)
+    return gains.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_splits)
+
+
+def best_splits(rows: DataFrame, columns: list[str], max_splits: int = 20) -> DataFrame:
+    """best_of the split gains of rows."""
+    return best_of(split_gains(rows, columns), max_splits)
 
 
 def split_stats(splits: DataFrame, min_support: int = 10) -> DataFrame:

@@ -345,13 +345,10 @@ def batch_metrics(spark, sf_dir):
 
 
 def batch_engine(spark, sf_dir):
-    """Two stored rules with the conditions that should refine them, through the engine with all columns."""
-    rows = base(spark, sf_dir).persist()
-    urgent = rules.check_rows(rows.drop(VIOLATING), (F.col("l_discount") <= 0.05) | (F.col("o_orderpriority") == "1-URGENT"))
-    about = [("items ship on or after the order's date", rows, ColumnValue("o_year", "=", 1995)), ("discounts are at most 5 per cent", urgent, ColumnValue("o_orderpriority", "=", "1-URGENT"))]
-    work = [batch.Task("orders", "single", i, text, flagged, discovery.SINGLE, sought, CATEGORICAL, NUMERIC) for i, (text, flagged, sought) in enumerate(about)]
-    report = batch.run(work, batch.engine_strategy())
-    rows.unpersist()
+    """Two stored rules with the conditions that should refine them, mined together by the engine with all columns."""
+    urgent = ~((F.col("l_discount") <= 0.05) | (F.col("o_orderpriority") == "1-URGENT"))
+    stored = [batch.Flagged(0, "items ship on or after the order's date", VIOLATING, ColumnValue("o_year", "=", 1995)), batch.Flagged(1, "discounts are at most 5 per cent", "dear", ColumnValue("o_orderpriority", "=", "1-URGENT"))]
+    report = batch.run_together("orders", base(spark, sf_dir).withColumn("dear", urgent), stored, discovery.Engine(CATEGORICAL, NUMERIC))
     return report.frame(spark).select("rule_id", "rank", "conditions")
 
 

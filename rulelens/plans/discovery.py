@@ -77,12 +77,8 @@ class Engine:
         finally:
             self.timing.advisor += time.time() - began
 
-    def discover(self, rule: str, rule_type: str, data: DataFrame, rule_columns: list[str] | None = None, verify_top: int = 0) -> list[dict]:
-        """Ranked conditions for flagged rows (single_row_rule) or flagged samples (any other rule type).
-
-        verify_top: of so many first conditions those go that the advisor finds senseless, given what the columns of
-        the rule and of the condition mean; 0 asks about none.
-        """
+    def _columns(self, rule: str, data: DataFrame) -> tuple[list[str], list[str], list[str], list[list[str]]]:
+        """Categorical and numerical columns that matter to the rule, the identifiers among the former, and the groups of such columns."""
         about = {c: self.meanings.get(c, "") for c in [*self.categorical, *self.numerical]}
         if hasattr(self.advisor, "inform") and not self._informed:
             known = profile(data, [c for c in about if c in data.columns]).collect()
@@ -93,12 +89,37 @@ class Engine:
         utility = self._utility or self._ask(lambda: self.advisor.utility({c: about[c] for c in self.categorical}), {})
         # no answer is asked for again with the next rule
         self._utility = utility or None
-        identifiers = [c for c in self.categorical if utility.get(c) == "identifier" and c in kept]
         categorical = [c for c in self.categorical if c in kept]
-        numerical = [c for c in self.numerical if c in kept and c not in categorical]
-        groups = [[c for c in g if c in kept] for g in self.groups]
-        domains = {c: v for c, v in self.domains.items() if c in kept} or None
-        special = {c: v for c, v in self.special.items() if c in kept}
+        identifiers = [c for c in categorical if utility.get(c) == "identifier"]
+        return categorical, [c for c in self.numerical if c in kept and c not in categorical], identifiers, [[c for c in g if c in kept] for g in self.groups]
+
+    def discover_many(self, rules: dict[str, str], data: DataFrame, flags: dict[str, str]) -> dict[str, list[dict]]:
+        """Ranked conditions of many rules on single rows of one table: their texts, and the columns that flag violating rows (null: not of the rule), by name.
+
+        Rules to which the same columns matter are mined together, with as many passes over the rows as one rule takes.
+        """
+        alike: dict[str, tuple[list[str], tuple]] = {}
+        for name, text in rules.items():
+            chosen = self._columns(text, data)
+            alike.setdefault(repr(chosen), ([], chosen))[0].append(name)
+        out: dict[str, list[dict]] = {}
+        began = time.time()
+        for names, (categorical, numerical, identifiers, groups) in alike.values():
+            used = {*categorical, *numerical}
+            domains, special = ({c: v for c, v in known.items() if c in used} for known in (self.domains, self.special))
+            out |= single_row.suggest_many(data, {n: flags[n] for n in names}, [c for c in categorical if c not in identifiers], numerical, domains or None, special, groups)
+        self.timing.mining += time.time() - began
+        return out
+
+    def discover(self, rule: str, rule_type: str, data: DataFrame, rule_columns: list[str] | None = None, verify_top: int = 0) -> list[dict]:
+        """Ranked conditions for flagged rows (single_row_rule) or flagged samples (any other rule type).
+
+        verify_top: of so many first conditions those go that the advisor finds senseless, given what the columns of
+        the rule and of the condition mean; 0 asks about none.
+        """
+        categorical, numerical, identifiers, groups = self._columns(rule, data)
+        domains = {c: v for c, v in self.domains.items() if c in {*categorical, *numerical}} or None
+        special = {c: v for c, v in self.special.items() if c in {*categorical, *numerical}}
         began = time.time()
         if rule_type == SINGLE:
             out = single_row.suggest(data, [c for c in categorical if c not in identifiers], numerical, domains, special, groups)

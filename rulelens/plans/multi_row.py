@@ -22,7 +22,7 @@ from ..operators.conjunctions import Sets, sample_sets
 from ..operators.domains import Domains, best, scored
 from ..operators.ranking import ranked
 from ..operators.splits import best_splits
-from .single_row import conjoined
+from .single_row import conjoined, legal_pools
 
 # Support and score limits of the stages.
 MIN_SUPPORT = 10
@@ -133,5 +133,10 @@ def _suggest(samples: DataFrame, used: list[str], categorical: list[str], numeri
     merged = [r for r in e.rows(list(G.merges([r for r in atoms if r["score"] >= MERGE], sizes, PER_COLUMN))) if r["score"] >= OUT]
     out += [r for r in merged if r["score"] > OUT]
     parents = [r for r in [*atoms, *numbers, *merged] if r["score"] >= COLLECT]
-    out += conjoined(parents, groups or [], e.n_sat, e.n_vio, min_support, OUT, e.sets)
+    pools = legal_pools(parents, groups or [])
+    if pools:
+        sets = e.sets(sorted({c for pool in pools for c in pool}, key=str))
+        sets.signatures = sets.signatures.persist(StorageLevel.MEMORY_AND_DISK)
+        out += conjoined(pools, sets, e.n_sat, e.n_vio, min_support, OUT)
+        sets.signatures.unpersist()
     return ranked(out)

@@ -1,21 +1,20 @@
-"""Mining conditions for rules on single rows: one aggregation per stage, candidates in between."""
+"""Mining conditions for rules on single rows: one aggregation per stage for any number of rules, candidates in between."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.conditions import ColumnValue, Condition, Conjunction
-from ..functions.scoring import MERGE_WEIGHT, VIOLATING, informedness, purity_value, totals, with_metrics
+from ..functions.scoring import MERGE_WEIGHT, VIOLATING, informedness, purity_value, with_metrics
 from ..operators import candidates as G
-from ..operators.atoms import evaluate, value_counts
-from ..operators.conjunctions import Sets, row_sets
-from ..operators.domains import Domains, best, scored
+from ..operators.conjunctions import Sets, numbers_of, signature
+from ..operators.domains import Domains, best, long_values, scored
 from ..operators.ranking import ranked
-from ..operators.splits import best_splits
+from ..operators.splits import best_of, gains_of
 
 # Support and score limits of the stages.
 MIN_SUPPORT = 5
@@ -29,55 +28,111 @@ def _result(condition, sat: int, vio: int, n_sat: int, n_vio: int, min_support:
 
 
 def suggest(rows: DataFrame, categorical: list[str], numerical: list[str], domains: dict[str, Iterable] | None = None, special: dict[str, Iterable] | None = None, groups: list[list[str]] | None = None, min_support: int = MIN_SUPPORT, conjunctions: bool = True) -> list[dict]:
-    """Ranked conditions that tell satisfying from violating rows; [] without rows of both kinds.
+    """Ranked conditions that tell satisfying from violating rows; [] without rows of both kinds."""
+    return suggest_many(rows, {"": VIOLATING}, categorical, numerical, domains, special, groups, min_support, conjunctions)[""]
 
-    The needed columns are kept (in memory, else on disk) while the stages read them; a lost part is made again.
+
+def suggest_many(rows: DataFrame, flags: dict[str, str], categorical: list[str], numerical: list[str], domains: dict[str, Iterable] | None = None, special: dict[str, Iterable] | None = None, groups: list[list[str]] | None = None, min_support: int = MIN_SUPPORT, conjunctions: bool = True) -> dict[str, list[dict]]:
+    """`suggest` for many rules over one table: flags name the column that says of each row whether it violates the rule (null: the rule has nothing to do with it).
+
+    The rows are read as often as for one rule: values, numbers and signatures are counted for all rules at once, and what is done rule by
+    rule reads those counts. The needed columns are kept (in memory, else on disk) while the stages read them; a lost part is made again.
     """
-    rows = rows.select(VIOLATING, *[F.col(f"`{c}`") for c in dict.fromkeys([*categorical, *numerical]) if c in rows.columns]).persist(StorageLevel.MEMORY_AND_DISK)
+    categorical, numerical = ([c for c in dict.fromkeys(cs) if c in rows.columns] for cs in (categorical, numerical))
+    features = [F.col(f"`{c}`") for c in dict.fromkeys([*categorical, *numerical])]
+    kept = rows.select(*[F.col(f"`{c}`").alias(f"__flag{i}") for i, c in enumerate(flags.values())], *features).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _suggest(rows, categorical, numerical, domains, special, groups, min_support, conjunctions)
+        found = _suggest_many(kept, len(flags), categorical, numerical, domains, special, groups or [], min_support, conjunctions)
     finally:
-        rows.unpersist()
+        kept.unpersist()
+    return dict(zip(flags, found, strict=True))
+
+
+def _sides(rules: int) -> list:
+    """Counts of satisfying and violating rows of each rule."""
+    return [F.count(F.when(F.col(f"__flag{i}") == bad, 1)).alias(f"{side}{i}") for i in range(rules) for side, bad in (("sat", False), ("vio", True))]
 
 
-def _suggest(rows: DataFrame, categorical: list[str], numerical: list[str], domains, special, groups, min_support: int, conjunctions: bool) -> list[dict]:
-    categorical = [c for c in categorical if c in rows.columns]
-    numerical = [c for c in numerical if c in rows.columns]
-    n = totals(rows).first()
-    n_sat, n_vio = n["n_sat"], n["n_vio"]
-    if not n_sat or not n_vio:
-        return []
-    result = lambda c, s, v: _result(c, s, v, n_sat, n_vio, min_support)
+def _of_rule(counted: DataFrame, i: int, *keys: str) -> DataFrame:
+    """Counts of one rule where it has rows."""
+    return counted.where(F.col(f"sat{i}") + F.col(f"vio{i}") > 0).select(*keys, F.col(f"sat{i}").alias("sat"), F.col(f"vio{i}").alias("vio"))
+
+
+def _suggest_many(rows: DataFrame, rules: int, categorical: list[str], numerical: list[str], domains, special, groups: list[list[str]], min_support: int, conjunctions: bool) -> list[list[dict]]:
+    whole = rows.agg(*_sides(rules)).first()
+    sizes_of = [(whole[f"sat{i}"], whole[f"vio{i}"]) for i in range(rules)]
+    live = [i for i, (n_sat, n_vio) in enumerate(sizes_of) if n_sat and n_vio]
+    out: list[list[dict]] = [[] for _ in range(rules)]
+    if not live:
+        return out
+    flags = [f"__flag{i}" for i in range(rules)]
+    result = lambda i, c, s, v: _result(c, s, v, *sizes_of[i], min_support)
     # every value of every categorical column, counted once; sets and complements are sums of these
-    atoms, counts, sizes = [], {}, {}
+    atoms: dict[int, list[dict]] = {i: [] for i in live}
+    merged: dict[int, list[dict]] = {i: [] for i in live}
     if categorical:
-        counted = value_counts(rows, categorical).persist(StorageLevel.MEMORY_AND_DISK)
-        domain = Domains(counted, rows.schema, categorical, domains, special)
-        sizes = domain.sizes
-        found = counted.select("column", "value", F.col("sat").alias("eq_sat"), F.col("vio").alias("eq_vio"), (F.lit(n_sat) - F.col("sat")).alias("ne_sat"), (F.lit(n_vio) - F.col("vio")).alias("ne_vio"))
-        for r in best(scored(domain.candidates(found), sizes, n_sat, n_vio, min_support), PARENT, sum(sizes.values())).collect():
-            condition = ColumnValue(r["column"], r["op"], domain.value(r["column"], r["value"]))
-            counts[condition.column, condition.value] = r["eq_sat"], r["eq_vio"]
-            atoms.append(result(condition, r["sat_matches"], r["vio_matches"]))
+        counted = long_values(rows, categorical, *flags).groupBy("column", "value").agg(*_sides(rules)).persist(StorageLevel.MEMORY_AND_DISK)
+        for i in live:
+            atoms[i], merged[i] = _values(_of_rule(counted, i, "column", "value"), rows, categorical, domains, special, *sizes_of[i], min_support)
         counted.unpersist()
-    out = [r for r in atoms if r["score"] > OUT_ATOM]
-    numbers = []
+    numbers: dict[int, list[dict]] = {i: [] for i in live}
     if numerical:
-        splits = sorted((r["column"], r["split_value"]) for r in best_splits(rows, numerical).collect())
-        conditions = G.numeric(splits)
+        cut = _splits(rows, numerical, live, rules)
+        conditions = sorted({c for cs in cut.values() for c in cs}, key=str)
         if conditions:
-            numbers = [r.asDict() | {"condition": conditions[r["cond"]]} for r in evaluate(rows, conditions, min_support).collect()]
-            out += [r for r in numbers if r["score"] > OUT_NUMERIC]
-    merged = []
-    for m in G.merges([r for r in atoms if r["score"] > MERGE], sizes, PER_COLUMN):
-        found = [counts[m.column, v] for v in m.values]
-        s, v = sum(f[0] for f in found), sum(f[1] for f in found)
-        merged.append(result(m, s, v) if m.op == "=" else result(m, n_sat - s, n_vio - v))
-    merged = [r for r in merged if r["score"] > OUT_MERGED]
-    out += merged
+            met = _signatures(rows, conditions, rules).select(numbers_of(range(len(conditions))).alias("hits"), "*").select(F.explode("hits").alias("c"), "*")
+            summed = {r["c"]: r for r in met.groupBy("c").agg(*[F.sum(f"{side}{i}").alias(f"{side}{i}") for i in live for side in ("sat", "vio")]).collect()}
+            for i in live:
+                for c in cut[i]:
+                    r = summed.get(conditions.index(c))
+                    numbers[i].append(result(i, c, r[f"sat{i}"], r[f"vio{i}"]) if r else result(i, c, 0, 0))
+    for i in live:
+        out[i] = [r for r in atoms[i] if r["score"] > OUT_ATOM] + [r for r in numbers[i] if r["score"] > OUT_NUMERIC] + merged[i]
     if conjunctions:
-        out += conjoined([r for r in [*atoms, *numbers, *merged] if r["score"] > PARENT], groups or [], n_sat, n_vio, min_support, OUT_CONJUNCTION, lambda pool: row_sets(rows, pool))
-    return ranked(out)
+        pools = {i: legal_pools([r for r in [*atoms[i], *numbers[i], *merged[i]] if r["score"] > PARENT], groups) for i in live}
+        every = sorted({c for ps in pools.values() for pool in ps for c in pool}, key=str)
+        if every:
+            table = _signatures(rows, every, rules).persist(StorageLevel.MEMORY_AND_DISK)
+            for i in live:
+                out[i] += conjoined(pools[i], Sets(every, _of_rule(table, i, "sig")), *sizes_of[i], min_support, OUT_CONJUNCTION)
+            table.unpersist()
+    return [ranked(x) for x in out]
+
+
+def _values(counted: DataFrame, rows: DataFrame, categorical: list[str], domains, special, n_sat: int, n_vio: int, min_support: int) -> tuple[list[dict], list[dict]]:
+    """Conditions on values, and on sets of the best of them, from (column, value, sat, vio)."""
+    domain = Domains(counted, rows.schema, categorical, domains, special)
+    found = counted.select("column", "value", F.col("sat").alias("eq_sat"), F.col("vio").alias("eq_vio"), (F.lit(n_sat) - F.col("sat")).alias("ne_sat"), (F.lit(n_vio) - F.col("vio")).alias("ne_vio"))
+    atoms, counts = [], {}
+    for r in best(scored(domain.candidates(found), domain.sizes, n_sat, n_vio, min_support), PARENT, sum(domain.sizes.values())).collect():
+        condition = ColumnValue(r["column"], r["op"], domain.value(r["column"], r["value"]))
+        counts[condition.column, condition.value] = r["eq_sat"], r["eq_vio"]
+        atoms.append(_result(condition, r["sat_matches"], r["vio_matches"], n_sat, n_vio, min_support))
+    merged = []
+    for m in G.merges([r for r in atoms if r["score"] > MERGE], domain.sizes, PER_COLUMN):
+        s, v = (sum(counts[m.column, x][k] for x in m.values) for k in (0, 1))
+        merged.append(_result(m, s, v, n_sat, n_vio, min_support) if m.op == "=" else _result(m, n_sat - s, n_vio - v, n_sat, n_vio, min_support))
+    return atoms, [r for r in merged if r["score"] > OUT_MERGED]
+
+
+def _splits(rows: DataFrame, numerical: list[str], live: list[int], rules: int) -> dict[int, list]:
+    """Conditions at the best splits of each rule and column; numbers are counted once for all rules."""
+    number = lambda c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), number(c).alias("value")) for c in numerical])
+    long = rows.select(F.explode(pairs).alias("p"), *[f"__flag{i}" for i in range(rules)]).where("p.value IS NOT NULL")
+    counted = long.groupBy("p.column", "p.value").agg(*_sides(rules))
+    per_rule = F.array(*[F.struct(F.lit(i).alias("i"), (F.col(f"sat{i}") + F.col(f"vio{i}")).alias("n"), F.col(f"vio{i}").alias("v")) for i in live])
+    keyed = counted.select("column", "value", F.explode(per_rule).alias("r")).where("r.n > 0").select(F.concat_ws(":", F.col("r.i").cast("string"), "column").alias("column"), "value", "r.n", "r.v")
+    cut: dict[int, list[tuple[str, float]]] = {i: [] for i in live}
+    for r in best_of(gains_of(keyed)).collect():
+        i, column = r["column"].split(":", 1)
+        cut[int(i)].append((column, r["split_value"]))
+    return {i: G.numeric(sorted(c)) for i, c in cut.items()}
+
+
+def _signatures(rows: DataFrame, pool: list[Condition], rules: int) -> DataFrame:
+    """(sig, sat0, vio0, ...): the rows of each rule by the conditions they meet."""
+    return rows.select(signature(rows.schema, pool).alias("sig"), *[f"__flag{i}" for i in range(rules)]).groupBy("sig").agg(*_sides(rules))
 
 
 def best_sets(found: DataFrame, pool: list, keep: int = 2) -> DataFrame:
@@ -91,24 +146,23 @@ def best_sets(found: DataFrame, pool: list, keep: int = 2) -> DataFrame:
     return named.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= keep).drop("__place", "__columns", "__text")
 
 
-def conjoined(parents: list[dict], groups: list[list[str]], n_sat: int, n_vio: int, min_support: int, least: float, sets_of: Callable[[list[Condition]], Sets]) -> list[dict]:
-    """Conjunctions of two and three parents within the legal pools, scored above `least`. sets_of: the signatures of a list of conditions; they are made once for all pools."""
-    pools = [pool for pool in G.pools(parents, groups) if len({next(iter(c.columns())) for c in pool}) > 1]
-    if not pools:
-        return []
-    every = sorted({c for pool in pools for c in pool}, key=str)
-    sets = sets_of(every)
-    sets.signatures = sets.signatures.persist(StorageLevel.MEMORY_AND_DISK)
+def legal_pools(parents: list[dict], groups: list[list[str]]) -> list[list[Condition]]:
+    """Pools of parents within which conjunctions of several columns are legal."""
+    return [pool for pool in G.pools(parents, groups) if len({next(iter(c.columns())) for c in pool}) > 1]
+
+
+def conjoined(pools: list[list[Condition]], sets: Sets, n_sat: int, n_vio: int, min_support: int, least: float) -> list[dict]:
+    """Conjunctions of two and three conditions of a pool, scored above `least`. sets: signatures over all pools, read once for each."""
     out, done = [], set()
     for pool in pools:
-        found = sets.counts(min_support, [i for i, c in enumerate(every) if c in set(pool)]).where(F.col("sat_matches") >= min_support)
+        own = set(pool)
+        found = sets.counts(min_support, [i for i, c in enumerate(sets.pool) if c in own]).where(F.col("sat_matches") >= min_support)
         measured = with_metrics(found.withColumns({"n_sat": F.lit(n_sat), "n_vio": F.lit(n_vio)}), min_support)
-        for r in best_sets(measured.where(F.col("score") > least), every).collect():
-            condition = Conjunction(frozenset(every[i] for i in r["ids"]))
+        for r in best_sets(measured.where(F.col("score") > least), sets.pool).collect():
+            condition = Conjunction(frozenset(sets.pool[i] for i in r["ids"]))
             if condition not in done:
                 done.add(condition)
                 out.append({k: r[k] for k in ("sat_matches", "vio_matches", "confidence", "penalty", "score")} | {"condition": condition})
-    sets.signatures.unpersist()
     return out
 
 

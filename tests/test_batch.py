@@ -5,11 +5,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rulelens.functions.conditions import ColumnValue, Conjunction, Numerical
 from rulelens.functions.scoring import VIOLATING
 from rulelens.operators import baselines, lookup, pairs, quantiles, sampling, sides
-from rulelens.plans import batch, discovery
+from rulelens.plans import batch, discovery, single_row
 from rulelens.plans.advisors import ModelAdvisor, Retrying
 from rulelens.sources.model import DataUnderstanding, ReferencingPair
 
@@ -138,3 +139,20 @@ def test_verification_and_failed_answers_in_discovery(spark):
     assert set(Strict.told) <= {"c", "d"} and "d" in Strict.told
     engine.discover("r", discovery.SINGLE, df)
     assert Strict.asked == 2  # a failed answer is asked for again, a good one is kept
+
+
+def test_rules_mined_together_equal_rules_mined_apart(spark):
+    """A rule that has no rows of one kind, and one that leaves rows out, among them."""
+    r = random.Random(6)
+    rows = [(r.choice("abcd"), r.choice(["u", "v", None]), r.random(), r.random() < 0.4) for _ in range(600)]
+    df = spark.createDataFrame([(c, d, x, y, c == "a" or r.random() < 0.2, True, r.choice([True, False, None])) for c, d, x, y in rows], "c string, d string, x double, f0 boolean, f1 boolean, f2 boolean, f3 boolean")
+    flags = {str(i): f"f{i}" for i in range(4)}
+    together = single_row.suggest_many(df, flags, ["c", "d"], ["x"], groups=[["c", "d"]])
+    for name, flag in flags.items():
+        apart = df.where(f"{flag} IS NOT NULL").withColumn(VIOLATING, F.col(flag))
+        assert together[name] == single_row.suggest(apart, ["c", "d"], ["x"], groups=[["c", "d"]])
+    assert together["1"] and together["2"] == []
+    stored = [batch.Flagged(i, "r", f"f{i}", ColumnValue("c", "=", "a")) for i in range(4)]
+    report = batch.run_together("t", df, stored, discovery.Engine(["c", "d"], ["x"]))
+    assert [r["conditions"] for r in report.records] == [len(single_row.suggest_many(df, flags, ["c", "d"], ["x"])[k]) for k in flags]
+    assert report.frame(spark).count() == 4 and report.metrics(spark).first()["rules"] == 4
