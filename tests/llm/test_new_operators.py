@@ -224,7 +224,7 @@ def test_middle_on_odd_rows(odd):
     got = middle.digest(odd)
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(str(plain_middle(*r)) for r in ODD)
     assert middle.digest(odd.limit(0)).count() == 0
-    kept = middle.fill_in_middle(odd, ["doc_id", "form"].copy()[:1]).columns
+    kept = middle.fill_in_middle(odd, ["doc_id"]).columns
     assert kept == ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"]
 
 
