@@ -35,7 +35,9 @@ DENSE = 128
 def signature(schema: T.StructType, pool: list[Condition]) -> Column:
     """The conditions that a row meets, as bits."""
     bits = [F.when(c.to_column(schema), F.lit(1 << i % WORD).cast("long")).otherwise(F.lit(0).cast("long")) for i, c in enumerate(pool)]
-    return F.array(*[reduce(lambda a, b: a.bitwiseOR(b), bits[i : i + WORD]) for i in range(0, max(1, len(bits)), WORD)])
+    # an array of bits is compiled in parts; one expression over all of them would be too long for the compiler
+    none = F.lit(0).cast("long")
+    return F.array(*[F.aggregate(F.array(*(bits[i : i + WORD] or [none])), none, lambda a, x: a.bitwiseOR(x)) for i in range(0, max(1, len(bits)), WORD)])
 
 
 def numbers_of(chosen: Iterable[int]) -> Column:
