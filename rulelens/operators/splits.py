@@ -51,7 +51,10 @@ def gains_of(counted: DataFrame) -> DataFrame:
     x = x.where("next IS NOT NULL AND v_all > 0 AND v_all < n_all AND n_all >= 2")
     n, right = F.col("n_all"), F.col("n_all") - F.col("n_left")
     gain = entropy(F.col("v_all") / n) - F.col("n_left") / n * entropy(F.col("v_left") / F.col("n_left")) - right / n * entropy((F.col("v_all") - F.col("v_left")) / right)
-    return x.select("column", ((F.col("value") + F.col("next")) / 2).alias("split_value"), gain.alias("gain"), "n_left", "v_left", "n_all", "v_all").where(F.col("gain") > 1e-12)
+    # between neighbours that no number lies between (or whose sum is no number), the upper one splits them
+    middle = (F.col("value") + F.col("next")) / 2
+    cut = F.when((middle > F.col("value")) & (middle <= F.col("next")), middle).otherwise(F.col("next"))
+    return x.select("column", cut.alias("split_value"), gain.alias("gain"), "n_left", "v_left", "n_all", "v_all").where(F.col("gain") > 1e-12)
 
 
 def best_of(gains: DataFrame, max_splits: int = 20) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.conditions import ColumnValue, Condition, Conjunction
 from ..functions.scoring import MERGE_WEIGHT, VIOLATING, informedness, purity_value, with_metrics
 from ..operators import candidates as G
-from ..operators.conjunctions import Sets, numbers_of, signature
+from ..operators.conjunctions import Sets, signature
 from ..operators.domains import Domains, best, long_values, scored
 from ..operators.ranking import ranked
 from ..operators.splits import best_of, gains_of
@@ -77,15 +77,10 @@ def _suggest_many(rows: DataFrame, rules: int, categorical: list[str], numerical
         counted.unpersist()
     numbers: dict[int, list[dict]] = {i: [] for i in live}
     if numerical:
-        cut = _splits(rows, numerical, live, rules)
-        conditions = sorted({c for cs in cut.values() for c in cs}, key=str)
-        if conditions:
-            met = _signatures(rows, conditions, rules).select(numbers_of(range(len(conditions))).alias("hits"), "*").select(F.explode("hits").alias("c"), "*")
-            summed = {r["c"]: r for r in met.groupBy("c").agg(*[F.sum(f"{side}{i}").alias(f"{side}{i}") for i in live for side in ("sat", "vio")]).collect()}
-            for i in live:
-                for c in cut[i]:
-                    r = summed.get(conditions.index(c))
-                    numbers[i].append(result(i, c, r[f"sat{i}"], r[f"vio{i}"]) if r else result(i, c, 0, 0))
+        for i, split in _splits(rows, numerical, live, rules):
+            # the counts of a split are those of its two conditions
+            sides = {"<": (split["n_left"] - split["v_left"], split["v_left"]), ">=": (split["n_all"] - split["v_all"] - split["n_left"] + split["v_left"], split["v_all"] - split["v_left"])}
+            numbers[i] += [result(i, c, *sides[c.op]) for c in G.numeric([(split["column"], split["split_value"])])]
     for i in live:
         out[i] = [r for r in atoms[i] if r["score"] > OUT_ATOM] + [r for r in numbers[i] if r["score"] > OUT_NUMERIC] + merged[i]
     if conjunctions:
@@ -115,19 +110,19 @@ def _values(counted: DataFrame, rows: DataFrame, categorical: list[str], domains
     return atoms, [r for r in merged if r["score"] > OUT_MERGED]
 
 
-def _splits(rows: DataFrame, numerical: list[str], live: list[int], rules: int) -> dict[int, list]:
-    """Conditions at the best splits of each rule and column; numbers are counted once for all rules."""
+def _splits(rows: DataFrame, numerical: list[str], live: list[int], rules: int) -> list[tuple[int, dict]]:
+    """(rule, split with its counts), the best splits of each rule and column; numbers are counted once for all rules."""
     number = lambda c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), number(c).alias("value")) for c in numerical])
     long = rows.select(F.explode(pairs).alias("p"), *[f"__flag{i}" for i in range(rules)]).where("p.value IS NOT NULL")
     counted = long.groupBy("p.column", "p.value").agg(*_sides(rules))
     per_rule = F.array(*[F.struct(F.lit(i).alias("i"), (F.col(f"sat{i}") + F.col(f"vio{i}")).alias("n"), F.col(f"vio{i}").alias("v")) for i in live])
     keyed = counted.select("column", "value", F.explode(per_rule).alias("r")).where("r.n > 0").select(F.concat_ws(":", F.col("r.i").cast("string"), "column").alias("column"), "value", "r.n", "r.v")
-    cut: dict[int, list[tuple[str, float]]] = {i: [] for i in live}
+    found = []
     for r in best_of(gains_of(keyed)).collect():
         i, column = r["column"].split(":", 1)
-        cut[int(i)].append((column, r["split_value"]))
-    return {i: G.numeric(sorted(c)) for i, c in cut.items()}
+        found.append((int(i), r.asDict() | {"column": column}))
+    return sorted(found, key=lambda x: (x[0], x[1]["column"], x[1]["split_value"]))
 
 
 def _signatures(rows: DataFrame, pool: list[Condition], rules: int) -> DataFrame:
