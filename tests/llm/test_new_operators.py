@@ -249,3 +249,23 @@ def test_middle_restores_and_is_lazy():
                 yield m
 
     assert middle.offsets(Counting(), "x\n" * 1000, 3, 5) == (6, 10) and Counting.asked == 5
+
+
+def test_secret_candidates_of_every_form():
+    """Values of letters only, behind headers, with blanks, short ones, and with an at sign; look-alikes are candidates that the forest refuses."""
+    from rulelens.llm import secrets
+
+    kept = {
+        "Authorization: Bearer QwErTyUiOpAsDfGhJkLzXc": "QwErTyUiOpAsDfGhJkLzXc", "token: Bearer qPwOeIrUtYaLsKdJfHgZmX": "qPwOeIrUtYaLsKdJfHgZmX",
+        'password="xK9 q!2 Zz"': "xK9 q!2 Zz", "pwd='q(7) v,3 Lk'": "q(7) v,3 Lk", "password=x9$k2": "x9$k2", "https://user:p@s9!K@host.internal/": "p@s9!K",
+        "the secret is kLmQzXvBnWrTyPsDfGhJ, he wrote": "kLmQzXvBnWrTyPsDfGhJ",
+    }
+    for text, value in kept.items():
+        found = [(text[a:b], s >= secrets.SECRET) for a, b, _, s in secrets.scan_text(text, secrets.standard())]
+        assert found == [(value, True)], text
+    for text in ("secret internationalization work", "the key characteristics-of-this", 'secret: "he said hello to us"', "password: hello", "the token was lost. The key is here", "bearer of good news"):
+        assert not [f for f in secrets.scan_text(text, secrets.standard()) if f[3] >= secrets.SECRET], text
+    for text, value in (("key qhwyeurtzmxncbvlaksjdhfgpq", "qhwyeurtzmxncbvlaksjdhfgpq"), ('password="a b c"', "a b c"), ("https://user:p@ss@host/", "p@ss")):
+        assert [text[a:b] for a, b, _ in secrets.find(text)] == [value]
+    hostile = "password=\"" * 20_000 + "token is " + "." * 200_000 + "://a:" + ":" * 200_000
+    secrets.find(hostile)
