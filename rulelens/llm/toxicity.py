@@ -4,8 +4,8 @@ Token weights are log-odds ratios of toxic against other labelled texts under an
 Dirichlet prior (the corpus' own token shares). They are learned for words and for their first
 letters (compounds and inflections share a stem); a word takes the weight of the surest of
 its units, and one whose ratio is within its noise is background, which costs DRIFT. A linear scan over a text finds every maximal scoring
-segment (Ruzzo and Tompa), touching only the tokens that carry a weight. A segment's score is
-turned into an E-value by the extreme-value law fitted to the non-toxic texts of the fit, and
+segment (Ruzzo and Tompa), touching only the tokens that carry a weight. A segment's score, the best within it if a word that
+is repeated nearby counts BURST times at most, is turned into an E-value by the extreme-value law fitted to the non-toxic texts of the fit, and
 a text's segments are aggregated by the Poisson rule into one tail probability, which a
 logistic curve fitted on the same rows maps to a score.
 
@@ -43,7 +43,7 @@ LEAST_COUNT = 3
 #: Lengths of the stems, and how often a text counts a unit at most (else a text that repeats one word sets its weight).
 STEMS = (4, 5, 6, 7)
 BURST = 3
-#: Scoring counts a word at most BURST times within this many words.
+#: The score of a segment counts a word at most BURST times within this many words; its extent counts all.
 NEARBY = 100
 #: What a background token costs, and the largest weight of a token.
 DRIFT = 0.05
@@ -127,17 +127,33 @@ class Model:
 
     def segments(self, tokens: list[str]) -> list[tuple[int, int, float]]:
         hits = [(i, w) for i, w in enumerate(map(self._met.__getitem__, tokens)) if w is not None]
-        if len(hits) > BURST:
-            # a word that is repeated more often nearby is background there, wherever in the text that is
+        if not hits:
+            return []
+        found = maximal_segments([i for i, _ in hits], [w for _, w in hits])
+        # the score is the best within the segment when a word that is repeated more often nearby is background
+        counted: list[tuple[int, int, float]] = []
+        at = 0
+        for a, b, _ in found:
+            while hits[at][0] < a:
+                at += 1
             met: dict[str, deque[int]] = {}
-            kept = []
-            for i, w in hits:
+            here = best = 0.0
+            before = a - 1
+            while at < len(hits) and hits[at][0] <= b:
+                i, w = hits[at]
                 last = met.setdefault(tokens[i], deque(maxlen=BURST))
+                here -= DRIFT * (i - before - 1)
+                before = i
                 if len(last) < BURST or i - last[0] >= NEARBY:
                     last.append(i)
-                    kept.append((i, w))
-            hits = kept
-        return maximal_segments([i for i, _ in hits], [w for _, w in hits]) if hits else []
+                    here += w
+                else:
+                    here -= DRIFT
+                here = max(0.0, here)
+                best = max(best, here)
+                at += 1
+            counted.append((a, b, best))
+        return counted
 
     def evidence(self, tokens: list[str]) -> tuple[float, list[tuple[int, int, float, float]]]:
         """-log10 of the text's tail probability, and its segments with their E-values."""

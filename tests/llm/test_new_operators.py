@@ -269,3 +269,18 @@ def test_secret_candidates_of_every_form():
         assert [text[a:b] for a, b, _ in secrets.find(text)] == [value]
     hostile = "password=\"" * 20_000 + "token is " + "." * 200_000 + "://a:" + ":" * 200_000
     secrets.find(hostile)
+
+
+def test_toxic_passages_of_repeated_words_are_whole():
+    from rulelens.llm import toxicity
+
+    model = toxicity.Model({"vile": (4.0, 9.0), "idiot": (4.0, 9.0), "kind": (-3.0, 9.0)}, curve=(1.0, -1.0))
+    assert [x[:2] for x in model.segments(["idiot"] * 50)] == [(0, 49)]
+    assert [x[:2] for x in model.segments(["vile", "idiot"] * 45)] == [(0, 89)]
+    apart = [*["the"] * 10, *["vile", "a", "idiot", "b"] * 30, *["calm"] * 20_000, *["idiot", "vile"] * 3]
+    assert [x[:2] for x in model.segments(apart)] == [(10, 128), (20_130, 20_135)]
+    # the score counts a word three times in a hundred words, however often it is repeated
+    assert model.segments(["idiot"] * 50)[0][2] == 12.0 == model.segments(["idiot"] * 90)[0][2]
+    # a long stretch between does not take away what the passage itself scores
+    assert max(x[2] for x in model.segments(["idiot"] * 50 + ["calm"] * 1000 + ["vile"])) >= 12.0
+    assert model.segments([]) == [] == model.segments(["calm"] * 5) == model.segments(["kind"] * 5)
