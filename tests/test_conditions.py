@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from rulelens.functions.conditions import ColumnValue, Conjunction, MergedValues, Numerical, PairWise, from_dict, normalized
 from rulelens.functions.scoring import purity_value
-from rulelens.operators.candidates import atoms, domains, merge_allowed
+from rulelens.operators.candidates import merge_allowed
+from rulelens.operators.domains import Domains, scored
 from rulelens.operators.ranking import hybrid, ranked, signature
 
 
@@ -57,11 +58,16 @@ def test_sentences_and_stored_forms():
     assert c.columns() == {"a", "b", "n"}
 
 
-def test_normalized_values_and_domains():
+def test_normalized_values_and_domains(spark):
     assert normalized(" None ") is None and normalized("<NA>") is None and normalized(2.0) == 2 and normalized("x") == "x"
-    d = domains({"c": ["a", "b"]}, {"c": ["None", "a"]})
-    assert d == {"c": ["a", "b", None]}
-    assert {a.op for a in atoms({"c": ["a", "b"]})} == {"="} and {a.op for a in atoms(d)} == {"=", "!="}
+    counts = spark.createDataFrame([("c", "a", 6, 1), ("c", "b", 2, 3), ("c", None, 1, 0)], "column string, value string, eq_sat long, eq_vio long")
+    counts = counts.withColumns({"ne_sat": 9 - F.col("eq_sat"), "ne_vio": 4 - F.col("eq_vio")})
+    schema = spark.createDataFrame([], "c string").schema
+    for special, values, ops in (({"c": ["None", "a"]}, {"a", "b", None}, {"=", "!="}), ({}, {"a", "b"}, {"="})):
+        d = Domains(counts, schema, ["c"], {"c": ["a", "b"]}, special)
+        assert d.sizes == {"c": len(values)}
+        got = scored(d.candidates(counts), d.sizes, 9, 4, 1).collect()
+        assert {(d.value("c", r["value"]), r["op"]) for r in got} == {(v, op) for v in values for op in ops}
 
 
 def test_merge_pruning():
