@@ -29,7 +29,7 @@ def random_samples(spark, seed, roles="xy", both=True):
 @pytest.mark.parametrize("both", [True, False])
 def test_pair_tree_and_subgroups_equal_those_of_explicit_pairs(spark, both):
     """both: satisfying samples have pairs between groups; else all their pairs are taken, in the order of row ids."""
-    samples = random_samples(spark, 5, both=both)
+    samples = random_samples(spark, 5 if both else 6, both=both)
     every = baselines.pair_rows(samples, ["v", "x"]).cache()
     names = {"categorical": ["v_1", "v_2"], "numerical": ["x_1", "x_2"]}
     plain = [(r | {"condition": baselines.row_condition(r["condition"])}) for r in baselines.tree_rules(every, **names, depth=2, min_support=1)]
