@@ -74,10 +74,11 @@ def matching_all(samples: DataFrame, conditions: list[Condition]) -> DataFrame:
 
 def pairwise_all(samples: DataFrame, columns: list[str]) -> DataFrame:
     """(pattern, column, op, pairs) as `pairwise` gives them, for every pattern."""
-    values = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
-    long = samples.select("sample_id", "role", "row_id", F.explode(values).alias("x")).select("sample_id", "role", "row_id", "x.column", "x.value").where("value IS NOT NULL")
     # a null value stands for all values of the column
-    both = all_patterns(long.unionByName(long.withColumn("value", F.lit(None).cast("string"))), ["column", "value"])
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    each = [F.when(text(c).isNotNull(), F.struct(F.lit(c).alias("column"), v.alias("value"))) for c in columns for v in (text(c), F.lit(None).cast("string"))]
+    long = samples.select("sample_id", "role", "row_id", F.explode(F.array(*each)).alias("x")).where("x IS NOT NULL").select("sample_id", "role", "row_id", "x.column", "x.value")
+    both = all_patterns(long, ["column", "value"])
     same = F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("pairs"))), F.lit(0)).alias("same")
     whole = both.groupBy("pattern", "column").agg(F.sum(F.when(F.col("value").isNull(), F.col("pairs"))).alias("filled"), same)
     ops = F.array(F.struct(F.lit("=").alias("op"), F.col("same").alias("pairs")), F.struct(F.lit("!=").alias("op"), (F.col("filled") - F.col("same")).alias("pairs")))

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from rulelens.functions.conditions import ColumnValue, Numerical
 from rulelens.functions.scoring import VIOLATING
-from rulelens.operators import baselines
+from rulelens.operators import baselines, pairs, rules
+from rulelens.plans import catalog
 
 
 def plan_of(df) -> str:
@@ -23,3 +24,26 @@ def test_node_counts_take_only_numbers_apart(spark):
     apart = baselines.node_counts(df, nodes, ["c"], ["n"])
     rows_apart = [line for line in plan_of(apart).splitlines() if "Generate explode" in line]
     assert len(rows_apart) == 2 and not any("CASE" in line for line in rows_apart)
+
+
+def test_samples_are_shuffled_once(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(rules, "PART_ROWS", 1000)
+    plan = plan_of(pairs.pairwise_all(catalog.keyed_samples(spark, sf_dir), ["l_returnflag"]))
+    by = [line.split("hashpartitioning(")[1].split("#")[0] for line in plan.splitlines() if "hashpartitioning(" in line]
+    # the rows and their keys by order, and what little is left by pattern and column
+    assert by.count("l_orderkey") == 2 and len(by) <= 4 and not {"sample_id", "l_linenumber"} & set(by)
+
+
+def test_samples_of_several_columns_are_named_by_all(spark):
+    rows = spark.createDataFrame([(1, "a", "x", 5), (1, "a", "x", 4), (1, None, "y", 3), (2, "b", "y", 2)], "g long, h string, r string, v long")
+    units = rows.groupBy("g", "h").agg((F.count("*") > 1).alias(VIOLATING))
+    found = rules.samples(rules.together(rows, ["g"], 4), units, ["g", "h"], F.col("r"), ["v"]).select("sample_id", "role", "row_id", "v", VIOLATING)
+    assert sorted(map(tuple, found.collect())) == [("1|a", "x", 0, 4, True), ("1|a", "x", 1, 5, True), ("2|b", "y", 0, 2, False)]
+    one = rules.samples(rows, units.groupBy("g").agg(F.bool_or(VIOLATING).alias(VIOLATING)), ["g"], F.col("r"), ["v"])
+    assert {r["sample_id"] for r in one.collect()} == {1, 2}
+
+
+def test_names_of_samples_have_partitions_by_rows(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(rules, "PART_ROWS", 1000)
+    named = [line for line in plan_of(catalog.confidence_with_violations(spark, sf_dir)).splitlines() if "hashpartitioning(sample_id" in line]
+    assert len(named) == 1 and "REPARTITION_BY_NUM" in named[0]
