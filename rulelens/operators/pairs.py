@@ -14,12 +14,14 @@ for looking at them and for tests.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.conditions import Condition, PairWise
 from .domains import long_values
 
+#: Conditions that are counted side by side in one aggregation, whose code grows with them.
+WIDE = 32
 PATTERNS = ("between_groups", "within_groups", "all_combinations")
 
 
@@ -92,8 +94,31 @@ def total(samples: DataFrame, pattern: str) -> DataFrame:
 
 def matching(samples: DataFrame, conditions: list[Condition], pattern: str) -> DataFrame:
     """(cond, pairs) of row-level conditions that hold on both rows, by number."""
-    hits = F.filter(F.array(*[F.when(c.to_column(samples.schema), F.lit(i)) for i, c in enumerate(conditions)]), lambda x: x.isNotNull())
-    return _pair_sum(samples.select("sample_id", _unit(pattern), F.explode(hits).alias("cond")), ["cond"], pattern)
+    columns, unit, out = [c.to_column(samples.schema) for c in conditions], _unit(pattern), None
+    for start in range(0, len(columns), WIDE):
+        some = range(start, min(start + WIDE, len(columns)))
+        per_unit = samples.groupBy("sample_id", unit).agg(*[F.count(F.when(columns[i], 1)).alias(f"k{i}") for i in some])
+        per_sample = per_unit.groupBy("sample_id").agg(*[F.sum(f"k{i}").alias(f"n{i}") for i in some], *[F.sum(F.col(f"k{i}") * F.col(f"k{i}")).alias(f"s{i}") for i in some])
+        whole = per_sample.agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in some], *[F.sum(_pairs(pattern, F.col(f"n{i}"), F.col(f"s{i}"))).alias(f"p{i}") for i in some])
+        part = _listed(whole, some, "n", "p").select("cond", F.col("p").alias("pairs"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _listed(whole: DataFrame, some: range, hits: str, value: str) -> DataFrame:
+    """(cond, value) of conditions that rows meet, from one row of counts."""
+    each = F.array(*[F.struct(F.lit(i).alias("cond"), F.col(f"{hits}{i}").alias("hits"), F.col(f"{value}{i}").alias(value)) for i in some])
+    return whole.select(F.explode(each).alias("x")).where("x.hits > 0").select("x.cond", f"x.{value}")
+
+
+def meeting(rows: DataFrame, conditions: list[Condition]) -> DataFrame:
+    """(cond, n) rows that meet row-level conditions, by number."""
+    columns, out = [c.to_column(rows.schema) for c in conditions], None
+    for start in range(0, len(columns), WIDE):
+        some = range(start, min(start + WIDE, len(columns)))
+        part = _listed(rows.agg(*[F.count(F.when(columns[i], 1)).alias(f"n{i}") for i in some]), some, "n", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def value_pairs(samples: DataFrame, columns: list[str], pattern: str | None, total: int) -> DataFrame:
@@ -102,11 +127,12 @@ def value_pairs(samples: DataFrame, columns: list[str], pattern: str | None, tot
     total: all pairs (or samples). The second count is the total less what the value takes away, so samples without it aren't touched.
     """
     unit = _unit(pattern) if pattern else "role"
-    sizes = samples.groupBy("sample_id", unit).agg(F.count(F.lit(1)).alias("u"))
-    own = long_values(samples, columns, "sample_id", unit).groupBy("sample_id", unit, "column", "value").agg(F.count(F.lit(1)).alias("k"))
-    k, u = F.col("k"), F.col("u")
-    per = own.join(sizes, ["sample_id", unit]).groupBy("sample_id", "column", "value").agg(F.sum(k).alias("nv"), F.sum(k * k).alias("squares"), F.sum(u * k).alias("cross"))
-    x = per.join(sizes.groupBy("sample_id").agg(F.sum("u").alias("n")), "sample_id")
+    # a row has one value of each column, so the sizes of units and samples are sums over the values of a column; rows without a unit count in the sample's only
+    own = long_values(samples.where("sample_id IS NOT NULL"), columns, "sample_id", unit).groupBy("sample_id", unit, "column", "value").agg(F.count(F.lit(1)).alias("k"))
+    own = own.withColumn("u", F.sum("k").over(Window.partitionBy("sample_id", unit, "column")))
+    k, u, of = F.col("k"), F.col("u"), lambda x: F.sum(F.when(F.col(unit).isNotNull(), x))
+    per = own.groupBy("sample_id", "column", "value").agg(F.sum(k).alias("rows"), of(k).alias("nv"), of(k * k).alias("squares"), of(u * k).alias("cross"))
+    x = per.withColumn("n", F.sum("rows").over(Window.partitionBy("sample_id", "column"))).where("nv > 0")
     n, nv, squares, cross = F.col("n"), F.col("nv"), F.col("squares"), F.col("cross")
     if pattern is None:
         same, less, half = (n == nv).cast("long"), -F.lit(1).cast("long"), 1

@@ -86,8 +86,7 @@ class Evaluator:
         """Row-level conditions."""
         if not conditions:
             return []
-        hits = F.filter(F.array(*[F.when(c.to_column(self.sat.schema), F.lit(i)) for i, c in enumerate(conditions)]), lambda x: x.isNotNull())
-        sat = {r[0]: r[1] for r in self.sat.select(F.explode(hits).alias("cond")).groupBy("cond").count().collect()}
+        sat = {r[0]: r[1] for r in P.meeting(self.sat, conditions).collect()}
         vio = self.penalties(conditions)
         return [self._result(c, sat.get(i, 0), vio.get(i, 0), self.n_sat) for i, c in enumerate(conditions)]
 

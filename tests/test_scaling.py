@@ -47,3 +47,26 @@ def test_names_of_samples_have_partitions_by_rows(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(rules, "PART_ROWS", 1000)
     named = [line for line in plan_of(catalog.confidence_with_violations(spark, sf_dir)).splitlines() if "hashpartitioning(sample_id" in line]
     assert len(named) == 1 and "REPARTITION_BY_NUM" in named[0]
+
+
+def small_samples(spark):
+    rows = [(s, "xy"[i % 2], i // 2, "ab"[(s + i) % 2] if i else None, float(i), s % 2 == 0) for s in range(6) for i in range(5)]
+    return spark.createDataFrame(rows, f"sample_id long, role string, row_id int, v string, x double, {VIOLATING} boolean")
+
+
+def test_value_pairs_join_nothing(spark):
+    samples = small_samples(spark)
+    assert "Join" not in plan_of(pairs.value_pairs(samples, ["v"], "between_groups", 10))
+    every = pairs.explicit(samples, "between_groups").cache()
+    for r in pairs.value_pairs(samples, ["v"], "between_groups", every.count()).collect():
+        a, b = (F.col(f"{x}.v").eqNullSafe(F.lit(r["value"])) for x in "ab")
+        assert (r["eq_vio"], r["ne_vio"]) == (every.where(a & b).count(), every.where(~a & ~b).count())
+
+
+def test_conditions_are_counted_in_parts(spark, monkeypatch):
+    samples, conditions = small_samples(spark), [ColumnValue("v", "=", "a"), Numerical("x", ">=", 99.0), ColumnValue("v", "!=", "a")]
+    monkeypatch.setattr(pairs, "WIDE", 2)
+    every = pairs.explicit(samples, "within_groups").cache()
+    expected = {i: every.where(c.to_column(samples.schema, "a") & c.to_column(samples.schema, "b")).count() for i, c in enumerate(conditions) if i != 1}
+    assert {r["cond"]: r["pairs"] for r in pairs.matching(samples, conditions, "within_groups").collect()} == expected
+    assert {r["cond"]: r["n"] for r in pairs.meeting(samples, conditions).collect()} == {i: samples.where(conditions[i].to_column(samples.schema)).count() for i in (0, 2)}
