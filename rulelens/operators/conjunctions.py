@@ -29,15 +29,18 @@ from ..functions.scoring import VIOLATING, totals, with_metrics
 
 #: Conditions per long; different signatures of a sample up to which its pairs of signatures are formed.
 WORD = 62
+#: Conditions whose bits are one expression.
+OCTET = 8
 DENSE = 128
 
 
 def signature(schema: T.StructType, pool: list[Condition]) -> Column:
     """The conditions that a row meets, as bits."""
     bits = [F.when(c.to_column(schema), F.lit(1 << i % WORD).cast("long")).otherwise(F.lit(0).cast("long")) for i, c in enumerate(pool)]
-    # an array of bits is compiled in parts; one expression over all of them would be too long for the compiler
+    # an array is compiled in parts, of OCTET conditions each; one expression over all of them would be too long for the compiler
     none = F.lit(0).cast("long")
-    return F.array(*[F.aggregate(F.array(*(bits[i : i + WORD] or [none])), none, lambda a, x: a.bitwiseOR(x)) for i in range(0, max(1, len(bits)), WORD)])
+    parts = lambda own: [reduce(Column.bitwiseOR, own[i : i + OCTET]) for i in range(0, len(own), OCTET)] or [none]
+    return F.array(*[F.aggregate(F.array(*parts(bits[i : i + WORD])), none, lambda a, x: a.bitwiseOR(x)) for i in range(0, max(1, len(bits)), WORD)])
 
 
 def numbers_of(chosen: Iterable[int]) -> Column:
