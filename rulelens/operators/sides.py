@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from ..functions.conditions import Condition, Conjunction
 from ..functions.scoring import VIOLATING
 from .baselines import all_of, beam_search, best_splits_of, cells, grow, row_condition, selectors_of
+from .conjunctions import WORD, signature
 from .pairs import total
 
 KNOWN = "sample_id IS NOT NULL AND role IS NOT NULL AND row_id IS NOT NULL"
@@ -37,24 +38,29 @@ def _side(conditions: Iterable[Condition], side: int) -> list[Condition]:
     return [row_condition(c) for c in own if c.column.endswith(f"_{side}")]
 
 
-def partners(samples: DataFrame, nodes: list[frozenset], pattern: str) -> DataFrame:
-    """samples with `weights`: (node, side, n) for each description that a row meets as the first or the second of n > 0 pairs."""
+def _met(samples: DataFrame, nodes: list[frozenset], pattern: str) -> tuple[DataFrame, list[tuple[int, int, Column]]]:
+    """samples with what each row and its partners meet, and (side, node, n): the pairs of a row as the first or the second one."""
     rows = samples.where(KNOWN)
     meets = [[all_of(_side(d, side), samples.schema).cast("long") for d in nodes] for side in (1, 2)]
     rows = rows.withColumns({"__1": F.array(*meets[0]), "__2": F.array(*meets[1])})
-    unit = "role" if pattern == "between_groups" else "row_id"
     names = [(side, i, f"__{side}_{i}") for side in (1, 2) for i in range(len(nodes))]
-    tally = rows.groupBy("sample_id", unit).agg(*[F.sum(F.col(f"__{side}")[i]).alias(name) for side, i, name in names])
     if pattern == "between_groups":
-        # a sample's own sums come from its few roles
-        sums = tally.groupBy("sample_id").agg(*[F.sum(name).alias(f"{name}_all") for *_, name in names])
-        others = tally.join(sums, "sample_id").select("sample_id", unit, *[(F.col(f"{name}_all") - F.col(name)).alias(name) for *_, name in names])
+        # sums over windows of the sample: rows that are partitioned by sample stay where they are
+        every, own = Window.partitionBy("sample_id"), Window.partitionBy("sample_id", "role")
+        others = lambda side: F.array(*[F.sum(F.col(f"__{side}")[i]).over(every) - F.sum(F.col(f"__{side}")[i]).over(own) for i in range(len(nodes))])
+        met = rows.withColumns({f"__p{side}": others(side) for side in (1, 2)})
     else:
-        others = _beyond(tally, names, samples.schema["row_id"].dataType)
-    gathered = others.select("sample_id", unit, *[F.array(*[F.col(name) for s, _, name in names if s == side]).alias(f"__p{side}") for side in (1, 2)])
-    met = rows.join(gathered, ["sample_id", unit])
+        tally = rows.groupBy("sample_id", "row_id").agg(*[F.sum(F.col(f"__{side}")[i]).alias(name) for side, i, name in names])
+        behind = _beyond(tally, names, samples.schema["row_id"].dataType)
+        met = rows.join(behind.select("sample_id", "row_id", *[F.array(*[F.col(name) for s, _, name in names if s == side]).alias(f"__p{side}") for side in (1, 2)]), ["sample_id", "row_id"])
     # the first row's partners are second rows, and the other way round
-    weights = [F.struct(F.lit(i).alias("node"), F.lit(side).alias("side"), (F.col(f"__{side}")[i] * F.col(f"__p{3 - side}")[i]).alias("n")) for side, i, _ in names]
+    return met, [(side, i, F.col(f"__{side}")[i] * F.col(f"__p{3 - side}")[i]) for side, i, _ in names]
+
+
+def partners(samples: DataFrame, nodes: list[frozenset], pattern: str) -> DataFrame:
+    """samples with `weights`: (node, side, n) for each description that a row meets as the first or the second of n > 0 pairs."""
+    met, products = _met(samples, nodes, pattern)
+    weights = [F.struct(F.lit(i).alias("node"), F.lit(side).alias("side"), n.alias("n")) for side, i, n in products]
     return met.withColumn("weights", F.filter(F.array(*weights), lambda w: w["n"] > 0)).drop("__1", "__2", "__p1", "__p2")
 
 
@@ -102,6 +108,18 @@ class Pairs:
         features = self.weighted(nodes).select("node", "n", VIOLATING, F.explode(F.when(F.col("side") == 1, first).otherwise(second)).alias("x"))
         return features.groupBy("node", "x.column", "x.text", "x.number").agg(F.sum("n").alias("n"), F.sum(F.when(F.col(VIOLATING), F.col("n")).otherwise(0)).alias("v"))
 
+    def grouped(self, nodes: list[frozenset], keys: dict[str, Column]) -> DataFrame:
+        """(flag, keys..., weights): (node, side, n) of each description, summed over rows with equal keys before anything is taken apart."""
+        out = None
+        for rows, pattern in self.parts:
+            met, products = _met(rows, nodes, pattern)
+            sums = [F.sum(n).alias(f"__w{side}_{i}") for side, i, n in products]
+            part = met.withColumns(keys).groupBy(VIOLATING, *keys).agg(*sums)
+            weights = [F.struct(F.lit(i).alias("node"), F.lit(side).alias("side"), F.col(f"__w{side}_{i}").alias("n")) for side, i, _ in products]
+            part = part.select(VIOLATING, *keys, F.filter(F.array(*weights), lambda w: w["n"] > 0).alias("weights"))
+            out = part if out is None else out.unionByName(part)
+        return out
+
     def close(self) -> None:
         self.samples.unpersist()
 
@@ -139,12 +157,19 @@ def pair_subgroups(samples: DataFrame, columns: list[str], depth: int = 3, width
         counted = pairs.counted([frozenset()], None, categorical, numerical).where("column <> ''").persist(StorageLevel.MEMORY_AND_DISK)
         selectors = selectors_of(counted, {f.name: f.dataType.simpleString() for f in pairs.schema}, _both(numerical), max_cardinality, bins)
         counted.unpersist()
-        by_side = {side: [(i, all_of(own, samples.schema)) for i, s in enumerate(selectors) if (own := _side([s], side))] for side in (1, 2)}
-        listed: dict[int, Column] = {side: F.filter(F.array(*[F.when(c, F.lit(i)) for i, c in own]), lambda x: x.isNotNull()) for side, own in by_side.items()}
+        # what a row meets as the first and as the second one of a pair, as bits
+        by_side = {side: [(i, Conjunction(frozenset(own))) for i, s in enumerate(selectors) if (own := _side([s], side))] for side in (1, 2)}
+        bits = {side: signature(samples.schema, [c for _, c in own]) for side, own in by_side.items()}
+        keys = {f"__s{side}_{w}": bits[side][w] for side, own in by_side.items() for w in range(-(-len(own) // WORD))}
+        numbers: dict[int, Column] = {}
+        for side, own in by_side.items():
+            met = [F.when(F.shiftright(f"__s{side}_{k // WORD}", k % WORD).bitwiseAND(F.lit(1)) == 1, F.lit(i)) for k, (i, _) in enumerate(own)]
+            numbers[side] = F.filter(F.array(*met), lambda x: x.isNotNull()) if met else F.array().cast("array<int>")
 
         def level(beam: list[frozenset]) -> list:
-            rows = pairs.weighted([frozenset(selectors[i] for i in b) for b in beam])
-            met = rows.select(F.col("node").alias("parent"), "n", VIOLATING, F.explode(F.when(F.col("side") == 1, listed[1]).otherwise(listed[2])).alias("selector"))
+            rows = pairs.grouped([frozenset(selectors[i] for i in b) for b in beam], keys)
+            apart = rows.select(VIOLATING, numbers[1].alias("first"), numbers[2].alias("second"), F.explode("weights").alias("w"))
+            met = apart.select(F.col("w.node").alias("parent"), "w.n", VIOLATING, F.explode(F.when(F.col("w.side") == 1, F.col("first")).otherwise(F.col("second"))).alias("selector"))
             of = lambda flag: F.sum(F.when(F.col(VIOLATING) == flag, F.col("n")).otherwise(0))
             return met.groupBy("parent", "selector").agg(of(False).alias("sat"), of(True).alias("vio")).collect()
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from rulelens.functions.conditions import ColumnValue, Numerical
 from rulelens.functions.scoring import VIOLATING
-from rulelens.operators import baselines, pairs, rules
+from rulelens.operators import baselines, pairs, rules, sides
 from rulelens.plans import catalog
 
 
@@ -70,3 +70,13 @@ def test_conditions_are_counted_in_parts(spark, monkeypatch):
     expected = {i: every.where(c.to_column(samples.schema, "a") & c.to_column(samples.schema, "b")).count() for i, c in enumerate(conditions) if i != 1}
     assert {r["cond"]: r["pairs"] for r in pairs.matching(samples, conditions, "within_groups").collect()} == expected
     assert {r["cond"]: r["n"] for r in pairs.meeting(samples, conditions).collect()} == {i: samples.where(conditions[i].to_column(samples.schema)).count() for i in (0, 2)}
+
+
+def test_partners_between_groups_join_nothing(spark):
+    samples = small_samples(spark)
+    node = [frozenset([ColumnValue("v_1", "=", "a"), Numerical("x_2", ">=", 2.0)])]
+    found = sides.partners(samples, node, "between_groups")
+    assert "Join" not in plan_of(found)
+    every = pairs.explicit(samples, "between_groups").where("a.v = 'a' AND b.x >= 2")
+    rows = found.select(F.explode("weights").alias("w")).groupBy("w.side").agg(F.sum("w.n").alias("n")).collect()
+    assert {r["side"]: r["n"] for r in rows} == {1: every.count(), 2: every.count()}
