@@ -1,10 +1,13 @@
 """What keeps the larger tables within their limits: how often rows are taken apart, shuffled and read."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from rulelens.functions.conditions import ColumnValue, Numerical
 from rulelens.functions.scoring import VIOLATING
-from rulelens.operators import baselines, pairs, rules, sides
+from rulelens.operators import baselines, pairs, quantiles, rules, sides
 from rulelens.plans import catalog
 
 
@@ -80,3 +83,20 @@ def test_partners_between_groups_join_nothing(spark):
     every = pairs.explicit(samples, "between_groups").where("a.v = 'a' AND b.x >= 2")
     rows = found.select(F.explode("weights").alias("w")).groupBy("w.side").agg(F.sum("w.n").alias("n")).collect()
     assert {r["side"]: r["n"] for r in rows} == {1: every.count(), 2: every.count()}
+
+
+@pytest.fixture
+def unsteady(monkeypatch):
+    """Approximate quantiles that are others whenever they are computed, as they may be on several executors."""
+    some = F.udf(lambda xs: sorted(random.SystemRandom().sample(xs, 9)), "array<double>")
+    monkeypatch.setattr(F, "percentile_approx", lambda value, *_: some(F.collect_list(value)))
+
+
+def test_unsteady_edges_of_slices_leave_quantiles_exact(spark, unsteady):
+    counted = spark.createDataFrame([("x", float(i), 1 + i % 3) for i in range(300)], "column string, value double, n long").cache()
+    every = sorted(float(i) for i in range(300) for _ in range(1 + i % 3))
+    found = quantiles.quantiles_of(counted, [0.25, 0.5, 0.75]).first()["values"]
+    assert found == [every[int(p * 599)] + (every[int(p * 599) + 1] - every[int(p * 599)]) * (p * 599 % 1) for p in (0.25, 0.5, 0.75)]
+    rows = spark.createDataFrame([(i * 37 % 400 / 7, i % 3 == 0) for i in range(400)], f"x double, {VIOLATING} boolean")
+    found = {c.value for s in baselines.search_space(rows) for c in getattr(s, "conditions", [s])}
+    assert sorted(found) == pytest.approx([p * 399 / 7 for p in (0.2, 0.4, 0.6, 0.8)])
