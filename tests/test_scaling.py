@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rulelens.functions.conditions import ColumnValue, Numerical
 from rulelens.functions.scoring import VIOLATING
-from rulelens.operators import baselines, pairs, quantiles, rules, sides
+from rulelens.operators import baselines, pairs, quantiles, rules, sides, splits
 from rulelens.plans import catalog
 
 
@@ -100,3 +100,14 @@ def test_unsteady_edges_of_slices_leave_quantiles_exact(spark, unsteady):
     rows = spark.createDataFrame([(i * 37 % 400 / 7, i % 3 == 0) for i in range(400)], f"x double, {VIOLATING} boolean")
     found = {c.value for s in baselines.search_space(rows) for c in getattr(s, "conditions", [s])}
     assert sorted(found) == pytest.approx([p * 399 / 7 for p in (0.2, 0.4, 0.6, 0.8)])
+
+
+def test_unsteady_edges_of_slices_leave_splits_exact(spark, unsteady):
+    rows = [("x", float(i), 3, i * i % 4) for i in range(300)]
+    counted = spark.createDataFrame(rows, "column string, value double, n long, v long").cache()
+    found = {r["split_value"]: (r["n_left"], r["v_left"]) for r in splits.gains_of(counted).collect()}
+    expected = {i + 0.5: (3 * (i + 1), sum(r[3] for r in rows[: i + 1])) for i in range(299)}
+    assert len(found) > 100 and found == {cut: expected[cut] for cut in found}
+    rows = spark.createDataFrame([(float(i * 37 % 400), i * 37 % 400 >= 250) for i in range(400)], f"x double, {VIOLATING} boolean")
+    found = baselines.tree_rules(rows, [], ["x"], depth=1)
+    assert [(r["condition"], r["sat_matches"], r["vio_matches"]) for r in found] == [(Numerical("x", "<", 249.5), 250, 0)]
